@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ctw import score_documents
 from .phrases import remove_repeated_phrases
 
 
@@ -11,12 +12,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_phrases(_read(spark, sf_dir, "documents"), digest=True)
 
 
 def queries():
-    return {f.__name__: f for f in (op5_substring_dedup,)}
+    return {f.__name__: f for f in (op2_lm_scoring, op5_substring_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
