@@ -19,7 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+LEAST_BYTES = 256 << 10
 NO_ID = (1 << 63) - 2
 
 
@@ -80,7 +81,13 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 
 def shard_count(docs: DataFrame, column: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
-    return max(1, math.ceil(text_bytes(docs, column) / shard_bytes))
+    return shards_for(docs.sparkSession, text_bytes(docs, column), shard_bytes)
+
+
+def shards_for(spark: SparkSession, n_bytes: int, shard_bytes: int = SHARD_BYTES) -> int:
+    """As many shards as shard_bytes asks for, or the session's shuffle partitions if those get LEAST_BYTES each."""
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // LEAST_BYTES)
+    return max(1, least, math.ceil(n_bytes / shard_bytes))
 
 
 def with_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:

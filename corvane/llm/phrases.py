@@ -4,7 +4,7 @@ Every window of `n` consecutive words is hashed. A shard sends each distinct win
 document that holds it; a bucket tells a shard which of its windows start in a smaller document elsewhere.
 Those confirmed windows form passages; each shard compiles its passages, cut to pieces of at most
 PIECE windows that overlap by n - 1 words, into an Aho-Corasick automaton over word numbers, and streams all its documents
-through it. A piece carries the largest of its windows' first documents: where it ends in a document with a
+that hold one through it. A piece carries the largest of its windows' first documents: where it ends in a document with a
 greater id, all its words are covered.
 
 Nothing grows with a group of copies: a shard sends a window once however many of its documents hold it.
@@ -14,6 +14,7 @@ Windows are told apart by 64 bits within one of n_shards buckets, so the width g
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -49,9 +50,10 @@ def _read(table: pa.Table, n: int):
 
 
 def _distinct(first: np.ndarray, second: np.ndarray, n_buckets: int):
-    """Order by (bucket, hash), keeping the order of documents: order, heads of the distinct ones, buckets of all."""
-    bucket = (second % np.uint64(n_buckets)).astype(np.int64)
-    order = np.lexsort((first, bucket))
+    """Order by (bucket, hash), heads of the distinct ones, and in that order the buckets and hashes of all."""
+    bucket = (second % np.uint64(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32)
+    order = np.argsort(first)
+    order = order[np.argsort(bucket[order], kind="stable")]
     b, h = bucket[order], first[order]
     new = np.ones(len(order), bool)
     new[1:] = (b[1:] != b[:-1]) | (h[1:] != h[:-1])
@@ -61,7 +63,8 @@ def _distinct(first: np.ndarray, second: np.ndarray, n_buckets: int):
 def _ask(table: pa.Table, n: int, n_buckets: int) -> pa.Table:
     ids, _, _, first, second, row, _ = _read(table, n)
     order, heads, b, h = _distinct(first, second, n_buckets)
-    b, h, d = b[heads], h[heads], ids[row[order[heads]]]
+    d = ids[np.minimum.reduceat(row[order], heads)] if len(heads) else ids[:0]
+    b, h = b[heads], h[heads]
     edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.empty(0, int)
     out = [(int(b[i]), pack(h[i:j], True), pack(d[i:j])) for i, j in zip(edges, np.r_[edges[1:], len(b)].astype(int), strict=True)]
     shard = table["shard"][0].as_py()
@@ -92,7 +95,7 @@ def _first_docs(ids, first, second, row, answers: pa.Table, n_buckets: int) -> n
     for k in np.unique(b):
         at = np.flatnonzero(b[heads] == k)
         elsewhere[at] = np.unpackbits(np.frombuffer(bits[int(k)], np.uint8), count=len(at)).astype(bool)
-    owner = np.where(elsewhere, np.iinfo(np.int64).min, ids[row[order[heads]]])
+    owner = np.where(elsewhere, np.iinfo(np.int64).min, ids[np.minimum.reduceat(row[order], heads)])
     out = np.empty(len(order), np.int64)
     out[order] = np.repeat(owner, np.diff(np.r_[heads, len(order)]))
     out[out >= ids[row]] = NONE
@@ -117,16 +120,15 @@ def _remove(docs: pa.Table, answers: pa.Table, n: int, n_buckets: int) -> pa.Tab
         for key, latest in pieces.items():
             automaton.add_word(key, (len(key), latest))
         automaton.make_automaton()
-    n_words, n_removed, kept = [], [], []
+    n_words, n_removed, kept, streamed = [], [], [], set(row[hit].tolist())  # no other document holds a confirmed window
     for k, (doc_id, w) in enumerate(zip(ids.tolist(), words, strict=True)):
-        covered = np.zeros(len(w) + 1, np.int64)
-        if pieces and len(w) >= n:
+        if k in streamed:
+            covered = np.zeros(len(w) + 1, np.int64)
             for last, (size, latest) in automaton.iter(tuple(numbers[k].tolist())):
                 if latest < doc_id:
                     covered[last - size + 1] += 1
                     covered[last + 1] -= 1
-        gone = np.cumsum(covered[:-1]) > 0
-        left = [w[i] for i in np.flatnonzero(~gone)] if gone.any() else w
+        left = list(compress(w, (np.cumsum(covered[:-1]) == 0).tolist())) if k in streamed else w
         n_words.append(len(w))
         n_removed.append(len(w) - len(left))
         kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
