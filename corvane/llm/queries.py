@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ctw import score_documents
 from .phrases import remove_repeated_phrases
+from .setsketch import near_duplicates
+from .simhash import fingerprint_documents
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +22,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_phrases(_read(spark, sf_dir, "documents"), digest=True)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_read(spark, sf_dir, "documents"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), n=2)
+
+
 def queries():
     return {f.__name__: f for f in (op2_lm_scoring, op5_substring_dedup,)}
 
