@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ctw import score_documents
 from .phrases import remove_repeated_phrases
+from .quality import judged
 from .setsketch import near_duplicates
 from .simhash import fingerprint_documents
 
@@ -18,6 +19,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_phrases(_read(spark, sf_dir, "documents"), digest=True)
 
@@ -31,7 +36,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_lm_scoring, op5_substring_dedup,)}
+    return {f.__name__: f for f in (op2_lm_scoring, op4_quality_rules, op5_substring_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
