@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import urls
 from .ctw import score_documents
+from .html import extract
 from .phrases import remove_repeated_phrases
 from .quality import judged
 from .setsketch import near_duplicates
@@ -19,6 +21,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -27,6 +33,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_phrases(_read(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_read(spark, sf_dir, "documents"))
 
@@ -35,9 +45,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), n=2)
 
 
+QUERIES = [
+    op2_lm_scoring,
+    op3_url_filters,
+    op4_quality_rules,
+    op5_substring_dedup,
+    op6_html_extraction,
+    op9_fingerprints,
+    op10_near_dedup,
+]
+
+
 def queries():
-    return {f.__name__: f for f in (op2_lm_scoring, op4_quality_rules, op5_substring_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filters": urls.oracle()}
