@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,22 +91,26 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _measure(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            stats = statistics(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in stats.T.copy())], ["doc_id", *COUNTS, *MORE])
+STATISTICS = ", ".join(f"{c} long" for c in COUNTS + MORE)
+
+
+def _frame(texts: pd.Series) -> pd.DataFrame:
+    parts = [statistics(texts.iloc[at : at + 1024].tolist()) for at in range(0, len(texts), 1024)]
+    return pd.DataFrame(np.concatenate(parts) if parts else np.empty((0, len(COUNTS + MORE)), np.int64), columns=COUNTS + MORE)
+
+
+def _measure(text: Column) -> Column:
+    return F.pandas_udf(_frame, STATISTICS)(text)
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each row's text; a null text counts as empty."""
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS + MORE)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_measure, schema)
+    return docs.select(F.col("doc_id").cast("long"), _measure(F.col("text").cast("string")).alias("_stats")).select("doc_id", "_stats.*")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed(of: str = "") -> Column:
+    n, repeats = F.col(f"{of}n_words"), F.col(f"{of}n_repeat_words")
+    return (n < 20) | (100 * repeats > 30 * n)
 
 
 FEATURES = {
@@ -123,10 +127,10 @@ FEATURES = {
 }
 
 
-def feature(name: str) -> Column:
-    """A share or mean; 0 where its base is 0."""
+def feature(name: str, of: str = "") -> Column:
+    """A share or mean of statistics (below the struct `of`, if given as "name."); 0 where its base is 0."""
     top, base = FEATURES[name]
-    return F.coalesce(F.col(top) / F.nullif(F.col(base), F.lit(0)), F.lit(0.0))
+    return F.coalesce(F.col(of + top) / F.nullif(F.col(of + base), F.lit(0)), F.lit(0.0))
 
 
 # -- learning ---------------------------------------------------------------------------------------------------
@@ -141,8 +145,9 @@ class Condition:
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] > self.threshold if self.above else x[self.feature] <= self.threshold
 
-    def column(self) -> Column:
-        return feature(self.feature) > self.threshold if self.above else feature(self.feature) <= self.threshold
+    def column(self, of: str = "") -> Column:
+        value = feature(self.feature, of)
+        return value > self.threshold if self.above else value <= self.threshold
 
 
 Rule = tuple[Condition, ...]
@@ -213,13 +218,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = PRECISIO
     return rules
 
 
-def fired(rules: list[Rule]) -> Column:
+def fired(rules: list[Rule], of: str = "") -> Column:
     """The number of the first rule that holds (from 1), else null: one CASE in the order of the list."""
     out = None
     for k, rule in enumerate(rules, 1):
-        condition = rule[0].column()
+        condition = rule[0].column(of)
         for c in rule[1:]:
-            condition = condition & c.column()
+            condition = condition & c.column(of)
         out = F.when(condition, k) if out is None else out.when(condition, k)
     return F.lit(None).cast("int") if out is None else out.cast("int")
 
@@ -236,6 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     return learn({f: table[f].to_numpy(float) for f in FEATURES}, table["quality"].to_numpy() == 0)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with its columns, that judged() would keep."""
+    rules = fit(docs, labels, sample)
+    rows = docs.withColumn("_stats", _measure(F.col("text").cast("string")))
+    return rows.where(~base_failed("_stats.") & fired(rules, "_stats.").isNull()).drop("_stats")
+
+
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and rule for each row.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import urls
+from . import bpe, mixing, secrets, urls
 from .ctw import score_documents
 from .html import extract
 from .phrases import remove_repeated_phrases
@@ -17,6 +19,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary_path() -> str:
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"))
 
@@ -37,6 +47,15 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_read(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select(F.col("doc_id").cast("long"), "source", "block", "slot", "place")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_read(spark, sf_dir, "documents"))
 
@@ -46,11 +65,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    op1_secret_scans,
     op2_lm_scoring,
     op3_url_filters,
     op4_quality_rules,
     op5_substring_dedup,
     op6_html_extraction,
+    op7_bpe,
+    op8_mixing,
     op9_fingerprints,
     op10_near_dedup,
 ]

@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Ids, hash_words, mix, staged, to_bytes, windows, with_id, without_id, words_of
@@ -200,3 +200,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     out = sketches.select("doc_id", "n_shingles", "content").join(where, "content", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return without_id(without_id(out), "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with its columns, that near_duplicates() keeps, one for each id (the first by its columns in order).
+
+    Rows without an id have no group and all stay.
+    """
+    known = docs.where("doc_id is not null")
+    kept = near_duplicates(known, n, percent).where("kept").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id")))
+    rows = known.join(kept, "doc_id", "left_semi").select(*docs.columns).withColumn("_first", first).where("_first = 1").drop("_first")
+    return rows.unionByName(docs.where("doc_id is null"))
