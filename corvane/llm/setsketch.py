@@ -6,9 +6,13 @@ greater ones (mergeable); two documents agree in a register about as often as th
 
 Bands of ROWS registers are bucket keys. In each bucket every member is a candidate with the bucket's least member only; so a group of k
 copies has k - 1 candidates in a bucket, not k squared. Candidates pass an estimate by joint likelihood of the three
-register outcomes (greater, less, equal) with a wide margin, then the full sets are compared. Links give
-components; in the few buckets whose members then lie in different components, members are compared across these, so that no
-link within a bucket is lost. A pair of similarity 0.8 shares no bucket with a probability of about 1e-6.
+register outcomes (greater, less, equal) with a margin of MARGIN deviations, then the full sets are compared. Links give components.
+
+In some buckets members then lie outside the bucket's largest component. The registers of these strays are compared with
+those of all members in other components, block by block; this gives the components that a stray may belong to. Small ones
+add candidates; of large ones the members come block by block, once, and the stray's full set is compared with
+every likely one until one links. So no link within a bucket is lost, and members that are linked by way of others cost nothing.
+A pair of similarity 0.8 shares no bucket with a probability of about 1e-6.
 
 Equal sets are one node from the start.
 """
@@ -28,6 +32,7 @@ from .components import components
 
 BANDS, ROWS = 46, 6
 BASE, RATE = 1.08, 20.0
+MARGIN, BLOCK, SMALL = 4.5, 1024, 8
 SHINGLE, SALT = 0x8A5CD789635D2DFF, 0x121FD2155C472F96
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,11 +112,11 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, hub) for all members of buckets with two nodes at least; the hub is the least."""
+    """(bucket, band, node, hub) for all members of buckets with two nodes at least; the hub is the least."""
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * ROWS + 1, F.lit(ROWS))))
-    members = nodes.select("node", F.explode(key).alias("bucket"))
+    members = nodes.select("node", F.posexplode(key).alias("band", "bucket"))
     hubs = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
-    return members.join(hubs, "bucket").select("bucket", "node", "hub")
+    return members.join(hubs, "bucket").select("bucket", "band", "node", "hub")
 
 
 def _likely(floor: float, percent: int):
@@ -153,15 +158,91 @@ def _linked(n: int, percent: int):
     return run
 
 
-def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) of nodes whose full sets overlap enough."""
-    spread = 6 * math.sqrt(percent * (100 - percent)) / 100 / math.sqrt(BANDS * ROWS)
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    likely = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent / 100 - spread, percent), "a long, b long"))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = staged(with_id(docs.select("doc_id", "text")).join(needed, "doc_id", "left_semi").distinct())
+def links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) of nodes whose full sets overlap enough; texts: (doc_id, text) of all nodes in pairs."""
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    return likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(_linked(n, percent), "a long, b long").distinct()
+    return pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(_linked(n, percent), "a long, b long").distinct()
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, floor: float, percent: int) -> DataFrame:
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(floor, percent), "a long, b long")
+
+
+def _grid(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+
+
+def _promising(own: np.ndarray, n: int, grid: np.ndarray, sizes: np.ndarray, floor: float, percent: int) -> np.ndarray:
+    """Rows of the grid that may link with a set of n shingles, likeliest first."""
+    at = np.flatnonzero((100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & ((grid == own).mean(axis=1) >= floor))
+    if not len(at):
+        return at
+    j = similarity(np.broadcast_to(own, grid[at].shape), grid[at], np.full(len(at), float(n)), sizes[at].astype(float))
+    order = np.argsort(-j, kind="stable")
+    return at[order[j[order] >= floor]]
+
+
+def _outside(floor: float, percent: int):
+    """(node, part): the components, of a block of a bucket's members, that strays may belong to."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grid, sizes, parts, out = _grid(right), right["o_n_shingles"].to_numpy(), right["o_part"].to_numpy(), set()
+        for own, node, part, n in zip(_grid(left), *(left[c].to_pylist() for c in ("node", "part", "n_shingles")), strict=True):
+            other = np.flatnonzero(parts != part)
+            found = parts[other[_promising(own, n, grid[other], sizes[other], floor, percent)]]
+            out.update((node, int(p)) for p in np.unique(found))
+        return pa.table({"node": pa.array([x[0] for x in out], pa.int64()), "part": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
+def strays_of(dealt: DataFrame, nodes: DataFrame, placed: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Distinct (node, part): for members outside the largest component of a bucket, the other components with a likely member there."""
+    here = dealt.select("bucket", "node").join(placed, "node")
+    main = here.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("x"), F.sum("n").alias("members")).where("x.n < members")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select("bucket", F.col("x.part").alias("main"), blocks(F.col("members") - F.col("x.n")).alias("s"), blocks(F.col("members")).alias("m"))
+    mixed = here.join(main, "bucket").join(nodes.select("node", "n_shingles", "registers"), "node")
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    strays = mixed.where("part <> main").select("bucket", block("s").alias("s"), each("m").alias("m"), "node", "part", "n_shingles", "registers")
+    others = mixed.select("bucket", each("s").alias("s"), block("m").alias("m"), "part", "n_shingles", "registers")
+    others = others.toDF(*(f"o_{c}" if c == "part" or c == "n_shingles" else f"{c}" for c in others.columns))
+    others = others.select(*(F.col(c).alias(f"o_{c}" if c in ("bucket", "s", "m") else c) for c in others.columns))
+    key = ["bucket", "s", "m"]
+    return strays.groupBy(*key).cogroup(others.groupBy(*(f"o_{c}" for c in key))).applyInArrow(_outside(floor, percent), "node long, part long").distinct()
+
+
+def _joined_blocks(n: int, percent: int, floor: float):
+    """Links (a, b) of strays with a block of a large component's members, one for each stray at most."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grid, sizes, ids, out = _grid(right), right["n_shingles"].to_numpy(), right["member"].to_pylist(), []
+        texts, sets = right["t_member"], {}
+        for own, node, size, text in zip(_grid(left), *(left[c].to_pylist() for c in ("node", "size", "t_node")), strict=True):
+            (mine,) = shingle_sets([text], n)
+            for at in _promising(own, size, grid, sizes, floor, percent).tolist():
+                if at not in sets:
+                    (sets[at],) = shingle_sets([texts[at].as_py()], n)
+                both = len(np.intersect1d(mine, sets[at], assume_unique=True))
+                if 100 * both >= percent * (len(mine) + len(sets[at]) - both):
+                    out.append((max(node, ids[at]), min(node, ids[at])))
+                    break
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
+def links_to_large(wanted: DataFrame, nodes: DataFrame, placed: DataFrame, texts: DataFrame, n: int, percent: int, floor: float) -> DataFrame:
+    """Links between strays and large components; wanted: (node, part, members)."""
+    full = nodes.select("node", "n_shingles", "registers").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    strays = wanted.join(full, "node").select(F.col("part").alias("s_part"), F.explode(F.sequence(F.lit(0), count - 1)).alias("s_block"), "node", F.col("n_shingles").alias("size"), "registers", F.col("text").alias("t_node"))
+    large = wanted.select("part", "members").distinct()
+    members = placed.join(large, "part").join(full, "node").select("part", F.pmod(F.xxhash64("node"), count).cast("int").alias("block"), F.col("node").alias("member"), "n_shingles", "registers", F.col("text").alias("t_member"))
+    strays, members = strays.toDF(*strays.columns), members.select(*(F.col(c).alias(c) for c in members.columns))
+    return strays.groupBy("s_part", "s_block").cogroup(members.groupBy("part", "block")).applyInArrow(_joined_blocks(n, percent, floor), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -180,23 +261,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     same_id = member.join(split, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
 
     dealt = staged(buckets(nodes))
-    first = staged(dealt.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    found = staged(links(first, nodes, docs, n, percent).union(same_id))
+    met = dealt.select(F.col("node").alias("doc_id")).distinct()
+    texts = staged(with_id(docs.select("doc_id", "text")).join(met, "doc_id", "left_semi").distinct())
+    floor = (percent - MARGIN * math.sqrt(percent * (100 - percent) / len(FACTORS))) / 100
+    tried = staged(likely(dealt.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, floor, percent))
+    found = staged(links(tried, texts, n, percent).union(same_id))
     parts = components(found)
-
-    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part"))
-    placed = dealt.join(of("node"), "node", "left").join(of("hub"), "hub", "left")
-    placed = placed.select("bucket", "node", "hub", F.coalesce("node_part", "node").alias("part"), F.coalesce("hub_part", "hub").alias("main"))
-    strays = staged(placed.where("part <> main and node <> hub").select("bucket", "node", "part"))
-    mixed = placed.join(strays.select("bucket").distinct(), "bucket", "left_semi").where("node <> hub").select("bucket", F.col("node").alias("other"), F.col("part").alias("other_part"))
-    across = strays.join(mixed, "bucket").where("part <> other_part").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    second = staged(across.join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        more = staged(links(second, nodes, docs, n, percent))
-        if not more.isEmpty():
-            parts = components(found.union(more))
-
-    where = nodes.select("content", "node").join(of("node"), "node", "left").select("content", F.coalesce("node_part", "node").alias("component_id"))
+    placed = staged(nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+    wanted = strays_of(dealt, nodes, placed, floor, percent).join(placed.groupBy("part").agg(F.count("*").alias("members")), "part").select("node", "part", "members")
+    wanted = staged(wanted)
+    few = wanted.where(F.col("members") <= SMALL).join(placed.withColumnRenamed("node", "other"), "part").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    few = links(likely(few.join(tried, ["a", "b"], "left_anti"), nodes, floor, percent), texts, n, percent)
+    more = staged(few.union(links_to_large(wanted.where(F.col("members") > SMALL), nodes, placed, texts, n, percent, floor)))
+    if not more.isEmpty():
+        parts = components(found.union(more))
+
+    where = nodes.select("content", "node").join(parts, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "content").join(where, "content", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     return without_id(without_id(out), "component_id")
