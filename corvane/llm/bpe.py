@@ -1,7 +1,8 @@
 """Byte-level BPE with a segment tree over the ranks of adjacent pairs.
 
 A pre-token's pairs are the leaves; each node holds the least (rank, place) below it, so the root is the leftmost lowest-rank merge.
-A merge changes three leaves, each a logarithmic update, until the root holds no pair. A pre-token of any length costs n log n.
+A merge changes three leaves, each a logarithmic update, until the root holds no pair. A pre-token of any length costs n log n;
+one of up to SHORT bytes has a tree of one node, the root right above its leaves.
 
 The vocabulary file is a parameter, read on the driver; every worker gets it with the task and keeps encoded pre-tokens in two generations of KEPT at most, so that the
 frequent ones stay.
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 KEPT = 1 << 19
 NEVER = 1 << 62
 PLACE = (1 << 32) - 1
+SHORT = 32
+ID = (1 << 20) - 1
 # fixed value: the vocabulary's pre-token pattern
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -33,6 +36,19 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Known(dict):
+    """Encoded pre-tokens; new ones come from the generation before or are merged."""
+
+    def __init__(self, vocabulary: Vocabulary, older: Known | None = None):
+        self.vocabulary, self.older = vocabulary, {} if older is None else older
+        if older is not None:
+            older.older = {}
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        ids = self[token] = self.older.get(token) or tuple(self.vocabulary.merge(token.encode("utf-8", "surrogatepass")))
+        return ids
+
+
 class Vocabulary:
     def __init__(self, definition: str):
         """definition: the text of a tokenizer file with a byte-level BPE model."""
@@ -43,73 +59,79 @@ class Vocabulary:
         self.of_byte = [0] * 256
         for character, byte in alphabet.items():
             self.of_byte[byte] = ids[character]
-        self.merges = {(ids[a] << 32) | ids[b]: (rank << 32, ids[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.merges = {(ids[a] << 32) | ids[b]: (rank << 20) | ids[a + b] for rank, (a, b) in reversed(list(enumerate(pairs)))}
         self.bytes_of = {i: bytes(alphabet[c] for c in token) for token, i in ids.items()}
         self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
         self.split = regex.compile(PATTERN).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self)
 
-    def merge(self, data: bytes) -> tuple[int, ...]:
+    def merge(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
         symbols = [self.of_byte[b] for b in data]
-        n = len(symbols)
-        if n < 2:
-            return tuple(symbols)
-        merges, after, before = self.merges, list(range(1, n + 1)), list(range(-1, n - 1))
-        size = 1 << (n - 2).bit_length() if n > 2 else 1
+        if len(symbols) > SHORT:
+            return self._merge_tree(symbols)
+        get = self.merges.get
+        leaves = [get((a << 32) | b, NEVER) for a, b in pairwise(symbols)]
+        while leaves and (root := min(leaves)) != NEVER:
+            i, new = leaves.index(root), root & ID
+            symbols[i] = new
+            del symbols[i + 1], leaves[i]
+            if i < len(leaves):
+                leaves[i] = get((new << 32) | symbols[i + 1], NEVER)
+            if i:
+                leaves[i - 1] = get((symbols[i - 1] << 32) | new, NEVER)
+        return symbols
+
+    def _merge_tree(self, symbols: list[int]) -> list[int]:
+        merges, n = self.merges, len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        size = 1 << (n - 2).bit_length()
         tree = [NEVER] * (2 * size)
+
+        def key(i: int) -> int:
+            j = after[i]
+            found = merges.get((symbols[i] << 32) | symbols[j]) if j < n else None
+            return NEVER if found is None else (found >> 20 << 32) | i
+
         for i in range(n - 1):
-            found = merges.get((symbols[i] << 32) | symbols[i + 1])
-            if found:
-                tree[size + i] = found[0] | i
+            tree[size + i] = key(i)
         for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
 
         def put(i: int) -> None:
-            j = after[i]
-            found = merges.get((symbols[i] << 32) | symbols[j]) if j < n else None
-            value, at = (found[0] | i) if found else NEVER, size + i
-            while tree[at] != value:
+            value, at = key(i), size + i
+            while at and tree[at] != value:
                 tree[at] = value
-                if at == 1:
-                    break
                 at >>= 1
-                a, b = tree[2 * at], tree[2 * at + 1]
-                value = a if a < b else b
+                value = min(tree[2 * at], tree[2 * at + 1])
 
         while tree[1] != NEVER:
             i = tree[1] & PLACE
             j = after[i]
-            symbols[i] = merges[(symbols[i] << 32) | symbols[j]][1]
+            symbols[i] = merges[(symbols[i] << 32) | symbols[j]] & ID
             symbols[j] = -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
+            after[j] = n  # the place is gone: it has no pair any more
             if j < n - 1:
-                after[j] = n  # the place is gone: it has no pair any more
                 put(j)
             put(i)
             if before[i] >= 0:
                 put(before[i])
-        return tuple(s for s in symbols if s >= 0)
+        return [s for s in symbols if s >= 0]
 
     def encode(self, text: str) -> Iterator[tuple[int, ...]]:
         """Tuples of ids, one for each pre-token or special token."""
         if len(self.known) > KEPT:
-            self.known, self.older = {}, self.known
-        known = self.known
+            self.known = Known(self, self.known)
+        of = self.known.__getitem__
         for part in self.parts(text):
             if part in self.special:
                 yield (self.special[part],)
-                continue
-            for token in self.split(part):
-                ids = known.get(token)
-                if ids is None:
-                    ids = known[token] = self.older.get(token) or self.merge(token.encode("utf-8", "surrogatepass"))
-                yield ids
+            else:
+                yield from map(of, self.split(part))
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; unknown ids give nothing, and bytes that are not UTF-8 become U+FFFD."""
