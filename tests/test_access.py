@@ -1,0 +1,87 @@
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.operators import access
+from corvane.plans import overlay
+
+DDL = "doc_id long, classification string, releasability array<string>, access_scope array<string>, status string, owner_org string"
+
+
+def docs(spark, *rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], DDL)
+
+
+def ids(frame):
+    return sorted(r["doc_id"] for r in frame.select("doc_id").collect())
+
+
+CLAIMS = access.Claims("me", "ORG", ("team",), ("rag-clearance:CUI", "rag-releasability:FVEY"))
+
+
+def test_filter_needs_all_four_conditions(spark):
+    everyone = ["ALL_AUTHENTICATED"]
+    frame = docs(
+        spark,
+        ("CUI", ["FVEY"], everyone, "approved", "ORG"),
+        ("SECRET", ["FVEY"], everyone, "approved", "ORG"),
+        ("CUI", ["NOFORN"], everyone, "approved", "ORG"),
+        ("CUI", ["NOFORN", "FVEY"], everyone, "approved", "ORG"),
+        ("CUI", ["NONE"], ["team"], "approved", "ORG"),
+        ("CUI", ["NONE"], ["other"], "approved", "ORG"),
+        ("CUI", ["NONE"], everyone, "pending_review", "ORG"),
+        ("CUI", [], everyone, "approved", "ORG"),
+    )
+    assert ids(access.secured(frame, CLAIMS, overlay.levels(spark))) == [0, 3, 4]
+
+
+def test_unknown_clearance_sees_nothing(spark):
+    frame = docs(spark, ("UNCLASSIFIED", ["NONE"], ["ALL_AUTHENTICATED"], "approved", "ORG"))
+    assert ids(access.secured(frame, access.Claims("x", roles=("rag-clearance:NOPE",)), overlay.levels(spark))) == []
+    assert ids(access.secured(frame, access.Claims("x"), overlay.levels(spark))) == []
+
+
+def test_own_level_may_be_inactive_but_results_are_active(spark):
+    levels = spark.createDataFrame([("A", 0, True), ("B", 1, False), ("C", 2, True)], "value string, rank int, active boolean")
+    assert access.allowed_levels(levels, "B") == ["A"]
+    assert access.allowed_levels(levels, "C") == ["A", "C"]
+
+
+def test_conflicting_clearance_is_refused(spark):
+    with pytest.raises(access.ConflictingClearance):
+        access.Claims("x", roles=("rag-clearance:CUI", "rag-clearance:SECRET"))
+    rows = spark.createDataFrame([("p", "x", None, [], ["rag-clearance:CUI", "rag-clearance:SECRET"])], "persona string, sub string, org string, groups array<string>, roles array<string>")
+    row = access.resolve(rows).first()
+    assert row["conflicting"] and row["clearance"] is None
+
+
+def test_any_for_reading_and_all_for_authority(spark):
+    frame = docs(spark, ("CUI", ["NATO", "FVEY"], ["ALL_AUTHENTICATED"], "approved", "ORG"))
+    held = F.array(F.lit("FVEY"))
+    assert frame.where(access.readable_releasability(held)).count() == 1
+    assert frame.where(access.held_releasability(held)).count() == 0
+
+
+def test_matrix_by_joins_equals_the_filter(spark):
+    frame = overlay.governed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    pairs = {(r.persona, r.doc_id) for r in access.visible_pairs(access.resolve(overlay.personas(spark)), frame, overlay.levels(spark)).collect()}
+    for name, sub, org, groups, roles in overlay.PERSONAS:
+        seen = ids(access.secured(frame, access.Claims(sub, org, tuple(groups), tuple(roles)), overlay.levels(spark)))
+        assert {i for p, i in pairs if p == name} == set(seen)
+
+
+def test_filter_reaches_the_scan(spark):
+    frame = overlay.governed(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).select("doc_id", "classification", "releasability", "access_scope", "status")
+    plan = access.secured(frame, CLAIMS, overlay.levels(spark)).select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+def test_supersede_errors_stop_at_the_organisation(spark):
+    frame = docs(spark, ("SECRET", ["NATO"], [], "rejected", "A"), ("SECRET", ["NATO"], [], "rejected", "B"))
+    got = [r[0] for r in frame.select(access.supersede_errors(F.lit("A"), ["CUI"], [])).collect()]
+    assert got == [["not_approved", "classification_not_permitted", "releasability_not_permitted"], ["different_org"]]
+
+
+def test_query_bounds(spark):
+    rows = spark.createDataFrame([("q", 0), (" ", 5), ("x" * 4001, 99)], "q string, k int")
+    fits, k = access.bounded_query(F.col("q"), F.col("k"))
+    assert [tuple(r) for r in rows.select(fits, k).collect()] == [(True, 1), (False, 5), (False, 50)]

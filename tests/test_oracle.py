@@ -1,0 +1,55 @@
+"""Every registered query of the engine runs at the smallest size, and agrees with its SQL."""
+
+import glob
+import math
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+
+from corvane import queries as q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from read_parquet('{p}')")
+    return con
+
+
+def plain(value):
+    if hasattr(value, "item"):
+        value = value.item()
+    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+        return None
+    if isinstance(value, float):
+        return round(value, 6)
+    return str(pd.Timestamp(value)) if hasattr(value, "isoformat") else value
+
+
+@pytest.mark.parametrize("name", sorted(q.QUERIES))
+def test_query(spark, duck, name):
+    got = q.QUERIES[name](spark, SF).toPandas()
+    if name not in q.SQL:
+        return
+    want = duck.execute(q.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda t: sorted((tuple(map(plain, r)) for r in t[sorted(t.columns)].itertuples(index=False)), key=repr)
+    assert rows(got) == rows(want)
+
+
+def test_entry_works_without_the_optional_subpackage(tmp_path):
+    """The entry file must import and serve its queries with the optional folders gone."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/corvane", tmp_path / "corvane", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; n = set(e.queries()); assert 'hybrid_search' in n and not any(x.startswith('op') for x in n), n; assert set(e.oracle_sql()) <= n"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
