@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secrets, urls
+from . import bpe, mixing, oracles, secrets, urls
 from .ctw import score_documents
 from .html import extract
 from .phrases import remove_repeated_phrases
@@ -83,4 +83,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": urls.oracle()}
+    return dict(oracles.SQL)
