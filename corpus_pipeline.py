@@ -33,7 +33,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids, their number, and whether decoding gives the text back; in the order of the mix."""
     text = F.coalesce("text", F.lit(""))
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", text.alias("text")), vocabulary_path()), vocabulary_path())
+    both = bpe.encode_and_decode(docs.select("doc_id", "source", text.alias("text")), vocabulary_path())
     return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

@@ -154,46 +154,55 @@ def _definition(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: of fixed size
 
 
-def encode(docs: DataFrame, path: str, column: str = "text", out: str = "ids") -> DataFrame:
-    """docs with an array of token ids of the column's whole text; a null or empty text has none. `out` replaces a column of that name."""
+def _mapped(docs: DataFrame, path: str, column: str, made: dict[str, str], function) -> DataFrame:
+    """docs with the columns `made` (name: type), which function(vocabulary, values of the column) gives as Arrow arrays; they replace columns of those names."""
     definition = _definition(docs, path)
-    docs = docs.drop(out) if out != column else docs
-    place = docs.columns.index(column)
+    kept = [c for c in docs.columns if c not in made or c == column]
+    docs = docs.select(*kept)
+    place = kept.index(column)
 
     def run(batches):
         known = vocabulary(definition.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [np.fromiter(chain.from_iterable(known.encode(t)), np.int32) if t else np.empty(0, np.int32) for t in part.column(place).to_pylist()]
-                edges = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-                made = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, *function(known, part.column(place).to_pylist())], [*kept, *made])
+
+    return docs.mapInArrow(run, docs.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in made.items())).schema)
+
+
+def _ids(known: Vocabulary, texts: list[str | None]) -> list[np.ndarray]:
+    return [np.fromiter(chain.from_iterable(known.encode(t)), np.int32) if t else np.empty(0, np.int32) for t in texts]
 
-    schema = docs.withColumn(out, F.array().cast("array<int>")).schema
-    return docs.mapInArrow(run, schema)
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    edges = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+
+
+def encode(docs: DataFrame, path: str, column: str = "text", out: str = "ids") -> DataFrame:
+    """docs with an array of token ids of the column's whole text; a null or empty text has none."""
+    return _mapped(docs, path, column, {out: "array<int>"}, lambda known, texts: [_lists(_ids(known, texts))])
 
 
 def decode(encoded: DataFrame, path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
-    """encoded with the text of the column's ids, in place of them; null ids decode to an empty text."""
-    definition = _definition(encoded, path)
-    encoded = encoded.drop(out)
-    place = encoded.columns.index(column)
+    """encoded with the text of the column's ids; null ids give an empty text."""
+    return _mapped(encoded, path, column, {out: "string"}, lambda known, lists: [pa.array([known.decode(x) if x else "" for x in lists], pa.string())])
 
-    def run(batches):
-        known = vocabulary(definition.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [known.decode(x) if x else "" for x in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
 
-    return encoded.mapInArrow(run, encoded.withColumn(out, F.lit("")).schema)
+def encode_and_decode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with both, in one pass of one worker: the text that the ids decode to beside them."""
+
+    def both(known: Vocabulary, texts: list[str | None]) -> list[pa.Array]:
+        made = _ids(known, texts)
+        return [_lists(made), pa.array([known.decode(x.tolist()) for x in made], pa.string())]
+
+    return _mapped(docs, path, column, {ids: "array<int>", decoded: "string"}, both)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the comma-joined ids and of the decoded text, for each row's whole text."""
-    both = decode(encode(docs.select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))), path).drop("text"), path)
+    both = encode_and_decode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(
         F.col("doc_id").cast("long"),
