@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 KEPT = 1 << 19
 NEVER = 1 << 62
 PLACE = (1 << 32) - 1
@@ -158,7 +160,7 @@ def _mapped(docs: DataFrame, path: str, column: str, made: dict[str, str], funct
     """docs with the columns `made` (name: type), which function(vocabulary, values of the column) gives as Arrow arrays; they replace columns of those names."""
     definition = _definition(docs, path)
     kept = [c for c in docs.columns if c not in made or c == column]
-    docs = docs.select(*kept)
+    docs = docs.select(*map(quoted, kept))
     place = kept.index(column)
 
     def run(batches):

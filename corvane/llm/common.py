@@ -105,6 +105,20 @@ def sharded(docs: DataFrame, n: int, *columns: str, key: str = "doc_id") -> Data
     return with_id(docs.select(key, *(c for c in columns if c != key)), key).withColumn("shard", shard).repartition(n, "shard")
 
 
+def packed(docs: DataFrame, *more) -> DataFrame:
+    """All columns as one struct `_row`, with further columns, so that no name of a row's own can clash with theirs."""
+    return docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("_row"), *more)
+
+
+def unpacked(rows: DataFrame, columns: list[str], **instead) -> DataFrame:
+    """The columns of `_row` again, with others in place of some of them."""
+    return rows.select(*(instead[c].alias(c) if c in instead else F.col(f"_row.{quoted(c)}") for c in columns))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

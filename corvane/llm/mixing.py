@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 BLOCK, PERIOD, CHUNK = 64, 1000, 4096
 MOST_SOURCES = 1024
 SPARE = 16
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
     """
     docs = docs.drop("block", "slot", "place")
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
-    rows = docs.withColumn("_source", name).withColumn("_hash", F.xxhash64(F.lit(8), key))
+    rows = packed(docs, name.alias("_source"), F.col(key).alias("_key"), F.xxhash64(F.lit(8), key).alias("_hash"))
     counts = rows.groupBy("_source").agg(F.count("*").alias("rows"))
     counts = counts.withColumnRenamed("_source", "source")
     n_sources = counts.limit(MOST_SOURCES + 1).count()
@@ -99,12 +101,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
     sizes = rows.groupBy("_source", "_chunk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_source", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_source", "_chunk").orderBy("_hash", key)) - 1
+    within = F.row_number().over(Window.partitionBy("_source", "_chunk").orderBy("_hash", "_key")) - 1
     rows = rows.withColumn("_within", within).join(sizes, ["_source", "_chunk"])
     rows = rows.withColumn("_at", F.col("_before") + F.col("_within")).withColumn("block", F.floor(F.col("_at") / block).cast("long"))
     rows = rows.withColumn("_turn", F.col("block") % F.col("share")).withColumn("_number", F.col("number")).join(slots, ["_number", "_turn"])
     slot = F.floor(F.col("block") / F.col("share")).cast("long") * F.col("period") + F.col("_slot")
-    return rows.withColumn("slot", slot).withColumn("place", (F.col("_at") % block).cast("long")).select(*docs.columns, "block", "slot", "place")
+    rows = rows.withColumn("slot", slot).withColumn("place", (F.col("_at") % block).cast("long"))
+    instead = {c: F.col(c) for c in ("block", "slot", "place")}
+    return unpacked(rows, [*docs.columns, *instead], **instead)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

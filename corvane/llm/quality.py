@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, hash_words, to_bytes, windows, words_of
+from .common import Ids, hash_words, packed, to_bytes, unpacked, windows, words_of
 
 SAMPLE = 6_000
 SYMBOLS = "#*$%&|<>"
@@ -244,8 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with its columns, that judged() would keep."""
     rules = fit(docs, labels, sample)
-    rows = docs.withColumn("_stats", _measure(F.col("text").cast("string")))
-    return rows.where(~base_failed("_stats.") & fired(rules, "_stats.").isNull()).drop("_stats")
+    rows = packed(docs, _measure(F.col("text").cast("string")).alias("_stats"))
+    return unpacked(rows.where(~base_failed("_stats.") & fired(rules, "_stats.").isNull()), docs.columns)
 
 
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, with_id, without_id
+from .common import packed, staged, unpacked, with_id, without_id
 
 MANY = 3
 KINDS = ["assign", "access", "hex", "token"]
@@ -127,10 +127,10 @@ def mask_live(docs: DataFrame, owner: str = "source", repository: list[str] = ["
     found = judged(staged(scanned(docs, owner, repository)), many)
     live = found.select("doc_id", "content", F.filter("all", lambda s: s["owners"] < many).alias("_live")).where(F.size("_live") > 0).distinct()
     live = live.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "_live")
-    key = with_id(docs.withColumn("_id", F.col("doc_id")), "_id").withColumn("_content", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = key.join(live, ["_id", "_content"], "left")
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_live")))
-    rows = rows.withColumn("text", text)
+    rows = with_id(packed(docs, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_content")), "_id")
+    old, found = F.col("_row.text"), F.col("_live")
+    rows = rows.join(live, ["_id", "_content"], "left").withColumn("_text", F.when(found.isNull(), old).otherwise(masked(old, found)))
+    instead = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+        instead["n_chars"] = F.when(found.isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return unpacked(rows, docs.columns, **instead)

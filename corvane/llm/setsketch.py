@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ids, hash_words, mix, staged, to_bytes, windows, with_id, without_id, words_of
+from .common import Ids, hash_words, mix, packed, staged, to_bytes, unpacked, windows, with_id, without_id, words_of
 from .components import components
 
 BANDS, ROWS = 46, 6
@@ -288,7 +288,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows without an id have no group and all stay.
     """
     known = docs.where("doc_id is not null")
-    kept = near_duplicates(known, n, percent).where("kept").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id")))
-    rows = known.join(kept, "doc_id", "left_semi").select(*docs.columns).withColumn("_first", first).where("_first = 1").drop("_first")
-    return rows.unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(known, n, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_row"))
+    rows = packed(known, F.col("doc_id").cast("long").alias("_id")).join(kept, "_id", "left_semi").withColumn("_first", first).where("_first = 1")
+    return unpacked(rows, docs.columns).unionByName(docs.where("doc_id is null"))

@@ -4,8 +4,8 @@ Terms are pairs of neighbouring words, A-Z in lower case (the word itself if it
 rounded 1 + ln(count); weights are integers, so equal texts have equal fingerprints whatever the order of the sums.
 Without words no bit is set.
 
-All fingerprints within a Hamming radius are found by permuted block tables: BLOCKS blocks, of which two at least agree
-in any pair within BLOCKS - 2 bits; each table is keyed by one pair of blocks (32 of the 128 bits).
+All fingerprints within a Hamming radius are found by permuted block tables, each keyed by 32 of the 128 bits. Up to NARROW bits
+apart, one of NARROW + 1 blocks agrees, so there is a table for each; up to BLOCKS - 2 bits apart, two of BLOCKS blocks do, and there is one for each pair.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, hash_words, mix, shard_count, to_bytes, windows, with_id, without_id, words_of
+from .common import Ids, hash_words, mix, shard_count, staged, to_bytes, windows, with_id, without_id, words_of
 
-BITS, BLOCKS = 128, 8
+BITS, BLOCKS, NARROW = 128, 8, 3
 MOST_SHARDS = 10_000
 TERM = 0xC2B2AE3D27D4EB4F
 
@@ -118,10 +118,10 @@ def _halves(column: str):
     return [F.conv(F.substring(column, 1 + 16 * i, 16), 16, -10).cast("decimal(20,0)").cast("long") for i in range(2)]
 
 
-def _tables(frame: DataFrame, column: str):
-    size = BITS // 4 // BLOCKS
-    block = lambda i: F.substring(column, 1 + size * i, size)
-    keys = [F.xxhash64(F.lit(i), F.lit(j), block(i), block(j)) for i, j in itertools.combinations(range(BLOCKS), 2)]
+def _tables(frame: DataFrame, column: str, radius: int) -> DataFrame:
+    blocks, together = (NARROW + 1, 1) if radius <= NARROW else (BLOCKS, 2)
+    size = BITS // 4 // blocks
+    keys = [F.xxhash64(*(F.lit(i) for i in chosen), *(F.substring(column, 1 + size * i, size) for i in chosen)) for chosen in itertools.combinations(range(blocks), together)]
     return frame.withColumn("key", F.explode(F.array(*keys)))
 
 
@@ -134,7 +134,17 @@ def within_radius(queries: DataFrame, fingerprinted: DataFrame, radius: int = BL
     if not 0 <= radius <= BLOCKS - 2:
         raise ValueError(f"radius must be from 0 to {BLOCKS - 2}")
     one = lambda frame, name: frame.where("fingerprint is not null").select(F.col("fingerprint").alias(name)).distinct()
-    left, right = _tables(one(queries, "query"), "query"), _tables(one(fingerprinted, "fingerprint"), "fingerprint")
+    left, right = _tables(one(queries, "query"), "query", radius), _tables(one(fingerprinted, "fingerprint"), "fingerprint", radius)
     pairs = left.join(right, "key").drop("key")
     apart = sum(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(_halves("query"), _halves("fingerprint"), strict=True))
     return pairs.withColumn("distance", apart.cast("int")).where(F.col("distance") <= radius).distinct()
+
+
+def with_neighbours(fingerprinted: DataFrame, asked: Column, radius: int = NARROW) -> DataFrame:
+    """fingerprinted with n_within: for rows that are asked for, how many other rows lie within the radius; else null."""
+    rows = staged(fingerprinted)
+    wanted = F.coalesce(asked, F.lit(False))
+    copies = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    near = within_radius(rows.where(wanted), rows, radius).join(copies, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg((F.sum("n") - 1).alias("n_within"))
+    found = rows.where(wanted).join(near, "fingerprint").select(*rows.columns, "n_within")
+    return found.unionByName(rows.where(~wanted).withColumn("n_within", F.lit(None).cast("long")))

@@ -395,6 +395,16 @@ def test_too_many_sources(spark, monkeypatch):
 # -- 9 fingerprints ---------------------------------------------------------------------------------------------
 
 
+def test_neighbours_of_asked_rows(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    frame = spark.createDataFrame([(0, text), (1, text), (2, text.replace("w7 ", "x ")), (100, "other words here"), (3, None), (200, None), (None, "n")], "doc_id long, text string")
+    prints = simhash.fingerprint_documents(frame).cache()
+    got = {r.doc_id: r.n_within for r in simhash.with_neighbours(prints, F.col("doc_id") % 100 == 0).collect()}
+    value = {r.doc_id: int(r.fingerprint, 16) for r in prints.collect()}
+    want = {i: sum((value[i] ^ v).bit_count() <= 3 for v in value.values()) - 1 if i is not None and i % 100 == 0 else None for i in value}
+    assert got == want and got[0] >= 1
+
+
 @pytest.mark.parametrize("shards", [1, 6])
 def test_fingerprints(spark, docs, rows, shards, empty):
     got = {r.doc_id: r for r in simhash.fingerprint_documents(docs, shards).collect()}
@@ -425,9 +435,9 @@ def test_block_tables_find_all_within_the_radius(spark):
     base = [rnd.getrandbits(128) for _ in range(20)]
     made = base + [b ^ sum(1 << k for k in rnd.sample(range(128), d)) for b in base for d in (1, 3, 6, 7, 9)]
     frame = spark.createDataFrame([(f"{x:032x}",) for x in made + made[:5]] + [(None,)], "fingerprint string")
-    got = {(r.query, r.fingerprint): r.distance for r in simhash.within_radius(frame, frame, 6).collect()}
-    want = {(f"{a:032x}", f"{b:032x}"): (a ^ b).bit_count() for a in made for b in made if (a ^ b).bit_count() <= 6}
-    assert got == want
+    for radius in (0, 3, 6):
+        got = {(r.query, r.fingerprint): r.distance for r in simhash.within_radius(frame, frame, radius).collect()}
+        assert got == {(f"{a:032x}", f"{b:032x}"): (a ^ b).bit_count() for a in made for b in made if (a ^ b).bit_count() <= radius}
     with pytest.raises(ValueError):
         simhash.within_radius(frame, frame, 7)
 
@@ -546,3 +556,17 @@ def test_queries_match_their_sql(spark):
         assert sorted(got.columns) == columns
         plain = lambda t: sorted(t[columns].astype(object).where(t[columns].notna(), None).itertuples(index=False, name=None), key=repr)
         assert plain(got) == plain(want), name
+
+
+def test_clashing_columns_pass_through(spark, rows):
+    """Columns named like the operators' own go through untouched."""
+    names = ["_row", "_id", "_stats", "_live", "_text", "_content", "_hash", "_source", "_key", "_at", "shard", "bucket", "node", "part", "share", "period", "number"]
+    frame = spark.createDataFrame(rows, DOCS)
+    for i, name in enumerate(names):
+        frame = frame.withColumn(name, F.lit(i))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out in (quality.keep_good(frame, labels), setsketch.keep_one(frame), secrets.mask_live(frame), mixing.in_order(mixing.mix(frame)), bpe.encode(frame, queries.vocabulary_path()).drop("ids")):
+        assert out.columns == frame.columns
+        assert [out.first()[name] for name in names] == list(range(len(names)))
+    for out in (phrases.remove_repeated_phrases(frame), setsketch.near_duplicates(frame), secrets.scan(frame), simhash.fingerprint_documents(frame), ctw.score_documents(frame), quality.judged(frame, labels)):
+        assert out.count() == len(rows)
