@@ -6,6 +6,7 @@ Stand-ins make plans and tests run without a model; their numbers say nothing ab
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,6 +72,26 @@ def completion(ask: Callable[[str], str]):
     return F.pandas_udf(run, "string")
 
 
+def captions(describe: Callable[[bytes], str], budget_seconds: float = 90.0):
+    """A column function images (array<binary> of one document) -> array<string>: captions until the document's time is up; a failed one is null."""
+
+    def one(images: list[bytes] | None) -> list[str | None]:
+        began, out = time.monotonic(), []
+        for image in images if images is not None else ():
+            if time.monotonic() - began > budget_seconds:
+                break
+            try:
+                out.append(describe(image))
+            except Exception:  # noqa: BLE001  a caption is never worth a document
+                out.append(None)
+        return out
+
+    def run(documents: pd.Series) -> pd.Series:
+        return documents.map(one)
+
+    return F.pandas_udf(run, "array<string>")
+
+
 # -- replies ----------------------------------------------------------------------------------------------------
 
 

@@ -90,3 +90,54 @@ def outcome_counter(audit: DataFrame, ts: str = "created_at") -> DataFrame:
     per = audit.where(F.col("action").isin("query", "query.denied")).groupBy(F.date_trunc("minute", ts).alias("ts"), outcome.alias("outcome")).agg(F.count("*").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy("outcome").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     return per.select("ts", F.lit("queries_total").alias("metric"), "outcome", total.cast("double").alias("value"))
+
+
+# -- alerts and panels over the catalogue -----------------------------------------------------------------------
+
+
+def latency_quantile(buckets: DataFrame, q: float, seconds: int, series: list[str], ts: str = "ts") -> DataFrame:
+    """(ts, series, value): the quantile of each bucket histogram's growth over the range, at each sample time.
+
+    buckets: (ts, series, le, value), cumulative in le and growing in time.
+    """
+    from .evaluation import histogram_quantile
+
+    grown = increase(buckets, [*series, "le"], seconds, ts, "value", "cum")
+    key = F.to_json(F.struct(ts, *series))
+    total = Window.partitionBy(ts, *series)
+    rows = grown.withColumn("_key", key).withColumn("total_count", F.max("cum").over(total)).select("_key", ts, *series, "le", "cum", "total_count")
+    at = rows.select("_key", ts, *series).distinct()
+    return histogram_quantile(rows.select("_key", "le", "cum", "total_count"), q, "_key").join(at, "_key").select(ts, *series, "value")
+
+
+def latency_alerts(buckets: DataFrame, seconds: int = 600, warn: float = 1.0, critical: float = 2.5, ts: str = "ts") -> DataFrame:
+    """The 95th percentile of stage `total` against both thresholds."""
+    values = latency_quantile(buckets.where("stage = 'total'"), 0.95, seconds, ["stage"], ts)
+    return over_threshold(values, "value", warn, critical)
+
+
+def fallback_ratio(fallbacks: DataFrame, queries: DataFrame, seconds: int, ts: str = "ts") -> DataFrame:
+    """(ts, ratio): growth of fallbacks over growth of queries, series of a counter summed at each sample time; a missing one counts as 0."""
+    total = lambda samples, name: increase(samples, ["metric"], seconds, ts, "value", name).groupBy(ts).agg(F.sum(name).alias(name))
+    rows = total(queries, "_all").join(total(fallbacks, "_some"), ts, "left")
+    return rows.select(ts, ratio(or_zero(F.col("_some")), F.col("_all")).alias("ratio"))
+
+
+def growth_alert(samples: DataFrame, series: list[str], seconds: int, most: float, ts: str = "ts") -> DataFrame:
+    """Samples at which a counter has grown by more than `most` within the range: denials, failed or exhausted jobs, failed publication."""
+    return increase(samples, series, seconds, ts).where(F.col("increase") > most)
+
+
+def peak_alert(samples: DataFrame, series: list[str], seconds: int, most: float = 0.0, ts: str = "ts") -> DataFrame:
+    """Samples at which a gauge has been over `most` within the range: flagged identities, failed integrity checks."""
+    return over_time(samples, series, seconds, "max", ts).where(F.col("max") > most)
+
+
+def coverage(scored: Column, total: Column) -> Column:
+    """scored / total, null without any."""
+    return F.try_divide(scored.cast("double"), total)
+
+
+def milliseconds(seconds: Column) -> Column:
+    """Whole milliseconds, halves to even."""
+    return F.bround(seconds * 1000, 0).cast("long")

@@ -11,6 +11,7 @@ from .functions import text as T
 from .operators import access, analytics, chunking, evaluation, lifecycle, metrics, search, store
 from .plans.overlay import AUDIT_SQL, GOV_SQL, LEVELS_SQL, PERSONAS_SQL, audit, governed, levels, personas
 from .sources import exposition, files, parsers
+from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -742,6 +743,103 @@ def citation_validity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.citation_validity(answer, contexts).alias("validity"))
 
 
+# -- more alerts and panels --------------------------------------------------------------------------------------
+
+_COUNTER = "select minute as ts, metric, cast(sum(n) over (partition by metric order by minute rows unbounded preceding) as double) as value from (select date_trunc('minute', ts) as minute, case when event_type = 'error' then 'fallbacks' else 'queries' end as metric, count(*) as n from events group by 1, 2)"
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    kind = F.when(F.col("event_type") == "error", "fallbacks").otherwise("queries")
+    per = table(spark, sf_dir, "events").groupBy(F.date_trunc("minute", "ts").alias("ts"), kind.alias("metric")).agg(F.count("*").alias("n"))
+    return per.withColumn("value", F.sum("n").over(Window.partitionBy("metric").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)).cast("double")).drop("n")
+
+
+_GROWN = f"(select ts, metric, sum(step) over (partition by metric order by epoch(ts) range between 3600 preceding and current row) as grown from (select *, coalesce(value - lag(value) over (partition by metric order by ts), 0) as step from ({_COUNTER})))"
+
+
+@query(f"select q.ts, round(coalesce(f.grown, 0) / greatest(q.grown, 0.001), 6) as ratio from {_GROWN} q left join {_GROWN} f on f.ts = q.ts and f.metric = 'fallbacks' where q.metric = 'queries'")
+def fallback_ratio(spark, sf_dir):
+    rows = counters(spark, sf_dir)
+    found = metrics.fallback_ratio(rows.where("metric = 'fallbacks'"), rows.where("metric = 'queries'"), 3600)
+    return found.withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"select ts, metric, grown as increase from {_GROWN} where grown > 5")
+def growth_alert(spark, sf_dir):
+    return metrics.growth_alert(counters(spark, sf_dir), ["metric"], 3600, 5.0).select("ts", "metric", "increase")
+
+
+@query("select event_type, ts, max(value) over (partition by event_type order by epoch(date_trunc('second', ts)) range between 600 preceding and current row) as max from events qualify max > 200")
+def peak_alert(spark, sf_dir):
+    return metrics.peak_alert(table(spark, sf_dir, "events"), ["event_type"], 600, 200.0).select("event_type", "ts", "max")
+
+
+@query("select user_id, cast(sum(c) as bigint) as changes from (select user_id, cast(coalesce(event_type <> lag(event_type) over (partition by user_id order by ts), false) as int) as c from events) group by 1")
+def config_changes(spark, sf_dir):
+    rows = metrics.changes(table(spark, sf_dir, "events"), ["user_id"], 1 << 40, value="event_type")
+    return rows.groupBy("user_id").agg(F.max("changes").alias("changes"))
+
+
+@query("select lang, round(count(quality) / count(*), 9) as coverage from documents left join labels using (doc_id) group by 1")
+def scored_coverage(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("lang").agg(F.count("quality").alias("s"), F.count("*").alias("n"))
+    return rows.select("lang", F.round(metrics.coverage(F.col("s"), F.col("n")), 9).alias("coverage"))
+
+
+@query()
+def latency_alerts(spark, sf_dir):
+    """The 95th percentile over an hour from cumulative buckets of event values, at each hour."""
+    from pyspark.sql import Window
+
+    edges = [1.0, 5.0, 25.0, 100.0, float("inf")]
+    per = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(*(F.count_if(F.col("value") <= e).cast("double").alias(f"b{i}") for i, e in enumerate(edges)))
+    rows = per.select("ts", F.lit("total").alias("stage"), F.explode(F.array(*(F.struct(F.lit(e).alias("le"), F.col(f"b{i}").alias("n")) for i, e in enumerate(edges)))).alias("x")).select("ts", "stage", "x.le", "x.n")
+    grown = rows.withColumn("value", F.sum("n").over(Window.partitionBy("stage", "le").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).drop("n")
+    return metrics.latency_alerts(grown, 3600, 50.0, 90.0)
+
+
+@query(f"select case when status = 'approved' and doc_id % 4 = 0 then 'pending_review' else status end as status, count(*) as n from {GOV_SQL} group by 1")
+def suspend_batch(spark, sf_dir):
+    after, _, _ = lifecycle.suspend(lifecycle_rows(spark, sf_dir), decisions(spark, sf_dir, "doc_id % 4 = 0"))
+    return after.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"select case when doc_id % 3 = 0 and status in ('pending_review', 'approved', 'rejected') and len(list_filter(releasability, lambda c: not list_contains(['NONE', 'FVEY'], c))) > 0 then 'pending_review' else status end as status, case when doc_id % 3 = 0 and status in ('pending_review', 'approved', 'rejected') then 'CUI' else classification end as classification, count(*) as n from {GOV_SQL} group by 1, 2")
+def edit_batch(spark, sf_dir):
+    edits = decisions(spark, sf_dir, "doc_id % 3 = 0").drop("reason").withColumn("classification", F.lit("CUI")).withColumn("releasability", F.lit(None).cast("array<string>"))
+    after, _ = lifecycle.edit(lifecycle_rows(spark, sf_dir), edits, ["UNCLASSIFIED", "CUI"], ["FVEY"])
+    return after.groupBy("status", "classification").agg(F.count("*").alias("n"))
+
+
+@query(f"select case when doc_id % 2 = 0 then case when status in ('superseded', 'rejected', 'pending_review') then 'duplicate_terminal' else 'claimed' end else 'unknown' end as outcome, count(*) as n from {GOV_SQL} group by 1")
+def claim_jobs(spark, sf_dir):
+    rows = gov(spark, sf_dir).where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("status") == "approved", "queued").otherwise(F.col("status")).alias("status"), F.lit(None).cast("timestamp").alias("processing_started_at"))
+    jobs_ = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("attempt"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    return lifecycle.outcome_counts(lifecycle.claim(rows, jobs_))
+
+
+@query(f"select filter_summary.classification, filter_summary.classification <> 'CUI' as queried from (select unnest(['UNCLASSIFIED', 'CUI', 'SECRET']) as classification) filter_summary")
+def filter_summary(spark, sf_dir):
+    return access.filter_summary(gov(spark, sf_dir).where("classification <> 'CUI'"), ["UNCLASSIFIED", "CUI", "SECRET"])
+
+
+# -- streams, worked off and read back ---------------------------------------------------------------------------
+
+
+@query(f"select actor_sub, count(*) as pairs from {_PAIRS} where is_pair group by 1")
+def stream_boundary_mapping(spark, sf_dir):
+    stream = audit(jobs.read_table_stream(spark, f"{sf_dir}/events.parquet"))
+    return jobs.drained(jobs.boundary_stream(stream, 21600)).groupBy("actor_sub").agg(F.count("*").alias("pairs"))
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2")
+def stream_hourly_counts(spark, sf_dir):
+    stream = jobs.read_table_stream(spark, f"{sf_dir}/events.parquet")
+    return jobs.drained(jobs.hourly_counts(stream, "event_type", "ts"), "complete").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
 # -- engine coverage: the star schema, built-ins only ------------------------------------------------------------
 
 

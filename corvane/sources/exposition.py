@@ -93,18 +93,29 @@ def split_frames(data: Column) -> Column:
     return F.when(counted, framed).otherwise(lines)
 
 
-def send_lines(lines: DataFrame, host: str, port: int, column: str = "line") -> None:
-    """Sends each line by UDP from the executors; a failure to send is left at that, as auditing must not stop the work."""
+def send_lines(lines: DataFrame, host: str, port: int, column: str = "line", protocol: str = "udp", authority: str | None = None) -> None:
+    """Sends each line from the executors: by udp, or by tcp or tls in octet-counted frames.
+
+    A failure to send is left at that, as auditing must not stop the work. An unknown protocol raises ValueError.
+    """
+    if protocol not in ("udp", "tcp", "tls"):
+        raise ValueError(f"unknown protocol: {protocol!r}")
 
     def partition(rows):
         import socket
-
-        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
-            for row in rows:
-                try:
-                    s.sendto(row[column].encode(), (host, port))
-                except OSError:
-                    continue
+        import ssl
+
+        kind = socket.SOCK_DGRAM if protocol == "udp" else socket.SOCK_STREAM
+        try:
+            with socket.socket(socket.AF_INET, kind) as plain:
+                plain.settimeout(5)
+                plain.connect((host, port))
+                s = ssl.create_default_context(cafile=authority).wrap_socket(plain, server_hostname=host) if protocol == "tls" else plain
+                for row in rows:
+                    data = row[column].encode()
+                    s.sendall(data if protocol == "udp" else b"%d %s" % (len(data), data))
+        except OSError:
+            pass
 
     lines.select(column).foreachPartition(partition)
 
@@ -150,3 +161,22 @@ def append_audit(rows: DataFrame, path: str) -> None:
 def query_detail(query: Column, trace_id: Column) -> Column:
     """What an audit row keeps of a query: its length and trace, never its words."""
     return F.to_json(F.struct(F.length(query).alias("query_chars"), trace_id.alias("trace_id")))
+
+
+def _gauge(rows: DataFrame, name: str, label: str | None, value: str) -> DataFrame:
+    labels = F.create_map(F.lit(label), F.col(label).cast("string")) if label else F.create_map().cast("map<string,string>")
+    return rows.where(F.col(value).isNotNull()).select(F.lit(name).alias("metric"), labels.alias("labels"), F.col(value).cast("double").alias("value"))
+
+
+def integrity_samples(outcomes: DataFrame, prefix: str = "corvane_integrity") -> DataFrame:
+    """(metric, labels, value) of (outcome, n)."""
+    return _gauge(outcomes, f"{prefix}_documents", "outcome", "n")
+
+
+def calibration_samples(agreement: DataFrame, prefix: str = "corvane_agreement") -> DataFrame:
+    """(metric, labels, value) of (suggester, accepted, overridden, unresolved, rate); an undefined rate is left out."""
+    out = None
+    for c in ("accepted", "overridden", "unresolved", "rate"):
+        one = _gauge(agreement, f"{prefix}_{c}", "suggester", c)
+        out = one if out is None else out.unionByName(one)
+    return out

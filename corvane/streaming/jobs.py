@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,9 +18,12 @@ LATE, RETRY_SECONDS, RECONCILE, RECONCILE_BATCH, BUDGET_SECONDS = "10 minutes",
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """A stream of the files of a Parquet table, in bounded batches."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream of the files of a Parquet table (a folder, or one file), in bounded batches."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.parquet(path)
 
 
 def timed(stream: DataFrame, column: str, late: str = LATE) -> DataFrame:
@@ -125,6 +130,18 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None] | st
     return query
 
 
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream of the data there is now comes to, as a table in the shared folder."""
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-")
+    place = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if mode == "append":
+        run_available(stream, f"{place}/out", f"{place}/checkpoint")
+    else:
+        run_available(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{place}/out"), f"{place}/checkpoint", mode)
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
 def run_every(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = RECONCILE):
     """A standing job, such as the reconciler of unpublished documents."""
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(sink).start()
