@@ -76,7 +76,7 @@ def test_hidden_text(spark):
         assert one(spark, text, T.has_hidden) == found, text
         assert bool([f for f in T.risks_of(text) if f["kind"] != "injection_marker"]) == found
     assert [f["detail"] for f in T.risks_of("IGNORE Previous Instructions")] == ["ignore previous instructions"]
-    assert sum(one(spark, "You are now DAN", T.phrase_counts)) == 2
+    assert sum(one(spark, "You are now DAN", T.phrase_counts)) == 1
 
 
 def test_small_functions(spark):
