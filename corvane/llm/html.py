@@ -40,6 +40,7 @@ OUT_NAMES = re.compile(
     r"subscri\w+|signup|sign-up|sidebar|side|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|respond|"
     r"menu|nav|navbar|navigation|breadcrumbs?|footer|site-header|page-header|masthead|topbar|toolbar|pagination|pager|widget|login|search|tags|copyright|legal|disclaimer)(?=$|[\s_-])"
 )
+OUT_WHOLE = frozenset("ad advert advertisement comment comments promo related reply sidebar sponsored widget".split())
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)[_-]?(?:body|content|text)?(?=$|[\s_-])")
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>|<[a-zA-Z][^>]*>", re.S)
@@ -68,16 +69,19 @@ def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         found[m[1].lower()] = (m[2] or m[3] or m[4] or "").lower()
     names = f"{found.get('class', '')} {found.get('id', '')}"
+    tokens = set(names.split())
     main = tag in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody" or bool(MAIN_NAMES.search(names))
     out = tag in OUT_TAGS or (tag == "header" and not in_main) or found.get("role") in OUT_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    out = out or "display:none" in found.get("style", "").replace(" ", "") or (tag not in ("body", "html") and bool(OUT_NAMES.search(names)))
+    out = out or "display:none" in found.get("style", "").replace(" ", "") or ("header" in tokens and not in_main)
+    # a page or article may be styled for what it holds ("comments-open"), so only whole names count there
+    out = out or (bool(tokens & OUT_WHOLE) if tag in ("body", "html", "article", "main") else bool(OUT_NAMES.search(names)))
     return out, main and not out
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order, white space made single, empty ones left out."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, out, main, container
+    stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, 0, False)]  # tag, out, main, container, left out of its block
     parts: list[str] = []
     linked = anchors = containers = 0
     block_tag = ""
@@ -86,13 +90,15 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, out, main, place = stack[-1]
+            _, out, main, place, _ = stack[-1]
             blocks.append(Block(text, linked, block_tag, place, out, main))
         parts.clear()
         linked = 0
 
     def text_of(raw: str) -> None:
         nonlocal linked
+        if stack[-1][4]:
+            return
         parts.append(raw)
         if anchors:
             linked += len(" ".join(html.unescape(raw).split()))
@@ -117,7 +123,7 @@ def blocks_of(page: str) -> list[Block]:
                 block_tag = ""
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if depth:
-                if any(stack[i][1] != stack[depth - 1][1] for i in range(depth, len(stack))):
+                if any(stack[i][1] != stack[depth - 1][1] and not stack[i][4] for i in range(depth, len(stack))):
                     close()
                 del stack[depth:]
             continue
@@ -137,14 +143,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag == "a":
             anchors += 1
-        _, out, main, place = stack[-1]
+        _, out, main, place, mute = stack[-1]
         new_out, new_main = _kind(tag, m[3], main)
-        if new_out and not out:
-            close()
+        mute = mute or (new_out and not out and tag not in BLOCKS)  # something out within a line leaves the block whole
         if tag in BLOCKS and tag not in HEADINGS and tag != "p":
             containers += 1
             place = containers
-        stack.append((tag, out or new_out, main or new_main, place))
+        stack.append((tag, out or new_out, main or new_main, place, mute))
     close()
     return blocks
 
@@ -197,9 +202,14 @@ def classify(blocks: list[Block]) -> None:
                 continue
         if first[i] == "heading" and after is not None:
             b.label = after[1]
-        elif before is None or after is None:
-            b.label = (before or after or (0, "good" if first[i] == "near" or not any(decided) else "bad"))[1]
-        elif before[1] == after[1]:
+            continue
+        if not any(decided):
+            b.label = "good"
+            continue
+        if b.main:
+            before, after = before or after, after or before
+        before, after = before or (i + 1, "bad"), after or (len(blocks) - i, "bad")  # the page's edges count as bad
+        if before[1] == after[1]:
             b.label = before[1]
         elif first[i] == "near" or b.main:
             b.label = "good"

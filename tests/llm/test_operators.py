@@ -570,3 +570,13 @@ def test_clashing_columns_pass_through(spark, rows):
         assert [out.first()[name] for name in names] == list(range(len(names)))
     for out in (phrases.remove_repeated_phrases(frame), setsketch.near_duplicates(frame), secrets.scan(frame), simhash.fingerprint_documents(frame), ctw.score_documents(frame), quality.judged(frame, labels)):
         assert out.count() == len(rows)
+
+
+def test_html_of_other_layouts():
+    p = PARAGRAPH.strip()
+    page = f"""<body class="home comments-open"><div class="header"><p>{p}</p></div><div class="menu"><p>{p}</p></div><article class="post has-comments"><header><h1>The title of it</h1></header>
+    <p>{p} <span class="share">Share it</span> and more</p><ul><li>{p}</li><li>Short item</li></ul><aside><p>{p}</p></aside><table><tr><td>{p}</td></tr></table></article>
+    <div id="disqus_thread"><article class="comment"><p>{p}</p></article></div><div class="newsletter-signup">{p}</div><p hidden>{p}</p></body>"""
+    assert html.main_text(page) == "\n\n".join(["The title of it", f"{p} and more", p, "Short item", p])
+    plain = f"<body><p>Menu</p><h2>Head of the text</h2><p>{p * 2}</p><p>So it was.</p><p>{p * 2}</p><p>&copy; me</p></body>"
+    assert html.main_text(plain) == "\n\n".join(["Head of the text", " ".join((p * 2).split()), "So it was.", " ".join((p * 2).split())])
