@@ -169,8 +169,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, floor: float, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(floor, percent), "a long, b long")
 
 
-def _grid(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+def _grid(table: pa.Table, column: str = "registers") -> np.ndarray:
+    return np.frombuffer(b"".join(table[column].to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
 def _promising(own: np.ndarray, n: int, grid: np.ndarray, sizes: np.ndarray, floor: float, percent: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def _outside(floor: float, percent: int):
     """(node, part): the components, of a block of a bucket's members, that strays may belong to."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        grid, sizes, parts, out = _grid(right), right["o_n_shingles"].to_numpy(), right["o_part"].to_numpy(), set()
+        grid, sizes, parts, out = _grid(right, "o_registers"), right["o_n_shingles"].to_numpy(), right["o_part"].to_numpy(), set()
         for own, node, part, n in zip(_grid(left), *(left[c].to_pylist() for c in ("node", "part", "n_shingles")), strict=True):
             other = np.flatnonzero(parts != part)
             found = parts[other[_promising(own, n, grid[other], sizes[other], floor, percent)]]
@@ -207,9 +207,8 @@ def strays_of(dealt: DataFrame, nodes: DataFrame, placed: DataFrame, floor: floa
     block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     strays = mixed.where("part <> main").select("bucket", block("s").alias("s"), each("m").alias("m"), "node", "part", "n_shingles", "registers")
-    others = mixed.select("bucket", each("s").alias("s"), block("m").alias("m"), "part", "n_shingles", "registers")
-    others = others.toDF(*(f"o_{c}" if c == "part" or c == "n_shingles" else f"{c}" for c in others.columns))
-    others = others.select(*(F.col(c).alias(f"o_{c}" if c in ("bucket", "s", "m") else c) for c in others.columns))
+    # new names, as both sides stem from the same columns
+    others = mixed.select(F.col("bucket").alias("o_bucket"), each("s").alias("o_s"), block("m").alias("o_m"), *(F.col(c).alias(f"o_{c}") for c in ("part", "n_shingles", "registers")))
     key = ["bucket", "s", "m"]
     return strays.groupBy(*key).cogroup(others.groupBy(*(f"o_{c}" for c in key))).applyInArrow(_outside(floor, percent), "node long, part long").distinct()
 
@@ -218,7 +217,7 @@ def _joined_blocks(n: int, percent: int, floor: float):
     """Links (a, b) of strays with a block of a large component's members, one for each stray at most."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        grid, sizes, ids, out = _grid(right), right["n_shingles"].to_numpy(), right["member"].to_pylist(), []
+        grid, sizes, ids, out = _grid(right, "m_registers"), right["m_size"].to_numpy(), right["member"].to_pylist(), []
         texts, sets = right["t_member"], {}
         for own, node, size, text in zip(_grid(left), *(left[c].to_pylist() for c in ("node", "size", "t_node")), strict=True):
             (mine,) = shingle_sets([text], n)
@@ -240,8 +239,7 @@ def links_to_large(wanted: DataFrame, nodes: DataFrame, placed: DataFrame, texts
     count = F.ceil(F.col("members") / BLOCK).cast("int")
     strays = wanted.join(full, "node").select(F.col("part").alias("s_part"), F.explode(F.sequence(F.lit(0), count - 1)).alias("s_block"), "node", F.col("n_shingles").alias("size"), "registers", F.col("text").alias("t_node"))
     large = wanted.select("part", "members").distinct()
-    members = placed.join(large, "part").join(full, "node").select("part", F.pmod(F.xxhash64("node"), count).cast("int").alias("block"), F.col("node").alias("member"), "n_shingles", "registers", F.col("text").alias("t_member"))
-    strays, members = strays.toDF(*strays.columns), members.select(*(F.col(c).alias(c) for c in members.columns))
+    members = placed.join(large, "part").join(full, "node").select("part", F.pmod(F.xxhash64("node"), count).cast("int").alias("block"), F.col("node").alias("member"), F.col("n_shingles").alias("m_size"), F.col("registers").alias("m_registers"), F.col("text").alias("t_member"))
     return strays.groupBy("s_part", "s_block").cogroup(members.groupBy("part", "block")).applyInArrow(_joined_blocks(n, percent, floor), "a long, b long").distinct()
 
 
