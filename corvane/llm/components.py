@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
+ROWS = 200_000
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Points each neighbour of a node (greater ones if large, else it and the lesser ones) to the least of the node's group."""
@@ -27,11 +31,12 @@ def components(links: DataFrame) -> DataFrame:
     Links may repeat, run either way, or join a node to itself. An empty frame gives an empty one. A node with a third of all links is an
     aggregation key and the larger side of a join, which Spark splits; no group is ever collected.
     """
-    now = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    fit = lambda frame, rows: frame.coalesce(max(1, math.ceil(rows / ROWS)))  # noqa: E731  few files for few links, whatever the session's partitions
+    now = staged(fit(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), links.count()))
     mark = None
     while True:
         count, *sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38)"))).first()
         if count == 0 or mark == (count, *sums):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         mark = (count, *sums)
-        now = staged(_star(_star(now, True), False))
+        now = staged(fit(_star(_star(now, True), False), count))

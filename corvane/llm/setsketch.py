@@ -32,7 +32,7 @@ from .components import components
 
 BANDS, ROWS = 46, 6
 BASE, RATE = 1.08, 20.0
-MARGIN, BLOCK, SMALL = 4.5, 1024, 8
+MARGIN, BLOCK, SMALL, NODES = 4.5, 1024, 8, 40_000
 SHINGLE, SALT = 0x8A5CD789635D2DFF, 0x121FD2155C472F96
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sketches = staged(sketch(docs, n))
     filled = sketches.where("content is not null")
     nodes = filled.groupBy("content").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("x")).select("content", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.registers")
-    nodes = staged(nodes)
+    nodes = staged(nodes.coalesce(max(1, math.ceil(sketches.count() / NODES))))
     member = filled.select("doc_id", "content").distinct().join(nodes.select("content", "node"), "content").select("doc_id", "node")
     split = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").drop("last")
     same_id = member.join(split, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     few = links(likely(few.join(tried, ["a", "b"], "left_anti"), nodes, floor, percent), texts, n, percent)
     more = staged(few.union(links_to_large(wanted.where(F.col("members") > SMALL), nodes, placed, texts, n, percent, floor)))
     if not more.isEmpty():
-        parts = components(found.union(more))
+        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     where = nodes.select("content", "node").join(parts, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "content").join(where, "content", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
