@@ -1,28 +1,24 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A lower-cased text is cut at each space into pieces; a piece is coded byte by byte, closed by the space or,
-at the end of the text, by 0xFF (which UTF-8 never has). The context of a byte is up to DEPTH bytes before it,
-back to the last space, so a piece has one code length wherever it stands and is worked out once for a shard.
-A byte is eight binary decisions, each with its own context tree.
+A lower-cased text is coded byte by byte, closed by 0xFF (which UTF-8 never has). The context of a byte is the DEPTH bytes
+before it, spaces included; before the text stand spaces. A byte is eight binary decisions, each with its own context tree.
 
-Training counts, per context of each depth, the two outcomes of each decision. Nodes with under
-1/SHARE of all training bytes go to a "rest" child of their parent: at most SHARE nodes hold
-that share at each depth and bit, so the broadcast model is bounded whatever the corpus is. On the
-kept tree the weights are exact: P_w = (P_kt + product of the children's P_w) / 2.
+Training counts, per context of each depth, the two outcomes of each decision. Nodes with under LEAST occurrences, whatever the size of the
+corpus, go to a "rest" child of their parent. On the kept tree the weights are exact: P_w = (P_kt + product of the children's P_w) / 2.
 
-Each of the most common kinds of document (values of `lang`; all others pool in one kind) has trees of its own, and a
-text's probability is the even mixture over the kinds, so the kind of the scored text is not told.
+The model stays distributed. A shard sends its distinct keys (the DEPTH bytes before a byte, and that byte) with their training counts to buckets,
+dealt by the last TOP bytes of the context, so that all below such a context is in one bucket. From each bucket the nodes with TOP bytes go to the driver, which weighs the
+trees above them (their number is bounded by the values of TOP bytes, not by the corpus); with those, each bucket answers the keys that were asked for.
 
 The base score needs each token's count in the training texts of the whole corpus: shards send counts of distinct words to
-buckets and get the corpus's back.
+buckets and get the corpus's back, on the same way.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,141 +27,102 @@ from pyspark.sql import functions as F
 
 from .common import SHARD_BYTES, Ids, hash_words, mix, pack, sharded, shards_for, staged, to_bytes, unpack, without_id, words_of
 
-DEPTH = 5
-SHARE = 1 << 17
-FLUSH = 250_000
-PART = 40_000
-KINDS = 8
+DEPTH, TOP = 5, 3
+LEAST = 2
+PART = 1 << 20
 END = b"\xff"
 END_TOKEN = b"\n"
-CONTEXT = np.uint64((1 << 48) - 1)
-MEMO = 1 << 20
+WORDS, CONTEXTS = 0, 1
 
 
 # -- contexts ---------------------------------------------------------------------------------------------------
 
 
-def _flat(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all units, each after a space; offsets in the unit (0: that space); unit numbers."""
-    data = np.frombuffer(b" " + b" ".join(units), np.uint8)
-    sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
-    starts = np.cumsum(sizes) - sizes
-    number = np.repeat(np.arange(len(units)), sizes)
-    return data, np.arange(len(data)) - starts[number], number
+def _low(d: int) -> np.uint64:
+    """A mask of the d lowest bytes."""
+    return np.uint64((1 << 8 * d) - 1)
 
 
-def _closed(piece: bytes) -> bytes:
-    return piece if piece[-1:] == END else piece + b" "
+def _units(text: bytes) -> list[bytes]:
+    *body, last = text.split(b" ")
+    return [*(p + b" " for p in body), last + END]
 
 
-def _contexts(data: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-    """For d from 0 to depth: the d bytes before each place as a number, the latest lowest."""
-    ctx = np.zeros(len(data), np.uint64)
-    yield ctx
-    for d in range(1, depth + 1):
-        ctx = ctx.copy()
-        ctx[d:] |= data[:-d].astype(np.uint64) << np.uint64(8 * (d - 1))
-        yield ctx
-
-
-def _longest(offset: np.ndarray, ctx: np.ndarray, byte: np.ndarray, depth: int) -> np.ndarray:
-    """The key of each place's byte in its longest context."""
-    deepest = np.minimum(offset, depth).astype(np.uint64)
-    return (deepest << np.uint64(56)) | ((ctx & ((np.uint64(1) << (np.uint64(8) * deepest)) - np.uint64(1))) << np.uint64(8)) | byte.astype(np.uint64)
-
-
-def _places_of(units: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all places of the units, and the number of each one's unit."""
-    data, offset, number = _flat(units)
-    *_, ctx = _contexts(data, depth)
-    at = np.flatnonzero(offset >= 1)
-    return _longest(offset[at], ctx[at], data[at], depth), number[at]
-
-
-def _key(d, ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return (np.uint64(d) << np.uint64(56)) | (ctx << np.uint64(8)) | low.astype(np.uint64)
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _keys(units: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each unit: the depth bytes before it and itself as a number, the latest lowest; and its unit's number."""
+    data = np.frombuffer(b"".join(b" " * depth + u for u in units), np.uint8)
+    number = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
+    at = np.arange(len(number)) + depth * (number + 1)
+    keys = np.zeros(len(at), np.uint64)
+    for d in range(depth + 1):
+        keys |= data[at - d].astype(np.uint64) << np.uint64(8 * d)
+    return keys, number
+
+
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in turn, in parts of about PART bytes."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text) + 1
+        if size > PART:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    if not len(keys):
+        return keys, *counts
     order = np.argsort(keys)
     k = keys[order]
-    heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
-    return k[heads], np.add.reduceat(counts[order], heads) if len(k) else counts
+    heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[heads], *(np.add.reduceat(c[order], heads) for c in counts)
 
 
-# -- training ---------------------------------------------------------------------------------------------------
-
+def _merged(keys: Iterable[np.ndarray], counts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of ascending columns, a few at a time."""
+    k, c, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    for x, y in zip(keys, counts, strict=True):
+        k.append(x)
+        c.append(y)
+        held += len(x)
+        if held > max(4 * PART, len(k[0])):
+            x, y = _summed(np.concatenate(k), np.concatenate(c))
+            k, c, held = [x], [y], 0
+    return _summed(np.concatenate(k), np.concatenate(c))
 
-def _grams(tally: Counter, depth: int, n_buckets: int, kind: int = 0) -> Iterator[tuple[int, bytes, bytes]]:
-    units = [_closed(p) for p in tally]
-    if not units:
-        return
-    times, sums = np.fromiter(tally.values(), np.int64, len(units)), []
-    for i in range(0, len(units), PART):
-        places, number = _places_of(units[i : i + PART], depth)
-        sums.append(_summed(places, times[i : i + PART][number]))
-    longest, c = _summed(*map(np.concatenate, zip(*sums, strict=True)))
-    deepest, ctx, byte = (longest >> np.uint64(56)).astype(np.int64), (longest >> np.uint64(8)) & CONTEXT, longest & np.uint64(255)
-    keys, counts = [], []
-    for d in range(depth + 1):
-        on = deepest >= d
-        for part, to in zip(_summed(_key(8 * kind + d, ctx[on] & np.uint64((1 << 8 * d) - 1), byte[on]), c[on]), (keys, counts), strict=True):
-            to.append(part)
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    bucket = (mix(k >> np.uint64(8)) % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    k, c, bucket = k[order], c[order], bucket[order]
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-    for i, j in zip(edges[:-1], edges[1:], strict=True):
-        yield int(bucket[i]), pack(k[i:j], True), pack(c[i:j])
-
-
-def _gram_batches(depth: int, n_buckets: int):
-    def run(batches):
-        tallies: dict[int, Counter] = {}
-
-        def flush():
-            rows = [row for kind, tally in tallies.items() for row in _grams(tally, depth, n_buckets, kind)]
-            tallies.clear()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "grams": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
-
-        for batch in batches:
-            for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                *body, last = to_bytes(text.as_py()).lower().split(b" ")
-                tally = tallies.setdefault(kind, Counter())
-                tally.update(body)
-                tally[last + END] += 1
-                if sum(map(len, tallies.values())) > FLUSH:
-                    yield flush()
-        yield flush()
-
-    return run
 
+# -- training ---------------------------------------------------------------------------------------------------
 
-def _nodes(least: list[float]):
-    """From a bucket's (context, byte) counts: nodes (context, bits so far) that hold their kind's least count, with both outcomes."""
-    floor = np.array(least)
 
-    def run(table: pa.Table) -> pa.Table:
-        k = np.concatenate([unpack(x, True) for x in table["grams"].to_pylist()])
-        c = np.concatenate([unpack(x).astype(np.int64) for x in table["counts"].to_pylist()])
-        k, c = _summed(k, c)
-        nodes, zeros, ones = [], [], []
-        for bit in range(8):
+def _tally(texts: list[bytes], held_out: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all texts, with their counts in those that are not held out."""
+    keys, counts = [], []
+    for held in (False, True):
+        for part in _parts([t for t, h in zip(texts, held_out, strict=True) if h == held]):
+            k, c = np.unique(_keys([u for t in part for u in _units(t)], depth)[0], return_counts=True)
+            keys.append(k)
+            counts.append(c * (not held))
+    return _merged(keys, counts)
+
+
+def _levels(k: np.ndarray, c: np.ndarray, depth: int, top: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """From keys and counts, for each d from depth down to top: sorted nodes (d bytes of context, bits so far), with both outcomes."""
+    k, c = k[c > 0], c[c > 0]
+    for d in range(depth, top - 1, -1):
+        if d < depth:
+            k, c = _summed(k & _low(d + 1), c)
+        found = []
+        for bit in range(8 if len(k) else 0):
             one = (k >> np.uint64(7 - bit)) & np.uint64(1)
-            node = (np.uint64(1) << np.uint64(bit)) | ((k & np.uint64(255)) >> np.uint64(8 - bit))
-            at = (k & ~np.uint64(255)) | node
+            at = (k & ~np.uint64(255)) | (np.uint64(1) << np.uint64(bit)) | ((k & np.uint64(255)) >> np.uint64(8 - bit))
             heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            n1 = np.add.reduceat(np.where(one == 1, c, 0), heads)
-            n0 = np.add.reduceat(np.where(one == 0, c, 0), heads)
-            keep = n0 + n1 >= floor[(at[heads] >> np.uint64(59)).astype(np.int64)]
-            nodes.append(at[heads][keep])
-            zeros.append(n0[keep])
-            ones.append(n1[keep])
-        node = np.concatenate(nodes)
-        return pa.table({"node": pa.array(node.view(np.int64)), "n0": pa.array(np.concatenate(zeros)), "n1": pa.array(np.concatenate(ones))})
-
-    return run
+            found.append((at[heads], np.add.reduceat(np.where(one == 0, c, 0), heads), np.add.reduceat(np.where(one == 1, c, 0), heads)))
+        node, n0, n1 = map(np.concatenate, zip(*found, strict=True)) if found else (k, c, c)
+        order = np.argsort(node)
+        yield node[order], n0[order], n1[order]
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -181,46 +138,68 @@ def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1)
 
 
-def weigh(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, depth: int) -> list[tuple[np.ndarray, ...]]:
-    """The model of sorted nodes: for each depth the nodes, their KT estimate of a 1, their weight, and the rest's estimate."""
-    edges = np.searchsorted(node, np.arange(depth + 2, dtype=np.uint64) << np.uint64(56))
+def _weighed(d: int, k: np.ndarray, a: np.ndarray, b: np.ndarray, below: tuple[np.ndarray, ...] | None):
+    """Nodes of depth d that hold the least count: their entry in the model, and what the next level needs of them."""
+    keep = a + b >= LEAST
+    k, a, b = k[keep], a[keep], b[keep]
+    kt = _log_kt(a, b)
+    weight, rest = np.ones(len(k)), np.full(len(k), 0.5)
+    whole = kt
+    if below is not None and len(below[0]):
+        ck, ca, cb, cw = below
+        to = np.searchsorted(k, _above(ck, d))
+        sa, sb = (np.bincount(to, x, len(k)) for x in (ca, cb))
+        product, has = np.bincount(to, cw, len(k)), np.bincount(to, minlength=len(k)) > 0
+        ra, rb = a - sa, b - sb
+        split = product + _log_kt(ra, rb)
+        both = np.logaddexp(kt, split) + math.log(0.5)
+        weight = np.where(has, np.exp(kt + math.log(0.5) - both), 1.0)
+        whole = np.where(has, both, kt)
+        rest = np.where(has, (rb + 0.5) / (ra + rb + 1), 0.5)
+    return (k, ((b + 0.5) / (a + b + 1.0)).astype(np.float32), weight.astype(np.float32), rest.astype(np.float32)), (k, a, b, whole)
+
+
+def _above(node: np.ndarray, d: int) -> np.ndarray:
+    """The node with d bytes of context that each node is below."""
+    return (node & _low(d + 1) & ~np.uint64(255)) | (node & np.uint64(255))
+
+
+def weigh(node, n0, n1, depth: int) -> list[tuple[np.ndarray, ...]]:
+    """The model of sorted nodes, given by depth: for each depth the nodes, their KT estimate of a 1, their weight, and the rest's estimate."""
     model, below = [], None
     for d in range(depth, -1, -1):
-        at = slice(edges[d], edges[d + 1])
-        k, a, b = node[at], n0[at], n1[at]
-        kt = _log_kt(a, b)
-        weight, rest = np.ones(len(k)), np.full(len(k), 0.5)
-        whole = kt
-        if below is not None and len(below[0]):
-            ck, ca, cb, cw = below
-            mask = np.uint64((1 << 8 * d) - 1)
-            parent = _key(d, (ck >> np.uint64(8)) & mask, ck & np.uint64(255))
-            to = np.searchsorted(k, parent)
-            sa, sb = (np.bincount(to, x, len(k)) for x in (ca, cb))
-            product, has = np.bincount(to, cw, len(k)), np.bincount(to, minlength=len(k)) > 0
-            ra, rb = a - sa, b - sb
-            split = product + _log_kt(ra, rb)
-            both = np.logaddexp(kt, split) + math.log(0.5)
-            weight = np.where(has, np.exp(kt + math.log(0.5) - both), 1.0)
-            whole = np.where(has, both, kt)
-            rest = np.where(has, (rb + 0.5) / (ra + rb + 1), 0.5)
-        model.append((k, ((b + 0.5) / (a + b + 1.0)).astype(np.float32), weight.astype(np.float32), rest.astype(np.float32)))
-        below = (k, a, b, whole)
+        entry, below = _weighed(d, *(np.atleast_1d(x[d]) for x in (node, n0, n1)), below)
+        model.append(entry)
+    return model[::-1]
+
+
+def train(texts: DataFrame, n_bytes: list[int] | None = None, depth: int = DEPTH, share: int | None = None) -> list[list[tuple[np.ndarray, ...]]]:
+    """The whole model of a small frame (text) in one place. n_bytes and share, which once set the least count, have no effect."""
+    rows = [to_bytes(row["text"]).lower() for row in texts.select("text").collect()]
+    levels = list(_levels(*_tally(rows, [False] * len(rows), depth), depth, 0))[::-1]
+    return [weigh(*zip(*levels, strict=True), depth)]
+
+
+def _weigh_top(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, whole: np.ndarray, top: int) -> list[tuple[np.ndarray, ...]]:
+    """The model above all buckets' nodes of depth top."""
+    keep = n0 + n1 >= LEAST
+    model, below = [], (node[keep], n0[keep], n1[keep], whole[keep])
+    for d in range(top - 1, -1, -1):
+        node, n0, n1 = _summed(_above(node, d), n0, n1)
+        entry, below = _weighed(d, node, n0, n1, below)
+        model.append(entry)
     return model[::-1]
 
 
-def train(texts: DataFrame, n_bytes: list[int], depth: int = DEPTH, share: int = SHARE) -> list[list[tuple[np.ndarray, ...]]]:
-    """A model for each kind, of a frame (text, kind) whose texts have n_bytes in all by kind."""
-    n_buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grams = texts.mapInArrow(_gram_batches(depth, n_buckets), "bucket int, grams binary, counts binary")
-    nodes = grams.groupBy("bucket").applyInArrow(_nodes([max(2.0, n / share) for n in n_bytes]), "node long, n0 long, n1 long").toArrow()
-    # at most (depth + 1) * 8 * share rows of 24 bytes for a kind
-    node, n0, n1 = nodes["node"].to_numpy().view(np.uint64), nodes["n0"].to_numpy(), nodes["n1"].to_numpy()
-    order = np.argsort(node)
-    node, n0, n1 = node[order], n0[order], n1[order]
-    kind = np.searchsorted(node, np.arange(len(n_bytes) + 1, dtype=np.uint64) << np.uint64(59))
-    low = np.uint64((1 << 59) - 1)
-    return [weigh(node[i:j] & low, n0[i:j], n1[i:j], depth) for i, j in zip(kind[:-1], kind[1:], strict=True)]
+def _weigh_bucket(k: np.ndarray, c: np.ndarray, depth: int, top: int):
+    """The model of a bucket from depth top on, and its nodes of that depth, whole: (node, n0, n1, log P_w)."""
+    model, below = [], None
+    for d, (node, n0, n1) in zip(range(depth, top - 1, -1), _levels(k, c, depth, top), strict=True):
+        entry, below = _weighed(d, node, n0, n1, below)
+        model.append(entry)
+    whole = np.zeros(len(node))
+    whole[n0 + n1 >= LEAST] = below[3]
+    return model[::-1], (node, n0, n1, whole)
 
 
 # -- scoring ----------------------------------------------------------------------------------------------------
@@ -229,13 +208,13 @@ def train(texts: DataFrame, n_bytes: list[int], depth: int = DEPTH, share: int =
 def _log10_of_bytes(model, deepest: np.ndarray, ctx: np.ndarray, byte: np.ndarray) -> np.ndarray:
     total = np.zeros(len(byte))
     for bit in range(8):
-        node = (1 << bit) | (byte.astype(np.int64) >> (8 - bit))
+        node = ((1 << bit) | (byte.astype(np.int64) >> (8 - bit))).astype(np.uint64)
         p, left = np.zeros(len(byte)), np.ones(len(byte))
         on, last = np.arange(len(byte)), np.full(len(byte), 0.5)
         for d, (keys, kt, weight, rest) in enumerate(model):
             if not len(on) or not len(keys):
                 break
-            want = _key(d, ctx[on] & np.uint64((1 << 8 * d) - 1), node[on])
+            want = ((ctx[on] & _low(d)) << np.uint64(8)) | node[on]
             at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
             found = (keys[at] == want) & (deepest[on] >= d)
             on, at = on[found], at[found]
@@ -247,58 +226,12 @@ def _log10_of_bytes(model, deepest: np.ndarray, ctx: np.ndarray, byte: np.ndarra
     return total
 
 
-class Memo:
-    """The latest results for distinct (context, byte) keys under one set of models; a worker keeps it from shard to shard."""
-
-    def __init__(self, models):
-        self.models, self.keys, self.logs = models, np.empty(0, np.uint64), np.empty((0, len(models)))
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """keys ascend and do not repeat."""
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
-        out = np.empty((len(keys), len(self.models)))
-        out[known] = self.logs[at[known]]
-        new = keys[~known]
-        if len(new):
-            parts = new >> np.uint64(56), (new >> np.uint64(8)) & CONTEXT, (new & np.uint64(255)).astype(np.uint8)
-            out[~known] = np.stack([_log10_of_bytes(m, *parts) for m in self.models], axis=1)
-            if len(self.keys) + len(new) > MEMO:
-                self.keys, self.logs = keys, out
-            else:
-                merged = np.concatenate([self.keys, new])
-                order = np.argsort(merged)
-                self.keys, self.logs = merged[order], np.concatenate([self.logs, out[~known]])[order]
-        return out
-
-
-_memos: dict[str, Memo] = {}
-
-
-def memo_of(token: str, models) -> Memo:
-    if token not in _memos:
-        _memos.clear()
-        _memos[token] = Memo(models)
-    return _memos[token]
-
-
-def piece_scores(memo: Memo, pieces: list[bytes]) -> np.ndarray:
-    """log10 of the probability of each piece with what closes it, by model (END ends a piece that closes a text)."""
-    depth, out = len(memo.models[0]) - 1, [np.empty((0, len(memo.models)))]
-    for i in range(0, len(pieces), PART):
-        part = pieces[i : i + PART]
-        places, number = _places_of([_closed(p) for p in part], depth)
-        distinct, back = np.unique(places, return_inverse=True)
-        logs = memo.get(distinct)
-        out.append(np.stack([np.bincount(number, column[back], len(part)) for column in logs.T], axis=1))
-    return np.concatenate(out)
-
-
-def mixture(by_model: np.ndarray) -> float:
-    """log10 of the mean of the models' probabilities."""
-    top = by_model.max()
-    return float(top + np.log10(np.mean(10.0 ** (by_model - top))))
+def _log10_of_keys(model, keys: np.ndarray) -> np.ndarray:
+    out = np.empty(len(keys), np.float32)
+    for i in range(0, len(keys), PART // 4):
+        k = keys[i : i + PART // 4]
+        out[i : i + PART // 4] = _log10_of_bytes(model, np.full(len(k), len(model) - 1), k >> np.uint64(8), (k & np.uint64(255)).astype(np.uint8))
+    return out
 
 
 def _texts(table: pa.Table) -> Iterator[bytes]:
@@ -317,9 +250,16 @@ def _places(words: list[bytes], n_buckets: int):
     return np.lexsort((h, bucket)), h, bucket
 
 
-def _ask(table: pa.Table, n_buckets: int) -> pa.Table:
+def _context_places(keys: np.ndarray, n_buckets: int, top: int):
+    bucket = (mix((keys >> np.uint64(8)) & _low(top)) % np.uint64(n_buckets)).astype(np.int64)
+    return np.argsort(bucket, kind="stable"), bucket
+
+
+def _ask(table: pa.Table, n_buckets: int, depth: int) -> pa.Table:
+    """Of a shard, for each bucket: distinct words, and distinct keys, ascending, with their training counts."""
     tally: Counter = Counter({END_TOKEN: 0})
-    for text, held_out in zip(_texts(table), table["held_out"].to_pylist(), strict=True):
+    texts, held = list(_texts(table)), table["held_out"].to_pylist()
+    for text, held_out in zip(texts, held, strict=True):
         w = words_of(text)
         if held_out:
             tally.update(dict.fromkeys(w, 0))
@@ -327,85 +267,114 @@ def _ask(table: pa.Table, n_buckets: int) -> pa.Table:
             tally.update(w)
             tally[END_TOKEN] += 1
     order, h, bucket = _places(list(tally), n_buckets)
-    c, h, bucket = np.fromiter(tally.values(), np.int64, len(tally))[order], h[order], bucket[order]
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-    cut = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-    return pa.table({"bucket": pa.array([int(bucket[i]) for i, _ in cut], pa.int32()), "shard": pa.array([table["shard"][0].as_py()] * len(cut), pa.int32()), "hashes": pa.array([pack(h[i:j], True) for i, j in cut], pa.binary()), "counts": pa.array([pack(c[i:j]) for i, j in cut], pa.binary())})
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    hashes = [unpack(x, True) for x in table["hashes"].to_pylist()]
-    h = np.concatenate(hashes)
-    distinct, back = np.unique(h, return_inverse=True)
-    total = np.bincount(back, np.concatenate([unpack(x) for x in table["counts"].to_pylist()]).astype(float), len(distinct)).astype(np.int64)
-    own, at = total[back], 0
-    shards, counts = [-1], [b""]
-    for shard, x in zip(table["shard"].to_pylist(), hashes, strict=True):
-        shards.append(shard)
-        counts.append(pack(own[at : at + len(x)]))
-        at += len(x)
-    n = len(shards)
-    return pa.table({"shard": pa.array(shards, pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * n, pa.int32()), "counts": pa.array(counts, pa.binary()), "tokens": pa.array([int(total.sum())] + [0] * (n - 1), pa.int64()), "vocabulary": pa.array([int((total > 0).sum())] + [0] * (n - 1), pa.int64())})
+    asked = [(WORDS, h[order], np.fromiter(tally.values(), np.int64, len(tally))[order], bucket[order])]
+    del tally
+    k, c = _tally(texts, held, depth)
+    order, bucket = _context_places(k, n_buckets, min(TOP, depth))
+    asked.append((CONTEXTS, k[order], c[order], bucket[order]))
+    rows = []
+    for what, h, c, bucket in asked:
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        rows += [(what, int(bucket[i]), pack(h[i:j], True), pack(c[i:j])) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    what, bucket, hashes, counts = zip(*rows, strict=True)
+    return pa.table({"what": pa.array(what, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "shard": pa.array([table["shard"][0].as_py()] * len(rows), pa.int32()), "hashes": pa.array(hashes, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+
+BUCKET = "what int, bucket int, shards array<int>, hashes array<binary>, counts array<binary>, tokens long, vocabulary long, node binary, n0 binary, n1 binary, whole binary"
+
+
+def _sums(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return _merged((unpack(x, True) for x in hashes), (unpack(x).astype(np.int64) for x in counts))
+
+
+def _gather(table: pa.Table, depth: int) -> pa.Table:
+    """All that was asked of a bucket as one row, with what the driver needs of it: token counts, or nodes."""
+    hashes, counts = table["hashes"].to_pylist(), table["counts"].to_pylist()
+    what, (k, c) = table["what"][0].as_py(), _sums(hashes, counts)
+    tokens, nodes = (int(c.sum()), int((c > 0).sum())) if what == WORDS else (0, 0), [None] * 4
+    if what == CONTEXTS:
+        node, n0, n1, whole = _weigh_bucket(k, c, depth, min(TOP, depth))[1]
+        nodes = [pack(node, True), pack(n0), pack(n1), whole.tobytes()]
+    row = [what, table["bucket"][0].as_py(), table["shard"].to_pylist(), hashes, counts, *tokens, *nodes]
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BUCKET.split(", ")])
+
+
+def _answer(depth: int, above):
+    """For each shard that asked: the corpus's counts of its words, log10 of the probabilities of its keys."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                what, bucket, shards, hashes, counts = (batch.column(name)[i].as_py() for name in ("what", "bucket", "shards", "hashes", "counts"))
+                k, c = _sums(hashes, counts)
+                if what == CONTEXTS:
+                    model = [*above.value, *_weigh_bucket(k, c, depth, min(TOP, depth))[0]]
+                    c = _log10_of_keys(model, k).view(np.uint32)
+                for shard, x in zip(shards, hashes, strict=True):
+                    yield pa.RecordBatch.from_pydict({"what": pa.array([what], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "shard": pa.array([shard], pa.int32()), "found": pa.array([pack(c[np.searchsorted(k, unpack(x, True))])], pa.binary())})
+
+    return run
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, share: int = SHARE, kinds: str | None = "lang", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Each document's unigram base score and context-tree score, both log10, learned from the rows that are not held out.
 
     Held out: crc32 of the id as text is 1 modulo 5 (of "" for a null id). A null text is empty: one end token
     and one closing byte. Words unseen in training have a count of 0; with no training row at all every
-    decision has probability 1/2. Repeated rows count as often as they stand; other columns are left out. `kinds` names the column
-    whose KINDS - 1 largest values (by training bytes) get trees of their own; None, or no such column: one kind.
+    decision has probability 1/2. Repeated rows count as often as they stand; other columns are left out.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    value = F.col(kinds).cast("string") if kinds in docs.columns else F.lit(None).cast("string")
-    docs = docs.select("doc_id", "text", value.alias("value"), (F.crc32(key.cast("binary")) % 5 == 1).alias("held_out"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
-    total, trained = docs.agg(F.sum(size), F.sum(F.when(~F.col("held_out"), size))).first()
-    n_shards = shards_for(docs.sparkSession, total or 0, shard_bytes)
-    training = docs.where(~F.col("held_out"))
-    largest = training.where("value is not null").groupBy("value").agg(F.sum(size).alias("size")).orderBy(F.desc("size"), "value").limit(KINDS - 1).collect()
-    kind, sizes = F.lit(len(largest)), [row["size"] for row in largest]
-    for k, row in enumerate(largest):
-        kind = F.when(F.col("value") == row["value"], k).otherwise(kind)
-    if (trained or 0) > sum(sizes) or not sizes:
-        sizes.append((trained or 0) - sum(sizes))
-    models = docs.sparkSession.sparkContext.broadcast(train(training.select("text", kind.alias("kind")), sizes, depth, share))
+    docs = docs.select("doc_id", "text", (F.crc32(key.cast("binary")) % 5 == 1).alias("held_out"))
+    n_shards = shards_for(docs.sparkSession, docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0, shard_bytes)
+    top = min(TOP, depth)
 
     own = sharded(docs, n_shards, "text", "held_out")
-    asked = own.groupBy("shard").applyInArrow(lambda t: _ask(t, n_shards), "bucket int, shard int, hashes binary, counts binary")
-    answers = staged(asked.groupBy("bucket").applyInArrow(_answer, "shard int, bucket int, counts binary, tokens long, vocabulary long"))
-    n, v = (x or 0 for x in answers.where("shard = -1").agg(F.sum("tokens"), F.sum("vocabulary")).first())
-    rest, token = math.log10(n + 0.5 * (v + 1)) if n else 0.0, uuid.uuid4().hex
+    asked = own.groupBy("shard").applyInArrow(lambda t: _ask(t, n_shards, depth), "what int, bucket int, shard int, hashes binary, counts binary")
+    buckets = staged(asked.repartition(n_shards, "what", "bucket").groupBy("what", "bucket").applyInArrow(lambda t: _gather(t, depth), BUCKET))
+    n, v = (x or 0 for x in buckets.agg(F.sum("tokens"), F.sum("vocabulary")).first())
+    # the nodes with `top` bytes of context: as many as there are values of those bytes, whatever the corpus
+    rows = buckets.where(F.col("what") == CONTEXTS).select("node", "n0", "n1", "whole").collect()
+    nodes = [unpack(r["node"], True) for r in rows], [unpack(r["n0"]).astype(np.int64) for r in rows], [unpack(r["n1"]).astype(np.int64) for r in rows], [np.frombuffer(r["whole"]) for r in rows]
+    above = docs.sparkSession.sparkContext.broadcast(_weigh_top(*(np.concatenate([np.empty(0, t), *x]) for x, t in zip(nodes, (np.uint64, np.int64, np.int64, float), strict=True)), top))
+    answers = buckets.select("what", "bucket", "shards", "hashes", "counts").mapInArrow(_answer(depth, above), "what int, bucket int, shard int, found binary")
+    rest = math.log10(n + 0.5 * (v + 1)) if n else 0.0
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, pieces, own_words, own_pieces, sizes = Ids(), Ids(), [], [], []
-        for text in _texts(left):
+        found = {(a, b): x for a, b, x in zip(right["what"].to_pylist(), right["bucket"].to_pylist(), right["found"].to_pylist(), strict=True)}
+        words, own_words, texts = Ids(), [], list(_texts(left))
+        for text in texts:
             own_words.append(_numbered(words, [*words_of(text), END_TOKEN]))
-            *body, last = text.split(b" ")
-            own_pieces.append(_numbered(pieces, [*body, last + END]))
-            sizes.append(len(text))
         order, _, bucket = _places(list(words), n_shards)
-        found = dict(zip(right["bucket"].to_pylist(), right["counts"].to_pylist(), strict=True))
         counts = np.empty(len(words), np.int64)
-        counts[order] = np.concatenate([unpack(found[int(b)]).astype(np.int64) for b in np.unique(bucket)])
+        counts[order] = np.concatenate([unpack(found[WORDS, int(b)]).astype(np.int64) for b in np.unique(bucket)])
         base, known = np.log10(counts + 0.5) - rest, counts > 0
         del words
-        coded = piece_scores(memo_of(token, models.value), list(pieces))
+        keys, _ = _tally(texts, [True] * len(texts), depth)
+        order, bucket = _context_places(keys, n_shards, top)
+        logs = np.empty(len(keys), np.float32)
+        logs[order] = np.concatenate([unpack(found[CONTEXTS, int(b)]).astype(np.uint32).view(np.float32) for b in np.unique(bucket)])
+        coded = []
+        for part in _parts(texts):
+            units = [_units(t) for t in part]
+            k, number = _keys([u for x in units for u in x], depth)
+            owner = np.repeat(np.arange(len(part)), np.fromiter(map(len, units), np.int64, len(part)))
+            coded.append(np.bincount(owner[number], logs[np.searchsorted(keys, k)], len(part)))
         return pa.table(
             {
                 "doc_id": left["doc_id"],
                 "held_out": left["held_out"],
                 "n_tokens": pa.array(list(map(len, own_words)), pa.int64()),
                 "n_known": pa.array([int(known[x].sum()) for x in own_words], pa.int64()),
-                "train_tokens": pa.array([n] * len(sizes), pa.int64()),
+                "train_tokens": pa.array([n] * len(texts), pa.int64()),
                 "base_score": pa.array([float(base[x].sum()) for x in own_words], pa.float64()),
-                "score": pa.array([mixture(coded[x].sum(axis=0)) for x in own_pieces], pa.float64()),
-                "n_bytes": pa.array(sizes, pa.int64()),
+                "score": pa.array(np.concatenate(coded), pa.float64()),
+                "n_bytes": pa.array(list(map(len, texts)), pa.int64()),
             }
         )
 
-    scored = own.groupBy("shard").cogroup(answers.where("shard >= 0").groupBy("shard")).applyInArrow(finish, SCORES)
+    scored = own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finish, SCORES)
     return without_id(scored).withColumn("bits_per_byte", -F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)).drop("n_bytes")

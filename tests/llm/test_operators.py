@@ -158,6 +158,24 @@ def test_held_out_texts_beat_uniform_bytes(spark):
     assert total < 3.0
 
 
+def test_contexts_stay_whatever_the_size_of_the_corpus(spark):
+    """A context seen a few times is kept in a corpus of any size: the old floor of 1 / 2^17 of all bytes was 5 occurrences here."""
+    texts = ["e " * 330_000, "zqxj zqxj zqxj"]
+    frame = spark.createDataFrame([(t, 0) for t in texts], "text string, kind int")
+    model = ctw.train(frame, [sum(map(len, texts)) + 2], depth=5)[0]
+    ctx = sum(b << 8 * j for j, b in enumerate(b"xqz"))
+    assert ctx << 8 | 1 in {int(k) & (1 << 56) - 1 for k in model[3][0]}
+
+
+def test_scores_of_shards_and_buckets_equal_the_whole_model(spark, docs, rows):
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows}
+    model = ctw.train(spark.createDataFrame([(t,) for i, t, *_ in rows if not held[i]], "text string"))[0]
+    got = {r.doc_id: r.score for r in ctw.score_documents(docs, shard_bytes=20_000).collect()}
+    for i, t, *_ in rows:
+        keys, _ = ctw._keys(ctw._units((t or "").encode().lower()), ctw.DEPTH)
+        assert math.isclose(got[i], float(ctw._log10_of_keys(model, keys).astype(float).sum()), rel_tol=1e-5)
+
+
 # -- 3 urls -----------------------------------------------------------------------------------------------------
 
 
