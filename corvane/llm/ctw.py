@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SHARD_BYTES, Ids, hash_words, mix, pack, sharded, shards_for, staged, to_bytes, unpack, without_id, words_of
 
-DEPTH, TOP = 5, 3
+DEPTH, TOP = 7, 3
 LEAST = 2
 PART = 1 << 20
 END = b"\xff"
@@ -43,15 +43,10 @@ def _low(d: int) -> np.uint64:
     return np.uint64((1 << 8 * d) - 1)
 
 
-def _units(text: bytes) -> list[bytes]:
-    *body, last = text.split(b" ")
-    return [*(p + b" " for p in body), last + END]
-
-
-def _keys(units: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each unit: the depth bytes before it and itself as a number, the latest lowest; and its unit's number."""
-    data = np.frombuffer(b"".join(b" " * depth + u for u in units), np.uint8)
-    number = np.repeat(np.arange(len(units)), np.fromiter(map(len, units), np.int64, len(units)))
+def _keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each closed text: the depth (7 at most) bytes before it and itself as a number, the latest lowest; and its text's number."""
+    data = np.frombuffer(b"".join(b" " * depth + t + END for t in texts), np.uint8)
+    number = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     at = np.arange(len(number)) + depth * (number + 1)
     keys = np.zeros(len(at), np.uint64)
     for d in range(depth + 1):
@@ -59,6 +54,16 @@ def _keys(units: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, number
 
 
+def _turned(keys: np.ndarray) -> np.ndarray:
+    """Keys with the latest byte of the context highest, as shards and buckets sort and send them: those of one bucket lie close."""
+    swapped = keys.byteswap()
+    return (swapped << np.uint64(8)) | (swapped >> np.uint64(56))
+
+
+def _plain(turned: np.ndarray) -> np.ndarray:
+    return ((turned >> np.uint64(8)) | (turned << np.uint64(56))).byteswap()
+
+
 def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
     """Texts in turn, in parts of about PART bytes."""
     part, size = [], 0
@@ -98,19 +103,19 @@ def _merged(keys: Iterable[np.ndarray], counts: Iterable[np.ndarray]) -> tuple[n
 
 
 def _tally(texts: list[bytes], held_out: list[bool], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of all texts, with their counts in those that are not held out."""
+    """The distinct keys of all texts, turned, with their counts in those that are not held out."""
     keys, counts = [], []
     for held in (False, True):
         for part in _parts([t for t, h in zip(texts, held_out, strict=True) if h == held]):
-            k, c = np.unique(_keys([u for t in part for u in _units(t)], depth)[0], return_counts=True)
+            k, c = np.unique(_turned(_keys(part, depth)[0]), return_counts=True)
             keys.append(k)
             counts.append(c * (not held))
     return _merged(keys, counts)
 
 
 def _levels(k: np.ndarray, c: np.ndarray, depth: int, top: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """From keys and counts, for each d from depth down to top: sorted nodes (d bytes of context, bits so far), with both outcomes."""
-    k, c = k[c > 0], c[c > 0]
+    """From turned keys and counts, for each d from depth down to top: sorted nodes (d bytes of context, bits so far), with both outcomes."""
+    k, c = _summed(_plain(k[c > 0]), c[c > 0])
     for d in range(depth, top - 1, -1):
         if d < depth:
             k, c = _summed(k & _low(d + 1), c)
@@ -226,11 +231,48 @@ def _log10_of_bytes(model, deepest: np.ndarray, ctx: np.ndarray, byte: np.ndarra
     return total
 
 
+def _estimates(model) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth the nodes, and the probability of a 1 mixed over all depths for a context that ends there."""
+    out, p, left = [], None, None
+    for d, (keys, kt, weight, rest) in enumerate(model):
+        weight = weight.astype(float)
+        if d:
+            to = np.searchsorted(out[-1][0], _above(keys, d - 1))
+            p, left = p[to] + left[to] * weight * kt, left[to] * (1.0 - weight)
+        else:
+            p, left = weight * kt, 1.0 - weight
+        out.append((keys, p + left * rest))
+    return out
+
+
+def _ones(estimates, keys: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """For keys of depth d and each of their 8 bits: the probability of a 1, and whether there is a node of this depth."""
+    if d:
+        upper, back = np.unique(keys & _low(d), return_inverse=True)
+        p, reach = (x[back] for x in _ones(estimates, upper, d - 1))
+    else:
+        p, reach = np.full((len(keys), 8), 0.5), np.ones((len(keys), 8), bool)
+    nodes, mixed = estimates[d]
+    on, found = np.arange(len(keys)), np.zeros_like(reach)
+    for bit in range(8 if len(nodes) else 0):
+        on = on[reach[on, bit]]
+        want = (keys[on] & ~np.uint64(255)) | (np.uint64(1) << np.uint64(bit)) | ((keys[on] & np.uint64(255)) >> np.uint64(8 - bit))
+        at = np.minimum(np.searchsorted(nodes, want), len(nodes) - 1)
+        is_in = nodes[at] == want
+        on = on[is_in]
+        p[on, bit] = mixed[at[is_in]]
+        found[on, bit] = True
+    return p, found
+
+
 def _log10_of_keys(model, keys: np.ndarray) -> np.ndarray:
-    out = np.empty(len(keys), np.float32)
-    for i in range(0, len(keys), PART // 4):
-        k = keys[i : i + PART // 4]
-        out[i : i + PART // 4] = _log10_of_bytes(model, np.full(len(k), len(model) - 1), k >> np.uint64(8), (k & np.uint64(255)).astype(np.uint8))
+    """What _log10_of_bytes gives at the full depth, by one estimate a node: a node stands below nodes of fewer bytes and of fewer bits."""
+    out, estimates = np.empty(len(keys), np.float32), _estimates(model)
+    for i in range(0, len(keys), PART // 16):
+        k = keys[i : i + PART // 16]
+        p = _ones(estimates, k, len(model) - 1)[0]
+        one = (k[:, None] >> np.arange(7, -1, -1).astype(np.uint64)) & np.uint64(1)
+        out[i : i + PART // 16] = np.log10(np.where(one == 1, p, 1.0 - p)).sum(axis=1)
     return out
 
 
@@ -251,7 +293,8 @@ def _places(words: list[bytes], n_buckets: int):
 
 
 def _context_places(keys: np.ndarray, n_buckets: int, top: int):
-    bucket = (mix((keys >> np.uint64(8)) & _low(top)) % np.uint64(n_buckets)).astype(np.int64)
+    """Of turned keys; a bucket's keep their order."""
+    bucket = (mix(keys >> np.uint64(64 - 8 * top) if top else np.zeros_like(keys)) % np.uint64(n_buckets)).astype(np.int64)
     return np.argsort(bucket, kind="stable"), bucket
 
 
@@ -310,7 +353,7 @@ def _answer(depth: int, above):
                 k, c = _sums(hashes, counts)
                 if what == CONTEXTS:
                     model = [*above.value, *_weigh_bucket(k, c, depth, min(TOP, depth))[0]]
-                    c = _log10_of_keys(model, k).view(np.uint32)
+                    c = _log10_of_keys(model, _plain(k)).view(np.uint32)
                 for shard, x in zip(shards, hashes, strict=True):
                     yield pa.RecordBatch.from_pydict({"what": pa.array([what], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "shard": pa.array([shard], pa.int32()), "found": pa.array([pack(c[np.searchsorted(k, unpack(x, True))])], pa.binary())})
 
@@ -353,16 +396,17 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHAR
         counts[order] = np.concatenate([unpack(found[WORDS, int(b)]).astype(np.int64) for b in np.unique(bucket)])
         base, known = np.log10(counts + 0.5) - rest, counts > 0
         del words
-        keys, _ = _tally(texts, [True] * len(texts), depth)
+        coded, size = [], []
+        for part in _parts(texts):
+            k, number = _keys(part, depth)
+            own_keys, back = np.unique(_turned(k), return_inverse=True)
+            coded.append((own_keys, back.astype(np.int32), number.astype(np.int32)))
+            size.append(len(part))
+        keys = np.unique(np.concatenate([x[0] for x in coded]))
         order, bucket = _context_places(keys, n_shards, top)
         logs = np.empty(len(keys), np.float32)
         logs[order] = np.concatenate([unpack(found[CONTEXTS, int(b)]).astype(np.uint32).view(np.float32) for b in np.unique(bucket)])
-        coded = []
-        for part in _parts(texts):
-            units = [_units(t) for t in part]
-            k, number = _keys([u for x in units for u in x], depth)
-            owner = np.repeat(np.arange(len(part)), np.fromiter(map(len, units), np.int64, len(part)))
-            coded.append(np.bincount(owner[number], logs[np.searchsorted(keys, k)], len(part)))
+        scores = [np.bincount(number, logs[np.searchsorted(keys, k)][back], n_texts) for (k, back, number), n_texts in zip(coded, size, strict=True)]
         return pa.table(
             {
                 "doc_id": left["doc_id"],
@@ -371,7 +415,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHAR
                 "n_known": pa.array([int(known[x].sum()) for x in own_words], pa.int64()),
                 "train_tokens": pa.array([n] * len(texts), pa.int64()),
                 "base_score": pa.array([float(base[x].sum()) for x in own_words], pa.float64()),
-                "score": pa.array(np.concatenate(coded), pa.float64()),
+                "score": pa.array(np.concatenate(scores), pa.float64()),
                 "n_bytes": pa.array(list(map(len, texts)), pa.int64()),
             }
         )

@@ -172,8 +172,23 @@ def test_scores_of_shards_and_buckets_equal_the_whole_model(spark, docs, rows):
     model = ctw.train(spark.createDataFrame([(t,) for i, t, *_ in rows if not held[i]], "text string"))[0]
     got = {r.doc_id: r.score for r in ctw.score_documents(docs, shard_bytes=20_000).collect()}
     for i, t, *_ in rows:
-        keys, _ = ctw._keys(ctw._units((t or "").encode().lower()), ctw.DEPTH)
-        assert math.isclose(got[i], float(ctw._log10_of_keys(model, keys).astype(float).sum()), rel_tol=1e-5)
+        keys, _ = ctw._keys([(t or "").encode().lower()], ctw.DEPTH)
+        plain = ctw._log10_of_bytes(model, ctw.np.full(len(keys), ctw.DEPTH), keys >> ctw.np.uint64(8), (keys & ctw.np.uint64(255)).astype(ctw.np.uint8))
+        assert math.isclose(got[i], float(plain.sum()), rel_tol=1e-5)
+
+
+def test_order_of_words_counts(spark):
+    """Texts in the order of the training texts score better than their words shuffled."""
+    rnd = random.Random(4)
+    words_ = [f"{a}{b}{c}" for a in "bdk" for b in "aeo" for c in "lmn"]
+    turned = [w for i in range(120) for w in words_[i % 27 :] + words_[: i % 27]]
+    lines = [" ".join(turned[i : i + 25]) for i in range(0, 3000, 25)]
+    mixed = [" ".join(rnd.sample(line.split(), 25)) for line in lines]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    made = [*zip(ids, lines, strict=False), (held[0], lines[0]), (held[1], mixed[0])]
+    got = {r.doc_id: r.score for r in ctw.score_documents(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 20
 
 
 # -- 3 urls -----------------------------------------------------------------------------------------------------
