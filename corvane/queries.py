@@ -232,16 +232,15 @@ def pii_routing(spark, sf_dir):
   + len(regexp_extract_all(text, '(?i)\\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|secret[_-]?key|client[_-]?secret)\\b\\s*[:=]\\s*["'']?[A-Za-z0-9_\\-/+=]{{20,}}["'']?')) as bigint) as keys,
   contains(text, '-----BEGIN RSA PRIVATE KEY-----') as key_block from (select doc_id, {PLANTED} as text from documents) where doc_id % 10 in (4, 5)""")
 def secret_patterns(spark, sf_dir):
-    rows = planted(spark, sf_dir).where("doc_id % 10 in (4, 5)")
-    return rows.select("doc_id", F.size(T.vendor_keys(F.col("text"))).cast("long").alias("keys"), (F.size(T.key_blocks(F.col("text"))) > 0).alias("key_block"))
+    rows = planted(spark, sf_dir).select("doc_id", F.size(T.vendor_keys(F.col("text"))).cast("long").alias("keys"), (F.size(T.key_blocks(F.col("text"))) > 0).alias("key_block"))
+    return rows.where("keys > 0 or key_block")
 
 
 @query(f"""select doc_id, cast(list_sum(list_transform({T.PHRASES!r}, lambda p: (length(low) - length(replace(low, p, ''))) // length(p))) as bigint) as hits
  from (select doc_id, lower({PLANTED}) as low from documents) where doc_id % 10 = 6""")
 def injection_markers(spark, sf_dir):
     counts = T.phrase_counts(F.col("text"))
-    rows = planted(spark, sf_dir).where("doc_id % 10 = 6")
-    return rows.select("doc_id", F.aggregate(counts, F.lit(0), lambda a, b: a + b).cast("long").alias("hits"))
+    return planted(spark, sf_dir).select("doc_id", F.aggregate(counts, F.lit(0), lambda a, b: a + b).cast("long").alias("hits")).where("hits > 0")
 
 
 @query("select doc_id from documents where doc_id % 10 = 7")
