@@ -31,10 +31,13 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token ids, their number, and whether decoding gives the text back; in the order of the mix."""
-    text = F.coalesce("text", F.lit(""))
-    both = bpe.encode_and_decode(docs.select("doc_id", "source", text.alias("text")), vocabulary_path())
-    return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    """doc_id, source, slot and place in the mix, token ids, their number, and whether decoding gives the text back; in the order of the mix.
+
+    Files that are read again come in any order, so the schedule, which depends on the rows alone, is worked out again here.
+    """
+    mixed = mixing.mix(docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))).orderBy("slot", "place")
+    both = bpe.encode_and_decode(mixed, vocabulary_path())
+    return both.select("doc_id", "source", "slot", "place", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 STAGES = [

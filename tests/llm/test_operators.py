@@ -574,6 +574,19 @@ def test_pipeline_stages(spark):
     assert encoded.where("not round_trip").count() == 0 and encoded.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_pipeline_keeps_the_order_of_the_mix_over_files(spark, tmp_path):
+    """Part files of other sizes than their turn, as Spark packs them by size when it reads them again."""
+    made = [(i, f"text {i} " * (1 + (i * 37) % 400), f"s{0 if i % 4 else i % 3}") for i in range(2000)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, source string")
+    want = [r.doc_id for r in mixing.mix(frame).orderBy("slot", "place").collect()]
+    corpus_pipeline.source_mixing(spark, frame, SF).repartition(7, "doc_id").write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.bpe_encoding(spark, spark.read.parquet(str(tmp_path / "mixed")), SF)
+    assert [r.doc_id for r in out.collect()] == want
+    out.write.parquet(str(tmp_path / "ids"))
+    again = spark.read.parquet(str(tmp_path / "ids"))
+    assert [r.doc_id for r in again.orderBy("slot", "place").collect()] == want
+
+
 def test_queries_match_their_sql(spark):
     import glob
     import os
