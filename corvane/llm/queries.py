@@ -12,7 +12,7 @@ from .html import extract
 from .phrases import remove_repeated_phrases
 from .quality import judged
 from .setsketch import near_duplicates
-from .simhash import fingerprint_documents, with_neighbours
+from .simhash import WIDE, fingerprint_documents, with_neighbours
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_neighbours(fingerprint_documents(_read(spark, sf_dir, "documents")), F.col("doc_id") % 100 == 0)
+    return with_neighbours(fingerprint_documents(_read(spark, sf_dir, "documents")), F.col("doc_id") % 100 == 0, WIDE)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import Ids, hash_words, mix, shard_count, staged, to_bytes, windows, with_id, without_id, words_of
 
 BITS, BLOCKS, NARROW = 128, 8, 3
+WIDE = BLOCKS - 2
 MOST_SHARDS = 10_000
 TERM = 0xC2B2AE3D27D4EB4F
 
@@ -141,10 +142,16 @@ def within_radius(queries: DataFrame, fingerprinted: DataFrame, radius: int = BL
 
 
 def with_neighbours(fingerprinted: DataFrame, asked: Column, radius: int = NARROW) -> DataFrame:
-    """fingerprinted with n_within: for rows that are asked for, how many other rows lie within the radius; else null."""
+    """fingerprinted with n_within and within: for rows that are asked for, how many other rows lie within the radius, and which; else null.
+
+    within has an entry (doc_id, fingerprint, distance, n) for each distinct fingerprint in the radius, the row's own included: n rows carry it, of which
+    doc_id is the least, and all of their ids are those that stand beside this fingerprint. So a group of copies adds one entry to a row.
+    """
     rows = staged(fingerprinted)
     wanted = F.coalesce(asked, F.lit(False))
-    copies = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    near = within_radius(rows.where(wanted), rows, radius).join(copies, "fingerprint").groupBy(F.col("query").alias("fingerprint")).agg((F.sum("n") - 1).alias("n_within"))
-    found = rows.where(wanted).join(near, "fingerprint").select(*rows.columns, "n_within")
-    return found.unionByName(rows.where(~wanted).withColumn("n_within", F.lit(None).cast("long")))
+    copies = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    entry = F.struct("distance", "doc_id", "fingerprint", "n")
+    near = within_radius(rows.where(wanted), rows, radius).join(copies, "fingerprint").groupBy(F.col("query").alias("fingerprint"))
+    near = near.agg((F.sum("n") - 1).alias("n_within"), F.array_sort(F.collect_list(entry)).alias("within"))
+    found = rows.where(wanted).join(near, "fingerprint").select(*rows.columns, "n_within", "within")
+    return found.unionByName(rows.where(~wanted).select(*rows.columns, F.lit(None).cast("long").alias("n_within"), F.lit(None).cast(near.schema["within"].dataType).alias("within")))

@@ -438,6 +438,33 @@ def test_neighbours_of_asked_rows(spark):
     assert got == want and got[0] >= 1
 
 
+def test_registered_search_finds_planted_near_copies(spark, tmp_path):
+    """One word changed in 400: the query finds what all pairs within 6 bits give, most of the copies, and tells their ids."""
+    rnd = random.Random(9)
+    made = []
+    for i in range(0, 6000, 100):
+        text = [f"w{rnd.randrange(3000)}" for _ in range(400)]
+        near = list(text)
+        near[rnd.randrange(400)] = "changed"
+        made += [(i, " ".join(text)), (i + 1, " ".join(near)), (i + 2, " ".join(near))]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op9_fingerprints(spark, str(tmp_path)).collect()}
+    value = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    carriers = collections.defaultdict(list)
+    for i, r in got.items():
+        carriers[r.fingerprint].append(i)
+    for i, r in got.items():
+        if i % 100:
+            assert r.n_within is None and r.within is None
+            continue
+        want = sorted(j for j in got if j != i and (value[i] ^ value[j]).bit_count() <= 6)
+        assert r.n_within == len(want) and sorted(j for e in r.within for j in carriers[e.fingerprint] if j != i) == want
+        assert all(e.doc_id == min(carriers[e.fingerprint]) and e.n == len(carriers[e.fingerprint]) for e in r.within)
+    apart = [(value[i] ^ value[i + 1]).bit_count() for i in range(0, 6000, 100)]
+    print("distances", sorted(apart), "within 3:", sum(d <= 3 for d in apart), "within 6:", sum(d <= 6 for d in apart), "of", len(apart))
+    assert sum(got[i].n_within >= 2 for i in range(0, 6000, 100)) == sum(d <= 6 for d in apart) > 0.8 * len(apart)
+
+
 @pytest.mark.parametrize("shards", [1, 6])
 def test_fingerprints(spark, docs, rows, shards, empty):
     got = {r.doc_id: r for r in simhash.fingerprint_documents(docs, shards).collect()}
