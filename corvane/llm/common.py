@@ -12,8 +12,11 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 SHARD_BYTES = 8 << 20
 LEAST_BYTES = 256 << 10
+PART_BYTES = 4 << 20
 NO_ID = (1 << 63) - 2
 
 
@@ -75,6 +79,33 @@ def unpack(data: bytes, ordered: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=np.uint64) if ordered else a
 
 
+def slices(sizes: list[int], most: int) -> Iterator[range]:
+    """Ranges of places in turn: as many as have `most` together, one at least."""
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and held + size > most:
+            yield range(begin, i)
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield range(begin, len(sizes))
+
+
+def in_parts(batches: Iterable[pa.RecordBatch], *columns: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches of at most 512 rows and, unless a row alone has more, `most` bytes in the columns: what a worker holds as objects at once."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        width = sum(pc.fill_null(pc.cast(size_of(batch.column(c)), pa.int64()), 0).to_numpy(zero_copy_only=False) for c in columns)
+        for some in slices(np.maximum(width, most // 512).tolist(), most):
+            yield batch.slice(some.start, len(some))
+
+
+def size_of(column: pa.Array) -> pa.Array:
+    return pc.list_value_length(column) if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length(column)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """The size of all texts, for the number of shards."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -356,10 +356,11 @@ def test_bpe_equals_the_library(spark, docs, rows):
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(1500)] + ["a" * 3000, "ab" * 2000, "?!" * 900, "x" * 33, "x" * 32, " " * 100]
     for text in texts:
         want = library.encode(text, add_special_tokens=False).ids
-        got = list(itertools.chain.from_iterable(own.encode(text)))
+        got = own.encode(text).tolist()
         assert got == want, text
         assert own.decode(got) == library.decode(want, skip_special_tokens=False)
     assert own.decode([own.of_byte[0xC3], own.of_byte[0x28]]) == "\ufffd("
+    assert [x.tolist() for x in own.encode_all([*texts, None, ""])] == [*(own.encode(t).tolist() for t in texts), [], []]
     got = {r.doc_id: r for r in bpe.digests(docs, path).collect()}
     for i, t, *_ in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -370,6 +371,50 @@ def test_bpe_equals_the_library(spark, docs, rows):
     assert bpe.encode_and_decode(clash, path).schema["ids"].dataType.simpleString() == "array<int>"
 
 
+def test_trees_pick_every_merge(monkeypatch):
+    """Trees grown together, trees grown alone and a scan over all pairs make the same merges; no pre-token goes another way."""
+    own = bpe.Vocabulary(open(queries.vocabulary_path(), encoding="utf-8").read())
+
+    def scan(token):
+        symbols = own.of_byte[list(token)].tolist()
+        while True:
+            ranked = [(own.ranks[p], i) for i, (a, b) in enumerate(itertools.pairwise(symbols)) if (p := a << 32 | b) in own.ranks]
+            if not ranked:
+                return symbols
+            rank, i = min(ranked)
+            symbols[i : i + 2] = [int(own.made[rank])]
+
+    rnd = random.Random(3)
+    tokens = [w.encode() for w in "the of hello transformation internationalisation naïveté aaaaaaaa x".split()]
+    tokens += [bytes(rnd.choice(b"etaoin shrdlu\xc3\xa9") for _ in range(rnd.randint(2, 70))) for _ in range(800)]
+    want = [scan(t) for t in tokens]
+    ids = lambda found: [list(memoryview(x).cast("i")) for x in found]
+    calls = []
+    for name in ("_merge_together", "_merge_one"):
+        monkeypatch.setattr(bpe.Vocabulary, name, lambda self, x, *more, f=getattr(bpe.Vocabulary, name): calls.append(1 if isinstance(x, bytes) else len(x)) or f(self, x, *more))
+    assert ids(own.merge(tokens)) == want and sum(calls) == sum(len(t) > 1 for t in tokens)
+    assert ids(map(own._merge_one, (t for t in tokens if len(t) > 1))) == [w for t, w in zip(tokens, want, strict=True) if len(t) > 1]
+
+
+def test_other_vocabularies_are_refused():
+    import json
+
+    definition = json.loads(open(queries.vocabulary_path(), encoding="utf-8").read())
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True})):
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.Vocabulary(json.dumps(definition | {key: value}))
+
+
+def test_a_very_long_text_is_encoded_some_pieces_at_a_time(monkeypatch):
+    own = bpe.Vocabulary(open(queries.vocabulary_path(), encoding="utf-8").read())
+    text = "some words of a text 12 " * 4000 + "x" * 30_000
+    whole = own.encode(text).tolist()
+    monkeypatch.setattr(bpe, "PIECES", 1000)
+    monkeypatch.setattr(bpe, "KEPT", 5)
+    assert own.encode(text).tolist() == whole and own.decode(whole) == text
+    assert [x.tolist() for x in own.encode_all([text, "a b", text])] == [whole, own.encode("a b").tolist(), whole]
+
+
 # -- 8 mixing ---------------------------------------------------------------------------------------------------
 
 
