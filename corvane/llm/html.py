@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded, in_parts
+
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.12, 0.2
 LINKS = 0.33
@@ -32,7 +36,7 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math head title textarea select option button object canvas audio video".split())
+RAW = frozenset("script style template iframe svg head textarea select option button".split())
 OUT_TAGS = frozenset("nav footer aside form menu dialog".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 OUT_NAMES = re.compile(
@@ -43,11 +47,70 @@ OUT_NAMES = re.compile(
 OUT_WHOLE = frozenset("ad advert advertisement comment comments promo related reply sidebar sponsored widget".split())
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)[_-]?(?:body|content|text)?(?=$|[\s_-])")
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>|<[a-zA-Z][^>]*>", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+QUICK = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"'<]*)>")  # a tag without quotes
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 EDGE = re.compile(r"^\W+|\W+$|\d", re.U)
 
 
+class Tags:
+    """The markup of a page from left to right, in time proportional to its length.
+
+    An attribute's value may hold `>` in quotes; where a quote never ends, the tag ends at the first `>`. A tag without any `>` is text.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.endless: set[int] = set()  # quotes from which no way leads out of a tag
+        self.last = page.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """Just after the `>` that ends the tag whose name ends here; -1 without one."""
+        if at > self.last:
+            return -1
+        page, passed, begin = self.page, [], at
+        while m := STOP.search(page, at):
+            if m[0] == ">":
+                return m.end()
+            close = -1 if m.start() in self.endless else page.find(m[0], m.end())
+            passed.append(m.start())
+            if close < 0:
+                break
+            at = close + 1
+        self.endless.update(passed)
+        return page.find(">", begin) + 1 or -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name in lower case, whether it closes, attributes); comments and declarations have no name. A send() moves on to a place."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if m := QUICK.match(page, at):
+                end, found = m.end(), (m[2].lower(), bool(m[1]), m[3])
+            elif page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end, found = (end + 3 if end >= 0 else len(page)), ("", False, "")
+            elif m := NAME.match(page, at):
+                end = self._end(m.end())
+                found = m[1].lower(), page[at + 1] == "/", page[m.end() : end - 1]
+            elif page[at + 1 : at + 2] in ("/", "!", "?") and at < self.last:
+                end, found = page.find(">", at) + 1, ("", False, "")
+            else:
+                end = -1
+            if end < 0:
+                at += 1
+                continue
+            moved = yield at, end, *found
+            at = end if moved is None else moved
+
+    def after(self, name: str, at: int) -> tuple[int, int]:
+        """Start and end of the next end tag of this name; the page's end without one."""
+        found = re.compile(rf"</{re.escape(name)}", re.I).search(self.page, at)
+        if found is None:
+            return len(self.page), len(self.page)
+        return found.start(), self.page.find(">", found.end()) + 1 or len(self.page)
+
+
 @dataclass
 class Block:
     text: str
@@ -103,57 +166,81 @@ def blocks_of(page: str) -> list[Block]:
         if anchors:
             linked += len(" ".join(html.unescape(raw).split()))
 
-    at = 0
-    while True:
-        m = TAG.search(page, at)
-        if m is None:
-            text_of(page[at:])
-            break
-        if m.start() > at:
-            text_of(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    tags, open_tags, at = Tags(page), Counter(), 0
+    found = iter(tags)
+    here = next(found, None)
+    while here is not None:
+        start, end, tag, closes, attributes = here
+        if start > at:
+            text_of(page[at:start])
+        at = end
+        if tag in RAW and not closes and not attributes.endswith("/"):
+            begin, at = tags.after(tag, at)
+            if tag == "head" and (body := re.compile(r"<body[\s>]", re.I).search(page, end, begin)):
+                at = body.start()  # a head that was left open
+            here = _sent(found, at)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if tag and closes:
             if tag == "a":
                 anchors = max(0, anchors - 1)
             if tag in BLOCKS:
                 close()
                 block_tag = ""
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
+            if open_tags[tag]:
+                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
                 if any(stack[i][1] != stack[depth - 1][1] and not stack[i][4] for i in range(depth, len(stack))):
                     close()
+                open_tags.subtract(x[0] for x in stack[depth:])
                 del stack[depth:]
-            continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}[^>]*>|<body[\s>]" if tag == "head" else rf"</{tag}[^>]*>", re.I).search(page, at)
-                at = len(page) if end is None else end.start() if end[0][1] != "/" else end.end()
-            continue
-        if tag == "br":
-            parts.append(" ")
-        if tag in BLOCKS:
-            close()
-            while len(stack) > 1 and (stack[-1][0] not in BLOCKS or stack[-1][0] == "p" or stack[-1][0] == tag == "li"):
-                stack.pop()
-            block_tag, anchors = tag, 0
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        if tag == "a":
-            anchors += 1
-        _, out, main, place, mute = stack[-1]
-        new_out, new_main = _kind(tag, m[3], main)
-        mute = mute or (new_out and not out and tag not in BLOCKS)  # something out within a line leaves the block whole
-        if tag in BLOCKS and tag not in HEADINGS and tag != "p":
-            containers += 1
-            place = containers
-        stack.append((tag, out or new_out, main or new_main, place, mute))
+        elif tag and tag not in RAW:
+            if tag == "br":
+                parts.append(" ")
+            if tag in BLOCKS:
+                close()
+                while len(stack) > 1 and (stack[-1][0] not in BLOCKS or stack[-1][0] == "p" or stack[-1][0] == tag == "li"):
+                    open_tags[stack.pop()[0]] -= 1
+                block_tag, anchors = tag, 0
+            if tag not in VOID and not attributes.endswith("/"):
+                anchors += tag == "a"
+                _, out, main, place, mute = stack[-1]
+                new_out, new_main = _kind(tag, attributes, main)
+                new_out = new_out or (tag == "title" and not main)
+                mute = mute or (new_out and not out and tag not in BLOCKS)  # something out within a line leaves the block whole
+                if tag in BLOCKS and tag not in HEADINGS and tag != "p":
+                    containers += 1
+                    place = containers
+                stack.append((tag, out or new_out, main or new_main, place, mute))
+                open_tags[tag] += 1
+        here = next(found, None)
+    text_of(page[at:])
     close()
     return blocks
 
 
+def _sent(tags: Iterator, at: int):
+    """The next tag from a place on."""
+    try:
+        return tags.send(at)
+    except StopIteration:
+        return None
+
+
+def _nearest(blocks: list[Block], decided: list[bool], own: bool) -> tuple[list[int | None], list[int | None]]:
+    """For each block the nearest decided one before and after it, of its own container or of all; one pass each way."""
+
+    def passed(order) -> list[int | None]:
+        last: dict[int, int] = {}
+        out: list[int | None] = [None] * len(blocks)
+        for i in order:
+            place = blocks[i].place if own else 0
+            out[i] = last.get(place)
+            if decided[i]:
+                last[place] = i
+        return out
+
+    return passed(range(len(blocks))), passed(range(len(blocks) - 1, -1, -1))
+
+
 def stop_density(text: str) -> float:
     words = text.lower().split()
     return sum(w in STOP_WORDS or EDGE.sub("", w) in STOP_WORDS for w in words) / len(words) if words else 0.0
@@ -183,27 +270,25 @@ def classify(blocks: list[Block]) -> None:
     decided = [b.label in ("good", "bad") for b in blocks]
     first = [b.label for b in blocks]
 
-    def nearest(i: int, step: int, own: bool) -> tuple[int, str] | None:
-        j = i + step
-        while 0 <= j < len(blocks):
-            if decided[j] and (not own or blocks[j].place == blocks[i].place):
-                return abs(j - i), first[j]
-            j += step
-        return None
+    any_decided = any(decided)
+    near = {own: _nearest(blocks, decided, own) for own in (True, False)}
+
+    def nearest(i: int, own: bool) -> list[tuple[int, str] | None]:
+        return [None if j is None else (abs(j - i), first[j]) for j in (side[i] for side in near[own])]
 
     for i, b in enumerate(blocks):
         if decided[i]:
             continue
-        before, after = nearest(i, -1, True), nearest(i, 1, True)
+        before, after = nearest(i, True)
         if before is None and after is None:
-            before, after = nearest(i, -1, False), nearest(i, 1, False)
+            before, after = nearest(i, False)
             if b.main and "good" not in (before and before[1], after and after[1]):
                 b.label = "good"
                 continue
         if first[i] == "heading" and after is not None:
             b.label = after[1]
             continue
-        if not any(decided):
+        if not any_decided:
             b.label = "good"
             continue
         if b.main:
@@ -232,10 +317,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [main_text(page) for page in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for part in in_parts(batches, "html"):
+            texts = [main_text(page) for page in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as long)", "cast(url as string)", "cast(html as string)").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return bounded(pages.selectExpr("cast(page_id as long) as page_id", "cast(url as string) as url", "cast(html as string) as html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -118,39 +118,89 @@ def test_base_scores(spark, docs, rows, empty):
     assert ctw.score_documents(empty).count() == 0
 
 
-def test_one_node_tree_is_the_kt_estimate():
-    model = ctw.weigh(*(ctw.np.array(x) for x in (ctw.np.array([1], ctw.np.uint64), [3], [1])), 0)
-    assert math.isclose(float(model[0][1][0]), 1.5 / 5, rel_tol=1e-6) and float(model[0][2][0]) == 1.0
-
-
-def test_probabilities_of_all_next_bytes_sum_to_one(spark):
-    texts = spark.createDataFrame([("abab abba abc",), ("abab",), ("b a",)], "text string").withColumn("kind", F.lit(0))
-    (model,) = ctw.train(texts, [24], depth=2, share=1 << 20)
-    for context in (b" ", b" a", b" ab", b" zz"):
-        d = min(2, len(context))
-        ctx = sum(b << 8 * j for j, b in enumerate(context[::-1][:d]))
-        logs = ctw._log10_of_bytes(model, ctw.np.full(256, d, ctw.np.uint64), ctw.np.full(256, ctx, ctw.np.uint64), ctw.np.arange(256).astype(ctw.np.uint8))
-        assert math.isclose(float((10.0**logs).sum()), 1.0, rel_tol=1e-5)
-
-
-def test_weights_equal_the_recursion(spark):
-    """Depth 1 by hand: P_w = (P_kt + product over contexts) / 2 at each decision."""
-    text = "aab ab"
-    (model,) = ctw.train(spark.createDataFrame([(text, 0)], "text string, kind int"), [7], depth=1, share=1 << 20)
-    units = [b"aab ", b"ab\xff"]
-    seen = [(context, byte) for u in units for context, byte in zip(b" " + u, u, strict=False)]
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
-    bits = lambda some: (sum(x >> 7 == 0 for x in some), sum(x >> 7 for x in some))
-    root = kt(*bits([b for _, b in seen]))
-    kids = collections.defaultdict(list)
-    for c, b in seen:
-        kids[c].append(b)
-    kept = {c: k for c, k in kids.items() if len(k) >= 2}
-    rest = [b for c, k in kids.items() if c not in kept for b in k]
-    split = sum(kt(*bits(k)) for k in kept.values()) + kt(*bits(rest))
-    want = math.exp(root) / (math.exp(root) + math.exp(split))
-    keys, _, weight, _ = model[0]
-    assert math.isclose(float(weight[list(keys).index(1)]), want, rel_tol=1e-5)
+class PlainTrees:
+    """Context-tree weighting as it is written: one tree of contexts for each decision, weighed by recursion."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.kids = depth, collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+        for text in texts:
+            for context, byte in self.coded(text):
+                for bit in range(8):
+                    for d in range(depth + 1):
+                        node = (bit, byte >> (8 - bit), context[len(context) - d :])
+                        self.counts[node][byte >> (7 - bit) & 1] += 1
+                        if d:
+                            self.kids[(bit, byte >> (8 - bit), context[len(context) - d + 1 :])].add(node)
+        self.known = {}
+
+    def coded(self, text):
+        data = b" " * self.depth + text.lower().encode() + b"\xff"
+        return [(data[i - self.depth : i], data[i]) for i in range(self.depth, len(data))]
+
+    @staticmethod
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def weighed(self, node):
+        """log P_w, the weight of the node's own estimate, and the counts that no kept child holds."""
+        if node not in self.known:
+            a, b = self.counts[node]
+            kept = [k for k in self.kids[node] if sum(self.counts[k]) >= 2]
+            rest = a - sum(self.counts[k][0] for k in kept), b - sum(self.counts[k][1] for k in kept)
+            own, split = self.kt(a, b), sum(self.weighed(k)[0] for k in kept) + self.kt(*rest)
+            top = max(own, split)
+            whole = top + math.log((math.exp(own - top) + math.exp(split - top)) / 2) if kept else own
+            self.known[node] = whole, math.exp(own + math.log(0.5) - whole) if kept else 1.0, rest
+        return self.known[node]
+
+    def one(self, bit, prefix, context, d=0):
+        node = (bit, prefix, context[len(context) - d :])
+        if sum(self.counts.get(node, (0, 0))) < 2:
+            return 0.5
+        (a, b), (_, weight, rest) = self.counts[node], self.weighed(node)
+        below = (bit, prefix, context[len(context) - d - 1 :])
+        inside = d < self.depth and sum(self.counts.get(below, (0, 0))) >= 2
+        split = self.one(bit, prefix, context, d + 1) if inside else (rest[1] + 0.5) / (sum(rest) + 1)
+        return weight * (b + 0.5) / (a + b + 1) + (1 - weight) * split
+
+    def byte(self, context, byte):
+        ones = [(self.one(bit, byte >> (8 - bit), context), byte >> (7 - bit) & 1) for bit in range(8)]
+        return math.prod(p if x else 1 - p for p, x in ones)
+
+    def score(self, text):
+        return math.fsum(math.log10(self.byte(context, byte)) for context, byte in self.coded(text))
+
+
+@pytest.mark.parametrize("depth,shard_bytes", [(0, 500), (2, 300), (5, 1 << 20), (7, 700)])
+def test_scores_equal_context_trees_by_recursion(spark, depth, shard_bytes):
+    """Every document's score, over one shard and over many, held out or not, with texts that end, repeat and are empty."""
+    rnd = random.Random(depth)
+    texts = ["".join(rnd.choice(["abra", "cad", " ", "a", "é", "The "]) for _ in range(rnd.randint(0, 25))) for _ in range(40)] + ["", "abra abra", "abra abra"]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, None, None, None, None)], DOCS)
+    got = {r.doc_id: r for r in ctw.score_documents(frame, depth=depth, shard_bytes=shard_bytes).collect()}
+    plain = PlainTrees([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1] + [""], depth)
+    assert any(r.held_out for r in got.values()) and math.isclose(got[None].score, plain.score(""), rel_tol=1e-5)
+    for i, text in enumerate(texts):
+        assert math.isclose(got[i].score, plain.score(text), rel_tol=1e-5), (i, text)
+
+
+def test_probabilities_of_all_next_bytes_sum_to_one():
+    """In the plain trees that the scores equal."""
+    plain = PlainTrees(["abab abba abc", "abab", "b a"], 3)
+    for context in (b"   ", b" ab", b"bab", b"zzz"):
+        assert math.isclose(sum(plain.byte(context, x) for x in range(256)), 1.0, rel_tol=1e-9)
+
+
+def test_one_huge_text(spark):
+    """2 MB in one document, learned from and scored like any other."""
+    frame = spark.createDataFrame([(0, "many words of one text " * 90_000, "en", "s", 0), (1, "many words", "en", "s", 0), (3, "zqx", "en", "s", 0)], DOCS)
+    got = {r.doc_id: r for r in ctw.score_documents(frame).collect()}
+    assert got[0].n_tokens == 450_001 and -got[0].score < 1000 and got[0].bits_per_byte < got[3].bits_per_byte
+
+
+def test_depth_fits_a_key(docs):
+    with pytest.raises(ValueError, match="depth"):
+        ctw.score_documents(docs, depth=8)
 
 
 def test_held_out_texts_beat_uniform_bytes(spark):
@@ -158,25 +208,6 @@ def test_held_out_texts_beat_uniform_bytes(spark):
     assert total < 3.0
 
 
-def test_contexts_stay_whatever_the_size_of_the_corpus(spark):
-    """A context seen a few times is kept in a corpus of any size: the old floor of 1 / 2^17 of all bytes was 5 occurrences here."""
-    texts = ["e " * 330_000, "zqxj zqxj zqxj"]
-    frame = spark.createDataFrame([(t, 0) for t in texts], "text string, kind int")
-    model = ctw.train(frame, [sum(map(len, texts)) + 2], depth=5)[0]
-    ctx = sum(b << 8 * j for j, b in enumerate(b"xqz"))
-    assert ctx << 8 | 1 in {int(k) & (1 << 56) - 1 for k in model[3][0]}
-
-
-def test_scores_of_shards_and_buckets_equal_the_whole_model(spark, docs, rows):
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in rows}
-    model = ctw.train(spark.createDataFrame([(t,) for i, t, *_ in rows if not held[i]], "text string"))[0]
-    got = {r.doc_id: r.score for r in ctw.score_documents(docs, shard_bytes=20_000).collect()}
-    for i, t, *_ in rows:
-        keys, _ = ctw._keys([(t or "").encode().lower()], ctw.DEPTH)
-        plain = ctw._log10_of_bytes(model, ctw.np.full(len(keys), ctw.DEPTH), keys >> ctw.np.uint64(8), (keys & ctw.np.uint64(255)).astype(ctw.np.uint8))
-        assert math.isclose(got[i], float(plain.sum()), rel_tol=1e-5)
-
-
 def test_order_of_words_counts(spark):
     """Texts in the order of the training texts score better than their words shuffled."""
     rnd = random.Random(4)
@@ -343,6 +374,98 @@ def test_html_on_pages(spark):
     assert wrong == 0
 
 
+def plain_labels(blocks):
+    """The two passes as they are described, each open block looking at all others."""
+    density = [html.stop_density(b.text) for b in blocks]
+    spoken = 4 * sum(len(b.text) for b, d in zip(blocks, density, strict=True) if d > 0) >= sum(len(b.text) for b in blocks)
+    first = []
+    for b, d in zip(blocks, density, strict=True):
+        n, links = len(b.text), b.linked / max(1, len(b.text))
+        long_ = n > html.LONG or b.main
+        if b.out or links > html.LINKS:
+            first.append("bad")
+        elif b.tag in html.HEADINGS:
+            first.append("heading")
+        elif b.text[0] in "©®" or (n < html.SHORT and links > 0 and not b.main):
+            first.append("bad")
+        elif n < html.SHORT:
+            first.append("short")
+        elif not spoken or d >= html.STOP_HIGH:
+            first.append("good" if long_ else "near")
+        else:
+            first.append("near" if d >= html.STOP_LOW or b.main else "bad")
+    sure = [i for i, x in enumerate(first) if x in ("good", "bad")]
+    out = []
+    for i, b in enumerate(blocks):
+        if i in sure:
+            out.append(first[i])
+            continue
+
+        def sides(some):
+            return max((j for j in some if j < i), default=None), min((j for j in some if j > i), default=None)
+
+        left, right = sides([j for j in sure if blocks[j].place == b.place])
+        if left is None and right is None:
+            left, right = sides(sure)
+            if b.main and "good" not in [first[j] for j in (left, right) if j is not None]:
+                out.append("good")
+                continue
+        if first[i] == "heading" and right is not None:
+            out.append(first[right])
+            continue
+        if not sure:
+            out.append("good")
+            continue
+        if b.main:
+            left, right = (right if left is None else left), (left if right is None else right)
+        (x, m), (y, n) = (("bad", e) if j is None else (first[j], abs(j - i)) for j, e in ((left, i + 1), (right, len(blocks) - i)))
+        if x == y:
+            out.append(x)
+        elif first[i] == "near" or b.main:
+            out.append("good")
+        else:
+            out.append("bad" if m == n else x if m < n else y)
+    return out
+
+
+def test_block_labels_equal_a_plain_labeller():
+    rnd = random.Random(6)
+    words_ = ["the", "of", "and", "to", "stone", "river", "blue", "kayak"]
+    for _ in range(300):
+        blocks = []
+        for _ in range(rnd.randint(0, 25)):
+            text = " ".join(rnd.choice(words_[: rnd.choice([4, 8, 8])] if rnd.random() < 0.7 else words_[4:]) for _ in range(rnd.choice([2, 5, 14, 20, 50])))
+            blocks.append(html.Block(rnd.choice(["", "", "© "]) + text, rnd.choice([0, 0, 0, 5, len(text)]), rnd.choice(["p", "p", "p", "h2", "li"]), rnd.randint(0, 3), rnd.random() < 0.15, rnd.random() < 0.2))
+        html.classify(blocks)
+        assert [b.label for b in blocks] == plain_labels(blocks)
+
+
+def test_long_and_broken_pages_take_linear_time():
+    import time
+
+    n = 80_000
+    began = time.process_time()
+    text = html.main_text("<body><article>" + "".join(f"<p>short text {i} of it</p>" for i in range(n)) + "</article></body>")
+    assert text.count("\n\n") == n - 1 and text.endswith(f"short text {n - 1} of it")
+    for odd in ("<a x='\"z>", '<p class="x>', "<a '", "<!", "<script </script ", "<span>", "<div>", "</script", "<a x=\"'>", "<!--", "&amp"):
+        html.main_text(odd * n)
+    html.main_text("<span>" * n + "</b>" * n)
+    assert time.process_time() - began < 90
+
+
+def test_tags_end_where_their_quotes_say():
+    tags = lambda page: [(t[2], t[3], t[4].strip()) for t in html.Tags(page)]
+    assert tags("<a title=\"x > y\" b='>'>t</a>") == [("a", False, "title=\"x > y\" b='>'"), ("a", True, "")]
+    assert tags("<p class=\"x>one</p>") == [("p", False, 'class="x'), ("p", True, "")]
+    assert tags("a < b > c <1> <!-- <p> --><!doctype html><?x?>") == [("", False, "")] * 3
+    assert tags("<p") == [] and tags("</p x") == [] and html.main_text("a < b") == "a < b"
+
+
+def test_elements_within_an_article_stay():
+    page = f"<body><article><p>{PARAGRAPH}</p><noscript><p>no script of it</p></noscript><p>let <math><mi>x</mi></math> be <object>a thing</object> and <canvas>drawn</canvas></p><p>{PARAGRAPH}</p><svg><title>t</title></svg><select><option>o</select></article></body>"
+    assert html.main_text(page) == f"{PARAGRAPH.strip()}\n\nno script of it\n\nlet x be a thing and drawn\n\n{PARAGRAPH.strip()}"
+
+
 # -- 7 bpe ------------------------------------------------------------------------------------------------------
 
 
