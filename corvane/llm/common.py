@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,6 +27,8 @@ SHARD_BYTES = 8 << 20
 LEAST_BYTES = 256 << 10
 PART_BYTES = 4 << 20
 BATCH_ROWS = 2048
+SLICE, KNOWN = 1 << 20, 1 << 19
+SPACE = re.compile(rb"[ \t\n\v\f\r]")
 NO_ID = (1 << 63) - 2
 
 
@@ -51,6 +54,30 @@ def hash_words(words, seed: int = 0) -> np.ndarray:
     return np.fromiter((h(w, seed) for w in words), np.uint64, len(words))
 
 
+class Hashes(dict):
+    """64-bit hashes of words, each worked out at its first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def word_hashes(data: bytes, known: Hashes) -> np.ndarray:
+    """The hash of each word of a text of any length, a slice of the text at a time; `known` is emptied when it has grown large."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + SLICE
+        if end < len(data):
+            space = SPACE.search(data, end)
+            end = space.start() if space else len(data)
+        words = words_of(data[at:end])
+        if len(known) > KNOWN:
+            known.clear()
+        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint64), *out])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a bijection whose output bits each depend on all input bits."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

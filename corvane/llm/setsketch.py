@@ -9,10 +9,11 @@ copies has k - 1 candidates in a bucket, not k squared. Candidates pass an estim
 register outcomes (greater, less, equal) with a margin of MARGIN deviations, then the full sets are compared. Links give components.
 
 In some buckets members then lie outside the bucket's largest component. The registers of these strays are compared with
-those of all members in other components, block by block; this gives the components that a stray may belong to. Small ones
-add candidates; of large ones the members come block by block, once, and the stray's full set is compared with
-every likely one until one links. So no link within a bucket is lost, and members that are linked by way of others cost nothing.
-A pair of similarity 0.8 shares no bucket with a probability of about 1e-6.
+those of all members in other components, block by block; of each such component the likeliest member is a
+candidate. Strays that its full set does not link are compared with the full sets of all likely members of that component, which are cut into blocks on both sides, too.
+So no pair in a bucket goes untried whose estimate passes, and members that are linked by way of others cost nothing.
+
+A pair of similarity 0.8 shares no bucket with a probability of about 1e-6, and its estimate fails the margin with one of about 3e-6.
 
 Equal sets are one node from the start.
 """
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ids, hash_words, mix, packed, staged, to_bytes, unpacked, windows, with_id, without_id, words_of
+from .common import SHARD_BYTES, Hashes, bounded, distinct, in_parts, mix, packed, staged, text_bytes, to_bytes, unpacked, windows, with_id, without_id, word_hashes
 from .components import components
 
 BANDS, ROWS = 46, 6
 BASE, RATE = 1.08, 20.0
-MARGIN, BLOCK, SMALL, NODES = 4.5, 1024, 8, 40_000
+MARGIN, SMALL = 4.5, 8
+#: rows of a block: sketches, and full sets by their shingles; nodes, or pairs, for a task
+BLOCK, SHINGLES, NODES, PAIRS = 4096, 1 << 19, 40_000, 8_000
 SHINGLE, SALT = 0x8A5CD789635D2DFF, 0x121FD2155C472F96
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,15 +47,11 @@ OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """For each text the sorted hashes of its distinct n-word shingles, A-Z in lower case; fewer words are one shingle."""
-    seen = Ids()
-    numbers = []
+    known, out = Hashes(), []
     for text in texts:
-        words = words_of(to_bytes(text).lower())
-        numbers.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
-    hashes, out = hash_words(seen), []
-    for x in numbers:
-        size = min(n, len(x))
-        out.append(np.unique(mix(windows(hashes[x], size, SHINGLE) + np.uint64(SALT * size % (1 << 64)))) if size else np.empty(0, np.uint64))
+        h = word_hashes(to_bytes(text).lower(), known)
+        size = min(n, len(h))
+        out.append(distinct(mix(windows(h, size, SHINGLE) + np.uint64(SALT * size % (1 << 64)))) if size else np.empty(0, np.uint64))
     return out
 
 
@@ -87,25 +86,23 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 
 def _sketches(n: int):
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = shingle_sets(part.column(1).to_pylist(), n)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column(0),
-                        "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "content": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        "registers": pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    }
-                )
+        for part in in_parts(batches, "text"):
+            sets = shingle_sets(part.column("text").to_pylist(), n)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column("doc_id"),
+                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                    "content": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    "registers": pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                }
+            )
 
     return run
 
 
 def sketch(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash of the set and its registers (both null without words)."""
-    return with_id(docs.select("doc_id", "text")).mapInArrow(_sketches(n), "doc_id long, n_shingles long, content binary, registers binary")
+    return bounded(with_id(docs.select("doc_id", "text"))).mapInArrow(_sketches(n), "doc_id long, n_shingles long, content binary, registers binary")
 
 
 # -- candidates and links ---------------------------------------------------------------------------------------
@@ -122,38 +119,54 @@ def buckets(nodes: DataFrame) -> DataFrame:
 def _likely(floor: float, percent: int):
     def run(batches):
         for batch in batches:
-            n_a, n_b = batch.column("n_a").to_numpy().astype(float), batch.column("n_b").to_numpy().astype(float)
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("r_a", "r_b"))
-            keep = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-            if batch.num_rows:
-                keep &= similarity(a, b, n_a, n_b) >= floor
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            for at in range(0, max(1, batch.num_rows), 512):
+                part = batch.slice(at, 512)
+                n_a, n_b = part.column("n_a").to_numpy().astype(float), part.column("n_b").to_numpy().astype(float)
+                keep = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+                if part.num_rows:
+                    keep &= similarity(_grid(part, "r_a"), _grid(part, "r_b"), n_a, n_b) >= floor
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _linked(n: int, percent: int):
-    def run(batches):
-        kept: dict[int, tuple[str, np.ndarray]] = {}
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
 
-        def sets(ids, texts):
-            new = [i for i, (k, t) in enumerate(zip(ids, texts, strict=True)) if k not in kept or kept[k][0] != t]
-            for i, s in zip(new, shingle_sets([texts[i] for i in new], n), strict=True):
-                kept[ids[i]] = (texts[i], s)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pydict()
-                if sum(len(s) for _, s in kept.values()) > 1 << 21:
-                    kept.clear()
-                out = []
-                for a, b, x, y in zip(part["a"], part["b"], part["t_a"], part["t_b"], strict=True):
-                    sets([a, b], [x, y])
-                    s, t = kept[a][1], kept[b][1]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if both and 100 * both >= percent * (len(s) + len(t) - both):
-                        out.append((a, b))
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = overlap(a, b)
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+class Sets:
+    """The shingle sets of texts by node, the latest ones kept up to a bounded number of shingles."""
+
+    def __init__(self, n: int):
+        self.n, self.kept, self.held = n, {}, 0
+
+    def __call__(self, node: int, text: str | None) -> np.ndarray:
+        found = self.kept.get(node)
+        if found is None or found[0] != text:
+            if self.held > SHINGLES:
+                self.kept, self.held = {}, 0
+            found = self.kept[node] = text, shingle_sets([text], self.n)[0]
+            self.held += len(found[1])
+        return found[1]
+
+
+def _linked(n: int, percent: int):
+    def run(batches):
+        sets = Sets(n)
+        for part in in_parts(batches, "t_a", "t_b"):
+            rows = zip(*(part.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b")), strict=True)
+            out = [(a, b) for a, b, x, y in rows if _alike(sets(a, x), sets(b, y), percent)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
@@ -161,44 +174,51 @@ def _linked(n: int, percent: int):
 def links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of nodes whose full sets overlap enough; texts: (doc_id, text) of all nodes in pairs."""
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    return pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(_linked(n, percent), "a long, b long").distinct()
+    return bounded(pairs.join(text("a"), "a").join(text("b"), "b")).mapInArrow(_linked(n, percent), "a long, b long").distinct()
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, floor: float, percent: int) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(floor, percent), "a long, b long")
+    return bounded(pairs.join(side("a"), "a").join(side("b"), "b")).mapInArrow(_likely(floor, percent), "a long, b long")
 
 
-def _grid(table: pa.Table, column: str = "registers") -> np.ndarray:
+def _grid(table: pa.Table | pa.RecordBatch, column: str = "registers") -> np.ndarray:
     return np.frombuffer(b"".join(table[column].to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
-def _promising(own: np.ndarray, n: int, grid: np.ndarray, sizes: np.ndarray, floor: float, percent: int) -> np.ndarray:
-    """Rows of the grid that may link with a set of n shingles, likeliest first."""
+def _promising(own: np.ndarray, n: int, grid: np.ndarray, sizes: np.ndarray, floor: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the grid that may link with a set of n shingles, likeliest first, and their estimates."""
     at = np.flatnonzero((100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & ((grid == own).mean(axis=1) >= floor))
-    if not len(at):
-        return at
-    j = similarity(np.broadcast_to(own, grid[at].shape), grid[at], np.full(len(at), float(n)), sizes[at].astype(float))
+    parts = [similarity(np.broadcast_to(own, grid[x].shape), grid[x], np.full(len(x), float(n)), sizes[x].astype(float)) for x in np.split(at, range(512, len(at), 512))]
+    j = np.concatenate(parts) if len(at) else np.empty(0)
     order = np.argsort(-j, kind="stable")
-    return at[order[j[order] >= floor]]
+    order = order[j[order] >= floor]
+    return at[order], j[order]
+
+
+CANDIDATES = "node long, part long, other long, estimate double"
 
 
 def _outside(floor: float, percent: int):
-    """(node, part): the components, of a block of a bucket's members, that strays may belong to."""
+    """Of each component that a stray may belong to, by a block of a bucket's members: the likeliest member."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        grid, sizes, parts, out = _grid(right, "o_registers"), right["o_n_shingles"].to_numpy(), right["o_part"].to_numpy(), set()
-        for own, node, part, n in zip(_grid(left), *(left[c].to_pylist() for c in ("node", "part", "n_shingles")), strict=True):
-            other = np.flatnonzero(parts != part)
-            found = parts[other[_promising(own, n, grid[other], sizes[other], floor, percent)]]
-            out.update((node, int(p)) for p in np.unique(found))
-        return pa.table({"node": pa.array([x[0] for x in out], pa.int64()), "part": pa.array([x[1] for x in out], pa.int64())})
+        out = []
+        if left.num_rows and right.num_rows:
+            grid, sizes, parts, others = _grid(right, "o_registers"), *(right[c].to_numpy() for c in ("o_n_shingles", "o_part", "o_node"))
+            for own, node, part, n in zip(_grid(left), *(left[c].to_pylist() for c in ("node", "part", "n_shingles")), strict=True):
+                at, j = _promising(own, n, grid, sizes, floor, percent)
+                there = parts[at]
+                first = np.unique(there, return_index=True)[1]
+                out += [(node, int(there[i]), int(others[at[i]]), float(j[i])) for i in first.tolist() if there[i] != part]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({c.split()[0]: pa.array([x[i] for x in out], kind) for i, (c, kind) in enumerate(zip(CANDIDATES.split(", "), kinds, strict=True))})
 
     return run
 
 
 def strays_of(dealt: DataFrame, nodes: DataFrame, placed: DataFrame, floor: float, percent: int) -> DataFrame:
-    """Distinct (node, part): for members outside the largest component of a bucket, the other components with a likely member there."""
+    """(node, part, other): for members outside the largest component of a bucket, the other components with a likely member there, and the likeliest."""
     here = dealt.select("bucket", "node").join(placed, "node")
     main = here.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("x"), F.sum("n").alias("members")).where("x.n < members")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -208,39 +228,58 @@ def strays_of(dealt: DataFrame, nodes: DataFrame, placed: DataFrame, floor: floa
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     strays = mixed.where("part <> main").select("bucket", block("s").alias("s"), each("m").alias("m"), "node", "part", "n_shingles", "registers")
     # new names, as both sides stem from the same columns
-    others = mixed.select(F.col("bucket").alias("o_bucket"), each("s").alias("o_s"), block("m").alias("o_m"), *(F.col(c).alias(f"o_{c}") for c in ("part", "n_shingles", "registers")))
+    others = mixed.select(F.col("bucket").alias("o_bucket"), each("s").alias("o_s"), block("m").alias("o_m"), *(F.col(c).alias(f"o_{c}") for c in ("node", "part", "n_shingles", "registers")))
     key = ["bucket", "s", "m"]
-    return strays.groupBy(*key).cogroup(others.groupBy(*(f"o_{c}" for c in key))).applyInArrow(_outside(floor, percent), "node long, part long").distinct()
+    found = strays.groupBy(*key).cogroup(others.groupBy(*(f"o_{c}" for c in key))).applyInArrow(_outside(floor, percent), CANDIDATES)
+    return found.groupBy("node", "part").agg(F.max(F.struct("estimate", "other")).alias("x")).select("node", "part", F.col("x.other").alias("other"))
 
 
 def _joined_blocks(n: int, percent: int, floor: float):
-    """Links (a, b) of strays with a block of a large component's members, one for each stray at most."""
+    """Links (a, b) of a block of strays with a block of a component's members, one for each stray at most."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        grid, sizes, ids, out = _grid(right, "m_registers"), right["m_size"].to_numpy(), right["member"].to_pylist(), []
-        texts, sets = right["t_member"], {}
-        for own, node, size, text in zip(_grid(left), *(left[c].to_pylist() for c in ("node", "size", "t_node")), strict=True):
-            (mine,) = shingle_sets([text], n)
-            for at in _promising(own, size, grid, sizes, floor, percent).tolist():
-                if at not in sets:
-                    (sets[at],) = shingle_sets([texts[at].as_py()], n)
-                both = len(np.intersect1d(mine, sets[at], assume_unique=True))
-                if 100 * both >= percent * (len(mine) + len(sets[at]) - both):
-                    out.append((max(node, ids[at]), min(node, ids[at])))
-                    break
+        out = []
+        if left.num_rows and right.num_rows:
+            grid, sizes, ids = _grid(right, "m_registers"), right["m_size"].to_numpy(), right["member"].to_pylist()
+            texts, sets = right["t_member"], Sets(n)
+            for own, node, size, text in zip(_grid(left), *(left[c].to_pylist() for c in ("node", "size", "t_node")), strict=True):
+                (mine,) = shingle_sets([text], n)
+                for at in _promising(own, size, grid, sizes, floor, percent)[0].tolist():
+                    if _alike(mine, sets(ids[at], texts[at].as_py()), percent):
+                        out.append((max(node, ids[at]), min(node, ids[at])))
+                        break
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
-def links_to_large(wanted: DataFrame, nodes: DataFrame, placed: DataFrame, texts: DataFrame, n: int, percent: int, floor: float) -> DataFrame:
-    """Links between strays and large components; wanted: (node, part, members)."""
+def links_by_blocks(wanted: DataFrame, nodes: DataFrame, placed: DataFrame, texts: DataFrame, n: int, percent: int, floor: float) -> DataFrame:
+    """Links between strays and all members of components; wanted: (node, part).
+
+    Both sides are cut into blocks of a bounded number of shingles, and every block of one meets every block of the other.
+    """
+    sizes = nodes.select("node", "n_shingles")
+    blocks = lambda frame, name: frame.groupBy("part").agg(F.ceil(F.sum("n_shingles") / SHINGLES).cast("int").alias(name))
+    some = wanted.select("part").distinct()
+    members = placed.join(some, "part").join(sizes, "node")
+    cuts = blocks(wanted.join(sizes, "node"), "s").join(blocks(members, "m"), "part")
+    block = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     full = nodes.select("node", "n_shingles", "registers").join(texts.withColumnRenamed("doc_id", "node"), "node")
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
-    strays = wanted.join(full, "node").select(F.col("part").alias("s_part"), F.explode(F.sequence(F.lit(0), count - 1)).alias("s_block"), "node", F.col("n_shingles").alias("size"), "registers", F.col("text").alias("t_node"))
-    large = wanted.select("part", "members").distinct()
-    members = placed.join(large, "part").join(full, "node").select("part", F.pmod(F.xxhash64("node"), count).cast("int").alias("block"), F.col("node").alias("member"), F.col("n_shingles").alias("m_size"), F.col("registers").alias("m_registers"), F.col("text").alias("t_member"))
-    return strays.groupBy("s_part", "s_block").cogroup(members.groupBy("part", "block")).applyInArrow(_joined_blocks(n, percent, floor), "a long, b long").distinct()
+    left = wanted.select("node", "part").join(cuts, "part").select("part", block("s").alias("s"), each("m").alias("m"), "node").join(full, "node")
+    left = left.select("part", "s", "m", "node", F.col("n_shingles").alias("size"), "registers", F.col("text").alias("t_node"))
+    right = members.select("node", "part").join(cuts, "part").select(F.col("part").alias("m_part"), each("s").alias("m_s"), block("m").alias("m_m"), "node").join(full, "node")
+    right = right.select("m_part", "m_s", "m_m", F.col("node").alias("member"), F.col("n_shingles").alias("m_size"), F.col("registers").alias("m_registers"), F.col("text").alias("t_member"))
+    return left.groupBy("part", "s", "m").cogroup(right.groupBy("m_part", "m_s", "m_m")).applyInArrow(_joined_blocks(n, percent, floor), "a long, b long").distinct()
+
+
+def _regrouped(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) after further links, from the components before."""
+    return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def _placed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    return nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -250,29 +289,38 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     wordless text has an empty set and no link. Rows with the same id are one document: a link of any of its texts is its
     own. Rows without an id count as one document after all others. One row comes out for each row; other columns are left out.
     """
-    sketches = staged(sketch(docs, n))
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(text_bytes(docs) / SHARD_BYTES))
+    sketches = staged(sketch(docs, n).coalesce(tasks))
+    count = sketches.count()
+    # for few nodes few tasks and files, whatever the session's partitions
+    lean = lambda frame, per=PAIRS: staged(frame.coalesce(max(8, math.ceil(count / per))))
     filled = sketches.where("content is not null")
     nodes = filled.groupBy("content").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("x")).select("content", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.registers")
-    nodes = staged(nodes.coalesce(max(1, math.ceil(sketches.count() / NODES))))
+    nodes = staged(nodes.coalesce(max(1, math.ceil(count / NODES))))
     member = filled.select("doc_id", "content").distinct().join(nodes.select("content", "node"), "content").select("doc_id", "node")
     split = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").drop("last")
     same_id = member.join(split, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
 
-    dealt = staged(buckets(nodes))
+    dealt = lean(buckets(nodes))
     met = dealt.select(F.col("node").alias("doc_id")).distinct()
-    texts = staged(with_id(docs.select("doc_id", "text")).join(met, "doc_id", "left_semi").distinct())
+    texts = lean(with_id(docs.select("doc_id", "text")).join(met, "doc_id", "left_semi").distinct())
     floor = (percent - MARGIN * math.sqrt(percent * (100 - percent) / len(FACTORS))) / 100
-    tried = staged(likely(dealt.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, floor, percent))
-    found = staged(links(tried, texts, n, percent).union(same_id))
-    parts = components(found)
-    placed = staged(nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
-    wanted = strays_of(dealt, nodes, placed, floor, percent).join(placed.groupBy("part").agg(F.count("*").alias("members")), "part").select("node", "part", "members")
-    wanted = staged(wanted)
-    few = wanted.where(F.col("members") <= SMALL).join(placed.withColumnRenamed("node", "other"), "part").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    few = links(likely(few.join(tried, ["a", "b"], "left_anti"), nodes, floor, percent), texts, n, percent)
-    more = staged(few.union(links_to_large(wanted.where(F.col("members") > SMALL), nodes, placed, texts, n, percent, floor)))
-    if not more.isEmpty():
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    tried = likely(dealt.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, floor, percent)
+    parts = components(lean(links(tried, texts, n, percent).union(same_id)))
+    placed = staged(_placed(nodes, parts).coalesce(max(1, math.ceil(count / NODES))))
+    wanted = lean(strays_of(dealt, nodes, placed, floor, percent))
+    if not wanted.isEmpty():
+        parts = _regrouped(parts, lean(links(wanted.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), texts, n, percent)))
+        # what the likeliest member did not link: every likely one of the component as it is now
+        placed = staged(_placed(nodes, parts).coalesce(max(1, math.ceil(count / NODES))))
+        still = wanted.join(placed.select(F.col("node").alias("other"), F.col("part").alias("there")), "other").join(placed.withColumnRenamed("part", "here"), "node")
+        still = lean(still.where("here <> there").select("node", F.col("there").alias("part"), "other").distinct())
+        if not still.isEmpty():
+            members = placed.groupBy("part").agg(F.count("*").alias("members"))
+            still = still.select("node", "part").distinct().join(members, "part")
+            few = still.where(F.col("members") <= SMALL).join(placed.withColumnRenamed("node", "other"), "part").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+            few = links(likely(few, nodes, floor, percent), texts, n, percent)
+            parts = _regrouped(parts, lean(few.union(links_by_blocks(still.where(F.col("members") > SMALL), nodes, placed, texts, n, percent, floor))))
 
     where = nodes.select("content", "node").join(parts, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "content").join(where, "content", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

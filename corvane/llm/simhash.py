@@ -19,28 +19,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, hash_words, mix, shard_count, staged, to_bytes, windows, with_id, without_id, words_of
+from .common import NO_ID, PART_BYTES, Hashes, bounded, mix, shard_count, staged, to_bytes, windows, with_id, without_id, word_hashes
 
 BITS, BLOCKS, NARROW = 128, 8, 3
 WIDE = BLOCKS - 2
 MOST_SHARDS = 10_000
+VOTERS = 4096  # terms that vote at a time
 TERM = 0xC2B2AE3D27D4EB4F
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """A row of BITS / 8 bytes for each text."""
-    seen, numbers = Ids(), []
-    for text in texts:
-        words = words_of(to_bytes(text).lower())
-        numbers.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
-    hashes = hash_words(seen)
-    out = np.zeros((len(texts), BITS // 8), np.uint8)
-    for row, x in enumerate(numbers):
-        if len(x):
-            terms, counts = np.unique(windows(hashes[x], min(2, len(x)), TERM), return_counts=True)
-            bits = np.unpackbits(np.stack([terms, mix(terms ^ np.uint64(TERM))], axis=1).view(np.uint8), axis=1).astype(np.float64)
+    known, out = Hashes(), np.zeros((len(texts), BITS // 8), np.uint8)
+    for row, text in enumerate(texts):
+        h = word_hashes(to_bytes(text).lower(), known)
+        if len(h):
+            terms, counts = np.unique(windows(h, min(2, len(h)), TERM), return_counts=True)
             weights = np.rint(16.0 * (1.0 + np.log(counts)))
-            out[row] = np.packbits(2.0 * (weights @ bits) > weights.sum())
+            votes = np.zeros(BITS)
+            for at in range(0, len(terms), VOTERS):
+                some = terms[at : at + VOTERS]
+                bits = np.unpackbits(np.stack([some, mix(some ^ np.uint64(TERM))], axis=1).view(np.uint8), axis=1)
+                votes += weights[at : at + VOTERS] @ bits.astype(np.float64)
+            out[row] = np.packbits(2.0 * votes > weights.sum())
     return out
 
 
@@ -76,39 +77,47 @@ def _judge(rows: list[tuple[int, str]]) -> pa.RecordBatch:
 def _in_order(batches):
     """Rows come sorted by shard, with the first document of the next shard last."""
     rows: list[tuple[int, str]] = []
+    held = 0
     for batch in batches:
         for doc_id, text, last in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("last").to_pylist(), strict=True):
             rows.append((doc_id, text))
-            if last or len(rows) > 512:
+            held += len(text)
+            if last or (len(rows) > 1 and held > PART_BYTES) or len(rows) > 512:
                 yield _judge(rows)
                 rows = [] if last else rows[-1:]
+                held = len(text) * (not last)
 
 
 def fingerprint_documents(docs: DataFrame, n_shards: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last half comes from the start of the next document.
 
-    Next: by ascending id, equal ids by text, rows without an id after all others; after the last comes the
-    first. A null text is empty. A lone row is its own next. The order is made by ranges of ids, each sorted in one
-    partition and read as a stream; each range also gets the first row of the next one. Other columns are left out.
+    Next: by ascending id, rows of one id by a hash of the text and the text, rows without an id after all others; after the last comes the
+    first. A null text is empty. A lone row is its own next. The order is made by ranges, each sorted in one
+    partition and read as a stream; each range also gets the first row of the next one. An id with many rows, or many rows
+    without one, are cut at hashes into as many ranges as they have shares. Other columns are left out.
     """
     n_shards = min(MOST_SHARDS, n_shards or shard_count(docs))
-    docs = with_id(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    cuts = np.unique(np.array(docs.select("doc_id").approxQuantile("doc_id", [i / n_shards for i in range(1, n_shards)], 0.25 / n_shards), np.int64)) if n_shards > 1 else np.empty(0, np.int64)
+    docs = with_id(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("turn", F.xxhash64("text"))
+    found = docs.approxQuantile("doc_id", [i / n_shards for i in range(1, n_shards)], 0.25 / n_shards) if n_shards > 1 else []
+    cuts = np.array([min(int(x), NO_ID) for x in found], np.int64)
 
     @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right").astype(np.int32))
-
-    own = docs.withColumn("shard", shard("doc_id"))
-    least = own.groupBy("shard").agg(F.min("doc_id").alias("doc_id"))
+    def shard(ids: pd.Series, turns: pd.Series) -> pd.Series:
+        ids, part = ids.to_numpy(), turns.to_numpy() / 2.0**64 + 0.5
+        first, last = (np.searchsorted(cuts, ids, side=side) for side in ("left", "right"))
+        own = np.where(last > first, 1 + np.minimum((part * (last - first)).astype(np.int64), last - first - 1), 0)
+        return pd.Series((first + own).astype(np.int32))
+
+    own = bounded(docs).withColumn("shard", shard("doc_id", "turn"))
+    least = own.select("shard", F.struct("doc_id", "turn").alias("x")).groupBy("shard").agg(F.min("x").alias("x")).select("shard", "x.doc_id", "x.turn")
     order = [row["shard"] for row in least.select("shard").orderBy("shard").collect()]  # MOST_SHARDS at most
     before = dict(zip(order, order[-1:] + order[:-1], strict=True))
     spark = docs.sparkSession
-    turn = spark.createDataFrame(list(before.items()), "shard int, before int")
-    heads = docs.join(F.broadcast(least), "doc_id").groupBy("shard", "doc_id").agg(F.min("text").alias("text"))
-    heads = heads.join(F.broadcast(turn), "shard").select("doc_id", "text", F.col("before").alias("shard"), F.lit(True).alias("last"))
+    previous = spark.createDataFrame(list(before.items()), "shard int, before int")
+    heads = docs.join(F.broadcast(least), ["doc_id", "turn"]).groupBy("shard", "doc_id", "turn").agg(F.min("text").alias("text"))
+    heads = heads.join(F.broadcast(previous), "shard").select("doc_id", "text", "turn", F.col("before").alias("shard"), F.lit(True).alias("last"))
     dealt = own.withColumn("last", F.lit(False)).unionByName(heads)
-    dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "last", "doc_id", "text")
+    dealt = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "last", "doc_id", "turn", "text")
     return without_id(dealt.select("doc_id", "text", "last").mapInArrow(_in_order, COLUMNS))
 
 

@@ -654,8 +654,36 @@ def test_fingerprints(spark, docs, rows, shards, empty):
 def test_fingerprints_of_a_lone_row_and_of_equal_ids(spark):
     one = simhash.fingerprint_documents(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
     assert one.edited_sha256 == sha("abab") and one.near_next == 1.0
-    same = simhash.fingerprint_documents(spark.createDataFrame([(1, "bb"), (1, "aa"), (None, "cc")], "doc_id long, text string"), 3).collect()
-    assert {(r.doc_id, r.edited_sha256) for r in same} == {(1, sha("ab")), (1, sha("bc")), (None, sha("ca"))}
+
+
+@pytest.mark.parametrize("shards", [1, 3, 9])
+def test_rows_of_one_id_and_of_none_are_cut_into_ranges(spark, shards):
+    made = [(1, f"text of {i}") for i in range(40)] + [(None, f"other {i} x") for i in range(40)] + [(1, "text of 3"), (0, "first"), (2, None)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    turns = {r.text: r.turn for r in frame.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("turn")).collect()}
+    order = sorted(((1 << 62 if i is None else i, turns[t or ""], t or "") for i, t in made))
+    texts = [t for *_, t in order]
+    want = collections.Counter()
+    for k, (i, _, text) in enumerate(order):
+        after, half = texts[(k + 1) % len(texts)], len(text) // 2
+        want[None if i == 1 << 62 else i, sha(text[: len(text) - half] + after[:half])] += 1
+    got = simhash.fingerprint_documents(frame, shards).collect()
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_a_huge_text_votes_in_bounded_memory():
+    import time
+    import tracemalloc
+
+    text = " ".join(f"{i * 7919 % 1000003:x}{i % 97}" for i in range(2_500_000))
+    assert len(text) > 15 << 20
+    tracemalloc.start()
+    began = time.process_time()
+    (long_,) = simhash.fingerprints([text])
+    took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and took < 60
+    assert (simhash.fingerprints(["A b c", "a  B\nc"])[0] == simhash.fingerprints(["a b c"])[0]).all() and long_.any()
 
 
 def test_block_tables_find_all_within_the_radius(spark):
