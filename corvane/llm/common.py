@@ -9,6 +9,8 @@ packed column back; the texts themselves travel once.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import math
 import re
 import tempfile
@@ -151,6 +153,25 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Hands memory that is free in this process back to the machine; a worker that is kept for later tasks else holds what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(function):
+    """The function of one group, followed by release()."""
+
+    def run(*tables):
+        try:
+            return function(*tables)
+        finally:
+            release()
+
+    return run
+
+
 def size_of(column: pa.Array) -> pa.Array:
     return pc.list_value_length(column) if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length(column)
 

@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHARD_BYTES, Ids, hash_words, mix, pack, sharded, shards_for, staged, to_bytes, unpack, without_id, words_of
+from .common import SHARD_BYTES, Ids, distinct, hash_words, mix, pack, release, released, sharded, shards_for, staged, to_bytes, unpack, without_id, words_of
 
 DEPTH, TOP = 7, 3
+WIDTH = 7  # bytes of context that fit a key
 LEAST = 2
 PART = 1 << 20
 END = b"\xff"
@@ -44,23 +45,26 @@ def _low(d: int) -> np.uint64:
 
 
 def _keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each closed text: the depth (7 at most) bytes before it and itself as a number, the latest lowest; and its text's number."""
-    data = np.frombuffer(b"".join(b" " * depth + t + END for t in texts), np.uint8)
-    number = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    at = np.arange(len(number)) + depth * (number + 1)
-    keys = np.zeros(len(at), np.uint64)
-    for d in range(depth + 1):
-        keys |= data[at - d].astype(np.uint64) << np.uint64(8 * d)
-    return keys, number
-
+    """For each byte of each closed text: itself and the depth bytes before it as a number, turned; and its text's number.
 
-def _turned(keys: np.ndarray) -> np.ndarray:
-    """Keys with the latest byte of the context highest, as shards and buckets sort and send them: those of one bucket lie close."""
-    swapped = keys.byteswap()
-    return (swapped << np.uint64(8)) | (swapped >> np.uint64(56))
+    Turned: the latest byte of the context highest and the coded byte lowest, as shards and buckets sort and send keys: those of one bucket lie close.
+    """
+    data = b"".join(b" " * WIDTH + t + END for t in texts)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    number = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    at = np.ndarray(len(data) - WIDTH, "<u8", data, strides=(1,))  # eight bytes from each place on, the last one highest
+    inside = np.ones(len(at), bool)
+    ends = (np.cumsum(lengths + WIDTH) - WIDTH)[:-1]
+    inside[(ends[:, None] + np.arange(WIDTH)).ravel()] = False
+    keys = at[inside]
+    keys = (keys << np.uint64(8)) | (keys >> np.uint64(56))
+    if depth < WIDTH:
+        keys &= ~((np.uint64(1) << np.uint64(8 * (8 - depth))) - np.uint64(1)) | np.uint64(255)
+    return keys, number
 
 
 def _plain(turned: np.ndarray) -> np.ndarray:
+    """Keys with the latest byte of the context next to the coded byte, the lowest."""
     return ((turned >> np.uint64(8)) | (turned << np.uint64(56))).byteswap()
 
 
@@ -80,7 +84,7 @@ def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(keys):
         return keys, *counts
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")
     k = keys[order]
     heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     return k[heads], *(np.add.reduceat(c[order], heads) for c in counts)
@@ -93,7 +97,7 @@ def _merged(keys: Iterable[np.ndarray], counts: Iterable[np.ndarray]) -> tuple[n
         k.append(x)
         c.append(y)
         held += len(x)
-        if held > max(4 * PART, len(k[0])):
+        if held > max(PART, len(k[0]) // 2):
             x, y = _summed(np.concatenate(k), np.concatenate(c))
             k, c, held = [x], [y], 0
     return _summed(np.concatenate(k), np.concatenate(c))
@@ -107,29 +111,12 @@ def _tally(texts: list[bytes], held_out: list[bool], depth: int) -> tuple[np.nda
     keys, counts = [], []
     for held in (False, True):
         for part in _parts([t for t, h in zip(texts, held_out, strict=True) if h == held]):
-            k, c = np.unique(_turned(_keys(part, depth)[0]), return_counts=True)
+            k, c = np.unique(_keys(part, depth)[0], return_counts=True)
             keys.append(k)
             counts.append(c * (not held))
     return _merged(keys, counts)
 
 
-def _levels(k: np.ndarray, c: np.ndarray, depth: int, top: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """From turned keys and counts, for each d from depth down to top: sorted nodes (d bytes of context, bits so far), with both outcomes."""
-    k, c = _summed(_plain(k[c > 0]), c[c > 0])
-    for d in range(depth, top - 1, -1):
-        if d < depth:
-            k, c = _summed(k & _low(d + 1), c)
-        found = []
-        for bit in range(8 if len(k) else 0):
-            one = (k >> np.uint64(7 - bit)) & np.uint64(1)
-            at = (k & ~np.uint64(255)) | (np.uint64(1) << np.uint64(bit)) | ((k & np.uint64(255)) >> np.uint64(8 - bit))
-            heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            found.append((at[heads], np.add.reduceat(np.where(one == 0, c, 0), heads), np.add.reduceat(np.where(one == 1, c, 0), heads)))
-        node, n0, n1 = map(np.concatenate, zip(*found, strict=True)) if found else (k, c, c)
-        order = np.argsort(node)
-        yield node[order], n0[order], n1[order]
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     shift = np.zeros_like(x)
     for i in range(8):
@@ -138,30 +125,19 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_HALVES, _WHOLES = (_log_gamma(np.arange(1 << 14) + x) for x in (0.5, 1.0))
+
+
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    a, b = n0.astype(float), n1.astype(float)
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1)
-
-
-def _weighed(d: int, k: np.ndarray, a: np.ndarray, b: np.ndarray, below: tuple[np.ndarray, ...] | None):
-    """Nodes of depth d that hold the least count: their entry in the model, and what the next level needs of them."""
-    keep = a + b >= LEAST
-    k, a, b = k[keep], a[keep], b[keep]
-    kt = _log_kt(a, b)
-    weight, rest = np.ones(len(k)), np.full(len(k), 0.5)
-    whole = kt
-    if below is not None and len(below[0]):
-        ck, ca, cb, cw = below
-        to = np.searchsorted(k, _above(ck, d))
-        sa, sb = (np.bincount(to, x, len(k)) for x in (ca, cb))
-        product, has = np.bincount(to, cw, len(k)), np.bincount(to, minlength=len(k)) > 0
-        ra, rb = a - sa, b - sb
-        split = product + _log_kt(ra, rb)
-        both = np.logaddexp(kt, split) + math.log(0.5)
-        weight = np.where(has, np.exp(kt + math.log(0.5) - both), 1.0)
-        whole = np.where(has, both, kt)
-        rest = np.where(has, (rb + 0.5) / (ra + rb + 1), 0.5)
-    return (k, ((b + 0.5) / (a + b + 1.0)).astype(np.float32), weight.astype(np.float32), rest.astype(np.float32)), (k, a, b, whole)
+    """log of the Krichevsky-Trofimov estimate of counts; nearly all are in the tables."""
+    a, b = n0.astype(np.int64), n1.astype(np.int64)
+    small = a + b < len(_WHOLES)
+    x, y = np.where(small, a, 0), np.where(small, b, 0)
+    out = _HALVES[x] + _HALVES[y] - _WHOLES[x + y]
+    if not small.all():
+        x, y = a[~small].astype(float), b[~small].astype(float)
+        out[~small] = _log_gamma(x + 0.5) + _log_gamma(y + 0.5) - _log_gamma(x + y + 1)
+    return out - math.log(math.pi)
 
 
 def _above(node: np.ndarray, d: int) -> np.ndarray:
@@ -169,111 +145,137 @@ def _above(node: np.ndarray, d: int) -> np.ndarray:
     return (node & _low(d + 1) & ~np.uint64(255)) | (node & np.uint64(255))
 
 
-def weigh(node, n0, n1, depth: int) -> list[tuple[np.ndarray, ...]]:
-    """The model of sorted nodes, given by depth: for each depth the nodes, their KT estimate of a 1, their weight, and the rest's estimate."""
-    model, below = [], None
-    for d in range(depth, -1, -1):
-        entry, below = _weighed(d, *(np.atleast_1d(x[d]) for x in (node, n0, n1)), below)
-        model.append(entry)
-    return model[::-1]
-
+def _mixed(kt: np.ndarray, a: np.ndarray, b: np.ndarray, kids: tuple[np.ndarray, ...] | None):
+    """log P_w of nodes with counts a and b, the weight of their own estimate, and the estimate of a 1 in what no child holds.
 
-def train(texts: DataFrame, n_bytes: list[int] | None = None, depth: int = DEPTH, share: int | None = None) -> list[list[tuple[np.ndarray, ...]]]:
-    """The whole model of a small frame (text) in one place. n_bytes and share, which once set the least count, have no effect."""
-    rows = [to_bytes(row["text"]).lower() for row in texts.select("text").collect()]
-    levels = list(_levels(*_tally(rows, [False] * len(rows), depth), depth, 0))[::-1]
-    return [weigh(*zip(*levels, strict=True), depth)]
+    kids: of the children that are kept, the place of the node above, both counts and log P_w.
+    """
+    if kids is None or not len(kids[0]):
+        return kt, np.ones(len(a)), np.full(len(a), 0.5)
+    to, ca, cb, cw = kids
+    has = np.bincount(to, minlength=len(a)) > 0
+    ra, rb = a - np.bincount(to, ca, len(a)), b - np.bincount(to, cb, len(a))
+    own, split = kt + math.log(0.5), np.bincount(to, cw, len(a)) + _log_kt(ra, rb) + math.log(0.5)
+    both = np.where(has, np.logaddexp(own, split), kt)
+    return both, np.where(has, np.exp(own - both), 1.0), np.where(has, (rb + 0.5) / (ra + rb + 1), 0.5)
+
+
+def _depths(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """For each depth from top to depth: sorted distinct keys, their counts, and the place of each among those of one depth less."""
+    keys, counts = _summed(keys, counts)
+    out = []
+    for d in range(depth, top, -1):
+        cut = keys & _low(d)
+        order = np.argsort(cut, kind="stable")
+        cut = cut[order]
+        new = np.r_[True, cut[1:] != cut[:-1]] if len(cut) else np.empty(0, bool)
+        up = np.empty(len(keys), np.int32)
+        up[order] = np.cumsum(new) - 1
+        out.append((keys, counts, up))
+        heads = np.flatnonzero(new)
+        keys, counts = cut[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts
+    return [(keys, counts, None), *out[::-1]]
+
+
+class Trees:
+    """The context trees of one decision, from depth top on, over the keys of a bucket: a node is a run of sorted keys."""
+
+    def __init__(self, depths, bit: int, top: int):
+        self.bit, self.top, self.levels = bit, top, []
+        kids = None
+        for keys, counts, up in depths[::-1]:
+            at = keys >> np.uint64(8 - bit)
+            new = np.r_[True, at[1:] != at[:-1]]
+            heads, run = np.flatnonzero(new), (np.cumsum(new) - 1).astype(np.int32)
+            one = (keys >> np.uint64(7 - bit)) & np.uint64(1) == 1
+            a, b = (np.add.reduceat(np.where(x, counts, 0), heads) for x in (~one, one))
+            keep = a + b >= LEAST
+            if kids is not None:
+                kids = (run[kids[0]], *kids[1:])
+            kt = _log_kt(a, b)
+            whole, weight, rest = _mixed(kt, a, b, kids)
+            self.levels.append((heads, run, keep, (b + 0.5) / (a + b + 1.0), weight, rest, up))
+            self.counts, self.whole = (a, b), whole
+            if up is not None:
+                kids = (up[heads[keep]], a[keep], b[keep], whole[keep])
+        self.levels.reverse()
+        self.keys = depths[0][0]
+
+    def nodes(self) -> tuple[np.ndarray, ...]:
+        """Of depth top: node, both counts, log P_w; all nodes, the kept ones count only."""
+        k = self.keys[self.levels[0][0]]
+        node = (k & ~np.uint64(255)) | (np.uint64(1) << np.uint64(self.bit)) | ((k & np.uint64(255)) >> np.uint64(8 - self.bit))
+        return node, *self.counts, self.whole
+
+    def ones(self, above) -> np.ndarray:
+        """For each key of the full depth, the probability of a 1 mixed over all depths."""
+        node = self.nodes()[0]
+        p, left, value = np.zeros(len(node)), np.ones(len(node)), np.full(len(node), 0.5)
+        on = np.arange(len(node))
+        for d, (keys, kt, weight, rest) in enumerate(above):
+            if not len(on) or not len(keys):
+                break
+            want = _above(node[on], d)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            on, at = on[keys[at] == want], at[keys[at] == want]
+            p[on] += left[on] * weight[at] * kt[at]
+            left[on] *= 1.0 - weight[at]
+            value[on] = p[on] + left[on] * rest[at]
+        back = None
+        for heads, run, keep, kt, weight, rest, up in self.levels:
+            if up is not None:
+                to = back[up[heads]]
+                p, left, value = p[to], left[to], value[to]
+            p = p + left * weight * kt
+            left = left * (1.0 - weight)
+            value = np.where(keep, p + left * rest, value)
+            back = run
+        return value[back]
 
 
 def _weigh_top(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, whole: np.ndarray, top: int) -> list[tuple[np.ndarray, ...]]:
-    """The model above all buckets' nodes of depth top."""
-    keep = n0 + n1 >= LEAST
-    model, below = [], (node[keep], n0[keep], n1[keep], whole[keep])
+    """The model above all buckets' nodes of depth top: for each depth the kept nodes, their KT estimate of a 1, their weight, and the rest's estimate."""
+    model, below = [], (node, n0, n1, whole)
     for d in range(top - 1, -1, -1):
         node, n0, n1 = _summed(_above(node, d), n0, n1)
-        entry, below = _weighed(d, node, n0, n1, below)
-        model.append(entry)
+        keep = below[1] + below[2] >= LEAST
+        kids = np.searchsorted(node, _above(below[0][keep], d)), *(x[keep] for x in below[1:])
+        whole, weight, rest = _mixed(_log_kt(n0, n1), n0, n1, kids)
+        keep, below = n0 + n1 >= LEAST, (node, n0, n1, whole)
+        model.append((node[keep], *(x[keep].astype(np.float32) for x in ((n1 + 0.5) / (n0 + n1 + 1.0), weight, rest))))
     return model[::-1]
 
 
-def _weigh_bucket(k: np.ndarray, c: np.ndarray, depth: int, top: int):
-    """The model of a bucket from depth top on, and its nodes of that depth, whole: (node, n0, n1, log P_w)."""
-    model, below = [], None
-    for d, (node, n0, n1) in zip(range(depth, top - 1, -1), _levels(k, c, depth, top), strict=True):
-        entry, below = _weighed(d, node, n0, n1, below)
-        model.append(entry)
-    whole = np.zeros(len(node))
-    whole[n0 + n1 >= LEAST] = below[3]
-    return model[::-1], (node, n0, n1, whole)
+def _top_nodes(keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, ...]:
+    """The nodes of depth top of a bucket that training texts hold, sorted: node, both counts, log P_w."""
+    if not len(keys):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    depths = _depths(keys, counts, depth, top)
+    node, n0, n1, whole = map(np.concatenate, zip(*(Trees(depths, bit, top).nodes() for bit in range(8)), strict=True))
+    order = np.argsort(node)
+    return node[order], n0[order], n1[order], whole[order]
 
 
 # -- scoring ----------------------------------------------------------------------------------------------------
 
 
-def _log10_of_bytes(model, deepest: np.ndarray, ctx: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(byte))
-    for bit in range(8):
-        node = ((1 << bit) | (byte.astype(np.int64) >> (8 - bit))).astype(np.uint64)
-        p, left = np.zeros(len(byte)), np.ones(len(byte))
-        on, last = np.arange(len(byte)), np.full(len(byte), 0.5)
-        for d, (keys, kt, weight, rest) in enumerate(model):
-            if not len(on) or not len(keys):
-                break
-            want = ((ctx[on] & _low(d)) << np.uint64(8)) | node[on]
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            found = (keys[at] == want) & (deepest[on] >= d)
-            on, at = on[found], at[found]
-            p[on] += left[on] * weight[at] * kt[at]
-            left[on] *= 1.0 - weight[at]
-            last[on] = rest[at]
-        p += left * last
-        total += np.log10(np.where((byte >> (7 - bit)) & 1 == 1, p, 1.0 - p))
+def _log10_of_keys(above, keys: np.ndarray, counts: np.ndarray, depth: int, top: int) -> np.ndarray:
+    """For the sorted distinct keys of a bucket, with their training counts, log10 of the probability of the byte."""
+    total = np.zeros(len(keys))
+    depths = _depths(keys, counts, depth, top) if len(keys) else []
+    for bit in range(8 if len(keys) else 0):
+        p = Trees(depths, bit, top).ones(above)
+        total += np.log10(np.where((keys >> np.uint64(7 - bit)) & np.uint64(1) == 1, p, 1.0 - p))
     return total
 
 
-def _estimates(model) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth the nodes, and the probability of a 1 mixed over all depths for a context that ends there."""
-    out, p, left = [], None, None
-    for d, (keys, kt, weight, rest) in enumerate(model):
-        weight = weight.astype(float)
-        if d:
-            to = np.searchsorted(out[-1][0], _above(keys, d - 1))
-            p, left = p[to] + left[to] * weight * kt, left[to] * (1.0 - weight)
-        else:
-            p, left = weight * kt, 1.0 - weight
-        out.append((keys, p + left * rest))
-    return out
-
-
-def _ones(estimates, keys: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """For keys of depth d and each of their 8 bits: the probability of a 1, and whether there is a node of this depth."""
-    if d:
-        upper, back = np.unique(keys & _low(d), return_inverse=True)
-        p, reach = (x[back] for x in _ones(estimates, upper, d - 1))
-    else:
-        p, reach = np.full((len(keys), 8), 0.5), np.ones((len(keys), 8), bool)
-    nodes, mixed = estimates[d]
-    on, found = np.arange(len(keys)), np.zeros_like(reach)
-    for bit in range(8 if len(nodes) else 0):
-        on = on[reach[on, bit]]
-        want = (keys[on] & ~np.uint64(255)) | (np.uint64(1) << np.uint64(bit)) | ((keys[on] & np.uint64(255)) >> np.uint64(8 - bit))
-        at = np.minimum(np.searchsorted(nodes, want), len(nodes) - 1)
-        is_in = nodes[at] == want
-        on = on[is_in]
-        p[on, bit] = mixed[at[is_in]]
-        found[on, bit] = True
-    return p, found
-
-
-def _log10_of_keys(model, keys: np.ndarray) -> np.ndarray:
-    """What _log10_of_bytes gives at the full depth, by one estimate a node: a node stands below nodes of fewer bytes and of fewer bits."""
-    out, estimates = np.empty(len(keys), np.float32), _estimates(model)
-    for i in range(0, len(keys), PART // 16):
-        k = keys[i : i + PART // 16]
-        p = _ones(estimates, k, len(model) - 1)[0]
-        one = (k[:, None] >> np.arange(7, -1, -1).astype(np.uint64)) & np.uint64(1)
-        out[i : i + PART // 16] = np.log10(np.where(one == 1, p, 1.0 - p)).sum(axis=1)
-    return out
+def _short(logs: np.ndarray) -> np.ndarray:
+    """The upper three bytes of 32-bit floats, rounded: they are right to one part in 2^17."""
+    return (logs.astype(np.float32).view(np.uint32).astype(np.int64) + 128) >> 8
+
+
+def _long(short: np.ndarray) -> np.ndarray:
+    return (short << np.uint64(8)).astype(np.uint32).view(np.float32)
 
 
 def _texts(table: pa.Table) -> Iterator[bytes]:
@@ -286,15 +288,20 @@ def _numbered(seen: Ids, parts: list[bytes]) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, parts), np.int32, len(parts))
 
 
+def _dealt(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (mix(h) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.int64)  # numpy sorts the former in one pass
+
+
 def _places(words: list[bytes], n_buckets: int):
     h = hash_words(words)
-    bucket = (mix(hash_words(words, 1)) % np.uint64(n_buckets)).astype(np.int64)
-    return np.lexsort((h, bucket)), h, bucket
+    order = np.argsort(h)
+    bucket = _dealt(h, n_buckets)
+    return order[np.argsort(bucket[order], kind="stable")], h, bucket
 
 
 def _context_places(keys: np.ndarray, n_buckets: int, top: int):
     """Of turned keys; a bucket's keep their order."""
-    bucket = (mix(keys >> np.uint64(64 - 8 * top) if top else np.zeros_like(keys)) % np.uint64(n_buckets)).astype(np.int64)
+    bucket = _dealt(keys >> np.uint64(64 - 8 * top) if top else np.zeros_like(keys), n_buckets)
     return np.argsort(bucket, kind="stable"), bucket
 
 
@@ -336,7 +343,8 @@ def _gather(table: pa.Table, depth: int) -> pa.Table:
     what, (k, c) = table["what"][0].as_py(), _sums(hashes, counts)
     tokens, nodes = (int(c.sum()), int((c > 0).sum())) if what == WORDS else (0, 0), [None] * 4
     if what == CONTEXTS:
-        node, n0, n1, whole = _weigh_bucket(k, c, depth, min(TOP, depth))[1]
+        trained = c > 0
+        node, n0, n1, whole = _top_nodes(_plain(k[trained]), c[trained], depth, min(TOP, depth))
         nodes = [pack(node, True), pack(n0), pack(n1), whole.tobytes()]
     row = [what, table["bucket"][0].as_py(), table["shard"].to_pylist(), hashes, counts, *tokens, *nodes]
     kinds = [pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int64(), pa.int64(), *[pa.binary()] * 4]
@@ -352,10 +360,12 @@ def _answer(depth: int, above):
                 what, bucket, shards, hashes, counts = (batch.column(name)[i].as_py() for name in ("what", "bucket", "shards", "hashes", "counts"))
                 k, c = _sums(hashes, counts)
                 if what == CONTEXTS:
-                    model = [*above.value, *_weigh_bucket(k, c, depth, min(TOP, depth))[0]]
-                    c = _log10_of_keys(model, _plain(k)).view(np.uint32)
+                    plain = _plain(k)
+                    order = np.argsort(plain, kind="stable")
+                    c[order] = _short(_log10_of_keys(above.value, plain[order], c[order], depth, min(TOP, depth)))
                 for shard, x in zip(shards, hashes, strict=True):
                     yield pa.RecordBatch.from_pydict({"what": pa.array([what], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "shard": pa.array([shard], pa.int32()), "found": pa.array([pack(c[np.searchsorted(k, unpack(x, True))])], pa.binary())})
+                release()
 
     return run
 
@@ -371,13 +381,15 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHAR
     decision has probability 1/2. Repeated rows count as often as they stand; other columns are left out.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if not 0 <= depth <= WIDTH:
+        raise ValueError(f"depth is {depth}; a key holds {WIDTH} bytes of context")
     docs = docs.select("doc_id", "text", (F.crc32(key.cast("binary")) % 5 == 1).alias("held_out"))
     n_shards = shards_for(docs.sparkSession, docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0, shard_bytes)
     top = min(TOP, depth)
 
     own = sharded(docs, n_shards, "text", "held_out")
-    asked = own.groupBy("shard").applyInArrow(lambda t: _ask(t, n_shards, depth), "what int, bucket int, shard int, hashes binary, counts binary")
-    buckets = staged(asked.repartition(n_shards, "what", "bucket").groupBy("what", "bucket").applyInArrow(lambda t: _gather(t, depth), BUCKET))
+    asked = own.groupBy("shard").applyInArrow(released(lambda t: _ask(t, n_shards, depth)), "what int, bucket int, shard int, hashes binary, counts binary")
+    buckets = staged(asked.repartition(n_shards, "what", "bucket").groupBy("what", "bucket").applyInArrow(released(lambda t: _gather(t, depth)), BUCKET))
     n, v = (x or 0 for x in buckets.agg(F.sum("tokens"), F.sum("vocabulary")).first())
     # the nodes with `top` bytes of context: as many as there are values of those bytes, whatever the corpus
     rows = buckets.where(F.col("what") == CONTEXTS).select("node", "n0", "n1", "whole").collect()
@@ -399,13 +411,13 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHAR
         coded, size = [], []
         for part in _parts(texts):
             k, number = _keys(part, depth)
-            own_keys, back = np.unique(_turned(k), return_inverse=True)
-            coded.append((own_keys, back.astype(np.int32), number.astype(np.int32)))
+            own_keys, back = np.unique(k, return_inverse=True)
+            coded.append((own_keys, back.astype(np.int32), number))
             size.append(len(part))
-        keys = np.unique(np.concatenate([x[0] for x in coded]))
+        keys = distinct(np.concatenate([x[0] for x in coded]))
         order, bucket = _context_places(keys, n_shards, top)
         logs = np.empty(len(keys), np.float32)
-        logs[order] = np.concatenate([unpack(found[CONTEXTS, int(b)]).astype(np.uint32).view(np.float32) for b in np.unique(bucket)])
+        logs[order] = np.concatenate([_long(unpack(found[CONTEXTS, int(b)])) for b in np.unique(bucket)])
         scores = [np.bincount(number, logs[np.searchsorted(keys, k)][back], n_texts) for (k, back, number), n_texts in zip(coded, size, strict=True)]
         return pa.table(
             {
@@ -420,5 +432,5 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHAR
             }
         )
 
-    scored = own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finish, SCORES)
+    scored = own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(released(finish), SCORES)
     return without_id(scored).withColumn("bits_per_byte", -F.col("score") / math.log10(2) / (F.col("n_bytes") + 1)).drop("n_bytes")

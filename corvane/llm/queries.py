@@ -52,7 +52,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source"))
+    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
     return mixed.select(F.col("doc_id").cast("long"), "source", "block", "slot", "place")
 
 

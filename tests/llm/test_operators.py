@@ -587,6 +587,38 @@ def test_mix_keeps_every_row_and_interleaves(spark, docs, rows, empty):
     assert ordered.columns == docs.columns and ordered.count() == len(rows)
 
 
+def test_blocks_hold_characters_and_sums_go_by_chunks_and_groups(spark, monkeypatch):
+    """Long texts of one source take no more of the mix than their weight; against plain running sums."""
+    rnd = random.Random(8)
+    made = [(i if i % 4 else None, "abc"[i % 3], rnd.randint(800, 1200) if i % 3 == 0 else rnd.randint(0, 60)) for i in range(1500)] + [(7, "a", None), (8, "a", -5)]
+    frame = spark.createDataFrame(made, "doc_id long, source string, n_chars long")
+    weights = spark.createDataFrame([(s, 1.0) for s in "abc"], "source string, weight double")
+    monkeypatch.setattr(mixing, "CHUNK", 3000)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    got = mixing.mix(frame, weights, block=2000, period=30).collect()
+    assert collections.Counter((r.doc_id, r.source, r.n_chars) for r in got) == collections.Counter(made)
+    for name in "abc":
+        at = 0
+        for r in sorted((r for r in got if r.source == name), key=lambda r: (r.block, r.place)):
+            assert (r.block, r.place) == divmod(at, 2000)
+            at += 1 + max(0, r.n_chars or 0)
+    ends = {s: max(r.slot for r in got if r.source == s) for s in "abc"}
+    until = min(ends.values())
+    taken = {s: sum(1 + max(0, r.n_chars or 0) for r in got if r.source == s and r.slot < until) for s in "abc"}
+    assert max(taken.values()) - min(taken.values()) < 2 * 2000 + 1200
+
+
+def test_schedule_of_the_most_sources(spark):
+    import time
+
+    n = mixing.MOST_SOURCES
+    shared = mixing.shares(spark.createDataFrame([(f"s{i:04}", 1.0 + i % 7) for i in range(n)], "source string, weight double")).cache()
+    shares = [r.share for r in shared.orderBy("number").collect()]
+    began = time.time()
+    got = sorted(((r.number, r.turn, r.slot) for r in mixing.schedule(shared).collect()), key=lambda r: r[2])
+    assert time.time() - began < 300 and got == edf(shares, mixing.SPARE * n)
+
+
 def test_too_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
     with pytest.raises(ValueError):
