@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import inspect
 import math
 import re
 import tempfile
@@ -161,7 +162,7 @@ def release() -> None:
 
 
 def released(function):
-    """The function of one group, followed by release()."""
+    """The function of one group, or of a pair of groups, followed by release()."""
 
     def run(*tables):
         try:
@@ -169,7 +170,8 @@ def released(function):
         finally:
             release()
 
-    return run
+    # Spark counts the parameters
+    return (lambda table: run(table)) if len(inspect.signature(function).parameters) == 1 else (lambda left, right: run(left, right))
 
 
 def size_of(column: pa.Array) -> pa.Array:
