@@ -32,6 +32,7 @@ WIDTH = 7  # bytes of context that fit a key
 LEAST = 2
 PART = 1 << 20
 END = b"\xff"
+UNITS = float(1 << 20)
 END_TOKEN = b"\n"
 WORDS, CONTEXTS = 0, 1
 
@@ -270,12 +271,12 @@ def _log10_of_keys(above, keys: np.ndarray, counts: np.ndarray, depth: int, top:
 
 
 def _short(logs: np.ndarray) -> np.ndarray:
-    """The upper three bytes of 32-bit floats, rounded: they are right to one part in 2^17."""
-    return (logs.astype(np.float32).view(np.uint32).astype(np.int64) + 128) >> 8
+    """Logarithms as whole numbers of a millionth or so: most fit three bytes, a few of which hardly vary."""
+    return np.rint(logs * -UNITS).astype(np.int64)
 
 
 def _long(short: np.ndarray) -> np.ndarray:
-    return (short << np.uint64(8)).astype(np.uint32).view(np.float32)
+    return short.astype(np.float64) / -UNITS
 
 
 def _texts(table: pa.Table) -> Iterator[bytes]:
@@ -416,7 +417,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHAR
             size.append(len(part))
         keys = distinct(np.concatenate([x[0] for x in coded]))
         order, bucket = _context_places(keys, n_shards, top)
-        logs = np.empty(len(keys), np.float32)
+        logs = np.empty(len(keys))
         logs[order] = np.concatenate([_long(unpack(found[CONTEXTS, int(b)])) for b in np.unique(bucket)])
         scores = [np.bincount(number, logs[np.searchsorted(keys, k)][back], n_texts) for (k, back, number), n_texts in zip(coded, size, strict=True)]
         return pa.table(
