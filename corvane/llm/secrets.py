@@ -3,7 +3,8 @@
 Spans of each kind are the leftmost non-overlapping matches of a pattern: the text is parted at the matches, and the
 lengths of parts and matches add up to offsets in code points. Every candidate's value is hashed; the distinct owners and repositories
 that hold a hash are counted over the whole corpus. Values with MANY owners or more are widely copied examples; those with
-fewer count as live. Long mixed tokens that no base pattern finds are added as spans of kind `token` if they are live.
+fewer count as live. An owner is a value of one column, `source` unless another is named; where few sources stand for many people, values of few sources are live.
+Long mixed tokens that no base pattern finds are added as spans of kind `token` if they are live.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import packed, staged, unpacked, with_id, without_id
 
 MANY = 3
+STRETCH = 256
 KINDS = ["assign", "access", "hex", "token"]
 # fixed values: the contract's base patterns (kind, pattern, group of the value, least length of the value)
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,8 +40,14 @@ def spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Colu
             more = F.when(F.length(value) >= least, F.concat(state["found"], F.array(one))).otherwise(state["found"])
             return F.struct(stop.alias("at"), more.alias("found"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), start, step, lambda s: s["found"])
+        def stretch(state: Column, begin: Column) -> Column:
+            """STRETCH matches: their array grows by itself, as each step copies it."""
+            start = F.struct(state["at"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+            done = F.aggregate(F.sequence(begin, F.least(begin + STRETCH, F.size(x["hits"])) - 1), start, step)
+            return F.get(F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(state["all"], F.array(d["found"])).alias("all"))), F.lit(0))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("all"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1, F.lit(STRETCH)), start, stretch, lambda s: F.flatten(s["all"]))
 
     once = F.transform(F.array(F.struct(parts.alias("parts"), hits.alias("hits"), values.alias("values"))), walk)
     return F.when(text.rlike(pattern), F.get(once, F.lit(0))).otherwise(F.array().cast(f"array<{SPAN}>"))
