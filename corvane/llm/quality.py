@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, hash_words, packed, to_bytes, unpacked, windows, words_of
+from .common import PART_BYTES, Ids, bounded, distinct, hash_words, packed, slices, to_bytes, unpacked, windows, words_of
 
 SAMPLE = 6_000
 SYMBOLS = "#*$%&|<>"
@@ -85,7 +85,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
             ((data >= 48) & (data <= 57)).sum(),
             text.count("!") + text.count("?"),
             len(lines),
-            len(np.unique(np.arange(len(x)) // STRETCH * len(seen) + x)),
+            len(distinct(np.arange(len(x)) // STRETCH * len(seen) + x)),
             short[x].sum(),
         )
     return out
@@ -95,7 +95,8 @@ STATISTICS = ", ".join(f"{c} long" for c in COUNTS + MORE)
 
 
 def _frame(texts: pd.Series) -> pd.DataFrame:
-    parts = [statistics(texts.iloc[at : at + 1024].tolist()) for at in range(0, len(texts), 1024)]
+    listed = texts.tolist()
+    parts = [statistics(listed[some.start : some.stop]) for some in slices([len(t or "") + 512 for t in listed], PART_BYTES)]
     return pd.DataFrame(np.concatenate(parts) if parts else np.empty((0, len(COUNTS + MORE)), np.int64), columns=COUNTS + MORE)
 
 
@@ -105,7 +106,7 @@ def _measure(text: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each row's text; a null text counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), _measure(F.col("text").cast("string")).alias("_stats")).select("doc_id", "_stats.*")
+    return bounded(docs).select(F.col("doc_id").cast("long"), _measure(F.col("text").cast("string")).alias("_stats")).select("doc_id", "_stats.*")
 
 
 def base_failed(of: str = "") -> Column:
@@ -230,12 +231,16 @@ def fired(rules: list[Rule], of: str = "") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """The list for labels (doc_id, quality); rows without an id, a 0 or a 1 are left out, and no labels give no rules."""
-    picked = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long"), "quality")
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")
-    stats = measured(rows).join(F.broadcast(picked), "doc_id").select("quality", *(feature(f).alias(f) for f in FEATURES), "doc_id")
-    table = stats.limit(4 * sample).toPandas().sort_values(["doc_id", "quality", *FEATURES])  # repeated rows may add to the sample
+    """The list for labels (doc_id, quality); rows without an id, a 0 or a 1 are left out, and no labels give no rules.
+
+    An id counts once: with the least of its labels, and the least of its texts; so the list depends on the rows alone.
+    """
+    picked = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    picked = F.broadcast(picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    stats = bounded(rows).select("doc_id", "quality", _measure(F.col("text")).alias("_stats"))
+    table = stats.select("doc_id", "quality", *(feature(f, "_stats.").alias(f) for f in FEATURES)).toPandas().sort_values("doc_id")  # `sample` rows at most
     if not len(table):
         return []
     return learn({f: table[f].to_numpy(float) for f in FEATURES}, table["quality"].to_numpy() == 0)
@@ -244,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs, with its columns, that judged() would keep."""
     rules = fit(docs, labels, sample)
-    rows = packed(docs, _measure(F.col("text").cast("string")).alias("_stats"))
+    rows = packed(bounded(docs), _measure(F.col("text").cast("string")).alias("_stats"))
     return unpacked(rows.where(~base_failed("_stats.") & fired(rules, "_stats.").isNull()), docs.columns)
 
 
