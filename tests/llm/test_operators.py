@@ -89,6 +89,14 @@ def test_secret_spans(spark, empty):
     assert "token:4:24" in next(r.spans for r in got if r.doc_id == 9)
 
 
+def test_many_spans_of_one_text(spark):
+    text = " ".join(f"é token={i:06x}z" for i in range(6000))
+    frame = spark.createDataFrame([(1, text, "en", "s", 0)], DOCS)
+    got = secrets.scan(frame).first()
+    want = plain_spans(text)
+    assert got.n_assign == 6000 and got.base_sha256 == sha(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want))
+
+
 def test_owner_frequency_parts_examples_from_live_secrets(spark):
     example, live = "AKIA" + "E" * 16, "AKIA" + "L" * 16
     mixed = "Ab3dEf6hIj9kLm2nOp5q"
@@ -248,6 +256,15 @@ def test_urls(spark):
     assert urls.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_weighted_vocabularies(spark):
+    pages = spark.createDataFrame([(0, "http://a.net/%63%41sino%20x"), (1, "http://a.net/mauve-teal"), (2, "http://a.net/mauve"), (3, "http://a.net/c%C3%A9/%zz/%"), (4, "http://a.net/Ochre"), (5, "http://mauve.net/teal/teal%2Dmauve" + "/x" * 50_000)], "page_id long, url string")
+    assert [r.verdict for r in urls.judge_urls(pages, rules=[]).orderBy("page_id").collect()] == ["block", *["allow"] * 5]
+    table = spark.createDataFrame([("Mauve", 1.5), ("mauve", 1.0), ("teal", 0.5), ("OCHRE", 7.0), ("", 9.0), (None, 9.0), ("x", None)], "term string, weight double")
+    got = urls.judge_urls(pages, rules=[], terms=table).orderBy("page_id").collect()
+    assert [(r.verdict, r.n_strict, r.n_soft, r.weight) for r in got] == [("allow", 0, 0, 0.0), ("block", 0, 2, 2.0), ("allow", 0, 1, 1.5), ("allow", 0, 0, 0.0), ("block", 1, 0, 7.0), ("block", 0, 2, 2.0)]
+    assert not set(urls.STRICT) & set(urls.SOFT) and all(t == t.lower() for t in urls.STRICT + urls.SOFT)
+
+
 # -- 4 quality --------------------------------------------------------------------------------------------------
 
 
@@ -291,6 +308,16 @@ def test_quality_verdicts_generalise(spark):
     assert sum(good) / len(good) > 0.97 and sum(junk) / len(junk) < 0.1
 
 
+def test_repeated_ids_do_not_change_the_list(spark):
+    """An id with several texts and labels counts once, by a total order, however the rows are dealt."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    more = base.select((F.col("doc_id") % 50).alias("doc_id"), "text")
+    docs = base.unionByName(more)
+    both = labels.unionByName(labels.select("doc_id", (1 - F.col("quality")).cast(labels.schema["quality"].dataType).alias("quality")).where("doc_id % 9 = 0"))
+    assert quality.fit(docs, both, 300) == quality.fit(docs.repartition(7), both.repartition(5), 300)
+
+
 def test_quality_edges(spark, docs, rows, empty):
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality.judged(docs, labels).collect()}
