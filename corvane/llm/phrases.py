@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Ids, hash_words, mix, pack, shard_count, sharded, to_bytes, unpack, windows, without_id, words_of
+from .common import Ids, hash_words, mix, pack, released, shard_count, sharded, to_bytes, unpack, windows, without_id, words_of
 
 PIECE = 40
 REQUEST = "bucket int, shard int, hashes binary, docs binary"
@@ -144,8 +144,9 @@ def remove_repeated_phrases(docs: DataFrame, n: int = 13, n_shards: int | None =
     """
     n_shards = n_shards or shard_count(docs)
     own = sharded(docs, n_shards, "doc_id", "text")
-    asked = own.groupBy("shard").applyInArrow(lambda t: _ask(t, n, n_shards), REQUEST)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, RESPONSE)
+    asked = own.groupBy("shard").applyInArrow(released(lambda t: _ask(t, n, n_shards)), REQUEST)
+    # a task for each bucket: the session's partitions would give fewer and larger ones
+    answers = asked.repartition(n_shards, "bucket").groupBy("bucket").applyInArrow(released(_answer), RESPONSE)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = _remove(left, right, n, n_shards)
@@ -155,4 +156,4 @@ def remove_repeated_phrases(docs: DataFrame, n: int = 13, n_shards: int | None =
         return out.drop_columns("kept_text").append_column("kept_sha256", pa.array(hashed, pa.string()))
 
     schema = f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string"
-    return without_id(own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finish, schema))
+    return without_id(own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(released(finish), schema))
