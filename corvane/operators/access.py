@@ -249,3 +249,18 @@ def latest_first(frame: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row for each key: the first in the given order."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return frame.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+# fixed values: what a curator sees of a chunk, and what stands for a missing value
+CONTENT = {"chunk_index": None, "heading": None, "page_or_slide": None, "content_type": "text", "text": None}
+
+
+def chunk_content(chunks: DataFrame) -> DataFrame:
+    """The declared fields of chunks and no other, whatever columns the table has gained."""
+    value = lambda c, other: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
+    return chunks.select(*(F.coalesce(value(c, d), F.lit(d)).alias(c) if d else value(c, d).alias(c) for c, d in CONTENT.items()))
+
+
+def page_after(rows: DataFrame, key: str, after=None, size: int = 1000) -> DataFrame:
+    """The next `size` rows by key after a key; the last row's key asks for the page after it. A scan over all needs no pages."""
+    return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)

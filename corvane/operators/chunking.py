@@ -6,7 +6,7 @@ over TABLE_MAX words is split by rows with its first two lines repeated. chunk_i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET, OVERLAP, TABLE_MAX = 512, 0.15, 700
@@ -135,3 +135,9 @@ def uuid5(namespace: Column, name: Column) -> Column:
 def chunk_id(document_id: Column, chunk_index: Column) -> Column:
     """The stable id of a chunk, so that writing it twice changes nothing."""
     return uuid5(document_id, F.concat(F.lit("chunk:"), chunk_index.cast("string")))
+
+
+def carried_headings(sections: DataFrame, by: str = "doc_id", order: str = "pos", heading: str = "heading") -> DataFrame:
+    """sections in which one without a heading has the nearest heading before it in its document; null before the first."""
+    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return sections.withColumn(heading, F.last(F.nullif(F.trim(heading), F.lit("")), ignorenulls=True).over(before))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PIECES = 64
+
+
 def with_gain(results: DataFrame, golden: DataFrame) -> DataFrame:
     """results (qid, rank, filename) with gain: 1 at the first rank of an expected name, else 0."""
     expect = golden.select("qid", F.explode("expect").alias("filename")).distinct().withColumn("_e", F.lit(True))
@@ -71,7 +74,8 @@ def judge_report(judged: DataFrame) -> DataFrame:
     """Means of judged answers, how many abstentions were right, undetermined or without a tool call."""
     names = [c for c, t in judged.dtypes if t == "double"]
     abstention = judged["abstention_correct"]
-    return judged.agg(*(F.avg(c).alias(f"mean_{c}") for c in names), F.avg(abstention.cast("int")).alias("abstention_accuracy"), F.count_if(abstention.isNull()).alias("undetermined"))
+    failed = [F.count_if(~F.coalesce("tool_called", F.lit(False))).alias("tool_call_failures")] if "tool_called" in judged.columns else []
+    return judged.agg(*failed, *(F.avg(c).alias(f"mean_{c}") for c in names), F.avg(abstention.cast("int")).alias("abstention_accuracy"), F.count_if(abstention.isNull()).alias("undetermined"))
 
 
 def score_in_range(value: Column) -> Column:
@@ -103,8 +107,23 @@ def may_compare(current: str, baseline: str, allow_change: bool = False) -> bool
 
 
 def percentiles(samples: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Exact nearest-rank percentiles."""
-    return samples.groupBy(*by).agg(*(F.expr(f"percentile_disc({q}) within group (order by {value})").alias(f"p{round(q * 100)}") for q in qs), F.count(value).alias("n"))
+    """Exact nearest-rank percentiles.
+
+    Values are counted by group and value, and running counts are made in PIECES ranges of each group that hold about as many values, so that no task
+    gets a group's values.
+    """
+    found = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = found.groupBy(*by).agg(F.percentile_approx("_v", [i / PIECES for i in range(1, PIECES)], F.lit(1000)).alias("_cuts"), F.sum("_n").alias("n"))
+    cut = found.join(cuts, by) if by else found.crossJoin(F.broadcast(cuts))  # one row
+    cut = cut.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    sizes = cut.groupBy(*by, "_piece").agg(F.sum("_n").alias("_m"))
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    inside = Window.partitionBy(*by, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = cut.withColumn("_upto", F.sum("_n").over(inside)).join(sizes, [*by, "_piece"]).withColumn("_upto", F.col("_base") + F.col("_upto"))
+    ranks = upto.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= F.ceil(F.lit(q) * F.col("n")), F.col("_v"))).alias(f"p{round(q * 100)}") for q in qs), F.max("n").alias("n"))
+    empty = samples.select(*by).distinct().join(ranks, by, "left") if by else ranks
+    return empty.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def histogram_delta(snapshots: DataFrame) -> DataFrame:

@@ -133,6 +133,20 @@ def purge(documents: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFr
     return _rest(documents, made, changes), audit
 
 
+def purge_stored(documents: DataFrame, confirmed: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, audit, chunks, objects) after purging the confirmed documents.
+
+    chunks: without those of purged documents, in whatever container; objects: the keys (original_object_key) whose originals are to be deleted.
+    Write the three tables with store.write_together() and hand the keys to files.delete_objects().
+    """
+    from .store import delete_document
+
+    after, audit = purge(documents, confirmed)
+    gone = documents.join(confirmed.select("document_id").distinct(), "document_id", "left_semi").where("status <> 'purged'")
+    objects = gone.where("original_object_key is not null").select("original_object_key").distinct() if "original_object_key" in documents.columns else gone.select(F.lit(None).cast("string").alias("original_object_key")).limit(0)
+    return after, audit, delete_document(chunks, gone), objects
+
+
 def open_requests(requests: DataFrame, now: Column) -> DataFrame:
     return requests.where((F.col("status") == "pending") & (F.col("expires_at") > now))
 
@@ -183,6 +197,13 @@ def unpublished(documents: DataFrame, limit: int = 100) -> DataFrame:
     return documents.where("status = 'queued' and queue_published_at is null").orderBy("created_at", "document_id").limit(limit)
 
 
+def backlog(documents: DataFrame, now: Column) -> DataFrame:
+    """(unpublished, oldest_seconds): how many queued documents no job was published for, and the age of the oldest; 0 without any."""
+    rows = documents.where("status = 'queued' and queue_published_at is null")
+    age = now.cast("timestamp").cast("double") - F.min(F.col("created_at").cast("timestamp")).cast("double")
+    return rows.agg(F.count("*").alias("unpublished"), F.coalesce(age, F.lit(0.0)).alias("oldest_seconds"))
+
+
 def mark_published(documents: DataFrame, published: DataFrame) -> DataFrame:
     rows = documents.join(published.select("document_id", F.col("at").alias("_at")), "document_id", "left")
     return rows.withColumn("queue_published_at", F.coalesce("queue_published_at", "_at")).select(*documents.columns)
@@ -215,13 +236,17 @@ def unexpired(table: DataFrame, now: Column, minutes: int) -> DataFrame:
     return table.where(F.col("created_at") >= now - F.make_dt_interval(mins=F.lit(minutes)))
 
 
+def integrity_candidates(documents: DataFrame, limit: int = 500) -> DataFrame:
+    """Documents with a digest and an original, those checked longest ago, or never, first."""
+    return documents.where("content_sha256 is not null and original_object_key is not null").orderBy(F.asc_nulls_first("last_verified_at"), "document_id").limit(limit)
+
+
 def integrity(documents: DataFrame, objects: DataFrame, limit: int = 500) -> DataFrame:
     """(document_id, outcome) for the documents checked longest ago: verified, mismatched or missing.
 
     objects: (original_object_key, content). Documents without a digest are not candidates. Only the batch's objects are read.
     """
-    batch = documents.where("content_sha256 is not null and original_object_key is not null").orderBy(F.asc_nulls_first("last_verified_at"), "document_id").limit(limit)
-    rows = batch.join(objects.select("original_object_key", F.sha2("content", 256).alias("_d")), "original_object_key", "left")
+    rows = integrity_candidates(documents, limit).join(objects.select("original_object_key", F.sha2("content", 256).alias("_d")), "original_object_key", "left")
     outcome = F.when(F.col("_d").isNull(), "missing").when(F.col("_d") == F.lower("content_sha256"), "verified").otherwise("mismatched")
     return rows.select("document_id", outcome.alias("outcome"))
 

@@ -48,9 +48,12 @@ def or_zero(total: Column) -> Column:
     return F.coalesce(total, F.lit(0.0))
 
 
-def sustained(samples: DataFrame, series: list[str], condition: Column, seconds: int, ts: str = "ts") -> DataFrame:
-    """(series, since, until): runs of consecutive samples that meet the condition for at least the seconds."""
-    order = Window.partitionBy(*series).orderBy(ts)
+def sustained(samples: DataFrame, series: list[str], condition: Column, seconds: int, ts: str = "ts", ties: list[str] = []) -> DataFrame:  # noqa: B006
+    """(series, since, until): runs of consecutive samples that meet the condition for at least the seconds.
+
+    Samples of one time are taken in the order of `ties`, and those that do not meet the condition first among equals, so they end a run.
+    """
+    order = Window.partitionBy(*series).orderBy(ts, *ties, "_on").rowsBetween(Window.unboundedPreceding, 0)
     rows = samples.withColumn("_on", F.coalesce(condition, F.lit(False)))
     rows = rows.withColumn("_run", F.count_if(~F.col("_on")).over(order))
     runs = rows.where("_on").groupBy(*series, "_run").agg(F.min(ts).alias("since"), F.max(ts).alias("until"))
@@ -123,6 +126,17 @@ def fallback_ratio(fallbacks: DataFrame, queries: DataFrame, seconds: int, ts: s
     return rows.select(ts, ratio(or_zero(F.col("_some")), F.col("_all")).alias("ratio"))
 
 
+def hourly_growth(samples: DataFrame, series: list[str], ts: str = "ts") -> DataFrame:
+    """Growth of a counter over the last hour at each sample: queries, finished jobs."""
+    return increase(samples, series, 3600, ts)
+
+
+def total_or_zero(samples: DataFrame, at: DataFrame, ts: str = "ts", seconds: int = 3600) -> DataFrame:
+    """(ts, increase) at each time of `at`: the growth of all series of a counter over the range, 0 where no series has a sample."""
+    grown = increase(samples, ["series"], seconds, ts).groupBy(ts).agg(F.sum("increase").alias("_grown"))
+    return at.select(ts).distinct().join(grown, ts, "left").select(ts, or_zero(F.col("_grown")).alias("increase"))
+
+
 def growth_alert(samples: DataFrame, series: list[str], seconds: int, most: float, ts: str = "ts") -> DataFrame:
     """Samples at which a counter has grown by more than `most` within the range: denials, failed or exhausted jobs, failed publication."""
     return increase(samples, series, seconds, ts).where(F.col("increase") > most)

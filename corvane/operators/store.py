@@ -1,13 +1,21 @@
 """Chunk tables: partitioned by level, written by key, moved and purged as copy-on-write snapshots.
 
 A container is a partition directory classification=...; filters on the level prune it. Every function returns the
-new snapshot; write_snapshot() puts one in place of another.
+new snapshot; write_snapshot() puts one in place of another: each is a folder of its own, and a small file that is renamed into place
+names the current one. So a reader sees a whole snapshot, and chunks that a new one no longer holds, or holds in another
+container, are gone with the folder of the old one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+POINTER = "_current.json"
 
 
 def _levelled(chunks: DataFrame) -> DataFrame:
@@ -32,7 +40,7 @@ def update_payload(chunks: DataFrame, document_id: str, fields: dict[str, Column
 
 def delete_document(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Without the chunks of the documents (document_id), in whatever partition."""
-    return chunks.join(documents.select("document_id").distinct(), "document_id", "left_anti")
+    return chunks.join(documents.select("document_id").distinct(), "document_id", "left_anti").select(*chunks.columns)
 
 
 def replace_document(chunks: DataFrame, new: DataFrame) -> DataFrame:
@@ -73,6 +81,106 @@ def migrate_default(chunks: DataFrame, legacy: DataFrame) -> DataFrame:
     return upsert(legacy, chunks)
 
 
+# -- snapshots on disk ------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, a maker of paths) of a store."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _current(spark: SparkSession, path: str) -> dict | None:
+    system, make = _files(spark, path)
+    where = make(f"{path}/{POINTER}")
+    if not system.exists(where):
+        return None
+    source = system.open(where)
+    try:
+        return json.loads(bytes(source.readAllBytes()))
+    finally:
+        source.close()
+
+
+def _point(spark: SparkSession, path: str, to: dict | None) -> None:
+    """Makes `to` the current snapshot by one rename over the file that names it; None takes that file away."""
+    system, make = _files(spark, path)
+    where = make(f"{path}/{POINTER}")
+    if to is None:
+        system.delete(where, False)
+        return
+    new = make(f"{path}/.{uuid.uuid4().hex}")
+    out = system.create(new, True)
+    try:
+        out.write(bytearray(json.dumps(to).encode()))
+    finally:
+        out.close()
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    qualified = where.makeQualified(system.getUri(), system.getWorkingDirectory())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(new.makeQualified(system.getUri(), system.getWorkingDirectory()), qualified, options)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Removes all folders but the current snapshot's."""
+    system, make = _files(spark, path)
+    kept = (_current(spark, path) or {}).get("folder")
+    for found in system.listStatus(make(path)):
+        if found.isDirectory() and found.getPath().getName() != kept:
+            system.delete(found.getPath(), True)
+
+
+def write_together(tables: dict[str, DataFrame], partitions: dict[str, list[str]] | None = None) -> None:
+    """Puts several tables (path: snapshot) in place, all or none.
+
+    All are written before any is made current; if one fails, what was written goes and the tables that were already
+    moved are moved back. The old folders go last, so frames that were read from them must be read again.
+    """
+    if not tables:
+        return
+    spark = next(iter(tables.values())).sparkSession
+    before = {path: _current(spark, path) for path in tables}
+    moved: list[str] = []
+    try:
+        after = {}
+        for path, frame in tables.items():
+            folder = f"snapshot-{uuid.uuid4().hex}"
+            by = (partitions or {}).get(path, ["classification"] if "classification" in frame.columns else [])
+            frame.write.partitionBy(*by).parquet(f"{path}/{folder}")
+            after[path] = {"folder": folder, "schema": frame.schema.jsonValue()}
+        for path, to in after.items():
+            moved.append(path)
+            _point(spark, path, to)
+    except BaseException:
+        for path in moved:
+            _point(spark, path, before[path])
+        for path in tables:
+            system, make = _files(spark, path)
+            if system.exists(make(path)):
+                _sweep(spark, path)
+        raise
+    for path in tables:
+        _sweep(spark, path)
+
+
 def write_snapshot(chunks: DataFrame, path: str) -> None:
-    """Partitioned by level; only partitions that the snapshot holds are replaced, and they are staged whole before."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("classification").parquet(path)
+    """Makes the chunks, partitioned by level, the whole content of the table; they may stem from the snapshot before."""
+    write_together({path: _levelled(chunks)}, {path: ["classification"]})
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The current snapshot, with its columns as they were written; FileNotFoundError without one."""
+    current = _current(spark, path)
+    if current is None:
+        raise FileNotFoundError(path)
+    schema = StructType.fromJson(current["schema"])
+    return spark.read.schema(schema).parquet(f"{path}/{current['folder']}").select(*schema.fieldNames())
+
+
+def ensure_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The current snapshot, or an empty one of the schema, which is made where there is none."""
+    if _current(spark, path) is None:
+        write_snapshot(spark.createDataFrame([], schema), path)
+    return read_snapshot(spark, path)

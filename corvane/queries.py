@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -192,18 +193,30 @@ def marking_scan(spark, sf_dir):
     return rows.where(F.size("m") > 0).select("doc_id", joined(F.array_sort("m")).alias("levels"))
 
 
-@query("select doc_id, case doc_id % 10 when 0 then 'NOFORN' when 1 then 'USA|FVEY' else 'SP-CTI|NOFORN' end as caveats from documents where doc_id % 10 < 3")
+_TAIL = "(?://[A-Z0-9][A-Z0-9 ,-]*)*"
+_MARKS = f"""(select doc_id, classification, releasability, text,
+  list_concat(regexp_extract_all(text, '(?:^|[^A-Za-z])(CONTROLLED UNCLASSIFIED INFORMATION|TOP SECRET|UNCLASSIFIED|CONFIDENTIAL|SECRET|UNCLAS|CUI)({_TAIL})(?:$|[^A-Za-z])', 1),
+    list_transform(regexp_extract_all(text, '\\(([A-Z][A-Z ]*?)({_TAIL})\\)', 1), lambda x: trim(x))) as words,
+  list_concat(regexp_extract_all(text, '(?:^|[^A-Za-z])(CONTROLLED UNCLASSIFIED INFORMATION|TOP SECRET|UNCLASSIFIED|CONFIDENTIAL|SECRET|UNCLAS|CUI)({_TAIL})(?:$|[^A-Za-z])', 2),
+    regexp_extract_all(text, '\\(([A-Z][A-Z ]*?)({_TAIL})\\)', 2)) as tails
+ from (select doc_id, classification, releasability, {PLANTED} as text from {GOV_SQL}))"""
+_CAVEATS = f"""(select doc_id, list_distinct(list_transform(list_filter(flatten(list_transform(tails, lambda t: string_split_regex(t, '[\\s/,]+'))), lambda t: t <> '' and not list_contains({sorted(T.NOISE)!r}, t)),
+   lambda t: {"case t " + " ".join(f"when '{k}' then '{v}'" for k, v in T.ALIASES.items()) + " else t end"})) as caveats from {_MARKS})"""
+_LEVEL_RANK = "case x when 'SECRET' then 2 when 'S' then 2 when 'CUI' then 1 when 'CONTROLLED UNCLASSIFIED INFORMATION' then 1 when 'UNCLASSIFIED' then 0 when 'UNCLAS' then 0 when 'U' then 0 end"
+
+
+@query(f"select doc_id, array_to_string(list_sort(caveats), '|') as caveats from {_CAVEATS} where len(caveats) > 0")
 def marked_caveats(spark, sf_dir):
     rows = planted(spark, sf_dir).select("doc_id", T.marked_caveats(F.col("text")).alias("c"))
-    return rows.where(F.size("c") > 0).select("doc_id", joined(F.col("c")).alias("caveats"))
+    return rows.where(F.size("c") > 0).select("doc_id", joined(F.array_sort("c")).alias("caveats"))
 
 
-@query(f"""select doc_id, case doc_id % 10 when 0 then 'SECRET' when 2 then 'CUI' end as detected,
- coalesce(case doc_id % 10 when 0 then 2 when 2 then 1 end > doc_id % 3, false) as under_classified,
- case when doc_id % 10 in (0, 2) and not list_contains(releasability, 'NOFORN') then 'NOFORN' when doc_id % 10 = 1 then array_to_string(list_filter(['USA', 'FVEY'], lambda c: not list_contains(releasability, c)), '|') else '' end as unassigned from {GOV_SQL}""")
+@query(f"""with m as (select doc_id, classification, releasability, list_max(list_transform(words, lambda x: {_LEVEL_RANK})) as top from {_MARKS})
+select m.doc_id, case top when 2 then 'SECRET' when 1 then 'CUI' when 0 then 'UNCLASSIFIED' end as detected, coalesce(top > case classification when 'SECRET' then 2 when 'CUI' then 1 else 0 end, false) as under_classified,
+ array_to_string(list_sort(list_filter(caveats, lambda c: list_contains(['NOFORN', 'USA', 'FVEY', 'NATO'], c) and not list_contains(releasability, c))), '|') as unassigned from m join {_CAVEATS} c using (doc_id)""")
 def under_classified(spark, sf_dir):
     rows = T.compare_markings(planted(spark, sf_dir), levels(spark), ["NOFORN", "USA", "FVEY", "NATO"])
-    return rows.select("doc_id", "detected", "under_classified", joined(F.col("unassigned_caveats")).alias("unassigned"))
+    return rows.select("doc_id", "detected", "under_classified", joined(F.array_sort("unassigned_caveats")).alias("unassigned"))
 
 
 @query(f"""select doc_id, list_sum(list_transform(regexp_extract_all(text, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b'), lambda s: case when s[1:3] in ('000', '666') or s[1] = '9' or s[5:6] = '00' or s[8:11] = '0000' then 0 else 1 end))::bigint as n
@@ -230,20 +243,20 @@ def pii_routing(spark, sf_dir):
 
 @query(f"""select doc_id, cast(len(regexp_extract_all(text, '\\bAKIA[0-9A-Z]{{16}}\\b')) + len(regexp_extract_all(text, '\\bgh[pousr]_[A-Za-z0-9]{{36,}}\\b')) + len(regexp_extract_all(text, '\\bxox[baprs]-[A-Za-z0-9-]{{10,}}\\b'))
   + len(regexp_extract_all(text, '(?i)\\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|secret[_-]?key|client[_-]?secret)\\b\\s*[:=]\\s*["'']?[A-Za-z0-9_\\-/+=]{{20,}}["'']?')) as bigint) as keys,
-  contains(text, '-----BEGIN RSA PRIVATE KEY-----') as key_block from (select doc_id, {PLANTED} as text from documents) where doc_id % 10 in (4, 5)""")
+  contains(text, '-----BEGIN RSA PRIVATE KEY-----') as key_block from (select doc_id, {PLANTED} as text from documents) qualify keys > 0 or key_block""".replace(" qualify ", ") where ").replace("select doc_id, cast(len", "select * from (select doc_id, cast(len", 1))
 def secret_patterns(spark, sf_dir):
     rows = planted(spark, sf_dir).select("doc_id", F.size(T.vendor_keys(F.col("text"))).cast("long").alias("keys"), (F.size(T.key_blocks(F.col("text"))) > 0).alias("key_block"))
     return rows.where("keys > 0 or key_block")
 
 
 @query(f"""select doc_id, cast(list_sum(list_transform({T.PHRASES!r}, lambda p: (length(low) - length(replace(low, p, ''))) // length(p))) as bigint) as hits
- from (select doc_id, lower({PLANTED}) as low from documents) where doc_id % 10 = 6""")
+ from (select doc_id, lower({PLANTED}) as low from documents)) where hits > 0""".replace("select doc_id, cast(list_sum", "select * from (select doc_id, cast(list_sum", 1))
 def injection_markers(spark, sf_dir):
     counts = T.phrase_counts(F.col("text"))
     return planted(spark, sf_dir).select("doc_id", F.aggregate(counts, F.lit(0), lambda a, b: a + b).cast("long").alias("hits")).where("hits > 0")
 
 
-@query("select doc_id from documents where doc_id % 10 = 7")
+@query(f"select doc_id from (select doc_id, regexp_replace({PLANTED}, '^\\x{{FEFF}}', '') as text from documents) where regexp_matches(regexp_replace(text, '[\\t\\n\\r\\x{{AD}}]', '', 'g'), '[\\p{{Cc}}\\p{{Cf}}]')")
 def hidden_characters(spark, sf_dir):
     return planted(spark, sf_dir).where(T.has_hidden(F.col("text"))).select("doc_id")
 
@@ -279,11 +292,39 @@ def document_metrics(spark, sf_dir):
     return gov(spark, sf_dir).select("doc_id", T.extension(F.col("filename")).alias("file_type"), T.slug(F.col("classification")).alias("container"), F.sha2("text", 256).alias("digest"), T.opaque_id(F.col("uploader_sub")).alias("opaque"))
 
 
-@query("select page_id, 1 as n from pages where false")
-def page_tables(spark, sf_dir):
-    """Pages have no tables: no section of one may come out."""
-    sections = table(spark, sf_dir, "pages").select("page_id", F.explode(parsers.html_sections(F.col("html"))).alias("s"))
-    return sections.where("s.content_type = 'table'").groupBy("page_id").agg(F.count("*").cast("int").alias("n"))
+_TURNS = "(select conv_id, turn, role, replace(text, chr(10), ' ') as text from conversations)"
+
+
+@query(f"""select conv_id, '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || trim(role) || ' | ' || trim(text) || ' |', chr(10) order by turn) as markdown from {_TURNS} group by 1""")
+def conversation_tables(spark, sf_dir):
+    """Conversations as grids of cells, as markdown."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))).alias("t"))
+    grid = F.concat(F.array(F.array(F.lit("role"), F.lit(" text ")), F.array(F.lit(None).cast("string"), F.lit(" "))), F.transform("t", lambda x: F.array(x["role"], x["text"])))
+    made = F.udf(parsers.table_markdown, "string", useArrow=True)
+    return rows.select("conv_id", made(grid).alias("markdown"))
+
+
+@query(f"""with s as (select doc_id, unnest(range(0, 6)) as pos from documents), h as (select doc_id, pos, case when (doc_id + pos) % 3 = 0 then 'h' || doc_id || '.' || pos when (doc_id + pos) % 3 = 1 then ' ' end as own from s)
+select doc_id, pos, list_last(list_filter(list(nullif(trim(own), '')) over (partition by doc_id order by pos rows unbounded preceding), lambda x: x is not null)) as heading from h""")
+def carried_headings(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("pos"))
+    third = (F.col("doc_id") + F.col("pos")) % 3
+    rows = rows.withColumn("heading", F.when(third == 0, F.concat(F.lit("h"), "doc_id", F.lit("."), "pos")).when(third == 1, " "))
+    return chunking.carried_headings(rows).select("doc_id", "pos", "heading")
+
+
+@query("select doc_id from documents where doc_id > 100 order by doc_id limit 50")
+def second_page(spark, sf_dir):
+    return access.page_after(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, 50)
+
+
+@query("select cast(doc_id % 3 as integer) as chunk_index, cast(null as varchar) as heading, cast(null as varchar) as page_or_slide, case when doc_id % 2 = 0 then 'table' else 'text' end as content_type, md5(text) as digest from documents")
+def curator_content(spark, sf_dir):
+    """A curator's view of chunks whose table holds more: the declared fields only."""
+    rows = gov(spark, sf_dir).withColumn("chunk_index", (F.col("doc_id") % 3).cast("int")).withColumn("content_type", F.when(F.col("doc_id") % 2 == 0, "table"))
+    seen = access.chunk_content(rows)
+    assert seen.columns == list(access.CONTENT)
+    return seen.withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
 @query()
@@ -343,9 +384,9 @@ def as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov(spark, sf_dir).withColumn("chunk_id", F.col("doc_id")).withColumn("document_id", F.col("doc_id"))
 
 
-_BM25 = f"""with g as (select * from {GOV_SQL}), c as (select doc_id, classification, regexp_extract_all(lower(text), '[0-9a-z_]+') as ts from g),
+_BM25 = f"""with g as (select * from {GOV_SQL}), c as (select doc_id, classification, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as ts from g),
  st as (select classification, count(*) as n, avg(len(ts)) as av from c group by 1),
- q as (select distinct item_id as qid, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) as term from benchmark),
+ q as (select distinct item_id as qid, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as term from benchmark),
  p as (select doc_id, classification, term, count(*) as tf, any_value(dl) as dl from (select doc_id, classification, len(ts) as dl, unnest(ts) as term from c) where term in (select term from q) group by 1, 2, 3),
  df as (select classification, term, count(*) as df from p group by 1, 2),
  w as (select p.doc_id, p.classification, p.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)) as w from p join df using (classification, term) join st using (classification)),
@@ -425,12 +466,99 @@ def boost_and_floor(spark, sf_dir):
     return candidates(spark, sf_dir).withColumn("score", s).where("score >= -5.0").select("qid", F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
 
-@query()
+def _folded(ranked: str, top_k: int) -> str:
+    """SQL of the greedy fold over (qid, rank, id, d, i): (qid, kept, dropped) after each query's last row."""
+    return f"""f(qid, r, kept, dropped) as (select distinct qid, cast(0 as bigint), cast([] as struct(id varchar, d varchar, i bigint)[]), 0 from {ranked}
+  union all select f.qid, f.r + 1, case when len(kept) >= {top_k} or len(list_filter(kept, lambda k: k.d = c.d and abs(k.i - c.i) = 1)) > 0 then kept else list_append(kept, {{'id': c.id, 'd': c.d, 'i': c.i}}) end,
+   dropped + case when len(kept) < {top_k} and len(list_filter(kept, lambda k: k.d = c.d and abs(k.i - c.i) = 1)) > 0 then 1 else 0 end from f join {ranked} c on c.qid = f.qid and c.rank = f.r + 1),
+ z as (select qid, kept, dropped from f qualify row_number() over (partition by qid order by r desc) = 1)"""
+
+
+@query(f"""with recursive b as (select qid, cast(id as varchar) as id, cast((id % 50) // 5 as varchar) as d, cast(id % 5 as bigint) as i, ord, score * case when content_type = 'table' then 1.5 else 1.0 end as s from {_CAND}),
+ c as (select qid, id, d, i, row_number() over (partition by qid order by s desc, ord) as rank from b where s >= -5.0), {_folded("c", 10)}
+select qid, cast(p as integer) as position, k.id as id, k.d as document_id, cast(k.i as integer) as chunk_index, cast(dropped as integer) as collapsed from (select qid, dropped, unnest(kept) as k, unnest(range(1, len(kept) + 1)) as p from z)""")
 def overlap_collapse(spark, sf_dir):
     pool = candidates(spark, sf_dir)
     return search.rerank(pool.drop("score"), pool.select("qid", "id", "score"), 10, {"table": 1.5}, -5.0).select("qid", "position", "id", "document_id", "chunk_index", "collapsed")
 
 
+def both_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries of a text and a vector, every seventh of which may not be asked for one reason or another."""
+    rows = benchmark_queries(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select((F.col("vec_id")).alias("qid"), F.col("embedding").alias("dense")), "qid")
+    return rows.withColumns({c: F.col("qid") % 7 == i for i, c in enumerate(("rejected", "denied", "unavailable"))})
+
+
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of documents of four, with and without a vector."""
+    chunks = as_chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense")), "doc_id", "left")
+    return chunks.withColumn("document_id", F.floor(F.col("doc_id") / 4)).withColumn("chunk_index", (F.col("doc_id") % 4).cast("int")).withColumn("content_type", F.when(F.col("doc_id") % 4 == 0, "table").otherwise("text"))
+
+
+def planted_scores(pool: DataFrame) -> DataFrame:
+    """A stand-in for a pair model that SQL can follow."""
+    return pool.select("qid", "id", (F.lit(10) - (F.col("qid") * 31 + F.col("id").cast("long") * 7919) % 1000 / 50.0).alias("score"))
+
+
+_ITEMS = "(select item_id as qid, list_transform(embedding, lambda x: x::double) as q from benchmark join embeddings on vec_id = item_id where item_id % 7 > 2)"
+_BOTH = _BM25 + f""", dl as (select qid, classification, chunk_id, row_number() over (partition by qid, classification order by round(score, 12) desc, chunk_id) as rank from
+  (select qid, classification, chunk_id, {_COS} as score from {_V} c, {_ITEMS} q where {ALICE_SQL})),
+ legs as (select qid, classification, chunk_id, rank from dl where rank <= 20 union all select qid, classification, chunk_id, rank from r where rank <= 20 and qid in (select qid from {_ITEMS})),
+ w1 as (select qid, classification, chunk_id, round(sum(1.0 / (60 + rank)), 12) as score, min(rank) as best from legs group by 1, 2, 3),
+ w2 as (select qid, classification, chunk_id, row_number() over (partition by qid, classification order by score desc, best, chunk_id) as rank from w1),
+ x1 as (select qid, chunk_id, any_value(classification) as classification, round(sum(round(1.0 / (60 + rank), 12)), 12) as score, min(case classification when 'UNCLASSIFIED' then 0 when 'CUI' then 1 else 2 end) as lv, min(rank) as best from w2 where rank <= 20 group by 1, 2),
+ x2 as (select qid, chunk_id, classification, score, row_number() over (partition by qid order by score desc, lv, best, chunk_id) as rank from x1)"""
+
+
+@query(_BOTH + " select qid, chunk_id, cast(rank as integer) as rank, round(score, 9) as score from x2 where rank <= 20")
+def fused_legs(spark, sf_dir):
+    """Queries of a text and a vector: both legs in each container, fused there and across containers."""
+    chunks = searched(spark, sf_dir)
+    open_ = both_legs(spark, sf_dir).where("not (rejected or denied or unavailable)")
+    found = search.hybrid_search(open_, chunks, access.secured(chunks, ALICE, levels(spark)), levels(spark), 5)
+    return found.select("qid", "chunk_id", "rank", F.round("score", 9).alias("score"))
+
+
+_SEARCHED = "with recursive" + _BOTH[4:] + """, s1 as (select qid, cast(chunk_id as varchar) as id, cast(chunk_id // 4 as varchar) as d, cast(chunk_id % 4 as bigint) as i, rank as ord, (10 - (qid * 31 + chunk_id * 7919) % 1000 / 50.0) * case when chunk_id % 4 = 0 then 1.5 else 1.0 end as s from x2 where rank <= 20),
+ cc as (select qid, id, d, i, row_number() over (partition by qid order by s desc, ord) as rank from s1 where s >= 4.0), """ + _folded("cc", 5).replace("f(qid", "ff(qid").replace("from f join", "from ff join").replace("from f qualify", "from ff qualify").replace("select f.qid, f.r", "select ff.qid, ff.r").replace("c.qid = f.qid and c.rank = f.r", "c.qid = ff.qid and c.rank = ff.r")
+
+
+@query(_SEARCHED + """ select qid, cast(p as integer) as position, k.id as id, k.d as document_id, cast(k.i as integer) as chunk_index from (select qid, unnest(kept) as k, unnest(range(1, len(kept) + 1)) as p from z)""")
+def search_results(spark, sf_dir):
+    """Searches from query to collapsed results over a written index."""
+    return _run(spark, sf_dir)[0].select("qid", "position", "id", "document_id", "chunk_index")
+
+
+@query(_SEARCHED + """ select b.item_id as qid, case when b.item_id % 7 = 0 then 'rejected' when b.item_id % 7 = 1 then 'denied' when b.item_id % 7 = 2 then 'unavailable' when coalesce(len(kept), 0) = 0 then 'empty' else 'ok' end as outcome,
+ cast(coalesce(len(kept), 0) as bigint) as n_results, cast(coalesce(case when len(kept) > 0 then dropped end, 0) as integer) as collapsed from (select item_id from benchmark join embeddings on vec_id = item_id) b left join z on z.qid = b.item_id""")
+def search_outcomes(spark, sf_dir):
+    return _run(spark, sf_dir)[1]
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks, path = searched(spark, sf_dir), store_path(spark)
+    search.write_lexical_index(chunks, path)
+    index = search.read_lexical_index(spark, path)
+    return search.run_search(both_legs(spark, sf_dir), chunks, access.secured(chunks, ALICE, levels(spark)), levels(spark), 5, planted_scores, {"table": 1.5}, 4.0, index)
+
+
+@query("""select doc_id // 50 as qid, cast(doc_id as varchar) as id, round(doc_id % 13 / 10.0, 6) as score, 'internal' as shape from documents where doc_id % 50 < 8 and doc_id % 3 <> 0
+ union all select doc_id // 50, cast(doc_id as varchar), round(doc_id % 13 / 10.0, 6), 'tei' from documents where doc_id % 50 < 8 and doc_id % 3 <> 0
+ union all select doc_id // 50, cast(doc_id as varchar), round(doc_id % 13 / 10.0, 6), 'cohere' from documents where doc_id % 50 < 8 and doc_id % 3 <> 0""")
+def rerank_replies(spark, sf_dir):
+    """Replies in each service's shape, with a row that names no candidate, aligned by id or by place."""
+    i = F.col("doc_id")
+    pool = table(spark, sf_dir, "documents").where("doc_id % 50 < 8").select(F.floor(i / 50).alias("qid"), (i % 50).cast("int").alias("ord"), i.cast("string").alias("id"), (i % 13 / 10.0).alias("s"), (i % 3 != 0).alias("scored"))
+    rows = pool.where("scored").groupBy("qid").agg(F.collect_list(F.struct("id", "ord", "s")).alias("x"))
+    named = F.to_json(F.concat(F.transform("x", lambda r: F.struct(r["id"].alias("id"), r["s"].alias("score"))), F.array(F.struct(F.lit("nobody").alias("id"), F.lit(1.0).alias("score")))))
+    placed = F.to_json(F.concat(F.transform("x", lambda r: F.struct(r["ord"].alias("index"), r["s"].alias("score"))), F.array(F.struct(F.lit(99).alias("index"), F.lit(1.0).alias("score")))))
+    cohere = F.to_json(F.struct(F.transform("x", lambda r: F.struct(r["ord"].alias("index"), r["s"].alias("relevance_score"))).alias("results")))
+    out = None
+    for shape, reply in (("internal", named), ("tei", placed), ("cohere", cohere)):
+        one = search.reply_scores(rows.select("qid", reply.alias("reply")), pool.select("qid", "ord", "id"), shape).select("qid", "id", F.round("score", 6).alias("score"), F.lit(shape).alias("shape"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"select max(case when qid % 3 = 0 then best end) as above, min(case when qid % 3 <> 0 then best end) as at_most, coalesce(max(case when qid % 3 = 0 then best end) < min(case when qid % 3 <> 0 then best end), null) as separable from (select qid, round(max(score), 6) as best from {_CAND} group by qid)")
 def floor_interval(spark, sf_dir):
     return search.floor_interval(candidates(spark, sf_dir).select("qid", (F.col("qid") % 3 != 0).alias("answerable"), F.round("score", 6).alias("score")))
@@ -452,23 +580,42 @@ def purge_signal(spark, sf_dir):
     return rows.select("doc_id", needed.alias("chat_plane_action_required"))
 
 
-@query(f"select doc_id, last_verified_at from {GOV_SQL} order by last_verified_at nulls first, doc_id limit 500")
+@query(f"select doc_id, last_verified_at from {GOV_SQL} where doc_id % 13 <> 5 order by last_verified_at nulls first, doc_id limit 100")
 def integrity_candidates(spark, sf_dir):
-    return gov(spark, sf_dir).orderBy(F.asc_nulls_first("last_verified_at"), "doc_id").limit(500).select("doc_id", "last_verified_at")
+    """Documents without a digest are not candidates; the limit is the batch of a sweep."""
+    rows = stored(spark, sf_dir).withColumn("content_sha256", F.when(F.col("doc_id") % 13 != 5, F.col("content_sha256")))
+    return lifecycle.integrity_candidates(rows, 100).select("doc_id", "last_verified_at")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("doc_id").cast("string")
+    return gov(spark, sf_dir).withColumn("document_id", F.col("doc_id")).withColumn("original_object_key", key).withColumn("content_sha256", F.upper(F.sha2("text", 256)))
 
 
-@query("select case when doc_id % 5 = 0 then 'mismatched' when doc_id % 11 = 0 then 'missing' else 'verified' end as outcome, count(*) as n from documents group by 1")
+@query(f"""with o as (select doc_id, case when doc_id % 5 = 0 then substr(text, 2) else text end as content from documents where doc_id % 11 <> 0),
+ c as (select doc_id, sha256(text) as digest from {GOV_SQL} order by last_verified_at nulls first, doc_id limit 150)
+select case when o.content is null then 'missing' when sha256(o.content) = c.digest then 'verified' else 'mismatched' end as outcome, count(*) as n from c left join o using (doc_id) group by 1""")
 def integrity_sweep(spark, sf_dir):
-    docs = gov(spark, sf_dir)
-    files_ = docs.where("doc_id % 11 <> 0 or doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("original_object_key"), F.when(F.col("doc_id") % 5 == 0, F.lit(b"x")).otherwise(F.col("text").cast("binary")).alias("content"))
-    rows = docs.select(F.col("doc_id").alias("document_id"), F.col("doc_id").cast("string").alias("original_object_key"), F.sha2("text", 256).alias("content_sha256"), "last_verified_at")
-    return lifecycle.outcome_counts(lifecycle.integrity(rows, files_, 1 << 30))
+    """Objects of which every fifth lost its first character and every eleventh is gone, against the digests, a batch of 150."""
+    docs = stored(spark, sf_dir)
+    text = F.when(F.col("doc_id") % 5 == 0, F.substring("text", 2, 1 << 30)).otherwise(F.col("text"))
+    files_ = docs.where("doc_id % 11 <> 0").select("original_object_key", text.cast("binary").alias("content"))
+    return lifecycle.outcome_counts(lifecycle.integrity(docs, files_, 150))
 
 
-@query(f"select status, count(*) as n from {GOV_SQL} where status = 'pending_review' group by 1")
+@query(f"select doc_id, created_at from {GOV_SQL} where status = 'pending_review' and doc_id % 3 <> 1 order by created_at, doc_id limit 20")
 def unpublished_batch(spark, sf_dir):
-    rows = gov(spark, sf_dir).where("status = 'pending_review'").withColumn("document_id", F.col("doc_id")).withColumn("status", F.lit("queued")).withColumn("queue_published_at", F.lit(None).cast("timestamp"))
-    return lifecycle.unpublished(rows, 1 << 30).agg(F.lit("pending_review").alias("status"), F.count("*").alias("n")).select("status", "n")
+    """Pending documents as queued ones, of which every third was published: the oldest twenty others."""
+    rows = gov(spark, sf_dir).where("status = 'pending_review'").withColumn("document_id", F.col("doc_id")).withColumn("status", F.lit("queued"))
+    rows = rows.withColumn("queue_published_at", F.when(F.col("doc_id") % 3 == 1, F.col("created_at").cast("timestamp")))
+    return lifecycle.unpublished(rows, 20).select("doc_id", "created_at")
+
+
+@query(f"select count(*) as unpublished, epoch(timestamp '2025-06-01') - epoch(min(created_at)) as oldest_seconds from {GOV_SQL} where status = 'pending_review' and doc_id % 3 <> 1")
+def queue_backlog(spark, sf_dir):
+    rows = gov(spark, sf_dir).where("status = 'pending_review'").withColumn("status", F.lit("queued"))
+    rows = rows.withColumn("queue_published_at", F.when(F.col("doc_id") % 3 == 1, F.col("created_at").cast("timestamp")))
+    return lifecycle.backlog(rows, F.lit("2025-06-01 00:00:00"))
 
 
 @query(f"select doc_id from {GOV_SQL} where doc_id % 6 <> 2 or doc_id % 13 = 0")
@@ -492,23 +639,125 @@ def decisions(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("c").alias("actor_sub"), F.lit("2024-06-01 00:00:00").cast("timestamp").alias("at"), F.lit("because").alias("reason"))
 
 
-@query(f"""with a as (select n.doc_id, n.supersedes_id from {GOV_SQL.replace(") gov", ") n")} left join {GOV_SQL.replace(") gov", ") o")} on o.doc_id = n.supersedes_id where n.doc_id % 2 = 0 and n.status = 'pending_review' and (n.supersedes_id is null or o.status = 'approved'))
-select case when gov.doc_id in (select doc_id from a) then 'approved' when gov.doc_id in (select supersedes_id from a where supersedes_id is not null) then 'superseded' else status end as status, count(*) as n from {GOV_SQL} group by 1""")
+_OLD, _NEW = GOV_SQL.replace(") gov", ") o"), GOV_SQL.replace(") gov", ") n")
+_WHEN = "timestamp '2024-06-01 00:00:00'"
+
+
+def shown(documents: DataFrame, *columns: str) -> DataFrame:
+    """Documents with arrays and times as both engines show them alike."""
+    value = {c: joined(F.col(c)) if t.startswith("array") else F.col(c).cast("timestamp_ntz") if t == "timestamp" else F.col(c) for c, t in documents.dtypes}
+    return documents.select(*(value[c].alias(c) for c in columns or documents.columns))
+
+
+def audited(audit_rows: DataFrame) -> DataFrame:
+    return audit_rows.select("actor_sub", "action", "target_id", "detail", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+@query(f"""with d as (select n.*, n.doc_id % 2 = 0 as asked, n.doc_id % 2 = 0 and n.status = 'pending_review' and (n.supersedes_id is null or coalesce(o.status = 'approved', false)) as done from {_NEW} left join {_OLD} on o.doc_id = n.supersedes_id)
+select cast(doc_id as varchar) as document_id, case when done then 'approved' when doc_id in (select supersedes_id from d where done and supersedes_id is not null) then 'superseded' else status end as status,
+ case when done and doc_id % 4 = 0 then 'CUI' else classification end as classification, array_to_string(releasability, '|') as releasability, case when done then {_WHEN} end as reviewed_at, case when done then {_WHEN} end as first_approved_at,
+ case when done or doc_id in (select supersedes_id from d where done and supersedes_id is not null) then {_WHEN} else updated_at end as updated_at from d""")
 def approve_batch(spark, sf_dir):
-    after, _, _ = lifecycle.approve(lifecycle_rows(spark, sf_dir), decisions(spark, sf_dir, "doc_id % 2 = 0").drop("reason"))
-    return after.groupBy("status").agg(F.count("*").alias("n"))
+    """Approvals of every second document, each fourth with a corrected level."""
+    after, _, _ = lifecycle.approve(lifecycle_rows(spark, sf_dir), corrected(spark, sf_dir))
+    return shown(after, "document_id", "status", "classification", "releasability", "reviewed_at", "first_approved_at", "updated_at")
+
+
+def corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("document_id").cast("long") % 4 == 0, "CUI")
+    return decisions(spark, sf_dir, "doc_id % 2 = 0").drop("reason").withColumn("classification", level)
+
+
+_APPROVED = f"(select n.*, n.status = 'pending_review' and (n.supersedes_id is null or coalesce(o.status = 'approved', false)) as done from {_NEW} left join {_OLD} on o.doc_id = n.supersedes_id where n.doc_id % 2 = 0)"
+
+
+@query(f"""select 'c' as actor_sub, case when done then 'document.approve' else 'document.approve.refused' end as action, cast(doc_id as varchar) as target_id,
+ '{{"from_status":"' || status || '","classification":"' || case when doc_id % 4 = 0 then 'CUI' else classification end || '","corrected":' || case when doc_id % 4 = 0 then 'true' else 'false' end || '}}' as detail, {_WHEN} as created_at from {_APPROVED}""")
+def approve_audit(spark, sf_dir):
+    return audited(lifecycle.approve(lifecycle_rows(spark, sf_dir), corrected(spark, sf_dir))[1])
 
 
-@query(f"select case when status = 'pending_review' and doc_id % 3 = 0 then 'rejected' else status end as status, count(*) as n from {GOV_SQL} group by 1")
+@query(f"select uploader_sub as recipient_sub, cast(doc_id as varchar) as document_id, 'approved' as decision, 'approved' as message, false as read, {_WHEN} as created_at from {_APPROVED} where done")
+def approve_notices(spark, sf_dir):
+    return shown(lifecycle.approve(lifecycle_rows(spark, sf_dir), corrected(spark, sf_dir))[2])
+
+
+_REJECTED = "status = 'pending_review' and doc_id % 3 = 0 and doc_id % 5 <> 0"
+
+
+@query(f"""select cast(doc_id as varchar) as document_id, case when {_REJECTED} then 'rejected' else status end as status, case when {_REJECTED} then 'because' end as rejection_reason,
+ case when {_REJECTED} then {_WHEN} end as reviewed_at, case when {_REJECTED} then {_WHEN} else updated_at end as updated_at from {GOV_SQL}""")
 def reject_batch(spark, sf_dir):
-    after, _, _ = lifecycle.reject(lifecycle_rows(spark, sf_dir), decisions(spark, sf_dir, "doc_id % 3 = 0"))
-    return after.groupBy("status").agg(F.count("*").alias("n"))
+    after, _, _ = lifecycle.reject(lifecycle_rows(spark, sf_dir), sometimes_blank(spark, sf_dir))
+    return shown(after, "document_id", "status", "rejection_reason", "reviewed_at", "updated_at")
 
 
-@query(f"select case when doc_id % 17 = 0 then 'purged' else status end as status, case when doc_id % 17 = 0 then '[PURGED]' else filename end as filename, cast(count(*) as bigint) as n from {GOV_SQL} group by 1, 2")
+def sometimes_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejections of every third document, every fifth of them without a reason, which is refused."""
+    return decisions(spark, sf_dir, "doc_id % 3 = 0").withColumn("reason", F.when(F.col("document_id").cast("long") % 5 == 0, "  ").otherwise(F.col("reason")))
+
+
+@query(f"""select 'audit' as kind, cast(doc_id as varchar) as document_id, case when {_REJECTED} then 'document.reject' else 'document.reject.refused' end as what, '{{"from_status":"' || status || '","reason":"' || case when doc_id % 5 = 0 then '  ' else 'because' end || '"}}' as detail from {GOV_SQL} where doc_id % 3 = 0
+ union all select 'notice', cast(doc_id as varchar), 'rejected', 'because' from {GOV_SQL} where {_REJECTED}""")
+def reject_audit_and_notices(spark, sf_dir):
+    _, log, notices = lifecycle.reject(lifecycle_rows(spark, sf_dir), sometimes_blank(spark, sf_dir))
+    log = log.select(F.lit("audit").alias("kind"), F.col("target_id").alias("document_id"), F.col("action").alias("what"), "detail")
+    return log.unionByName(notices.select(F.lit("notice").alias("kind"), "document_id", F.col("decision").alias("what"), F.col("message").alias("detail")))
+
+
+@query(f"""select cast(doc_id as varchar) as document_id, case when p then 'purged' else status end as status, case when p then '[PURGED]' else filename end as filename, case when p then '[PURGED]' else uploader_sub end as uploader_sub,
+ case when p then '[PURGED]' else 'u' end as uploader_username, case when p then '[PURGED]' else 's' end as source_originator, case when p then '[PURGED]' else doc_type end as doc_type, case when p then '' else array_to_string(releasability, '|') end as releasability,
+ case when p then '' else array_to_string(access_scope, '|') end as access_scope, case when p then null else sha256(text) end as content_sha256, cast(null as varchar) as rejection_reason, cast(case when p then 0 else 3 end as integer) as chunk_count,
+ case when p then {_WHEN} else updated_at end as updated_at from (select *, doc_id % 17 = 0 as p from {GOV_SQL})""")
 def purge_batch(spark, sf_dir):
     after, _ = lifecycle.purge(lifecycle_rows(spark, sf_dir), decisions(spark, sf_dir, "doc_id % 17 = 0"))
-    return after.groupBy("status", "filename").agg(F.count("*").alias("n"))
+    return shown(after, "document_id", "status", "filename", "uploader_sub", "uploader_username", "source_originator", "doc_type", "releasability", "access_scope", "content_sha256", "rejection_reason", "chunk_count", "updated_at")
+
+
+@query(f"""select 'c' as actor_sub, 'document.purge' as action, cast(doc_id as varchar) as target_id, '{{"from_status":"' || status || '","reason":"because","chunks":3,"chat_plane_action_required":' ||
+ case when status in ('approved', 'superseded') then 'true' else 'false' end || '}}' as detail, {_WHEN} as created_at from {GOV_SQL} where doc_id % 17 = 0""")
+def purge_audit(spark, sf_dir):
+    return audited(lifecycle.purge(lifecycle_rows(spark, sf_dir), decisions(spark, sf_dir, "doc_id % 17 = 0"))[1])
+
+
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = gov(spark, sf_dir)
+    pieces = docs.select(F.col("doc_id").cast("string").alias("document_id"), "classification", F.posexplode(chunking.windows(F.col("text"))).alias("chunk_index", "text"))
+    return pieces.withColumn("chunk_id", F.concat_ws(":", "document_id", "chunk_index"))
+
+
+def store_path(spark: SparkSession) -> str:
+    return f"{jobs.shared_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+_PIECES = f"(select doc_id, classification, n, unnest(range(0, case when n = 0 then 0 when n <= 512 then 1 else cast(ceil((n - 512) / 436.0) as bigint) + 1 end)) as i from (select doc_id, classification, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) as n from {GOV_SQL}))"
+
+
+@query(f"select cast(doc_id as varchar) as document_id, case when doc_id % 5 = 0 then 'SECRET' else classification end as classification, count(*) as n from {_PIECES} group by 1, 2")
+def relocate_chunks(spark, sf_dir):
+    """Chunks written, every fifth document raised to SECRET in place, and read again: none is left in its old container."""
+    path = store_path(spark)
+    store.write_snapshot(chunk_store(spark, sf_dir), path)
+    raised = store.read_snapshot(spark, path).withColumn("classification", F.when(F.col("document_id").cast("long") % 5 == 0, "SECRET").otherwise(F.col("classification")))
+    store.write_snapshot(raised, path)
+    return store.read_snapshot(spark, path).groupBy("document_id", "classification").agg(F.count("*").alias("n"))
+
+
+@query(f"select cast(doc_id as varchar) || ':' || i as chunk_id, classification from {_PIECES} where doc_id % 17 <> 0")
+def purge_chunks(spark, sf_dir):
+    """The chunks that are left in place once every seventeenth document is purged."""
+    path = store_path(spark)
+    store.write_snapshot(chunk_store(spark, sf_dir), path)
+    rows = lifecycle_rows(spark, sf_dir).withColumn("original_object_key", F.col("document_id"))
+    _, _, chunks, _ = lifecycle.purge_stored(rows, decisions(spark, sf_dir, "doc_id % 17 = 0"), store.read_snapshot(spark, path))
+    store.write_snapshot(chunks, path)
+    return store.read_snapshot(spark, path).select("chunk_id", "classification")
+
+
+@query("select cast(doc_id as varchar) as original_object_key from documents where doc_id % 17 = 0")
+def purge_objects(spark, sf_dir):
+    rows = lifecycle_rows(spark, sf_dir).withColumn("original_object_key", F.col("document_id"))
+    return lifecycle.purge_stored(rows, decisions(spark, sf_dir, "doc_id % 17 = 0"), chunk_store(spark, sf_dir))[3]
 
 
 # -- audit and dashboards ---------------------------------------------------------------------------------------
@@ -711,13 +960,8 @@ def staleness(spark, sf_dir):
 @query("""with s as (select event_type, ts, event_id, value > 20 as on_ from events), r as (select *, count(*) filter (where not on_) over (partition by event_type order by ts, event_id rows unbounded preceding) as run from s)
 select event_type, count(*) as runs from (select event_type, run from r where on_ group by 1, 2 having epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) >= 600) group by 1""")
 def sustained_condition(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
-    from pyspark.sql import Window
-
-    run = F.count_if(~(F.col("value") > 20)).over(Window.partitionBy("event_type").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    runs = rows.withColumn("_run", run).where("value > 20").groupBy("event_type", "_run").agg(F.min("ts").alias("since"), F.max("ts").alias("until"))
-    long_ = runs.where(F.col("until").cast("timestamp").cast("long") - F.col("since").cast("timestamp").cast("long") >= 600)
-    return long_.groupBy("event_type").agg(F.count("*").alias("runs"))
+    runs = metrics.sustained(table(spark, sf_dir, "events"), ["event_type"], F.col("value") > 20, 600, ties=["event_id"])
+    return runs.groupBy("event_type").agg(F.count("*").alias("runs"))
 
 
 @query()
@@ -765,6 +1009,18 @@ def fallback_ratio(spark, sf_dir):
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
+@query(f"select ts, grown as increase from {_GROWN} where metric = 'queries'")
+def queries_per_hour(spark, sf_dir):
+    return metrics.hourly_growth(counters(spark, sf_dir).where("metric = 'queries'"), ["metric"]).select("ts", "increase")
+
+
+@query(f"select distinct q.ts, coalesce(f.grown, 0.0) as increase from {_GROWN} q left join {_GROWN} f on f.ts = q.ts and f.metric = 'fallbacks'")
+def fallbacks_or_zero(spark, sf_dir):
+    """A counter's growth at each sample time of any, 0 where it has no sample: the panel of password-hash checks."""
+    rows = counters(spark, sf_dir)
+    return metrics.total_or_zero(rows.where("metric = 'fallbacks'").withColumnRenamed("metric", "series"), rows)
+
+
 @query(f"select ts, metric, grown as increase from {_GROWN} where grown > 5")
 def growth_alert(spark, sf_dir):
     return metrics.growth_alert(counters(spark, sf_dir), ["metric"], 3600, 5.0).select("ts", "metric", "increase")
@@ -830,7 +1086,7 @@ def filter_summary(spark, sf_dir):
 @query(f"select actor_sub, count(*) as pairs from {_PAIRS} where is_pair group by 1")
 def stream_boundary_mapping(spark, sf_dir):
     stream = audit(jobs.read_table_stream(spark, f"{sf_dir}/events.parquet"))
-    return jobs.drained(jobs.boundary_stream(stream, 21600)).groupBy("actor_sub").agg(F.count("*").alias("pairs"))
+    return jobs.drained(jobs.boundary_stream(stream, 21600, "0 seconds")).groupBy("actor_sub").agg(F.count("*").alias("pairs"))
 
 
 @query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ def quality_samples(metrics: DataFrame, configuration: Column, prefix: str = "co
     return cases.unionByName(mark)
 
 
-LABEL = r'(\w+)="([^"]*)"'
+# a label of an exposition line: a name, and a quoted value in which a backslash takes the next character with it
+LABEL = r'([A-Za-z_][0-9A-Za-z_]*)\s*=\s*"((?:\\.|[^"\\])*)"'
 
 
 def read_exposition(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -85,12 +87,30 @@ def octet_framed(line: Column) -> Column:
     return F.concat(F.octet_length(line).cast("string"), F.lit(" "), line)
 
 
+def frames_of(data: bytes) -> list[bytes]:
+    """The messages of octet-counted frames (a count, a space, as many bytes), as RFC 6587 has them; what follows a broken count is one message."""
+    out, at = [], 0
+    while at < len(data):
+        space = data.find(b" ", at, at + 12)
+        count = data[at:space] if space > at else b""
+        if not count.isdigit():
+            rest = data[at:].strip(b"\n")
+            return [*out, rest] if rest else out
+        out.append(data[space + 1 : space + 1 + int(count)])
+        at = space + 1 + int(count)
+        while data[at : at + 1] == b"\n":
+            at += 1
+    return out
+
+
 def split_frames(data: Column) -> Column:
-    """Lines of a collector's buffer: octet-counted ones if it starts with a count, else split at line ends."""
-    counted = data.rlike(r"^\d+ <")
+    """Lines of a collector's buffer: octet-counted ones if it starts with a count, else split at line ends. The counts are of UTF-8 bytes."""
+
+    def run(buffers: pd.Series) -> pd.Series:
+        return buffers.map(lambda x: [m.decode("utf-8", "replace") for m in frames_of((x or "").encode())])
+
     lines = F.filter(F.split(data, "\n"), lambda x: x != "")
-    framed = F.transform(F.filter(F.split(data, r"(?=(?<![^}])\d+ <\d+>1 )"), lambda x: x != ""), lambda x: F.regexp_replace(x, r"^\d+ ", ""))
-    return F.when(counted, framed).otherwise(lines)
+    return F.when(data.rlike(r"^\d+ <"), F.pandas_udf(run, "array<string>")(data)).otherwise(lines)
 
 
 def send_lines(lines: DataFrame, host: str, port: int, column: str = "line", protocol: str = "udp", authority: str | None = None) -> None:

@@ -55,10 +55,19 @@ def read_objects(spark: SparkSession, root: str, pattern: str = "*", most_bytes:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     whole = files.where(F.col("length") <= most_bytes).select("path", "content", "length", F.col("modificationTime").alias("modified"))
     large = files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("binary").alias("content"), "length", F.col("modificationTime").alias("modified"))
-    key = F.regexp_replace("path", "^(file:)?/*" + root.split("://")[-1].strip("/") + "/", "")
+    key = object_key(F.col("path"), spark, root)
     return whole.unionByName(large).select(key.alias("original_object_key"), "content", "length", "modified")
 
 
+def object_key(path: Column, spark: SparkSession, root: str) -> Column:
+    """What follows the root in a path; both may name the scheme and authority, or leave them to the default file system."""
+    where, system = _hadoop(spark, root)
+    full = where.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri()
+    plain = lambda p: F.regexp_replace(F.regexp_replace(p, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "^/+", "")
+    start = full.getPath().strip("/")
+    return F.substring(plain(path), len(start) + 2 if start else 1, 1 << 30)
+
+
 def _hadoop(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -78,6 +87,11 @@ def delete_object(spark: SparkSession, root: str, key: str) -> bool:
     return system.delete(where, False)
 
 
+def delete_objects(spark: SparkSession, root: str, keys: DataFrame) -> int:
+    """Deletes the originals of purged documents, which people confirm one by one; how many there were. A missing one counts as gone."""
+    return sum(delete_object(spark, root, row[0]) for row in keys.select("original_object_key").distinct().toLocalIterator())
+
+
 def suffix(filename: Column) -> Column:
     return F.lower(F.regexp_extract(filename, r"[^/](\.[^./]+)$", 1))
 

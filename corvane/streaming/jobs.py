@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.lifecycle import LEASE_SECONDS, MOST_ATTEMPTS
 
 ID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-LATE, RETRY_SECONDS, RECONCILE, RECONCILE_BATCH, BUDGET_SECONDS = "10 minutes", 30, "15 seconds", 100, 240
+LATE, RETRY_SECONDS, RECONCILE, RECONCILE_BATCH, KEPT_HOURS = "10 minutes", 30, "15 seconds", 100, 24
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -47,6 +48,9 @@ _STATE = "status string, since double"
 
 
 def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, lease: float, most: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     status, since = state.get if state.exists else ("queued", 0.0)
     rows = pd.concat(list(batches)).sort_values(["at", "attempt"], kind="stable")  # one document's jobs of one batch
     outcomes = []
@@ -64,6 +68,7 @@ def _claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, lease
             status, since, outcome = "processing", now, "claimed"
         outcomes.append((key[0], job.attempt, job.at, outcome))
     state.update((status, since))
+    state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + KEPT_HOURS * 3_600_000)
     yield pd.DataFrame(outcomes, columns=["document_id", "attempt", "at", "outcome"])
 
 
@@ -71,13 +76,29 @@ def claimed(jobs: DataFrame, lease_seconds: int = LEASE_SECONDS, most_attempts:
     """(document_id, attempt, at, outcome) of a stream of (document_id, attempt, at, result): the lease rule with state by document.
 
     result is null for a delivery, else what the work ended in. A first delivery within the lease of another is in flight;
-    a redelivery takes the lease over; one past the last attempt fails the document.
+    a redelivery takes the lease over; one past the last attempt fails the document. A document's state goes KEPT_HOURS after its last job, so that states do not pile up;
+    a job that comes later counts as a new document's.
     """
 
     def run(key, batches, state):
         return _claim(key, batches, state, float(lease_seconds), most_attempts)
 
-    return jobs.groupBy("document_id").applyInPandasWithState(run, CLAIMS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return timed(jobs, "at").groupBy("document_id").applyInPandasWithState(run, CLAIMS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settled(claims: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(document_id, attempt, acknowledge, redeliver_at) for a batch of claims and the jobs' ends (document_id, attempt, result, at).
+
+    A job is acknowledged when its outcome is final: succeeded, rejected, a duplicate of a document that is through, or used up; a failed one comes again RETRY_SECONDS later
+    up to the last attempt, and one that is still running, or in flight elsewhere, is left to its lease.
+    """
+    ends = jobs.select("document_id", "attempt", F.col("result").alias("_result"), F.col("at").alias("_end"))
+    rows = claims.join(ends, ["document_id", "attempt"], "left")
+    final = F.col("outcome").isin("succeeded", "rejected", "duplicate_terminal", "exhausted") | F.coalesce(F.col("_result").isin("succeeded", "rejected"), F.lit(False))
+    failed = F.coalesce(F.col("_result") == "failed", F.lit(False)) & ~final
+    last = failed & (F.col("attempt") >= MOST_ATTEMPTS)
+    again = F.when(failed, next_delivery(F.col("_end"), F.col("attempt")))
+    return rows.select("document_id", "attempt", (final | last).alias("acknowledge"), again.alias("redeliver_at"))
 
 
 def next_delivery(at: Column, attempt: Column) -> Column:
@@ -88,26 +109,43 @@ def next_delivery(at: Column, attempt: Column) -> Column:
 PAIRS = "actor_sub string, created_at timestamp, seconds double"
 
 
+_HELD = "action string, at long, held string"  # held: JSON of (time, id, action) of events that wait
+
+
 def _pairs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, most: float) -> Iterator[pd.DataFrame]:
-    action, when = state.get if state.exists else ("", 0.0)
-    rows, out = pd.concat(list(batches)).sort_values(["created_at", "event_id"], kind="stable"), []
-    for event in rows.itertuples(index=False):
-        now = event.created_at.timestamp()
-        if event.action == "query" and action == "query.denied" and now - when <= most:
-            out.append((key[0], event.created_at, now - when))
-        action, when = event.action, now
-    state.update((action, when))
-    yield pd.DataFrame(out, columns=["actor_sub", "created_at", "seconds"])
+    action, when, held = state.get if state.exists else ("", 0, "[]")
+    waiting, out = [tuple(x) for x in json.loads(held)], []
+    for rows in () if state.hasTimedOut else batches:
+        waiting += zip((t.value // 1000 for t in rows["created_at"]), rows["event_id"].tolist(), rows["action"], strict=True)
+    now, most = state.getCurrentWatermarkMs() * 1000, int(most * 1e6)  # times are microseconds
+    waiting.sort()
+    through = sum(at <= now for at, *_ in waiting)
+    for at, _, what in waiting[:through]:
+        if what == "query" and action == "query.denied" and at - when <= most:
+            out.append((key[0], pd.Timestamp(at, unit="us"), (at - when) / 1e6))
+        action, when = what, at
+    waiting = waiting[through:]
+    if waiting or now - when <= most:
+        state.update((action, when, json.dumps(waiting)))
+        state.setTimeoutTimestamp(max(now // 1000 + 1, int(waiting[0][0] if waiting else when + most) // 1000 + 1))
+    else:
+        state.remove()
+    if out:
+        yield pd.DataFrame(out, columns=["actor_sub", "created_at", "seconds"])
+
 
+def boundary_stream(events: DataFrame, seconds: int, late: str = LATE) -> DataFrame:
+    """Denial-success pairs of each actor, in time order across batches.
 
-def boundary_stream(events: DataFrame, seconds: int) -> DataFrame:
-    """Denial-success pairs of each actor across batches; events of a batch are taken in time order."""
-    asked = events.where(F.col("action").isin("query", "query.denied")).select("actor_sub", "action", F.col("created_at").cast("timestamp").alias("created_at"), "event_id")
+    An event waits in its actor's state until the watermark (`late` behind the latest event) has passed it, so that events
+    may come in any order up to then; what comes later than that is dropped. An actor's state goes once no event can pair with its last one.
+    """
+    asked = events.where(F.col("action").isin("query", "query.denied")).select("actor_sub", "action", "created_at", "event_id")
 
     def run(key, batches, state):
         return _pairs(key, batches, state, float(seconds))
 
-    return asked.groupBy("actor_sub").applyInPandasWithState(run, PAIRS, "action string, at double", "append", GroupStateTimeout.NoTimeout)
+    return timed(asked, "created_at", late).groupBy("actor_sub").applyInPandasWithState(run, PAIRS, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_stats(events: DataFrame, length: str = "60 minutes", slide: str = "5 minutes", late: str = LATE) -> DataFrame:
@@ -130,11 +168,18 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None] | st
     return query
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of this machine where that is unset and the session is local, as in tests. A cluster without one is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="corvane-")).rstrip("/")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream of the data there is now comes to, as a table in the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvane-")
-    place = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         run_available(stream, f"{place}/out", f"{place}/checkpoint")
     else:

@@ -76,10 +76,10 @@ def test_store_snapshots(spark, tmp_path):
     chunks = spark.createDataFrame([("a0", "a", 0, "CUI", "m"), ("b0", "b", 0, "SECRET", "m")], schema)
     path = str(tmp_path / "chunks")
     store.write_snapshot(chunks, path)
-    moved = store.update_payload(spark.read.parquet(path), "a", {"classification": F.lit("SECRET")})
-    store.write_snapshot(moved, str(tmp_path / "next"))
-    back = spark.read.parquet(str(tmp_path / "next"))
-    assert back.where("classification = 'SECRET'").count() == 2
+    moved = store.update_payload(store.read_snapshot(spark, path), "a", {"classification": F.lit("SECRET")})
+    store.write_snapshot(moved, path)
+    back = store.read_snapshot(spark, path)
+    assert back.where("classification = 'SECRET'").count() == 2 and back.where("classification = 'CUI'").count() == 0
     plan = back.where("classification = 'CUI'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(classification" in plan
     assert store.model_mismatch(chunks, "m") is None and "refuse" not in (store.model_mismatch(chunks, "n") or "refuse")
