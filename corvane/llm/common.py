@@ -30,7 +30,7 @@ SHARD_BYTES = 8 << 20
 LEAST_BYTES = 256 << 10
 PART_BYTES = 4 << 20
 BATCH_ROWS = 2048
-SLICE, KNOWN = 1 << 20, 1 << 19
+SLICE = 1 << 20
 SPACE = re.compile(rb"[ \t\n\v\f\r]")
 NO_ID = (1 << 63) - 2
 
@@ -57,28 +57,70 @@ def hash_words(words, seed: int = 0) -> np.ndarray:
     return np.fromiter((h(w, seed) for w in words), np.uint64, len(words))
 
 
-class Hashes(dict):
-    """64-bit hashes of words, each worked out at its first use."""
+# -- hashes of a text's words, without an object for each word ----------------------------------------------------
 
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+_ODD = 0x9E3779B97F4A7C15
+_VALUE = np.random.default_rng(64).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_tables: dict[int, np.ndarray] = {}
 
 
-def word_hashes(data: bytes, known: Hashes) -> np.ndarray:
-    """The hash of each word of a text of any length, a slice of the text at a time; `known` is emptied when it has grown large."""
+def _powers(n: int, base: int) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2**64."""
+    found = _tables.get(base)
+    if found is None or len(found) < n:
+        found = _tables[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, SLICE), base, np.uint64)], dtype=np.uint64)
+    return found[:n]
+
+
+def _long_word(word: bytes) -> int:
+    """A word's hash, some bytes at a time."""
+    total = 0
+    for at in range(0, len(word), SLICE):
+        a = np.frombuffer(word[at : at + SLICE], np.uint8)
+        total += int((_VALUE[a] * _powers(len(a), _ODD)).sum(dtype=np.uint64)) * pow(_ODD, at, 1 << 64)
+    return total % (1 << 64)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text of any length, in order; a slice of the text at a time.
+
+    A word's hash is a polynomial of random values of its bytes; all words of a slice come from one running sum.
+    """
     out, at = [], 0
     while at < len(data):
         end = at + SLICE
         if end < len(data):
             space = SPACE.search(data, end)
             end = space.start() if space else len(data)
-        words = words_of(data[at:end])
-        if len(known) > KNOWN:
-            known.clear()
-        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        if end - at > 2 * SLICE:  # a huge word
+            out.append(np.array([_long_word(w) for w in words_of(data[at:end])], np.uint64))
+        else:
+            a = np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)
+            edge = np.flatnonzero(np.diff(np.r_[True, _IS_SPACE[a], True]))
+            first, last = edge[::2], edge[1::2]
+            sums = np.r_[np.uint64(0), np.cumsum(_VALUE[a] * _powers(len(a), _ODD), dtype=np.uint64)]
+            out.append((sums[last] - sums[first]) * _powers(len(a), pow(_ODD, -1, 1 << 64))[first])
         at = end
-    return out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint64), *out])
+    return mix(out[0] if len(out) == 1 else np.concatenate([np.empty(0, np.uint64), *out]))
+
+
+def word_hashes_of(texts: list[bytes]) -> list[np.ndarray]:
+    """word_hashes() of each text, worked out for many short ones at once."""
+    out: list[np.ndarray] = []
+    for some in slices([len(t) + 1 for t in texts], SLICE):
+        group = [texts[i] for i in some]
+        h = word_hashes(b" ".join(group))
+        if len(group) == 1:
+            out.append(h)
+            continue
+        # a text's words end where its bytes do
+        data = np.frombuffer(b" ".join(group), np.uint8)
+        starts = np.flatnonzero(np.diff(np.r_[True, _IS_SPACE[data], True]))[::2]
+        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in group])[:-1])
+        out += np.split(h, cuts)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,9 +132,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def windows(h: np.ndarray, n: int, base: int) -> np.ndarray:
     """A hash of each n consecutive entries of h."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    out, factor = np.zeros(max(0, len(h) - n + 1), np.uint64), 1
     for i in range(n):
-        out += h[i : i + len(out)] * np.uint64(pow(base | 1, i + 1, 1 << 64))
+        factor = factor * (base | 1) % (1 << 64)
+        out += h[i : i + len(out)] * np.uint64(factor)
     return mix(out)
 
 

@@ -1,14 +1,16 @@
 """Substring dedup by repeated-phrase automata.
 
 Every window of `n` consecutive words is hashed. A shard sends each distinct window once, with the smallest
-document that holds it; a bucket tells a shard which of its windows start in a smaller document elsewhere.
-Those confirmed windows form passages; each shard compiles its passages, cut to pieces of at most
-PIECE windows that overlap by n - 1 words, into an Aho-Corasick automaton over word numbers, and streams all its documents
-that hold one through it. A piece carries the largest of its windows' first documents: where it ends in a document with a
-greater id, all its words are covered.
+document that holds it; a bucket tells a shard which of its windows start in a smaller document elsewhere. A window that does, or that two documents of the shard
+start, is confirmed.
+
+Confirmed windows are joined to passages: one follows another if it does wherever either stands in the shard (the unbranched paths of the graph of windows), so
+a passage is found whole or not at all. Each shard compiles its distinct passages, cut to pieces of at most
+PIECE windows that overlap by n - 1 words, into an Aho-Corasick automaton over word numbers (of distinct 64-bit word hashes), and streams all its documents through it: the automaton locates
+every occurrence. A piece carries the first document of its windows: where it ends in a document with a greater id, all its words are covered.
 
 Nothing grows with a group of copies: a shard sends a window once however many of its documents hold it.
-Windows are told apart by 64 bits within one of n_shards buckets, so the width grows with the corpus.
+Between shards windows are told apart by 64 bits within one of n_shards buckets, so the width grows with the corpus.
 """
 
 from __future__ import annotations
@@ -21,32 +23,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Ids, hash_words, mix, pack, released, shard_count, sharded, to_bytes, unpack, windows, without_id, words_of
+from .common import mix, pack, released, shard_count, sharded, to_bytes, unpack, windows, without_id, word_hashes_of, words_of
 
 PIECE = 40
 REQUEST = "bucket int, shard int, hashes binary, docs binary"
 RESPONSE = "shard int, bucket int, earlier binary"
 FIRST, SECOND = 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25
-NONE = np.iinfo(np.int64).max
+EARLIER = np.iinfo(np.int64).min
 
 
 def _read(table: pa.Table, n: int):
-    """Documents in the order of their ids: ids, lists of words, word numbers, and for all windows hash, bucket hash, row, start."""
+    """Documents in the order of their ids: ids, texts, hashes of their words; and for all windows hash, bucket hash, row, start."""
     table = table.sort_by("doc_id")
-    ids, seen = table["doc_id"].to_numpy(), Ids()
-    words = [words_of(to_bytes(t)) for t in table["text"].to_pylist()]
-    numbers = [np.fromiter(map(seen.__getitem__, w), np.int64, len(w)) for w in words]
-    table_of = hash_words(seen)
-    lengths = np.array([max(0, len(w) - n + 1) for w in words], np.int64)
-    first, second = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for x, size in zip(numbers, lengths, strict=True):
-        if size:
-            h = table_of[x]
-            first.append(windows(h, n, FIRST))
-            second.append(windows(mix(h), n, SECOND))
+    ids, texts = table["doc_id"].to_numpy(), [to_bytes(t) for t in table["text"].to_pylist()]
+    hashes = word_hashes_of(texts)
+    lengths = np.array([max(0, len(h) - n + 1) for h in hashes], np.int64)
     row = np.repeat(np.arange(len(ids)), lengths)
     start = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return ids, words, numbers, np.concatenate(first), np.concatenate(second), row, start
+    # windows over all texts one after the other, less those that run on into the next text
+    begin = np.cumsum([0, *map(len, hashes)])[:-1]
+    inside = begin[row] + start
+    every = np.concatenate([np.empty(0, np.uint64), *hashes])
+    first, second = windows(every, n, FIRST)[inside], windows(mix(every), n, SECOND)[inside]
+    return ids, texts, hashes, first, second, row, start
 
 
 def _distinct(first: np.ndarray, second: np.ndarray, n_buckets: int):
@@ -87,50 +86,62 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({"shard": table["shard"], "bucket": table["bucket"], "earlier": pa.array(earlier, pa.binary())})
 
 
-def _first_docs(ids, first, second, row, answers: pa.Table, n_buckets: int) -> np.ndarray:
-    """For each window: a document before its own that starts it too (below all ids if in another shard), else NONE."""
+def _confirmed(ids, first, second, row, answers: pa.Table, n_buckets: int):
+    """For each distinct window: its first place, how often it stands, its first document's id (EARLIER if in another shard) and whether it is confirmed; and each place's window."""
     order, heads, b, _ = _distinct(first, second, n_buckets)
     elsewhere = np.zeros(len(heads), bool)
     bits = dict(zip(answers["bucket"].to_pylist(), answers["earlier"].to_pylist(), strict=True))
-    for k in np.unique(b):
-        at = np.flatnonzero(b[heads] == k)
-        elsewhere[at] = np.unpackbits(np.frombuffer(bits[int(k)], np.uint8), count=len(at)).astype(bool)
-    owner = np.where(elsewhere, np.iinfo(np.int64).min, ids[np.minimum.reduceat(row[order], heads)])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.repeat(owner, np.diff(np.r_[heads, len(order)]))
-    out[out >= ids[row]] = NONE
-    return out
+    edges = np.flatnonzero(np.r_[True, b[heads][1:] != b[heads][:-1], True])
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        elsewhere[i:j] = np.unpackbits(np.frombuffer(bits[int(b[heads[i]])], np.uint8), count=j - i).astype(bool)
+    place, count = np.minimum.reduceat(order, heads), np.diff(np.r_[heads, len(order)])
+    own = ids[row[order]]
+    least, most = np.minimum.reduceat(own, heads), np.maximum.reduceat(own, heads)
+    window = np.empty(len(order), np.int32)
+    window[order] = np.repeat(np.arange(len(heads), dtype=np.int32), count)
+    return place, count, np.where(elsewhere, EARLIER, least), elsewhere | (most > least), window
+
+
+def _passages(ids, first, second, row, answers: pa.Table, n_buckets: int) -> list[tuple[int, int, int]]:
+    """(first place, number of windows, first document) of each distinct passage."""
+    place, count, owner, confirmed, window = _confirmed(ids, first, second, row, answers, n_buckets)
+    follows = np.r_[row[1:] == row[:-1], False]  # whether a place has a next one in its document
+    after = np.where(follows, np.r_[window[1:], -1], -1)
+    usual = after[place]  # the window after each window's first place
+    always = np.bincount(window[after == usual[window]], minlength=len(place)) == count
+    to = np.maximum(usual, 0)
+    joined = confirmed & (usual >= 0) & always & confirmed[to] & (count[to] == count) & (owner[to] == owner) & (to != np.arange(len(to)))
+    chosen = np.flatnonzero(confirmed)
+    chosen = chosen[np.argsort(place[chosen])]
+    heads = np.flatnonzero(np.r_[True, ~(joined[chosen[:-1]] & (usual[chosen[:-1]] == chosen[1:]))]) if len(chosen) else chosen
+    sizes = np.diff(np.r_[heads, len(chosen)])
+    return list(zip(place[chosen[heads]].tolist(), sizes.tolist(), owner[chosen[heads]].tolist(), strict=True))
 
 
 def _remove(docs: pa.Table, answers: pa.Table, n: int, n_buckets: int) -> pa.Table:
-    ids, words, numbers, first, second, row, start = _read(docs, n)
-    owner = _first_docs(ids, first, second, row, answers, n_buckets) if len(row) else np.empty(0, np.int64)
-    automaton, pieces = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
-    hit = np.flatnonzero(owner != NONE)
-    if len(hit):
-        cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(row[hit]) != 0)) + 1
-        for i, j in zip(np.r_[0, cut], np.r_[cut, len(hit)], strict=True):
-            doc, begin, end = row[hit[i]], start[hit[i]], start[hit[j - 1]]
-            for at in range(begin, end + 1, PIECE):
-                at = max(begin, min(at, end + 1 - PIECE))
-                to = min(at + PIECE - 1, end)
-                key = tuple(numbers[doc][at : to + n].tolist())
-                latest = int(owner[hit[i] + at - begin : hit[i] + to - begin + 1].max())
-                pieces[key] = min(latest, pieces.get(key, latest))
-        for key, latest in pieces.items():
-            automaton.add_word(key, (len(key), latest))
+    ids, texts, hashes, first, second, row, start = _read(docs, n)
+    numbers = np.split(np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_inverse=True)[1], np.cumsum([len(h) for h in hashes])[:-1])
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for place, size, owner in _passages(ids, first, second, row, answers, n_buckets) if len(row) else ():
+        of, begin = numbers[row[place]], int(start[place])
+        for at in range(0, size, PIECE):
+            at = max(0, min(at, size - PIECE))
+            key = tuple(of[begin + at : begin + min(at + PIECE, size) + n - 1].tolist())
+            automaton.add_word(key, (len(key), owner))
+    del first, second, row, start, hashes
+    if len(automaton):
         automaton.make_automaton()
-    n_words, n_removed, kept, streamed = [], [], [], set(row[hit].tolist())  # no other document holds a confirmed window
-    for k, (doc_id, w) in enumerate(zip(ids.tolist(), words, strict=True)):
-        if k in streamed:
-            covered = np.zeros(len(w) + 1, np.int64)
-            for last, (size, latest) in automaton.iter(tuple(numbers[k].tolist())):
-                if latest < doc_id:
-                    covered[last - size + 1] += 1
-                    covered[last + 1] -= 1
-        left = list(compress(w, (np.cumsum(covered[:-1]) == 0).tolist())) if k in streamed else w
-        n_words.append(len(w))
-        n_removed.append(len(w) - len(left))
+    n_words, n_removed, kept = [], [], []
+    for doc_id, text, x in zip(ids.tolist(), texts, numbers, strict=True):
+        covered = np.zeros(len(x) + 1, np.int64)
+        for last, (size, owner) in automaton.iter(tuple(x.tolist())) if len(automaton) and len(x) >= n else ():
+            if owner < doc_id:
+                covered[last - size + 1] += 1
+                covered[last + 1] -= 1
+        words = words_of(text)
+        left = list(compress(words, (np.cumsum(covered[:-1]) == 0).tolist())) if covered.any() else words
+        n_words.append(len(words))
+        n_removed.append(len(words) - len(left))
         kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 

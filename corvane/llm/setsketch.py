@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHARD_BYTES, Hashes, bounded, distinct, in_parts, mix, packed, staged, text_bytes, to_bytes, unpacked, windows, with_id, without_id, word_hashes
+from .common import SHARD_BYTES, bounded, distinct, in_parts, mix, packed, staged, text_bytes, to_bytes, unpacked, windows, with_id, without_id, word_hashes_of
 from .components import components
 
 BANDS, ROWS = 46, 6
@@ -47,9 +47,8 @@ OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """For each text the sorted hashes of its distinct n-word shingles, A-Z in lower case; fewer words are one shingle."""
-    known, out = Hashes(), []
-    for text in texts:
-        h = word_hashes(to_bytes(text).lower(), known)
+    out = []
+    for h in word_hashes_of([to_bytes(t).lower() for t in texts]):
         size = min(n, len(h))
         out.append(distinct(mix(windows(h, size, SHINGLE) + np.uint64(SALT * size % (1 << 64)))) if size else np.empty(0, np.uint64))
     return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, PART_BYTES, Hashes, bounded, mix, shard_count, staged, to_bytes, windows, with_id, without_id, word_hashes
+from .common import NO_ID, PART_BYTES, bounded, mix, shard_count, staged, to_bytes, windows, with_id, without_id, word_hashes_of
 
 BITS, BLOCKS, NARROW = 128, 8, 3
 WIDE = BLOCKS - 2
@@ -30,9 +30,8 @@ TERM = 0xC2B2AE3D27D4EB4F
 
 def fingerprints(texts: list[str]) -> np.ndarray:
     """A row of BITS / 8 bytes for each text."""
-    known, out = Hashes(), np.zeros((len(texts), BITS // 8), np.uint8)
-    for row, text in enumerate(texts):
-        h = word_hashes(to_bytes(text).lower(), known)
+    out = np.zeros((len(texts), BITS // 8), np.uint8)
+    for row, h in enumerate(word_hashes_of([to_bytes(t).lower() for t in texts])):
         if len(h):
             terms, counts = np.unique(windows(h, min(2, len(h)), TERM), return_counts=True)
             weights = np.rint(16.0 * (1.0 + np.log(counts)))

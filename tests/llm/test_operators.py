@@ -363,6 +363,52 @@ def test_phrases(spark, shards, empty):
     assert phrases.remove_repeated_phrases(empty).count() == 0
 
 
+def test_word_hashes_tell_words_apart_however_the_text_is_cut(monkeypatch):
+    from corvane.llm import common
+
+    rnd = random.Random(12)
+    texts = [b"", b"  ", b"one", b" a\tb\x0bc\n\x0cd\r e", "é 漢字\u00a0x".encode(), b"\x00 \xff\xfe z"]
+    texts += [b" ".join(bytes(rnd.choice(b"abcdefgh\xc3\xa9") for _ in range(rnd.randint(1, 12))) for _ in range(rnd.randint(0, 60))) + b" " * rnd.randint(0, 2) for _ in range(200)]
+    whole = common.word_hashes_of(texts)
+    assert [len(h) for h in whole] == [len(t.split()) for t in texts]
+    known = {}
+    for t, h in zip(texts, whole, strict=True):
+        for w, x in zip(t.split(), h.tolist(), strict=True):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+    monkeypatch.setattr(common, "SLICE", 7)
+    monkeypatch.setattr(common, "_tables", {})
+    assert all((common.word_hashes(t) == h).all() for t, h in zip(texts, whole, strict=True))
+    assert all((a == h).all() for a, h in zip(common.word_hashes_of(texts), whole, strict=True))
+    anagrams = ["".join(p).encode() for p in itertools.permutations("abcdefgh")]
+    assert len(set(common.word_hashes(b" ".join(anagrams)).tolist())) == len(anagrams)
+
+
+def test_passages_are_unbranched_and_found_whole():
+    """Random texts over few words, where windows repeat, overlap and loop within a text: the automaton finds what a scan of all windows does."""
+    rnd = random.Random(11)
+    pa = phrases.pa
+    for trial in range(150):
+        n = rnd.choice([2, 3, 4])
+        made = [(i * 3, " ".join(rnd.choice("abc"[: rnd.choice([1, 2, 3])]) for _ in range(rnd.randint(0, 30)))) for i in range(rnd.randint(1, 8))]
+        made += rnd.sample(made, rnd.randint(0, 1))
+        shard = pa.table({"doc_id": pa.array([i for i, _ in made], pa.int64()), "text": [t for _, t in made], "shard": pa.array([0] * len(made), pa.int32())})
+        asked = phrases._ask(shard, n, 3)
+        answers = pa.concat_tables([phrases._answer(asked.filter(pa.compute.equal(asked["bucket"], b))) for b in set(asked["bucket"].to_pylist())]) if asked.num_rows else pa.table({"bucket": [], "earlier": []})
+        got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in phrases._remove(shard, answers, n, 3).to_pylist())
+        want = collections.Counter()
+        firsts = {}
+        for i, t in sorted(made):
+            w = t.split()
+            for k in range(len(w) - n + 1):
+                firsts.setdefault(tuple(w[k : k + n]), i)
+        for i, t in made:
+            w = t.split()
+            gone = {p for k in range(len(w) - n + 1) if firsts[tuple(w[k : k + n])] < i for p in range(k, k + n)}
+            want[i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)] += 1
+        assert got == want, (trial, made)
+
+
 def test_phrases_of_repeated_ids_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(20))
     frame = spark.createDataFrame([(5, text), (5, text), (7, text), (None, text)], "doc_id long, text string")
