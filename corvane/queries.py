@@ -411,7 +411,13 @@ def rrf_cross_container(spark, sf_dir):
     return search.fuse_containers(ranked, levels(spark), 20).select("qid", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
-@query()
+_EITHER = _BM25 + f""", dl as (select qid, classification, chunk_id, row_number() over (partition by qid, classification order by round(score, 12) desc, chunk_id) as rank from (select qid, classification, chunk_id, {_COS} as score from {_V} c, {_Q} q where {ALICE_SQL})),
+ legs as (select 'v' || qid as qid, classification, chunk_id, rank from dl where rank <= 20 union all select 't' || qid, classification, chunk_id, rank from r where rank <= 20),
+ x1 as (select qid, chunk_id, any_value(classification) as classification, round(sum(round(1.0 / (60 + rank), 12)), 12) as score, min(case classification when 'UNCLASSIFIED' then 0 when 'CUI' then 1 else 2 end) as lv, min(rank) as best from legs group by 1, 2),
+ x2 as (select qid, chunk_id, classification, score, row_number() over (partition by qid order by score desc, lv, best, chunk_id) as rank from x1)"""
+
+
+@query(_EITHER + " select qid, cast(rank as integer) as rank, chunk_id, classification, round(score, 9) as score from x2 where rank <= 5")
 def hybrid_search(spark, sf_dir):
     """The flagship: vector and word queries, both legs in each container under one caller's filter, fused twice, the best five."""
     chunks = as_chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense")), "doc_id", "left")
@@ -964,14 +970,24 @@ def sustained_condition(spark, sf_dir):
     return runs.groupBy("event_type").agg(F.count("*").alias("runs"))
 
 
-@query()
+def _family(name: str, lines: str) -> str:
+    """SQL of one metric's HELP, TYPE and sample lines."""
+    return f"'# HELP corvane_{name} {name.replace('_', ' ')}' || chr(10) || '# TYPE corvane_{name} gauge' || chr(10) || {lines}"
+
+
+@query(f"""with s as {_STATS}, f as (select signal, count(*) as n from (select unnest(list_filter([case when attempts >= 30 then 'query_rate' end, case when attempts >= 10 and denied / attempts >= 0.3 then 'denial_ratio' end,
+ case when success >= 10 and singleton_or_empty / success >= 0.6 then 'singleton_or_empty' end, case when boundary_pairs >= 5 then 'boundary_mapping' end], lambda s: s is not null)) as signal from s) group by 1),
+ x as (select string_agg('corvane_flagged_identities{{signal="' || signal || '"}} ' || cast(cast(n as double) as varchar), chr(10) order by signal) as flagged from f)
+select coalesce({_family("flagged_identities", "flagged")} || chr(10), '') || {_family("last_run_timestamp_seconds", "'corvane_last_run_timestamp_seconds 1.0'")} || chr(10) || {_family("max_attempts", "'corvane_max_attempts ' || (select cast(cast(coalesce(max(attempts), 0) as double) as varchar) from s)")} || chr(10)
+ || {_family("window_seconds", "'corvane_window_seconds 3600.0'")} || chr(10) as text from x""")
 def anomaly_exposition(spark, sf_dir):
-    stats = analytics.with_signals(analytics.identity_stats(events(spark, sf_dir)))
+    stats = analytics.with_signals(analytics.identity_stats(events(spark, sf_dir), 21600))
     samples = exposition.anomaly_samples(analytics.flagged_counts(stats), stats, 3600, 1.0)
     return exposition.exposition(samples, {f"corvane_{n}": n.replace("_", " ") for n in ("flagged_identities", "max_attempts", "window_seconds", "last_run_timestamp_seconds")})
 
 
-@query()
+@query(f"""select cast(event_id as varchar) as id, '<' || (13 * 8 + case when contains(action, 'denied') then 4 else 5 end) || '>1 ' || stamp || ' host corvane-search 1 ' || action || ' - {{"id":"' || event_id || '","service":"search","actor_sub":"' || actor_sub
+ || '","actor_username":"' || actor_sub || '","action":"' || action || '","target_id":null,"detail":"{{\\"result_count\\":' || result_count || '}}","created_at":"' || stamp || '"}}' as line from (select *, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') as stamp from {AUDIT_SQL})""")
 def audit_syslog(spark, sf_dir):
     rows = events(spark, sf_dir).select(F.col("event_id").cast("string").alias("id"), "actor_sub", F.col("actor_sub").alias("actor_username"), "action", F.lit(None).cast("string").alias("target_id"), F.to_json(F.struct("result_count")).alias("detail"), "created_at")
     return rows.select("id", exposition.syslog_line("search", "host", 1).alias("line"))

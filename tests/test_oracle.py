@@ -35,6 +35,7 @@ def plain(value):
 def test_query(spark, duck, name):
     got = q.QUERIES[name](spark, SF).toPandas()
     if name not in q.SQL:
+        assert len(got) and not got.duplicated(subset=[c for c in got.columns if not got[c].map(lambda x: isinstance(x, (list, dict))).any()]).all(), name
         return
     want = duck.execute(q.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
