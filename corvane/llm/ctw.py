@@ -17,7 +17,6 @@ buckets and get the corpus's back, on the same way.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHARD_BYTES, Ids, distinct, hash_words, mix, pack, release, released, sharded, shards_for, staged, to_bytes, unpack, without_id, words_of
+from .common import SHARD_BYTES, distinct, mix, pack, release, released, sharded, shards_for, staged, to_bytes, unpack, without_id, word_hashes_of
 
 DEPTH, TOP = 7, 3
 WIDTH = 7  # bytes of context that fit a key
@@ -33,7 +32,7 @@ LEAST = 2
 PART = 1 << 20
 END = b"\xff"
 UNITS = float(1 << 20)
-END_TOKEN = b"\n"
+END_TOKEN = np.uint64(0x0A0A0A0A0A0A0A0A)  # stands for the end among the hashes of words
 WORDS, CONTEXTS = 0, 1
 
 
@@ -285,19 +284,18 @@ def _texts(table: pa.Table) -> Iterator[bytes]:
             yield to_bytes(text).lower()
 
 
-def _numbered(seen: Ids, parts: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(seen.__getitem__, parts), np.int32, len(parts))
-
-
 def _dealt(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return (mix(h) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets <= 1 << 16 else np.int64)  # numpy sorts the former in one pass
 
 
-def _places(words: list[bytes], n_buckets: int):
-    h = hash_words(words)
-    order = np.argsort(h)
-    bucket = _dealt(h, n_buckets)
-    return order[np.argsort(bucket[order], kind="stable")], h, bucket
+def _word_places(hashes: np.ndarray, n_buckets: int):
+    """Of ascending hashes; a bucket's stay ascending."""
+    bucket = _dealt(hashes, n_buckets)
+    return np.argsort(bucket, kind="stable"), bucket
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *parts])
 
 
 def _context_places(keys: np.ndarray, n_buckets: int, top: int):
@@ -308,18 +306,12 @@ def _context_places(keys: np.ndarray, n_buckets: int, top: int):
 
 def _ask(table: pa.Table, n_buckets: int, depth: int) -> pa.Table:
     """Of a shard, for each bucket: distinct words, and distinct keys, ascending, with their training counts."""
-    tally: Counter = Counter({END_TOKEN: 0})
     texts, held = list(_texts(table)), table["held_out"].to_pylist()
-    for text, held_out in zip(texts, held, strict=True):
-        w = words_of(text)
-        if held_out:
-            tally.update(dict.fromkeys(w, 0))
-        else:
-            tally.update(w)
-            tally[END_TOKEN] += 1
-    order, h, bucket = _places(list(tally), n_buckets)
-    asked = [(WORDS, h[order], np.fromiter(tally.values(), np.int64, len(tally))[order], bucket[order])]
-    del tally
+    learned, other = (_joined(word_hashes_of([t for t, h in zip(texts, held, strict=True) if h == which])) for which in (False, True))
+    h, c = _summed(np.r_[learned, other, END_TOKEN], np.r_[np.ones(len(learned), np.int64), np.zeros(len(other), np.int64), np.int64(held.count(False))])
+    order, bucket = _word_places(h, n_buckets)
+    asked = [(WORDS, h[order], c[order], bucket[order])]
+    del learned, other
     k, c = _tally(texts, held, depth)
     order, bucket = _context_places(k, n_buckets, min(TOP, depth))
     asked.append((CONTEXTS, k[order], c[order], bucket[order]))
@@ -401,14 +393,17 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHAR
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         found = {(a, b): x for a, b, x in zip(right["what"].to_pylist(), right["bucket"].to_pylist(), right["found"].to_pylist(), strict=True)}
-        words, own_words, texts = Ids(), [], list(_texts(left))
-        for text in texts:
-            own_words.append(_numbered(words, [*words_of(text), END_TOKEN]))
-        order, _, bucket = _places(list(words), n_shards)
+        texts = list(_texts(left))
+        own_words = [np.r_[h, END_TOKEN] for h in word_hashes_of(texts)]
+        n_tokens = np.array([len(x) for x in own_words], np.int64)
+        of = np.repeat(np.arange(len(texts)), n_tokens)
+        words, back = np.unique(_joined(own_words), return_inverse=True)
+        order, bucket = _word_places(words, n_shards)
         counts = np.empty(len(words), np.int64)
         counts[order] = np.concatenate([unpack(found[WORDS, int(b)]).astype(np.int64) for b in np.unique(bucket)])
-        base, known = np.log10(counts + 0.5) - rest, counts > 0
-        del words
+        base_score = np.bincount(of, (np.log10(counts + 0.5) - rest)[back], len(texts))
+        n_known = np.bincount(of, (counts > 0)[back], len(texts)).astype(np.int64)
+        del own_words, words, back, of
         coded, size = [], []
         for part in _parts(texts):
             k, number = _keys(part, depth)
@@ -424,10 +419,10 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHAR
             {
                 "doc_id": left["doc_id"],
                 "held_out": left["held_out"],
-                "n_tokens": pa.array(list(map(len, own_words)), pa.int64()),
-                "n_known": pa.array([int(known[x].sum()) for x in own_words], pa.int64()),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
                 "train_tokens": pa.array([n] * len(texts), pa.int64()),
-                "base_score": pa.array([float(base[x].sum()) for x in own_words], pa.float64()),
+                "base_score": pa.array(base_score, pa.float64()),
                 "score": pa.array(np.concatenate(scores), pa.float64()),
                 "n_bytes": pa.array(list(map(len, texts)), pa.int64()),
             }
