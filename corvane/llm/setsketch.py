@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SHARD_BYTES, bounded, distinct, in_parts, mix, packed, staged, text_bytes, to_bytes, unpacked, windows, with_id, without_id, word_hashes_of
+from .common import SHARD_BYTES, bounded, distinct, in_parts, mix, packed, quoted, staged, text_bytes, to_bytes, unpacked, windows, with_id, without_id, word_hashes_of
 from .components import components
 
 BANDS, ROWS = 46, 6
@@ -334,6 +334,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     known = docs.where("doc_id is not null")
     kept = near_duplicates(known, n, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_row"))
+    # maps have no order of their own
+    order = [F.to_json(F.struct(F.col(f"_row.{quoted(f.name)}"))) if "map<" in f.dataType.simpleString() else F.col(f"_row.{quoted(f.name)}") for f in docs.schema]
+    first = F.row_number().over(Window.partitionBy("_id").orderBy(*order))
     rows = packed(known, F.col("doc_id").cast("long").alias("_id")).join(kept, "_id", "left_semi").withColumn("_first", first).where("_first = 1")
     return unpacked(rows, docs.columns).unionByName(docs.where("doc_id is null"))

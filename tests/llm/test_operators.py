@@ -863,6 +863,12 @@ def test_near_duplicates_edges(spark, empty):
     assert collections.Counter(got) == collections.Counter([(1, 1)] * 3 + [(2, 1), (3, 1), (None, None), (4, 4), (5, 5)])
 
 
+def test_one_of_repeated_rows_stays_whatever_their_columns(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f", {"k": 2}), (1, "a b c d e f", {"k": 1}), (2, None, None), (None, "x", {})], "doc_id long, text string, `odd.name` map<string,int>")
+    got = setsketch.keep_one(frame).collect()
+    assert sorted((r.doc_id or 9, (r["odd.name"] or {}).get("k")) for r in got) == [(1, 1), (2, None), (9, None)]
+
+
 def test_registers_merge_and_estimate():
     rnd = setsketch.np.random.default_rng(1)
     pool = rnd.integers(0, 1 << 63, 3000, setsketch.np.uint64)
