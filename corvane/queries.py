@@ -434,7 +434,16 @@ def similar_approved(spark, sf_dir):
     return search.similar_approved(own, vectors(spark, sf_dir)).select("doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_NEAR = f"""(select * from (select qid, chunk_id, row_number() over (partition by qid order by round(score, 9) desc, chunk_id) as r from
+ (select qid, chunk_id, {_COS} as score from {_V} c, {_Q} q where status = 'approved' and chunk_id <> qid)) where r <= 5)"""
+_LEVEL = lambda c: f"case {c} when 'UNCLASSIFIED' then 0 when 'CUI' then 1 else 2 end"
+
+
+@query(f"""with j as (select h.qid, h.r, gov.classification, gov.releasability from {_NEAR} h join {GOV_SQL} on gov.doc_id = h.chunk_id),
+ v as (select *, row_number() over (partition by qid order by n desc, f, classification desc) as k from (select qid, classification, count(*) as n, min(r) as f from j group by 1, 2)),
+ a as (select qid, count(*) as similar_count, array_to_string(list_sort(list_distinct(flatten(list(releasability)))), '|') as top_releasability from j group by 1)
+select v.qid as doc_id, similar_count, v.classification as top_classification, n as top_classification_count, top_releasability, {_LEVEL("v.classification")} > {_LEVEL("gov.classification")} as disagrees_with_assigned
+ from v join a using (qid) join {GOV_SQL} on gov.doc_id = v.qid where k = 1""")
 def precedent_vote(spark, sf_dir):
     docs, chunks = gov(spark, sf_dir), vectors(spark, sf_dir)
     hits = search.similar_approved(search.centroid(chunks.where("doc_id % 97 = 0")).withColumnRenamed("document_id", "doc_id"), chunks)
@@ -1059,7 +1068,13 @@ def scored_coverage(spark, sf_dir):
     return rows.select("lang", F.round(metrics.coverage(F.col("s"), F.col("n")), 9).alias("coverage"))
 
 
-@query()
+@query("""with e as (select unnest([1.0, 5.0, 25.0, 100.0, 'inf'::double]) as le), n as (select date_trunc('hour', ts) as ts, le, count(*) filter (where value <= le) as n from events, e group by 1, 2),
+ s as (select ts, le, case when row_number() over (partition by le order by ts) = 1 then 0 else n end as step from n),
+ g as (select ts, le, cast(sum(step) over (partition by le order by epoch(ts) range between 3600 preceding and current row) as double) as cum from s),
+ t as (select *, max(cum) over (partition by ts) as total, coalesce(lag(le) over w, 0) as edge, coalesce(lag(cum) over w, 0) as below from g window w as (partition by ts order by le)),
+ f as (select * from t where cum >= 0.95 * total qualify row_number() over (partition by ts order by le) = 1),
+ q as (select ts, round(case when total > 0 then case when le = 'inf'::double then edge else edge + (le - edge) * case when cum = below then 1 else (0.95 * total - below) / (cum - below) end end end, 6) as value from f)
+select ts, 'total' as stage, value, case when value > 90 then 'critical' when value > 50 then 'warning' end as severity from q""")
 def latency_alerts(spark, sf_dir):
     """The 95th percentile over an hour from cumulative buckets of event values, at each hour."""
     from pyspark.sql import Window
@@ -1068,7 +1083,7 @@ def latency_alerts(spark, sf_dir):
     per = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(*(F.count_if(F.col("value") <= e).cast("double").alias(f"b{i}") for i, e in enumerate(edges)))
     rows = per.select("ts", F.lit("total").alias("stage"), F.explode(F.array(*(F.struct(F.lit(e).alias("le"), F.col(f"b{i}").alias("n")) for i, e in enumerate(edges)))).alias("x")).select("ts", "stage", "x.le", "x.n")
     grown = rows.withColumn("value", F.sum("n").over(Window.partitionBy("stage", "le").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).drop("n")
-    return metrics.latency_alerts(grown, 3600, 50.0, 90.0)
+    return metrics.latency_alerts(grown, 3600, 50.0, 90.0).withColumn("value", F.round("value", 6))
 
 
 @query(f"select case when status = 'approved' and doc_id % 4 = 0 then 'pending_review' else status end as status, count(*) as n from {GOV_SQL} group by 1")
