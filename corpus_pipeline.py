@@ -43,7 +43,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     All rows stay. A null source is a source of its own, a null or negative n_chars counts as none, sources of equal weight take slots in the order of their names, and
     rows with equal ids, sizes and texts are interchangeable. Further columns pass through; an empty table stays empty.
     """
-    return mixing.in_order(mixing.mix(docs))
+    return mixing.interleaved(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

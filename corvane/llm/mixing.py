@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, quoted, unpacked
 
 BLOCK, PERIOD, CHUNK, GROUP = 1 << 17, 1000, 1 << 23, 1024
 MOST_SOURCES = 1024
@@ -144,3 +144,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, p
 def in_order(mixed: DataFrame) -> DataFrame:
     """The rows sorted into their interleaved order, without the columns that mix() added."""
     return mixed.orderBy("slot", "place").drop("block", "slot", "place")
+
+
+def interleaved(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, with all its columns, sorted into the interleaved order of mix(); columns named block, slot or place keep what they hold."""
+    own = {c: f"_own_{c}" for c in ("block", "slot", "place") if c in docs.columns}
+    mixed = in_order(mix(docs.withColumnsRenamed(own), weights))
+    return mixed.withColumnsRenamed({v: k for k, v in own.items()}).select(*map(quoted, docs.columns))

@@ -908,6 +908,29 @@ def test_pipeline_stages(spark):
     assert encoded.where("not round_trip").count() == 0 and encoded.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, a long text, ties, columns that clash with the stages' own."""
+    rnd = random.Random(15)
+    text = lambda n: " ".join(rnd.choice(["stone", "river", "blue", "kayak", "walks", "under", "seven"]) + str(rnd.randint(0, 99)) for _ in range(n))
+    good = [(i, text(40), f"s{i % 3}") for i in range(12)]
+    odd = [(20, None, "s0"), (21, "", "s0"), (22, " \n", None), (23, "few words only", "s1"), (24, text(60_000), "s1"), (None, text(30), None), (None, None, None), (25, text(30), None)]
+    made = [(i, t, None if i == 3 else "en", s, None if i == 4 else len(t or "")) for i, t, s in [*good, *odd, good[5], good[5], (5, text(45), "s2")]]
+    frame = spark.createDataFrame(made, DOCS).withColumns({c: F.lit("own") for c in ("slot", "place", "_id", "kept", "ids")})
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", frame), ("none", frame.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.limit(0 if name == "none" else 9).write.parquet(str(tmp_path / name / "labels.parquet"))
+        given = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            given = stage(spark, given, str(tmp_path / name))
+            assert given.columns == frame.columns
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    ids = sorted(r.doc_id for r in got if r.doc_id is not None)
+    assert ids == [*range(12), 24, 25] and sum(r.doc_id is None for r in got) == 1
+    assert all(r.round_trip and r.n_tokens == len(r.ids) > 0 for r in got) and len({(r.slot, r.place) for r in got}) == len(got)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_keeps_the_order_of_the_mix_over_files(spark, tmp_path):
     """Part files of other sizes than their turn, as Spark packs them by size when it reads them again."""
     made = [(i, f"text {i} " * (1 + (i * 37) % 400), f"s{0 if i % 4 else i % 3}") for i in range(2000)]
