@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, oracles, secrets, urls
+from . import bpe, fim, mixing, oracles, resample, secrets, urls
 from .ctw import score_documents
 from .html import extract
 from .phrases import remove_repeated_phrases
@@ -64,6 +64,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), n=2)
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = [
     op1_secret_scans,
     op2_lm_scoring,
@@ -75,6 +83,8 @@ QUERIES = [
     op8_mixing,
     op9_fingerprints,
     op10_near_dedup,
+    op12_fill_in_middle,
+    op13_importance_resampling,
 ]
 
 

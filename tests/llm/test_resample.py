@@ -1,0 +1,105 @@
+"""Importance resampling against plain code: CRCs of n-grams as strings, gains, weights and the draw; odd rows, ties, one id and score for most rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from corvane.llm import resample
+
+DOCS = "doc_id long, text string, score string"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_features(text, n):
+    w = plain_words(text)
+    return [" ".join(w[i : i + k]).encode() for k in range(1, n + 1) for i in range(len(w) - k + 1)]
+
+
+def plain(docs, target, n, buckets, percent, least, seed):
+    of = lambda text: [zlib.crc32(f) % buckets for f in plain_features(text, n)]
+    s, t = [0] * buckets, [0] * buckets
+    for counts, texts in ((s, [x for _, x in docs]), (t, target)):
+        for text in texts:
+            for b in of(text):
+                counts[b] += 1
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (sum(s) + buckets) / ((s[b] + 1) * (sum(t) + buckets)))) for b in range(buckets)]
+    out = []
+    for doc_id, text in docs:
+        f = of(text)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append([doc_id, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), None])
+    able = [r for r, (_, text) in zip(out, docs, strict=True) if len(plain_words(text)) >= least]
+    for rank, r in enumerate(sorted(able, key=lambda r: (-r[3], -1 if r[0] is None else r[0]))[: len(able) * percent // 100], 1):
+        r[4] = rank
+    return sorted(map(tuple, out), key=repr)
+
+
+def test_crcs_of_runs_equal_those_of_their_strings():
+    rnd = random.Random(3)
+    for _ in range(60):
+        words = ["".join(rnd.choice("abcé漢09") for _ in range(rnd.choice([1, 2, 5, 40, 700]))).encode() for _ in range(rnd.randint(0, 9))]
+        for n in (1, 2, 3, 12):
+            want = [zlib.crc32(b" ".join(words[i : i + k])) for k in range(1, n + 1) for i in range(len(words) - k + 1)]
+            assert resample.feature_crcs(words, n).tolist() == want
+
+
+def test_appending_any_number_of_bytes():
+    sizes = [0, 1, 2, 3, 255, 256, 65_537, 3_000_001]
+    for data in (b"", b"a", b"some bytes"):
+        got = resample.shifted(np.full(len(sizes), zlib.crc32(data), np.uint32), np.array(sizes))
+        assert [int(g) ^ zlib.crc32(b"\0" * s) for g, s in zip(got, sizes, strict=True)] == [zlib.crc32(data + b"\0" * s) for s in sizes]
+
+
+def rows():
+    rnd = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)] + ["The", "OF", "été", "漢字", "x_y", "a-b"]
+    made = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 60)))) for i in range(150)]
+    return made + [(200, None), (201, ""), (202, " ,;"), (None, "no id " * 12), (None, "no id " * 12), (203, "w1 " * 30_000), *made[:3], *[(300, "the same row again " * 6)] * 90]
+
+
+@pytest.mark.parametrize(("n", "buckets", "percent", "least"), [(1, 10_000, 10, 20), (3, 97, 50, 2), (2, 10_000, 100, 0), (1, 500, 0, 1)])
+def test_resampling(spark, n, buckets, percent, least):
+    target = ["w1 w2 w3 w1", "the of", None, "w5 " * 40]
+    docs = spark.createDataFrame([(i, t, "theirs") for i, t in rows()], DOCS).repartition(5)
+    bench = spark.createDataFrame([(t,) for t in target], "text string")
+    got = resample.resample(docs, bench, n, buckets, percent, least, "x")
+    assert got.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    assert sorted(map(tuple, got.collect()), key=repr) == plain(rows(), target, n, buckets, percent, least, "x")
+
+
+def test_a_long_text_of_one_word_and_empty_tables(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    nothing = docs.limit(0)
+    assert resample.resample(nothing, docs).count() == 0
+    assert resample.resample(docs, nothing).where("rank is not null").count() == sum(len(plain_words(t)) >= 20 for _, t in rows()) // 10
+    with pytest.raises(ValueError, match="buckets"):
+        resample.resample(docs, docs, buckets=1 << 21)
+
+
+def test_rows_alike_are_ranked_in_many_tasks(spark):
+    """All rows of one score and id: ranks are 1 to k all the same, and the sort goes by ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        some = spark.range(4000).selectExpr("1L as doc_id", "30L as n_words", "5L as score")
+        got = resample.drawn(some, 50)
+        assert sorted(r["rank"] for r in got.where("rank is not null").collect()) == list(range(1, 2001)) and got.count() == 4000
+        assert got.where("rank is not null").selectExpr("spark_partition_id() as p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_the_draw_follows_the_target(spark):
+    docs = spark.createDataFrame([(i, ("law court judge " if i % 10 == 0 else "goal match team ") * 10) for i in range(2000)], "doc_id long, text string")
+    bench = spark.createDataFrame([("court law judge " * 20,)], "text string")
+    got = resample.resample(docs, bench).where("rank is not null").collect()
+    assert len(got) == 200 and sum(r.doc_id % 10 == 0 for r in got) > 150
