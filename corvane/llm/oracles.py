@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fim, resample, urls
+from . import fim, replies, resample, urls
 
 SECRETS = r"""
 with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
@@ -47,4 +47,4 @@ reach(a, b) as (select a, b from sides union select r.a, s.b from reach r join s
 lows as (select a as doc_id, min(b) as m from reach group by a)
 select w.doc_id, coalesce(n, 0) as n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) as component_id, coalesce(m, w.doc_id) >= w.doc_id as kept from w left join sizes using (doc_id) left join lows using (doc_id)"""
 
-SQL = {"op1_secret_scans": SECRETS, "op3_url_filters": urls.oracle(), "op5_substring_dedup": PHRASES, "op10_near_dedup": NEAR, "op12_fill_in_middle": fim.ORACLE, "op13_importance_resampling": resample.ORACLE}
+SQL = {"op1_secret_scans": SECRETS, "op3_url_filters": urls.oracle(), "op5_substring_dedup": PHRASES, "op10_near_dedup": NEAR, "op11_chat_formatting": replies.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_importance_resampling": resample.ORACLE}

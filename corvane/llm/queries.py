@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, mixing, oracles, resample, secrets, urls
+from . import bpe, fim, mixing, oracles, replies, resample, secrets, urls
 from .ctw import score_documents
 from .html import extract
 from .phrases import remove_repeated_phrases
@@ -64,6 +64,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), n=2)
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.digests(_read(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(_read(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = [
     op8_mixing,
     op9_fingerprints,
     op10_near_dedup,
+    op11_chat_formatting,
     op12_fill_in_middle,
     op13_importance_resampling,
 ]
