@@ -52,7 +52,8 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Files that are read again come in any order, so the schedule, which depends on the rows alone, is worked out again here.
     A null text has no ids and round_trip is true for it; null ids and sources stay null, repeated rows come out one for one. All other columns are left out; an empty table stays empty.
     """
-    mixed = mixing.mix(docs.select("doc_id", "source", "n_chars", F.coalesce("text", F.lit("")).alias("text"))).orderBy("slot", "place")
+    sized = ["n_chars"] if "n_chars" in docs.columns else []  # without it, both this stage and the one before size rows by their texts
+    mixed = mixing.mix(docs.select("doc_id", "source", *sized, F.coalesce("text", F.lit("")).alias("text"))).orderBy("slot", "place")
     both = bpe.encode_and_decode(mixed, vocabulary_path())
     return both.select("doc_id", "source", "slot", "place", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
