@@ -98,17 +98,20 @@ def _climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         there = nodes.select(F.col("tree").alias("_t"), F.col("id").alias("anc"))
         first = nodes.join(there, (nodes["tree"] == F.col("_t")) & (nodes["parent"] == F.col("anc")), "left")
         now = staged(first.select("tree", "id", "anc", F.col("anc").alias("least"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops")))
-        n, levels, reach = now.count(), [], 1
-        while now.where("anc is not null").limit(1).count() and reach <= 2 * n:
-            levels.append(now.select("tree", "id", "anc"))
-            b = now.select(F.col("tree").alias("_t"), F.col("id").alias("_id"), F.col("anc").alias("_anc"), F.col("least").alias("_least"), F.col("total").alias("_total"), F.col("hops").alias("_hops"))
-            joined = now.join(b, (F.col("tree") == F.col("_t")) & (F.col("anc") == F.col("_id")), "left")
-            now = staged(joined.select("tree", "id", F.col("_anc").alias("anc"), F.least("least", "_least").alias("least"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")))
+        n, levels, reach, done = now.count(), [], 1, now.where("anc is null")
+        active = now.where("anc is not null")
+        while active.limit(1).count() and reach <= 2 * n:
+            levels.append(active.select("tree", "id", "anc"))
+            # rows that have reached a root are met, but climb no more
+            b = done.union(active).select(F.col("tree").alias("_t"), F.col("id").alias("_id"), F.col("anc").alias("_anc"), F.col("least").alias("_least"), F.col("total").alias("_total"), F.col("hops").alias("_hops"))
+            joined = active.join(b, (F.col("tree") == F.col("_t")) & (F.col("anc") == F.col("_id")))
+            now = staged(joined.select("tree", "id", F.col("_anc").alias("anc"), F.least("least", "_least").alias("least"), (F.col("total") + F.col("_total")).alias("total"), (F.col("hops") + F.col("_hops")).alias("hops")))
+            done, active = done.union(now.where("anc is null")), now.where("anc is not null")
             reach *= 2
-        if not now.where("anc is not null").limit(1).count():
-            return levels, now.select("tree", "id", "total", "hops")
+        if not active.limit(1).count():
+            return levels, done.select("tree", "id", "total", "hops")
         # who is the least of all that stand above it stands above itself
-        cut = now.where("anc is not null and least = id").select(F.col("tree").alias("_t"), F.col("id").alias("_id"), F.lit(True).alias("_cut"))
+        cut = active.where("least = id").select(F.col("tree").alias("_t"), F.col("id").alias("_id"), F.lit(True).alias("_cut"))
         nodes = staged(nodes.join(cut, (F.col("tree") == F.col("_t")) & (F.col("id") == F.col("_id")), "left").select("tree", "id", F.when(F.col("_cut").isNull(), F.col("parent")).alias("parent"), "score"))
 
 
@@ -116,7 +119,7 @@ def _paths(nodes: DataFrame, keep: int | None) -> DataFrame:
     """(tree, leaf, id, up, rank, score) for each message of each chosen path; up counts from the leaf."""
     levels, whole = _climbed(nodes)
     if levels:
-        answered = levels[0].where("anc is not null").select(F.col("tree").alias("_t"), F.col("anc").alias("_a")).distinct()
+        answered = levels[0].select(F.col("tree").alias("_t"), F.col("anc").alias("_a")).distinct()
         whole = whole.join(answered, (F.col("tree") == F.col("_t")) & (F.col("id") == F.col("_a")), "left_anti")
     leaves = whole.select("tree", F.col("id").alias("leaf"), (F.col("total") / F.col("hops")).alias("score"), "hops")
     if keep is None:
@@ -126,7 +129,7 @@ def _paths(nodes: DataFrame, keep: int | None) -> DataFrame:
         leaves = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     out = leaves.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up"), "rank", "score")
     for k, level in reversed(list(enumerate(levels))):
-        above = level.where("anc is not null").select(F.col("tree").alias("_t"), F.col("id").alias("_id"), "anc")
+        above = level.select(F.col("tree").alias("_t"), F.col("id").alias("_id"), "anc")
         both = F.filter(F.array(F.struct("id", "up"), F.struct(F.col("anc").alias("id"), (F.col("up") + (1 << k)).alias("up"))), lambda x: x["id"].isNotNull())
         joined = out.join(above, (F.col("tree") == F.col("_t")) & (F.col("id") == F.col("_id")), "left")
         out = joined.select("tree", "leaf", "rank", "score", F.explode(both).alias("_at")).select("tree", "leaf", "_at.id", "_at.up", "rank", "score")
