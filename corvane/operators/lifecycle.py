@@ -241,13 +241,21 @@ def integrity_candidates(documents: DataFrame, limit: int = 500) -> DataFrame:
     return documents.where("content_sha256 is not null and original_object_key is not null").orderBy(F.asc_nulls_first("last_verified_at"), "document_id").limit(limit)
 
 
-def integrity(documents: DataFrame, objects: DataFrame, limit: int = 500) -> DataFrame:
-    """(document_id, outcome) for the documents checked longest ago: verified, mismatched or missing.
+def integrity(documents: DataFrame, objects: DataFrame | str, limit: int = 500, tasks: int | None = None) -> DataFrame:
+    """(document_id, outcome) for the documents checked longest ago: verified, mismatched, missing, or unread where a table holds the object without its content.
 
-    objects: (original_object_key, content). Documents without a digest are not candidates. Only the batch's objects are read.
+    objects: the root of their store, of which the batch's objects are read, as streams and by `tasks` tasks (Spark's choice if None), and no others; or a table
+    (original_object_key, content). Documents without a digest are not candidates.
     """
-    rows = integrity_candidates(documents, limit).join(objects.select("original_object_key", F.sha2("content", 256).alias("_d")), "original_object_key", "left")
-    outcome = F.when(F.col("_d").isNull(), "missing").when(F.col("_d") == F.lower("content_sha256"), "verified").otherwise("mismatched")
+    from ..sources.files import object_digests
+
+    batch = integrity_candidates(documents, limit)
+    if isinstance(objects, str):
+        digests = object_digests(batch, objects, tasks).where("length is not null")
+    else:
+        digests = objects.join(batch.select("original_object_key"), "original_object_key", "left_semi").withColumn("sha256", F.sha2("content", 256))
+    rows = batch.join(digests.select("original_object_key", F.col("sha256").alias("_d"), F.lit(True).alias("_there")), "original_object_key", "left")
+    outcome = F.when(F.col("_there").isNull(), "missing").when(F.col("_d").isNull(), "unread").when(F.col("_d") == F.lower("content_sha256"), "verified").otherwise("mismatched")
     return rows.select("document_id", outcome.alias("outcome"))
 
 

@@ -611,11 +611,12 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
  c as (select doc_id, sha256(text) as digest from {GOV_SQL} order by last_verified_at nulls first, doc_id limit 150)
 select case when o.content is null then 'missing' when sha256(o.content) = c.digest then 'verified' else 'mismatched' end as outcome, count(*) as n from c left join o using (doc_id) group by 1""")
 def integrity_sweep(spark, sf_dir):
-    """Objects of which every fifth lost its first character and every eleventh is gone, against the digests, a batch of 150."""
+    """A store of files of which every fifth lost its first character and every eleventh is gone, against the digests: a batch of 150 is read."""
     docs = stored(spark, sf_dir)
     text = F.when(F.col("doc_id") % 5 == 0, F.substring("text", 2, 1 << 30)).otherwise(F.col("text"))
-    files_ = docs.where("doc_id % 11 <> 0").select("original_object_key", text.cast("binary").alias("content"))
-    return lifecycle.outcome_counts(lifecycle.integrity(docs, files_, 150))
+    root = store_path(spark)
+    files.put_objects(docs.where("doc_id % 11 <> 0").select("original_object_key", text.cast("binary").alias("content")), root)
+    return lifecycle.outcome_counts(lifecycle.integrity(docs, root, 150))
 
 
 @query(f"select doc_id, created_at from {GOV_SQL} where status = 'pending_review' and doc_id % 3 <> 1 order by created_at, doc_id limit 20")
@@ -742,7 +743,7 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_path(spark: SparkSession) -> str:
-    return f"{jobs.shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    return f"{jobs.shared_dir(spark)}/store-{uuid.uuid4().hex}/table"
 
 
 _PIECES = f"(select doc_id, classification, n, unnest(range(0, case when n = 0 then 0 when n <= 512 then 1 else cast(ceil((n - 512) / 436.0) as bigint) + 1 end)) as i from (select doc_id, classification, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) as n from {GOV_SQL}))"
@@ -753,8 +754,8 @@ def relocate_chunks(spark, sf_dir):
     """Chunks written, every fifth document raised to SECRET in place, and read again: none is left in its old container."""
     path = store_path(spark)
     store.write_snapshot(chunk_store(spark, sf_dir), path)
-    raised = store.read_snapshot(spark, path).withColumn("classification", F.when(F.col("document_id").cast("long") % 5 == 0, "SECRET").otherwise(F.col("classification")))
-    store.write_snapshot(raised, path)
+    level = F.when(F.col("document_id").cast("long") % 5 == 0, "SECRET").otherwise(F.col("classification"))
+    store.replace_snapshot(spark, path, lambda chunks: chunks.withColumn("classification", level))
     return store.read_snapshot(spark, path).groupBy("document_id", "classification").agg(F.count("*").alias("n"))
 
 
@@ -764,15 +765,20 @@ def purge_chunks(spark, sf_dir):
     path = store_path(spark)
     store.write_snapshot(chunk_store(spark, sf_dir), path)
     rows = lifecycle_rows(spark, sf_dir).withColumn("original_object_key", F.col("document_id"))
-    _, _, chunks, _ = lifecycle.purge_stored(rows, decisions(spark, sf_dir, "doc_id % 17 = 0"), store.read_snapshot(spark, path))
-    store.write_snapshot(chunks, path)
+    said = decisions(spark, sf_dir, "doc_id % 17 = 0")
+    store.replace_snapshot(spark, path, lambda chunks: lifecycle.purge_stored(rows, said, chunks)[2], keep_seconds=0)
     return store.read_snapshot(spark, path).select("chunk_id", "classification")
 
 
-@query("select cast(doc_id as varchar) as original_object_key from documents where doc_id % 17 = 0")
+@query("select 'originals/' || doc_id || '.txt' as original_object_key, octet_length(encode(text)) as length, sha256(text) as sha256 from documents where doc_id % 17 <> 0")
 def purge_objects(spark, sf_dir):
-    rows = lifecycle_rows(spark, sf_dir).withColumn("original_object_key", F.col("document_id"))
-    return lifecycle.purge_stored(rows, decisions(spark, sf_dir, "doc_id % 17 = 0"), chunk_store(spark, sf_dir))[3]
+    """All originals as files, and those that are left, read again, once every seventeenth document is purged."""
+    key, root = F.concat(F.lit("originals/"), F.col("document_id"), F.lit(".txt")), store_path(spark)
+    rows = lifecycle_rows(spark, sf_dir).withColumn("original_object_key", key)
+    texts = table(spark, sf_dir, "documents").withColumn("document_id", F.col("doc_id").cast("string"))
+    files.put_objects(texts.select(key.alias("original_object_key"), F.col("text").cast("binary").alias("content")), root)
+    files.delete_objects(spark, root, lifecycle.purge_stored(rows, decisions(spark, sf_dir, "doc_id % 17 = 0"), chunk_store(spark, sf_dir))[3])
+    return files.object_digests(files.read_objects(spark, root).select("original_object_key"), root)
 
 
 # -- audit and dashboards ---------------------------------------------------------------------------------------

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from pathlib import PurePosixPath
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,9 +91,90 @@ def delete_object(spark: SparkSession, root: str, key: str) -> bool:
     return system.delete(where, False)
 
 
+PIECE = 1 << 20
+
+
+def _opened(root: str) -> tuple[fs.FileSystem, str]:
+    """A store as a worker reaches it, and its path there: folders of the machine or mounted, s3, gs and hdfs."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", root)) if re.match(r"[A-Za-z][\w+.-]*:", root) else (fs.LocalFileSystem(), root)
+
+
+def _dealt(keys: DataFrame, n: int | None = None) -> DataFrame:
+    """The distinct keys (original_object_key), some to each task."""
+    rows = keys.select(F.col("original_object_key").cast("string").alias("original_object_key")).distinct()
+    return rows.repartition(n, "original_object_key") if n else rows
+
+
+def put_objects(contents: DataFrame, root: str) -> int:
+    """Writes each row of contents (original_object_key, content) as an object, by the tasks that hold them; how many. A task that is tried again writes its objects again.
+
+    A key that leaves the root raises ValueError; null content makes an empty object.
+    """
+
+    def run(batches):
+        system, base = _opened(root)
+        made = set()
+        for batch in batches:
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                where = object_path(base, key or "")
+                if (folder := where.rpartition("/")[0]) not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(where) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return contents.select(F.col("original_object_key").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _found(system: fs.FileSystem, base: str, key: str | None) -> str | None:
+    """The path of a key's object, if there is one."""
+    try:
+        where = object_path(base, key or "")
+    except ValueError:
+        return None
+    return where if system.get_file_info(where).type == fs.FileType.File else None
+
+
+def object_digests(keys: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """(original_object_key, length, sha256) of the objects that keys name; both null for one that is not there. Other objects are neither listed nor read.
+
+    Each is read as a stream, PIECE bytes at a time, so its size is bounded by nothing. A null key, and one that leaves the root, names nothing.
+    """
+
+    def run(batches):
+        system, base = _opened(root)
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                if not (where := _found(system, base, key)):
+                    rows.append((key, None, None))
+                    continue
+                digest, length = hashlib.sha256(), 0
+                with system.open_input_stream(where) as source:
+                    while piece := source.read(PIECE):
+                        digest.update(piece)
+                        length += len(piece)
+                rows.append((key, length, digest.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.string(), pa.int64(), pa.string()])], ["original_object_key", "length", "sha256"])
+
+    return _dealt(keys, tasks).mapInArrow(run, "original_object_key string, length long, sha256 string")
+
+
 def delete_objects(spark: SparkSession, root: str, keys: DataFrame) -> int:
-    """Deletes the originals of purged documents, which people confirm one by one; how many there were. A missing one counts as gone."""
-    return sum(delete_object(spark, root, row[0]) for row in keys.select("original_object_key").distinct().toLocalIterator())
+    """Deletes the originals of purged documents, each task those of its keys; how many there were. A missing one counts as gone; a task that is tried again finds its first try's gone."""
+
+    def run(batches):
+        system, base = _opened(root)
+        for batch in batches:
+            gone = 0
+            for key in batch.column(0).to_pylist():
+                if where := _found(system, base, key):
+                    system.delete_file(where)
+                    gone += 1
+            yield pa.RecordBatch.from_arrays([pa.array([gone], pa.int64())], ["n"])
+
+    return _dealt(keys).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def suffix(filename: Column) -> Column:

@@ -1,6 +1,7 @@
 """In-place snapshots, odd pages and frames, streams out of order, searches by matrix, exact percentiles."""
 
 import datetime as dt
+import hashlib
 import io
 import random
 import struct
@@ -39,10 +40,10 @@ def test_snapshots_in_place(spark, tmp_path):
     store.write_snapshot(store.replace_document(store.read_snapshot(spark, path), new), path)
     assert rows_of(store.read_snapshot(spark, path)) == [("a0", "SECRET"), ("b0", "CUI")]
     gone = spark.createDataFrame([("a",), ("b",)], "document_id string")
-    store.write_snapshot(store.delete_document(store.read_snapshot(spark, path), gone), path)
+    store.write_snapshot(store.delete_document(store.read_snapshot(spark, path), gone), path, keep_seconds=0)
     left = store.read_snapshot(spark, path)
     assert left.count() == 0 and left.columns == chunks.columns
-    assert not list((tmp_path / "store").rglob("*.parquet")) and len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) == 1
+    assert not list(tmp_path.rglob("*.parquet")) and len([p for p in tmp_path.iterdir() if p.is_dir()]) == 1
     with pytest.raises(FileNotFoundError):
         store.read_snapshot(spark, str(tmp_path / "none"))
     made = store.ensure_store(spark, str(tmp_path / "made"), CHUNKS)
@@ -56,7 +57,53 @@ def test_tables_are_written_together_or_not_at_all(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         store.write_together({a: spark.range(9), b: bad})
     assert store.read_snapshot(spark, a).count() == 3 and store.read_snapshot(spark, b).count() == 4
-    assert len([p for p in (tmp_path / "a").iterdir() if p.is_dir()]) == 1
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 2
+
+
+def test_two_writers_and_a_reader(spark, tmp_path):
+    """A writer that read an older state is told; other tables' changes are taken in; nobody's unfinished folder and no frame that was read goes."""
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    store.write_together({a: spark.range(3), b: spark.range(4)})
+    seen, frame = store.read_version(spark, a), store.read_snapshot(spark, a)
+    (tmp_path / "snapshot-of-another-writer").mkdir()
+    store.write_together({b: spark.range(5)}, seen=seen)
+    store.write_together({a: frame.union(spark.range(10, 11).toDF("id"))}, seen=seen)  # b's change is no conflict
+    assert sorted(r.id for r in frame.collect()) == [0, 1, 2] and (tmp_path / "snapshot-of-another-writer").exists()
+    with pytest.raises(store.Conflict):
+        store.write_together({a: frame, b: spark.range(9)}, seen=seen)
+    assert store.read_snapshot(spark, a).count() == 4 and store.read_snapshot(spark, b).count() == 5
+    tries = []
+
+    def change(rows):
+        tries.append(1)
+        if len(tries) == 1:
+            store.write_snapshot(rows.withColumn("classification", F.lit("CUI")), c)  # another writer comes first
+        return rows.withColumn("n", F.lit(len(tries)))
+
+    c = str(tmp_path / "c")
+    store.write_snapshot(spark.createDataFrame([("x", "CUI")], "k string, classification string"), c)
+    store.replace_snapshot(spark, c, change)
+    assert len(tries) == 2 and [r.n for r in store.read_snapshot(spark, c).collect()] == [2]
+    assert not store._commit(spark, str(tmp_path), store.read_version(spark, a), {})  # a taken number stays taken
+    store.sweep(spark, str(tmp_path), 0)
+    assert store.read_snapshot(spark, a).count() == 4 and not (tmp_path / "snapshot-of-another-writer").exists()
+
+
+def test_digests_read_the_asked_objects_only_and_of_any_size(spark, tmp_path):
+    big = tmp_path / "k" / "big"
+    big.parent.mkdir()
+    with open(big, "wb") as out:
+        out.truncate(60 << 20)  # over MOST_BYTES
+    rows = spark.createDataFrame([(f"k/{i}", bytes([i]) * i) for i in range(20)], "original_object_key string, content binary")
+    assert files.put_objects(rows, str(tmp_path)) == 20
+    (tmp_path / "k" / "3").chmod(0)
+    (tmp_path / "k" / "unread").mkdir()  # reading it would fail
+    asked = spark.createDataFrame([("k/big",), ("k/5",), ("k/5",), ("k/none",), (None,), ("../k/5",), ("k/unread",)], "original_object_key string")
+    got = {r.original_object_key: (r.length, r.sha256) for r in files.object_digests(asked, str(tmp_path), 3).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {"k/big": (60 << 20, sha(bytes(60 << 20))), "k/5": (5, sha(b"\x05" * 5)), "k/none": (None, None), None: (None, None), "../k/5": (None, None), "k/unread": (None, None)}
+    docs = spark.createDataFrame([("a", "k/big", sha(bytes(60 << 20)).upper()), ("b", "k/5", sha(b"other")), ("c", "k/none", "x")], "document_id string, original_object_key string, content_sha256 string").withColumn("last_verified_at", F.lit(None).cast("timestamp"))
+    assert {r.document_id: r.outcome for r in lifecycle.integrity(docs, str(tmp_path)).collect()} == {"a": "verified", "b": "mismatched", "c": "missing"}
 
 
 def test_purge_takes_chunks_and_originals(spark, tmp_path):
