@@ -1,8 +1,11 @@
-"""The session settings that the engine's plans count on."""
+"""The session settings that the engine's plans count on, and tables that a plan writes on its way."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,3 +19,18 @@ def configured(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of this machine where that is unset and the session is local, as in tests. A cluster without one is refused."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="corvane-")).rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again: worked out once, and not again when an executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import access, analytics, chunking, evaluation, lifecycle, metrics, search, store
+from .operators import access, analytics, chunking, evaluation, lifecycle, metrics, postings, search, store
+from .operators import vectors as ivf
 from .plans.overlay import AUDIT_SQL, GOV_SQL, LEVELS_SQL, PERSONAS_SQL, audit, governed, levels, personas
 from .sources import exposition, files, parsers
 from .streaming import jobs
@@ -394,6 +395,38 @@ _BM25 = f"""with g as (select * from {GOV_SQL}), c as (select doc_id, classifica
  r as (select *, row_number() over (partition by qid, classification order by score desc, chunk_id) as rank from s)"""
 
 
+@query(SQL["dense_topk"])
+def ivf_topk(spark, sf_dir):
+    """The rows of dense_topk from a written inverted-file index: eight lists a query, then those that its bounds cannot rule out."""
+    chunks, path = vectors(spark, sf_dir).drop("text"), store_path(spark)
+    ivf.write_vector_index(chunks, path, max(1, round(chunks.count() ** 0.5)))
+    found = ivf.ivf_top(asked(spark, sf_dir), ivf.read_vector_index(spark, path), 20, exact=True, where=lambda rows: access.secured(rows, ALICE, levels(spark)))
+    return found.select("qid", "classification", "chunk_id", F.round("score", 6).alias("score"))
+
+
+_indexes: dict[tuple[str, ...], str] = {}
+
+
+def standing_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lexical index of as_chunks(), written by the first search of a session over these files and read by all."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
+    if key not in _indexes:
+        path = store_path(spark)
+        search.write_lexical_index(as_chunks(spark, sf_dir), path)
+        _indexes[key] = path
+    return search.read_lexical_index(spark, _indexes[key])
+
+
+@query(_BM25 + " select qid, classification, chunk_id, round(score, 6) as score from r where rank <= 20")
+def blockmax_topk(spark, sf_dir):
+    """The rows of bm25_per_container from a written block-max index, which opens only postings that the twentieth score does not rule out."""
+    chunks, path = as_chunks(spark, sf_dir), store_path(spark)
+    postings.write_block_index(chunks, path)
+    found = postings.block_top(benchmark_queries(spark, sf_dir), postings.read_block_index(spark, path), 20, access.secured(chunks, ALICE, levels(spark)))
+    return found.select("qid", "classification", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(_BM25 + " select qid, classification, chunk_id, round(score, 6) as score from r where rank <= 20")
 def bm25_per_container(spark, sf_dir):
     chunks = as_chunks(spark, sf_dir)
@@ -407,7 +440,7 @@ _FUSED = _BM25 + """, f as (select qid, chunk_id, round(sum(round(1.0 / (60 + ra
 @query(_FUSED + " select qid, chunk_id, cast(pos as integer) as rank, round(score, 9) as score from z where pos <= 20")
 def rrf_cross_container(spark, sf_dir):
     chunks = as_chunks(spark, sf_dir)
-    ranked = search.bm25_top(benchmark_queries(spark, sf_dir), chunks, 20, access.secured(chunks, ALICE, levels(spark)))
+    ranked = search.bm25_top(benchmark_queries(spark, sf_dir), None, 20, access.secured(chunks, ALICE, levels(spark)), index=standing_index(spark, sf_dir))
     return search.fuse_containers(ranked, levels(spark), 20).select("qid", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
@@ -419,11 +452,11 @@ _EITHER = _BM25 + f""", dl as (select qid, classification, chunk_id, row_number(
 
 @query(_EITHER + " select qid, cast(rank as integer) as rank, chunk_id, classification, round(score, 9) as score from x2 where rank <= 5")
 def hybrid_search(spark, sf_dir):
-    """The flagship: vector and word queries, both legs in each container under one caller's filter, fused twice, the best five."""
+    """The flagship: vector and word queries, both legs in each container under one caller's filter, fused twice, the best five; words over the standing index."""
     chunks = as_chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense")), "doc_id", "left")
     words = benchmark_queries(spark, sf_dir).select(F.concat(F.lit("t"), F.col("qid").cast("string")).alias("qid"), "text", F.lit(None).cast("array<float>").alias("dense"))
     near = asked(spark, sf_dir).select(F.concat(F.lit("v"), F.col("qid").cast("string")).alias("qid"), F.lit(None).cast("string").alias("text"), "dense")
-    found = search.hybrid_search(words.unionByName(near), chunks, access.secured(chunks, ALICE, levels(spark)), levels(spark), 5)
+    found = search.hybrid_search(words.unionByName(near), chunks, access.secured(chunks, ALICE, levels(spark)), levels(spark), 5, index=standing_index(spark, sf_dir))
     return found.where("rank <= 5").select("qid", "rank", "chunk_id", "classification", F.round("score", 9).alias("score"))
 
 

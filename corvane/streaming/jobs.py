@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lifecycle import LEASE_SECONDS, MOST_ATTEMPTS
+from ..plans.session import shared_dir
 
 ID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 LATE, RETRY_SECONDS, RECONCILE, RECONCILE_BATCH, KEPT_HOURS = "10 minutes", 30, "15 seconds", 100, 24
@@ -168,14 +168,6 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None] | st
     return query
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine where that is unset and the session is local, as in tests. A cluster without one is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (found or tempfile.mkdtemp(prefix="corvane-")).rstrip("/")
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream of the data there is now comes to, as a table in the shared folder."""
     spark = stream.sparkSession
