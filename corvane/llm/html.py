@@ -253,11 +253,11 @@ def classify(blocks: list[Block]) -> None:
     spoken = words * 4 >= sum(len(b.text) for b in blocks)  # else the page's language has no list here
     for b, d in zip(blocks, density, strict=True):
         size, links = len(b.text), b.linked / max(1, len(b.text))
-        if b.out or links > LINKS:
+        if b.out or (links > LINKS and not b.main):
             b.label = "bad"
         elif b.heading:
             b.label = "heading"
-        elif b.text[:1] in "©®" or (size < SHORT and links > 0 and not b.main):
+        elif not b.main and (b.text[:1] in "©®" or (size < SHORT and links > 0)):
             b.label = "bad"
         elif size < SHORT:
             b.label = "short"

@@ -5,27 +5,27 @@ from __future__ import annotations
 from . import fim, replies, resample, urls
 
 SECRETS = r"""
-with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
+with d as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as owner, coalesce(lang, '') as lang from documents),
 found as (
-  select doc_id, owner, 0 as k, regexp_split_to_array(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as parts,
+  select doc_id, owner, lang, 0 as k, regexp_split_to_array(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as parts,
     regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') as hits,
     regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) as vals, 6 as least from d
-  union all select doc_id, owner, 1, regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), 20 from d
-  union all select doc_id, owner, 2, regexp_split_to_array(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), 24 from d
-  union all select doc_id, owner, 3, regexp_split_to_array(t, '[A-Za-z0-9+/_-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_-]+'), 20 from d where regexp_matches(t, '[A-Za-z0-9+/_-]{20,}')),
-each as (select doc_id, owner, k, hits, parts, vals, least, unnest(range(1, len(hits) + 1)) as i from found),
-sized as (select doc_id, owner, k, i, length(parts[i]) as gap, length(hits[i]) as size, vals[i] as v, least from each),
-placed as (select doc_id, owner, k, v, size, least, sum(gap + size) over (partition by doc_id, k order by i rows unbounded preceding) as stop from sized),
-spans as (select doc_id, owner, k, v, cast(stop - size as bigint) as start, cast(stop as bigint) as stop from placed
+  union all select doc_id, owner, lang, 1, regexp_split_to_array(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), 20 from d
+  union all select doc_id, owner, lang, 2, regexp_split_to_array(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), 24 from d
+  union all select doc_id, owner, lang, 3, regexp_split_to_array(t, '[A-Za-z0-9+/_-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_-]+'), 20 from d where regexp_matches(t, '[A-Za-z0-9+/_-]{20,}')),
+each as (select doc_id, owner, lang, k, hits, parts, vals, least, unnest(range(1, len(hits) + 1)) as i from found),
+sized as (select doc_id, owner, lang, k, i, length(parts[i]) as gap, length(hits[i]) as size, vals[i] as v, least from each),
+placed as (select doc_id, owner, lang, k, v, size, least, sum(gap + size) over (partition by doc_id, k order by i rows unbounded preceding) as stop from sized),
+spans as (select doc_id, owner, lang, k, v, cast(stop - size as bigint) as start, cast(stop as bigint) as stop from placed
   where length(v) >= least and (k < 3 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')))),
 candidates as (select * from spans s where k < 3 or not exists (select 1 from spans b where b.doc_id = s.doc_id and b.k < 3 and b.start < s.stop and s.start < b.stop)),
-frequency as (select v, count(distinct owner) as owners from candidates group by v),
-judged as (select c.*, owners, concat(['assign', 'access', 'hex', 'token'][k + 1], ':', start, ':', stop) as said from candidates c join frequency using (v)),
+frequency as (select *, owners < 3 and not (owners > 1 and repositories >= 6) as live from (select v, count(distinct owner) as owners, count(distinct (owner, lang)) as repositories from candidates group by v)),
+judged as (select c.*, live, owners || '/' || repositories as wide, concat(['assign', 'access', 'hex', 'token'][k + 1], ':', start, ':', stop) as said from candidates c join frequency using (v)),
 summed as (select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex,
-  string_agg(said, ',' order by start, k) filter (where k < 3) as base, string_agg(said, ',' order by start, k) filter (where k < 3 or owners < 3) as spans,
-  count(*) filter (where owners < 3) as n_live, count(*) filter (where owners >= 3 and k < 3) as n_example from judged group by doc_id)
+  string_agg(said, ',' order by start, k) filter (where k < 3) as base, string_agg(said, ',' order by start, k) filter (where k < 3 or live) as spans, string_agg(wide, ',' order by start, k) filter (where k < 3 or live) as spread,
+  count(*) filter (where live) as n_live, count(*) filter (where not live and k < 3) as n_example from judged group by doc_id)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
-  coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from d left join summed using (doc_id)"""
+  coalesce(spans, '') as spans, coalesce(spread, '') as spread, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example from d left join summed using (doc_id)"""
 
 PHRASES = r"""
 with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),

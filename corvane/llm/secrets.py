@@ -2,8 +2,8 @@
 
 Spans of each kind are the leftmost non-overlapping matches of a pattern: the text is parted at the matches, and the
 lengths of parts and matches add up to offsets in code points. Every candidate's value is hashed; the distinct owners and repositories
-that hold a hash are counted over the whole corpus. Values with MANY owners or more are widely copied examples; those with
-fewer count as live. An owner is a value of one column, `source` unless another is named; where few sources stand for many people, values of few sources are live.
+that hold a hash are counted over the whole corpus. Values with MANY owners or more, or with several owners and MANY_REPOSITORIES or more repositories, are widely copied
+examples; others, and all values of one owner, count as live. An owner is a value of one column, `source` unless another is named; where few sources stand for many people, values of few sources are live.
 Long mixed tokens that no base pattern finds are added as spans of kind `token` if they are live.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import packed, staged, unpacked, with_id, without_id
 
 MANY = 3
+MANY_REPOSITORIES = 6
 STRETCH = 256
 KINDS = ["assign", "access", "hex", "token"]
 # fixed values: the contract's base patterns (kind, pattern, group of the value, least length of the value)
@@ -86,32 +87,41 @@ def _joined(found: Column) -> Column:
     return F.array_join(parts, ",")
 
 
-def judged(scans: DataFrame, many: int = MANY) -> DataFrame:
-    """scans with `all`: every span that stands, in order, each with its number of owners."""
+def widely_copied(owners: Column, repositories: Column, many: int, many_repositories: int) -> Column:
+    return (owners >= many) | ((owners > 1) & (repositories >= many_repositories))
+
+
+def judged(scans: DataFrame, many: int = MANY, many_repositories: int = MANY_REPOSITORIES) -> DataFrame:
+    """scans with `all`: every span that stands, in order, each with its numbers of owners and repositories, and whether it is live.
+
+    A value that a third of all rows hold is a key of the larger side of a join, which Spark splits; its frequency is one row.
+    """
     one = scans.where(F.size("base") + F.size("more") > 0).select("doc_id", "content", F.explode(F.concat("base", "more")).alias("span")).distinct()
-    one = one.withColumn("value", F.col("span.value")).join(frequency(scans), "value")
-    one = one.where((F.col("span.kind") < len(BASE)) | (F.col("owners") < many))
-    mark = F.struct(F.col("span.start").alias("start"), F.col("span.kind").alias("kind"), F.col("span.stop").alias("stop"), "owners")
+    one = one.withColumn("value", F.col("span.value")).join(frequency(scans), "value").withColumn("live", ~widely_copied(F.col("owners"), F.col("repositories"), many, many_repositories))
+    one = one.where((F.col("span.kind") < len(BASE)) | F.col("live"))
+    mark = F.struct(F.col("span.start").alias("start"), F.col("span.kind").alias("kind"), F.col("span.stop").alias("stop"), "owners", "repositories", "live")
     found = one.groupBy("doc_id", "content").agg(F.array_sort(F.collect_list(mark)).alias("all"))  # the spans of one text
-    empty = F.array().cast("array<struct<start:int,kind:int,stop:int,owners:bigint>>")
+    empty = F.array().cast("array<struct<start:int,kind:int,stop:int,owners:bigint,repositories:bigint,live:boolean>>")
     return scans.join(found, ["doc_id", "content"], "left").withColumn("all", F.coalesce("all", empty))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: list[str] = ["lang"], many: int = MANY) -> DataFrame:  # noqa: B006
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_example for each row.
+def scan(docs: DataFrame, owner: str = "source", repository: list[str] = ["lang"], many: int = MANY, many_repositories: int = MANY_REPOSITORIES) -> DataFrame:  # noqa: B006
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, spread (owners/repositories of each span), n_live and n_example for each row.
 
     A null or empty text has no span, and base_sha256 is then that of an empty string. A null owner or repository part
     counts as the empty name. Repeated rows get equal results and count once in the frequencies. Other columns are left out.
     """
-    rows = judged(staged(scanned(docs, owner, repository)), many)
+    rows = judged(staged(scanned(docs, owner, repository)), many, many_repositories)
+    spread = F.transform("all", lambda s: F.concat_ws("/", s["owners"].cast("string"), s["repositories"].cast("string")))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     out = rows.select(
         "doc_id",
         *(number(k).alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("all")).alias("spans"),
-        F.size(F.filter("all", lambda s: s["owners"] < many)).cast("long").alias("n_live"),
-        F.size(F.filter("all", lambda s: s["owners"] >= many)).cast("long").alias("n_example"),
+        F.array_join(spread, ",").alias("spread"),
+        F.size(F.filter("all", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("all", lambda s: ~s["live"])).cast("long").alias("n_example"),
     )
     return without_id(out)
 
@@ -127,13 +137,13 @@ def masked(text: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, start, step, lambda s: F.concat(s["done"], F.substring(text, s["at"] + 1, F.length(text)))))
 
 
-def mask_live(docs: DataFrame, owner: str = "source", repository: list[str] = ["lang"], many: int = MANY) -> DataFrame:  # noqa: B006
+def mask_live(docs: DataFrame, owner: str = "source", repository: list[str] = ["lang"], many: int = MANY, many_repositories: int = MANY_REPOSITORIES) -> DataFrame:  # noqa: B006
     """docs with live secrets masked in `text` (and `n_chars` set to its new length, if there is such a column); widely copied examples stay.
 
     Null texts stay null; rows come out one for one with the same columns.
     """
-    found = judged(staged(scanned(docs, owner, repository)), many)
-    live = found.select("doc_id", "content", F.filter("all", lambda s: s["owners"] < many).alias("_live")).where(F.size("_live") > 0).distinct()
+    found = judged(staged(scanned(docs, owner, repository)), many, many_repositories)
+    live = found.select("doc_id", "content", F.filter("all", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0).distinct()
     live = live.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "_live")
     rows = with_id(packed(docs, F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_content")), "_id")
     old, found = F.col("_row.text"), F.col("_live")

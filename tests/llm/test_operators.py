@@ -104,6 +104,12 @@ def test_owner_frequency_parts_examples_from_live_secrets(spark):
     frame = spark.createDataFrame(made, DOCS)
     got = {r.doc_id: r for r in secrets.scan(frame).collect()}
     assert (got[0].n_live, got[0].n_example, got[0].spans) == (0, 1, "access:4:24") and (got[9].n_live, got[9].n_example) == (1, 0)
+    assert got[0].spread == "4/4" and got[9].spread == "1/1"
+    # two owners in six repositories copy an example; one owner in six, and two in five, hold a secret
+    held = [("A", "xyxyxy"), ("B", "xxxxxx"), ("C", "xyxyx")]
+    made2 = [(10 * k + i, "AKIA" + letter * 16, f"lang{i}", who, 0) for k, (letter, owners) in enumerate(held) for i, who in enumerate(owners)]
+    wide = {r.doc_id: (r.n_live, r.n_example, r.spread) for r in secrets.scan(spark.createDataFrame(made2, DOCS)).collect()}
+    assert wide[0] == (0, 1, "2/6") and wide[10] == (1, 0, "1/6") and wide[20] == (1, 0, "2/5")
     masked = {r.doc_id: r for r in secrets.mask_live(frame).collect()}
     assert masked[9].text == f"my {secrets.MASK} é" and masked[9].n_chars == len(masked[9].text) and masked[0].text == made[0][1]
     plan = secrets.scan(frame)._jdf.queryExecution().executedPlan().toString()
@@ -455,11 +461,11 @@ def plain_labels(blocks):
     for b, d in zip(blocks, density, strict=True):
         n, links = len(b.text), b.linked / max(1, len(b.text))
         long_ = n > html.LONG or b.main
-        if b.out or links > html.LINKS:
+        if b.out or (links > html.LINKS and not b.main):
             first.append("bad")
         elif b.tag in html.HEADINGS:
             first.append("heading")
-        elif b.text[0] in "©®" or (n < html.SHORT and links > 0 and not b.main):
+        elif not b.main and (b.text[0] in "©®" or (n < html.SHORT and links > 0)):
             first.append("bad")
         elif n < html.SHORT:
             first.append("short")
@@ -534,6 +540,14 @@ def test_tags_end_where_their_quotes_say():
     assert tags("<p") == [] and tags("</p x") == [] and html.main_text("a < b") == "a < b"
 
 
+def test_no_block_of_an_article_goes_for_its_signs_or_links():
+    sign = "© is the sign of a right that is held in a text, and ® is that of a mark, in a paragraph of the article."
+    links = "<p>See <a href=/a>this page of the town on it</a>.</p><p><a href=/b>All of it is a link in the text</a></p>"
+    page = f"<body><p>© the owner of the page</p><article><p>{PARAGRAPH}</p><p>{sign}</p>{links}<p>® short</p><p>{PARAGRAPH}</p></article><p><a href=/c>A link of the page to it</a></p><footer>© it</footer></body>"
+    p = PARAGRAPH.strip()
+    assert html.main_text(page) == "\n\n".join([p, sign, "See this page of the town on it.", "All of it is a link in the text", "® short", p])
+
+
 def test_elements_within_an_article_stay():
     page = f"<body><article><p>{PARAGRAPH}</p><noscript><p>no script of it</p></noscript><p>let <math><mi>x</mi></math> be <object>a thing</object> and <canvas>drawn</canvas></p><p>{PARAGRAPH}</p><svg><title>t</title></svg><select><option>o</select></article></body>"
     assert html.main_text(page) == f"{PARAGRAPH.strip()}\n\nno script of it\n\nlet x be a thing and drawn\n\n{PARAGRAPH.strip()}"
