@@ -572,7 +572,7 @@ _SEARCHED = "with recursive" + _BOTH[4:] + """, s1 as (select qid, cast(chunk_id
 
 @query(_SEARCHED + """ select qid, cast(p as integer) as position, k.id as id, k.d as document_id, cast(k.i as integer) as chunk_index from (select qid, unnest(kept) as k, unnest(range(1, len(kept) + 1)) as p from z)""")
 def search_results(spark, sf_dir):
-    """Searches from query to collapsed results over a written index."""
+    """Searches from query to collapsed results over the standing index."""
     return _run(spark, sf_dir)[0].select("qid", "position", "id", "document_id", "chunk_index")
 
 
@@ -583,10 +583,8 @@ def search_outcomes(spark, sf_dir):
 
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chunks, path = searched(spark, sf_dir), store_path(spark)
-    search.write_lexical_index(chunks, path)
-    index = search.read_lexical_index(spark, path)
-    return search.run_search(both_legs(spark, sf_dir), chunks, access.secured(chunks, ALICE, levels(spark)), levels(spark), 5, planted_scores, {"table": 1.5}, 4.0, index)
+    chunks = searched(spark, sf_dir)
+    return search.run_search(both_legs(spark, sf_dir), chunks, access.secured(chunks, ALICE, levels(spark)), levels(spark), 5, planted_scores, {"table": 1.5}, 4.0, standing_index(spark, sf_dir))
 
 
 @query("""select doc_id // 50 as qid, cast(doc_id as varchar) as id, round(doc_id % 13 / 10.0, 6) as score, 'internal' as shape from documents where doc_id % 50 < 8 and doc_id % 3 <> 0
