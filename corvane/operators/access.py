@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import staged
+
 # fixed values: role names and sentinels
 CLEARANCE, RELEASABILITY, CURATE = "rag-clearance:", "rag-releasability:", "rag-curate:"
 INGEST, QUERY, ADMIN, PURGE = "rag-ingest", "rag-query", "rag-admin", "rag-purge"
@@ -101,10 +103,13 @@ def allowed_levels(levels: DataFrame, clearance: str) -> list[str]:
 
 
 def allowed_by_caller(callers: DataFrame, levels: DataFrame) -> DataFrame:
-    """callers (with clearance) with `allowed`, the array of levels each may read; empty for an unknown clearance."""
-    own = levels.select(F.col("value").alias("clearance"), F.col("rank").alias("own"))
-    pairs = own.join(levels.where("active").select("value", "rank"), F.col("rank") <= F.col("own"))
-    sets = pairs.groupBy("clearance").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("allowed"))
+    """callers (with clearance) with `allowed`, the array of levels each may read; empty for an unknown clearance.
+
+    A level's set is the active levels up to its rank: a running collection over the list of levels, which administrators keep.
+    """
+    upto = F.collect_list(F.when(F.col("active"), F.struct("rank", "value"))).over(Window.orderBy("rank").rangeBetween(Window.unboundedPreceding, 0))
+    every = levels.select(F.col("value").alias("clearance"), "rank", upto.alias("_upto"))
+    sets = every.groupBy("clearance").agg(F.transform(F.array_sort(F.array_distinct(F.max_by("_upto", "rank"))), lambda x: x["value"]).alias("allowed"))
     empty = F.array().cast("array<string>")
     return callers.join(sets, "clearance", "left").withColumn("allowed", F.coalesce("allowed", empty))
 
@@ -154,6 +159,79 @@ def visible_pairs(callers: DataFrame, documents: DataFrame, levels: DataFrame) -
     return what.join(who, ["classification", "scope", "caveat"]).select("persona", "doc_id").distinct()
 
 
+@dataclass(frozen=True)
+class Visibility:
+    """Who may read what, by classes of callers and documents that no filter tells apart.
+
+    callers: (persona, caller_class); documents: (doc_id, document_class), approved ones; bitmaps: (caller_class, bucket, bits), the
+    document classes that a caller class reads, 32,768 to a bitmap.
+    """
+
+    callers: DataFrame
+    documents: DataFrame
+    bitmaps: DataFrame
+
+
+def visibility(callers: DataFrame, documents: DataFrame, levels: DataFrame) -> Visibility:
+    """The classes of resolve()d callers and of documents, and which of them meet; what is shared with nobody or asks for nothing that is in use is left out.
+
+    A caller's signature is its levels, and those of its scopes and caveats that some document bears, so its own name counts only where documents are shared with it. Documents
+    and callers are reduced to signatures first; only signatures are exploded and joined. No pair of a caller and a document is made.
+    """
+    approved = documents.where("status = 'approved'").select("doc_id", "classification", F.array_sort(F.array_distinct("access_scope")).alias("scopes"), F.array_sort(F.array_distinct("releasability")).alias("caveats"))
+    signature = ["classification", "scopes", "caveats"]
+    # ids follow the layout of the staged table: dense within each of its parts, so that a bitmap holds many
+    kinds = staged(staged(approved.select(*signature).distinct()).withColumn("document_class", F.monotonically_increasing_id()))
+    same = [approved[c].eqNullSafe(kinds[c]) for c in signature]
+    belong = approved.join(kinds, same).select("doc_id", "document_class")
+
+    def used(column: str, held: Column, name: str) -> DataFrame:
+        """Of what each caller holds, what documents bear."""
+        bears = kinds.select(F.explode(column).alias("_x")).distinct()
+        return callers.select("persona", F.explode(F.array_distinct(held)).alias("_x")).join(bears, "_x", "left_semi").groupBy("persona").agg(F.array_sort(F.collect_set("_x")).alias(name))
+
+    theirs = used("scopes", F.col("scopes"), "_scopes").join(used("caveats", F.concat(F.array(F.lit(UNRESTRICTED)), "held"), "_caveats"), "persona")
+    theirs = allowed_by_caller(callers, levels).where(F.size("allowed") > 0).select("persona", "allowed").join(theirs, "persona")
+    groups = theirs.select("persona", F.xxhash64("allowed", "_scopes", "_caveats").alias("caller_class"), "allowed", "_scopes", "_caveats")
+    each = groups.groupBy("caller_class").agg(F.first("allowed").alias("allowed"), F.first("_scopes").alias("_scopes"), F.first("_caveats").alias("_caveats"))
+    who = each.select("caller_class", F.explode("allowed").alias("classification"), "_scopes", "_caveats")
+    who = who.select("caller_class", "classification", F.explode("_scopes").alias("scope"), "_caveats").select("caller_class", "classification", "scope", F.explode("_caveats").alias("caveat"))
+    what = kinds.select("document_class", "classification", F.explode("scopes").alias("scope"), "caveats").select("document_class", "classification", "scope", F.explode("caveats").alias("caveat"))
+    met = what.join(who, ["classification", "scope", "caveat"]).select("caller_class", "document_class").distinct()
+    bits = met.groupBy("caller_class", F.bitmap_bucket_number("document_class").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("document_class")).alias("bits"))
+    return Visibility(staged(groups.select("persona", "caller_class")), staged(belong), staged(bits))
+
+
+def _placed(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("bucket", F.bitmap_bucket_number("document_class")).withColumn("_bit", F.bitmap_bit_position("document_class"))
+
+
+def _set(bits: Column, bit: Column) -> Column:
+    """Whether a bitmap has the bit."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2.0), bit % 8)) % 2 == 1
+
+
+def may_read(seen: Visibility, pairs: DataFrame) -> DataFrame:
+    """pairs (persona, doc_id) with `visible`; a caller or document that is in no class sees, or is seen by, none."""
+    rows = pairs.join(seen.callers, "persona", "left").join(_placed(seen.documents), "doc_id", "left").join(seen.bitmaps, ["caller_class", "bucket"], "left")
+    return rows.select(*pairs.columns, F.coalesce(_set(F.col("bits"), F.col("_bit")), F.lit(False)).alias("visible"))
+
+
+def visible_counts(seen: Visibility) -> DataFrame:
+    """(persona, n): how many documents each caller may read, from the sizes of classes; callers who read none are left out."""
+    sizes = _placed(seen.documents.groupBy("document_class").agg(F.count("*").alias("_n")))
+    by_class = seen.bitmaps.join(sizes, "bucket").where(_set(F.col("bits"), F.col("_bit"))).groupBy("caller_class").agg(F.sum("_n").alias("n"))
+    return seen.callers.join(by_class, "caller_class").select("persona", "n")
+
+
+def pairs_of(seen: Visibility) -> DataFrame:
+    """(persona, doc_id): all pairs written out, for those who need them; as many as there are."""
+    kinds = _placed(seen.documents.select("document_class").distinct())
+    met = seen.bitmaps.join(kinds, "bucket").where(_set(F.col("bits"), F.col("_bit"))).select("caller_class", "document_class")
+    return seen.callers.join(met, "caller_class").join(seen.documents, "document_class").select("persona", "doc_id")
+
+
 def tags_authorised(claims: Claims, allowed: list[str]) -> Column:
     return (F.col("classification").isin(allowed) if allowed else F.lit(False)) & held_releasability(_strings(claims.releasability))
 

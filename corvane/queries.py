@@ -79,9 +79,22 @@ _MATRIX = f"""select distinct persona, doc_id from (select persona, sub, org, gr
 
 @query(_MATRIX)
 def persona_matrix(spark, sf_dir):
+    """Pairs by an equi-join on level, scope and caveat."""
     return access.visible_pairs(access.resolve(personas(spark)), gov(spark, sf_dir), levels(spark))
 
 
+@query(_MATRIX)
+def class_matrix(spark, sf_dir):
+    """The same pairs from classes of callers and documents and the bitmaps between them."""
+    return access.pairs_of(access.visibility(access.resolve(personas(spark)), gov(spark, sf_dir), levels(spark)))
+
+
+@query(f"select persona, count(*) as n from ({_MATRIX}) group by persona")
+def visible_counts(spark, sf_dir):
+    """How many documents each caller may read, without a pair."""
+    return access.visible_counts(access.visibility(access.resolve(personas(spark)), gov(spark, sf_dir), levels(spark)))
+
+
 @query(f"select 'seen' as outcome, count(*) as n from ({_MATRIX})")
 def leak_check(spark, sf_dir):
     """The matrix by equi-joins against the filter applied persona by persona: nothing missing, nothing leaked."""
