@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import access, analytics, chunking, evaluation, lifecycle, metrics, postings, search, store
+from .operators import access, analytics, chunking, evaluation, lifecycle, metrics, panes, postings, search, series, store
 from .operators import vectors as ivf
 from .plans.overlay import AUDIT_SQL, GOV_SQL, LEVELS_SQL, PERSONAS_SQL, audit, governed, levels, personas
 from .sources import exposition, files, parsers
@@ -998,6 +998,31 @@ def counter_increase(spark, sf_dir):
     return metrics.increases(rows, ["event_type"], ts="at").groupBy("event_type").agg(F.sum("step").alias("increase"))
 
 
+@query("""with s as (select ts, event_id, (user_id * 31 + event_id) % 50 as v, epoch_us(ts) // 1000000 as t from events),
+i as (select *, case when lag(v) over w is null then 0 when v < lag(v) over w then v else v - lag(v) over w end as step from s window w as (order by ts, event_id))
+select event_id, cast(sum(step) over (order by t range between 86400 preceding and current row) as double) as increase from i""")
+def one_series_increase(spark, sf_dir):
+    """A counter whose samples are all events, in one series: growth over the day before each sample, by pieces of time."""
+    value = ((F.col("user_id") * 31 + F.col("event_id")) % 50).cast("double").alias("value")
+    rows = table(spark, sf_dir, "events").select(F.lit("all").alias("metric"), "ts", "event_id", value)
+    return series.increase(series.pieces(rows, ["metric"], "ts", ["event_id"]), 86400).select("event_id", "increase")
+
+
+@query(f"select actor_sub, count(*) as pairs from {_PAIRS} where is_pair group by 1")
+def pieced_boundary_mapping(spark, sf_dir):
+    """The pairs of boundary_mapping by pieces of actors' events."""
+    return series.pairs(events(spark, sf_dir), 21600).where("is_pair").groupBy("actor_sub").agg(F.count("*").alias("pairs"))
+
+
+@query(f"""with e as (select *, date_trunc('hour', created_at) + to_minutes(cast(5 * (extract(minute from created_at) // 5) as bigint)) as pane from {AUDIT_SQL} where action in ('query', 'query.denied')),
+w as (select actor_sub, action, pane - to_minutes(cast(5 * i as bigint)) as start from e, range(12) r(i))
+select cast(start as timestamp) as start, actor_sub, count(*) as attempts, count(*) filter (where action = 'query.denied') as denied from w group by 1, 2""")
+def windowed_identities(spark, sf_dir):
+    """Sliding windows of an hour by five minutes, merged from disjoint panes."""
+    rows = events(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return panes.identity_windows(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "actor_sub", "attempts", "denied")
+
+
 _MIN = f"(select date_trunc('minute', created_at) as ts, case when action = 'query.denied' then 'denied' when result_count = 0 then 'empty' else 'ok' end as outcome, count(*) as n from {AUDIT_SQL} where action in ('query', 'query.denied') group by 1, 2)"
 
 
