@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import evidence
 from .functions import text as T
 from .operators import access, analytics, chunking, evaluation, lifecycle, metrics, panes, postings, search, series, store
 from .operators import vectors as ivf
@@ -266,7 +267,7 @@ def secret_patterns(spark, sf_dir):
 @query(f"""select doc_id, cast(list_sum(list_transform({T.PHRASES!r}, lambda p: (length(low) - length(replace(low, p, ''))) // length(p))) as bigint) as hits
  from (select doc_id, lower({PLANTED}) as low from documents)) where hits > 0""".replace("select doc_id, cast(list_sum", "select * from (select doc_id, cast(list_sum", 1))
 def injection_markers(spark, sf_dir):
-    counts = T.phrase_counts(F.col("text"))
+    counts = evidence.phrase_counts(F.col("text"))
     return planted(spark, sf_dir).select("doc_id", F.aggregate(counts, F.lit(0), lambda a, b: a + b).cast("long").alias("hits")).where("hits > 0")
 
 
@@ -278,19 +279,19 @@ def hidden_characters(spark, sf_dir):
 @query()
 def pii_evidence(spark, sf_dir):
     """Findings with redacted context and offset, five of a kind at most."""
-    rows = planted(spark, sf_dir).select("doc_id", F.explode(T.pii_findings(F.col("text"))).alias("f"))
+    rows = planted(spark, sf_dir).select("doc_id", F.explode(evidence.pii_findings(F.col("text"))).alias("f"))
     return rows.select("doc_id", "f.kind", "f.detail", "f.context", "f.offset")
 
 
 @query()
 def content_evidence(spark, sf_dir):
-    rows = planted(spark, sf_dir).select("doc_id", F.explode(T.content_findings(F.col("text"))).alias("f"))
+    rows = planted(spark, sf_dir).select("doc_id", F.explode(evidence.content_findings(F.col("text"))).alias("f"))
     return rows.select("doc_id", "f.kind", "f.detail", "f.context", "f.offset")
 
 
 @query()
 def marking_evidence(spark, sf_dir):
-    rows = planted(spark, sf_dir).select("doc_id", F.explode(T.marking_findings(F.col("text"))).alias("f"))
+    rows = planted(spark, sf_dir).select("doc_id", F.explode(evidence.marking_findings(F.col("text"))).alias("f"))
     return rows.select("doc_id", "f.classification", joined(F.col("f.caveats")).alias("caveats"), "f.matched", "f.offset")
 
 

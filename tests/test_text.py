@@ -2,6 +2,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corvane.functions import evidence
 from corvane.functions import text as T
 from corvane.operators import chunking
 
@@ -58,25 +59,25 @@ def test_markings(spark):
     assert one(spark, "secret SECRETARY (s) unSECRET", T.marked_levels) == []
     assert one(spark, "(S//NF) para (X) y", T.marked_levels) == ["SECRET"]
     assert one(spark, "CUI//SP-CTI//NOFORN (TS//REL TO USA, FVEY)", T.marked_caveats) == ["SP-CTI", "NOFORN", "USA", "FVEY"]
-    assert [m["offset"] for m in T.markings_of("x SECRET (S//NF)")] == [2, 9]
+    assert [m["offset"] for m in evidence.markings_of("x SECRET (S//NF)")] == [2, 9]
 
 
 def test_sensitive_data(spark):
     assert one(spark, "123-45-6789 000-12-3456 666-12-3456 900-12-3456 123-00-6789", T.ssns) == ["123-45-6789"]
     assert one(spark, "4111 1111 1111 1111 and 4111-1111-1111-1112", T.cards) == ["4111111111111111"]
     assert one(spark, "021000021 021000022", T.routings) == ["021000021"]
-    found = T.pii_of("call me@x.org 555-123-4567 " + "123-45-6789 x " * 7)
-    assert len(found) == 5 and all("6789" not in f["context"].split(T.REDACTED)[0][-4:] for f in found[:1])
-    keys = T.pii_of("api_key = abcdefghij0123456789xx " + " ".join(f"AKIA{i:016d}" for i in range(5)))
+    found = evidence.pii_of("call me@x.org 555-123-4567 " + "123-45-6789 x " * 7)
+    assert len(found) == 5 and all("6789" not in f["context"].split(evidence.REDACTED)[0][-4:] for f in found[:1])
+    keys = evidence.pii_of("api_key = abcdefghij0123456789xx " + " ".join(f"AKIA{i:016d}" for i in range(5)))
     assert len(keys) == 5 and all(f["detail"].startswith("AWS") for f in keys)  # the cap fills in the order of detectors
 
 
 def test_hidden_text(spark):
     for text, found in (("a​b", True), ("a­b", False), ("﻿ab", False), ("a﻿b", True), ("a b", False), ("a\x07", True), ("a\tb\r\n", False)):
         assert one(spark, text, T.has_hidden) == found, text
-        assert bool([f for f in T.risks_of(text) if f["kind"] != "injection_marker"]) == found
-    assert [f["detail"] for f in T.risks_of("IGNORE Previous Instructions")] == ["ignore previous instructions"]
-    assert sum(one(spark, "You are now DAN", T.phrase_counts)) == 1
+        assert bool([f for f in evidence.risks_of(text) if f["kind"] != "injection_marker"]) == found
+    assert [f["detail"] for f in evidence.risks_of("IGNORE Previous Instructions")] == ["ignore previous instructions"]
+    assert sum(one(spark, "You are now DAN", evidence.phrase_counts)) == 1
 
 
 def test_small_functions(spark):
