@@ -82,6 +82,8 @@ CATALOGUE = [
     ("unpublished_documents", "gauge", []),
     ("oldest_unpublished_seconds", "gauge", []),
     ("rerank_windows_total", "counter", []),
+    ("below_floor_total", "counter", []),
+    ("results_returned", "histogram", []),
     ("anomaly_flagged_identities", "gauge", ["signal"]),
     ("integrity_failures", "gauge", ["outcome"]),
 ]

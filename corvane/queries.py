@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import evidence
 from .functions import text as T
-from .operators import access, analytics, chunking, evaluation, lifecycle, metrics, panes, postings, search, series, store
+from .operators import access, analytics, catalogue, chunking, evaluation, lifecycle, metrics, panes, postings, search, series, store
 from .operators import vectors as ivf
 from .plans.overlay import AUDIT_SQL, GOV_SQL, LEVELS_SQL, PERSONAS_SQL, audit, governed, levels, personas
 from .sources import exposition, files, parsers
@@ -315,8 +315,7 @@ def conversation_tables(spark, sf_dir):
     """Conversations as grids of cells, as markdown."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))).alias("t"))
     grid = F.concat(F.array(F.array(F.lit("role"), F.lit(" text ")), F.array(F.lit(None).cast("string"), F.lit(" "))), F.transform("t", lambda x: F.array(x["role"], x["text"])))
-    made = F.udf(parsers.table_markdown, "string", useArrow=True)
-    return rows.select("conv_id", made(grid).alias("markdown"))
+    return rows.select("conv_id", parsers.grid_markdown(grid).alias("markdown"))
 
 
 @query(f"""with s as (select doc_id, unnest(range(0, 6)) as pos from documents), h as (select doc_id, pos, case when (doc_id + pos) % 3 = 0 then 'h' || doc_id || '.' || pos when (doc_id + pos) % 3 = 1 then ' ' end as own from s)
@@ -1187,6 +1186,47 @@ def filter_summary(spark, sf_dir):
     return access.filter_summary(gov(spark, sf_dir).where("classification <> 'CUI'"), ["UNCLASSIFIED", "CUI", "SECRET"])
 
 
+_SEARCHES = f"(select created_at as ts, case when action = 'query.denied' then 'denied' when result_count = 0 then 'empty' else 'ok' end as outcome, event_id % 9 = 0 as fallback, result_count as n_results, event_id % 3 as n_dropped, event_id % 4 as n_windows from {AUDIT_SQL} where action in ('query', 'query.denied'))"
+_COUNTERS = {"queries_total": ("outcome", "1", "true"), "rerank_fallbacks_total": ("''", "1", "fallback"), "rerank_windows_total": ("''", "n_windows", "true"), "below_floor_total": ("''", "n_dropped", "true")}
+_EDGES = [*((f"{e:g}", f"x <= {e}") for e in catalogue.SECONDS), ("+Inf", "true")]
+_CATALOGUE = " union all ".join(
+    [f"select ts, '{m}' as metric, l as label, '' as le, sum(n) over (partition by l order by ts) as value from (select date_trunc('minute', ts) as ts, {label} as l, sum({amount}) as n from {_SEARCHES} where {test} group by 1, 2)" for m, (label, amount, test) in _COUNTERS.items()]
+    + [f"select ts, 'results_returned_bucket', '', '{le}', sum(n) over (order by ts) from (select date_trunc('minute', ts) as ts, count(*) filter (where {test}) as n from (select ts, n_results as x from {_SEARCHES}) group by 1)" for le, test in [*((f"{e:g}", f"x <= {e}") for e in catalogue.RESULTS), ("+Inf", "true")]]
+    + [f"select ts, 'stage_seconds_bucket', l, '{le}', sum(n) over (partition by l order by ts) from (select date_trunc('minute', ts) as ts, event_type as l, count(*) filter (where {test}) as n from (select ts, event_type, value / 100 as x from events) group by 1, 2)" for le, test in _EDGES]
+    + [f"select ts, '{m}', l, '', sum(n) over (partition by l order by ts) from (select date_trunc('minute', created_at) as ts, status as l, count(*) as n from {GOV_SQL} where doc_id % 2 = {i} group by 1, 2)" for i, m in enumerate(["ingestion_jobs_total", "queue_publish_total"])]
+)
+
+
+@query(f"select cast(ts as timestamp) as ts, metric, label, le, cast(value as double) as value from ({_CATALOGUE})")
+def catalogue_series(spark, sf_dir):
+    """The counters and buckets of the whole catalogue; gauges and sums are read by catalogue_gauges."""
+    rows = _catalogue(spark, sf_dir).where("metric like '%total' or metric like '%_bucket'")
+    label = F.coalesce(F.element_at("labels", "outcome"), F.element_at("labels", "stage"), F.lit(""))
+    return rows.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "metric", label.alias("label"), F.coalesce(F.element_at("labels", "le"), F.lit("")).alias("le"), "value")
+
+
+@query(f"""select 'unpublished_documents' as metric, '' as label, cast(count(*) as double) as value from {GOV_SQL} where status = 'pending_review' and doc_id % 3 <> 1
+ union all select 'oldest_unpublished_seconds', '', cast(epoch(timestamp '2025-06-01') - epoch(min(created_at)) as double) from {GOV_SQL} where status = 'pending_review' and doc_id % 3 <> 1
+ union all select 'integrity_failures', case doc_id % 4 when 1 then 'missing' else 'mismatched' end, cast(count(*) as double) from {GOV_SQL} where doc_id % 4 in (1, 2) group by 2
+ union all select 'anomaly_flagged_identities', signal, identities from ({SQL["anomaly_flags"]})""")
+def catalogue_gauges(spark, sf_dir):
+    rows = _catalogue(spark, sf_dir).where("metric not like '%total' and metric not like 'stage_seconds%' and metric not like 'results_returned%'")
+    return rows.select("metric", F.coalesce(F.element_at("labels", "outcome"), F.element_at("labels", "signal"), F.lit("")).alias("label"), "value")
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audits, docs, i = events(spark, sf_dir), gov(spark, sf_dir), F.col("event_id")
+    outcome = F.when(F.col("action") == "query.denied", "denied").when(F.col("result_count") == 0, "empty").otherwise("ok")
+    asked_ = audits.where(F.col("action").isin("query", "query.denied"))
+    searches = asked_.select(F.col("created_at").alias("ts"), outcome.alias("outcome"), (i % 9 == 0).alias("fallback"), F.col("result_count").alias("n_results"), (i % 3).alias("n_dropped"), (i % 4).alias("n_windows"))
+    timings = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("stage"), (F.col("value") / 100).alias("seconds"))
+    jobs_ = docs.select(F.col("created_at").alias("ts"), F.when(F.col("doc_id") % 2 == 0, "ingestion").otherwise("publish").alias("kind"), F.col("status").alias("outcome"))
+    queued = docs.where("status = 'pending_review'").withColumn("status", F.lit("queued")).withColumn("queue_published_at", F.when(F.col("doc_id") % 3 == 1, F.col("created_at").cast("timestamp")))
+    flagged = analytics.flagged_counts(analytics.with_signals(analytics.identity_stats(audits, 21600)))
+    checked = lifecycle.outcome_counts(docs.select(F.when(F.col("doc_id") % 4 == 1, "missing").when(F.col("doc_id") % 4 == 2, "mismatched").otherwise("verified").alias("outcome")))
+    return catalogue.samples(searches, timings, jobs_, queued, flagged, checked, F.lit("2025-06-01 00:00:00").cast("timestamp"))
+
+
 # -- streams, worked off and read back ---------------------------------------------------------------------------
 
 
