@@ -295,11 +295,16 @@ def marking_evidence(spark, sf_dir):
     return rows.select("doc_id", "f.classification", joined(F.col("f.caveats")).alias("caveats"), "f.matched", "f.offset")
 
 
-@query("select doc_id, regexp_replace(regexp_replace(text, 'a{4,}', 'aaa', 'g'), 'e{4,}', 'eee', 'g') = text as same from (select doc_id, text || repeat('a', cast(doc_id % 7 as int)) || ' ' || repeat('e', 9) as text from (select doc_id, '' as text from documents))")
+_RUNS = "text || ' ' || repeat('a', cast(doc_id % 7 as int)) || ' ' || repeat('é', 9) || '    !!!!'"
+
+
+@query(f"""with c as (select doc_id, unnest(cs) as ch, unnest(range(1, len(cs) + 1)) as pos from (select doc_id, regexp_extract_all({_RUNS}, '(?s).') as cs from documents)),
+ r as (select *, pos - row_number() over (partition by doc_id, ch order by pos) as run from c), n as (select *, row_number() over (partition by doc_id, ch, run order by pos) as k from r)
+select doc_id, sha256(string_agg(ch, '' order by pos)) as digest from n where k <= 3 or regexp_matches(ch, '[\x20\x09-\x0D]') group by 1""")
 def repeat_collapse(spark, sf_dir):
-    """Planted runs only: DuckDB's patterns have no back references."""
-    made = F.concat(F.repeat(F.lit("a"), (F.col("doc_id") % 7).cast("int")), F.lit(" "), F.repeat(F.lit("e"), 9))
-    return table(spark, sf_dir, "documents").select("doc_id", (chunking.collapse_runs(made) == made).alias("same"))
+    """Runs in whole texts, and some that are added; in SQL character by character, as DuckDB's patterns have no back references."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_RUNS).alias("text"))
+    return rows.select("doc_id", F.sha2(chunking.collapse_runs(F.col("text")), 256).alias("digest"))
 
 
 @query(f"""select doc_id, coalesce(nullif(lower(regexp_extract(filename, '\\.([^.]+)$', 1)), ''), 'none') as file_type, lower(regexp_replace(classification, '[^a-zA-Z0-9_-]+', '_', 'g')) as container, sha256(text) as digest, left(sha256(uploader_sub), 12) as opaque from {GOV_SQL}""")
@@ -481,7 +486,7 @@ def similar_approved(spark, sf_dir):
 
 
 _NEAR = f"""(select * from (select qid, chunk_id, row_number() over (partition by qid order by round(score, 9) desc, chunk_id) as r from
- (select qid, chunk_id, {_COS} as score from {_V} c, {_Q} q where status = 'approved' and chunk_id <> qid)) where r <= 5)"""
+ (select qid, chunk_id, {_COS} as score from {_V} c, {_Q.replace(" where vec_id % 97 = 0", "")} q where status = 'approved' and chunk_id <> qid)) where r <= 5)"""
 _LEVEL = lambda c: f"case {c} when 'UNCLASSIFIED' then 0 when 'CUI' then 1 else 2 end"
 
 
@@ -492,7 +497,7 @@ select v.qid as doc_id, similar_count, v.classification as top_classification, n
  from v join a using (qid) join {GOV_SQL} on gov.doc_id = v.qid where k = 1""")
 def precedent_vote(spark, sf_dir):
     docs, chunks = gov(spark, sf_dir), vectors(spark, sf_dir)
-    hits = search.similar_approved(search.centroid(chunks.where("doc_id % 97 = 0")).withColumnRenamed("document_id", "doc_id"), chunks)
+    hits = search.similar_approved(search.centroid(chunks).withColumnRenamed("document_id", "doc_id"), chunks)
     hits = hits.join(docs.select(F.col("doc_id").alias("document_id"), "releasability"), "document_id")
     rows = search.precedent(hits, docs, levels(spark))
     return rows.withColumn("top_releasability", joined(F.col("top_releasability")))
@@ -600,13 +605,13 @@ def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return search.run_search(both_legs(spark, sf_dir), chunks, access.secured(chunks, ALICE, levels(spark)), levels(spark), 5, planted_scores, {"table": 1.5}, 4.0, standing_index(spark, sf_dir))
 
 
-@query("""select doc_id // 50 as qid, cast(doc_id as varchar) as id, round(doc_id % 13 / 10.0, 6) as score, 'internal' as shape from documents where doc_id % 50 < 8 and doc_id % 3 <> 0
- union all select doc_id // 50, cast(doc_id as varchar), round(doc_id % 13 / 10.0, 6), 'tei' from documents where doc_id % 50 < 8 and doc_id % 3 <> 0
- union all select doc_id // 50, cast(doc_id as varchar), round(doc_id % 13 / 10.0, 6), 'cohere' from documents where doc_id % 50 < 8 and doc_id % 3 <> 0""")
+@query("""select doc_id // 50 as qid, cast(doc_id as varchar) as id, round(doc_id % 13 / 10.0, 6) as score, 'internal' as shape from documents where doc_id % 3 <> 0
+ union all select doc_id // 50, cast(doc_id as varchar), round(doc_id % 13 / 10.0, 6), 'tei' from documents where doc_id % 3 <> 0
+ union all select doc_id // 50, cast(doc_id as varchar), round(doc_id % 13 / 10.0, 6), 'cohere' from documents where doc_id % 3 <> 0""")
 def rerank_replies(spark, sf_dir):
     """Replies in each service's shape, with a row that names no candidate, aligned by id or by place."""
     i = F.col("doc_id")
-    pool = table(spark, sf_dir, "documents").where("doc_id % 50 < 8").select(F.floor(i / 50).alias("qid"), (i % 50).cast("int").alias("ord"), i.cast("string").alias("id"), (i % 13 / 10.0).alias("s"), (i % 3 != 0).alias("scored"))
+    pool = table(spark, sf_dir, "documents").select(F.floor(i / 50).alias("qid"), (i % 50).cast("int").alias("ord"), i.cast("string").alias("id"), (i % 13 / 10.0).alias("s"), (i % 3 != 0).alias("scored"))
     rows = pool.where("scored").groupBy("qid").agg(F.collect_list(F.struct("id", "ord", "s")).alias("x"))
     named = F.to_json(F.concat(F.transform("x", lambda r: F.struct(r["id"].alias("id"), r["s"].alias("score"))), F.array(F.struct(F.lit("nobody").alias("id"), F.lit(1.0).alias("score")))))
     placed = F.to_json(F.concat(F.transform("x", lambda r: F.struct(r["ord"].alias("index"), r["s"].alias("score"))), F.array(F.struct(F.lit(99).alias("index"), F.lit(1.0).alias("score")))))
