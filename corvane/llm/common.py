@@ -284,11 +284,16 @@ def staged(df: DataFrame) -> DataFrame:
 
     The tables are removed when the session's Python ends.
     """
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df))
+
+
+def staged_path(df: DataFrame) -> str:
+    """The folder of df, written as staged() does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, in_parts, staged
+from .common import bounded, in_parts, staged, staged_path
 
 # The template: what opens and closes a turn of these roles; other roles' turns carry their name.
 MARKS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -30,6 +30,7 @@ _ESCAPED = re.compile(_CONTROL.format("\\\\+"))
 _BY_OPENING = {pair[0]: (role, pair[1]) for role, pair in MARKS.items()}
 _OPENING = re.compile("|".join(re.escape(c) for c in [*_BY_OPENING, OTHER[0]]))
 TRAINED = "assistant"
+TOGETHER = 3
 SPANS = "array<struct<start: long, end: long>>"
 
 
@@ -97,19 +98,20 @@ def _climbed(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     while True:
         there = nodes.select(F.col("tree").alias("_t"), F.col("id").alias("anc"))
         first = nodes.join(there, (nodes["tree"] == F.col("_t")) & (nodes["parent"] == F.col("anc")), "left")
-        now = staged(first.select("tree", "id", "anc", F.col("anc").alias("least"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops")))
-        n, levels, reach, done = now.count(), [], 1, now.where("anc is null")
-        active = now.where("anc is not null")
-        while active.limit(1).count() and reach <= 2 * n:
+        first = first.select("tree", "id", "anc", F.col("anc").alias("least"), F.col("score").alias("total"), F.lit(1).cast("long").alias("hops"))
+        # a table a round, of the messages that still climbed: the rows without anc of all of them have reached a root, and climb no more
+        paths, levels, reach = [staged_path(first)], [], 1
+        read = lambda *some, schema=first.schema: nodes.sparkSession.read.schema(schema).parquet(*some)
+        n = read(*paths).count()
+        while (active := read(paths[-1]).where("anc is not null")).limit(1).count() and reach <= 2 * n:
             levels.append(active.select("tree", "id", "anc"))
-            # rows that have reached a root are met, but climb no more
-            b = done.union(active).select(F.col("tree").alias("_t"), F.col("id").alias("_id"), F.col("anc").alias("_anc"), F.col("least").alias("_least"), F.col("total").alias("_total"), F.col("hops").alias("_hops"))
+            met = read(paths[-1]) if len(paths) == 1 else read(*paths[:-1]).where("anc is null").union(read(paths[-1]))
+            b = met.select(F.col("tree").alias("_t"), F.col("id").alias("_id"), F.col("anc").alias("_anc"), F.col("least").alias("_least"), F.col("total").alias("_total"), F.col("hops").alias("_hops"))
             joined = active.join(b, (F.col("tree") == F.col("_t")) & (F.col("anc") == F.col("_id")))
-            now = staged(joined.select("tree", "id", F.col("_anc").alias("anc"), F.least("least", "_least").alias("least"), (F.col("total") + F.col("_total")).alias("total"), (F.col("hops") + F.col("_hops")).alias("hops")))
-            done, active = done.union(now.where("anc is null")), now.where("anc is not null")
+            paths.append(staged_path(joined.select("tree", "id", F.col("_anc").alias("anc"), F.least("least", "_least").alias("least"), (F.col("total") + F.col("_total")).alias("total"), (F.col("hops") + F.col("_hops")).alias("hops"))))
             reach *= 2
         if not active.limit(1).count():
-            return levels, done.select("tree", "id", "total", "hops")
+            return levels, read(*paths).where("anc is null").select("tree", "id", "total", "hops")
         # who is the least of all that stand above it stands above itself
         cut = active.where("least = id").select(F.col("tree").alias("_t"), F.col("id").alias("_id"), F.lit(True).alias("_cut"))
         nodes = staged(nodes.join(cut, (F.col("tree") == F.col("_t")) & (F.col("id") == F.col("_id")), "left").select("tree", "id", F.when(F.col("_cut").isNull(), F.col("parent")).alias("parent"), "score"))
@@ -133,6 +135,8 @@ def _paths(nodes: DataFrame, keep: int | None) -> DataFrame:
         both = F.filter(F.array(F.struct("id", "up"), F.struct(F.col("anc").alias("id"), (F.col("up") + (1 << k)).alias("up"))), lambda x: x["id"].isNotNull())
         joined = out.join(above, (F.col("tree") == F.col("_t")) & (F.col("id") == F.col("_id")), "left")
         out = joined.select("tree", "leaf", "rank", "score", F.explode(both).alias("_at")).select("tree", "leaf", "_at.id", "_at.up", "rank", "score")
+        if k and k % TOGETHER == 0:  # else the driver holds one plan of all rounds
+            out = staged(out)
     return out
 
 
