@@ -289,7 +289,18 @@ def content_evidence(spark, sf_dir):
     return rows.select("doc_id", "f.kind", "f.detail", "f.context", "f.offset")
 
 
-@query()
+_TAIL = "((?://[A-Z0-9][A-Z0-9 ,-]*)*)"
+_MARKS = {"b": f"({'|'.join(T.BANNERS)}){_TAIL}", "p": rf"\((TS|S|C|U) *{_TAIL}\)"}
+_LEVELS_OF = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.CANONICAL.items()) + "}"
+
+
+@query(f"""with d as (select doc_id, {PLANTED} as t from documents),
+ f as ({" union all ".join(f"select doc_id, '{k}' as form, regexp_split_to_array(t, '{p}') as parts, regexp_extract_all(t, '{p}') as hits, regexp_extract_all(t, '{p}', 1) as words, regexp_extract_all(t, '{p}', 2) as tails from d" for k, p in _MARKS.items())}),
+ e as (select *, unnest(range(1, len(hits) + 1)) as i from f),
+ w as (select doc_id, form, words[i] as word, tails[i] as tail, hits[i] as hit, parts[i] as before, parts[i + 1] as after, sum(length(parts[i]) + length(hits[i])) over (partition by doc_id, form order by i rows unbounded preceding) - length(hits[i]) as pos from e),
+ k as (select * from w where form = 'p' or not (regexp_matches(before, '[A-Za-z]$') or regexp_matches(after, '^[A-Za-z]'))),
+ c as (select *, list_transform(list_filter(regexp_split_to_array(tail, '[\\s/,]+'), lambda x: x not in ('', 'REL', 'TO')), lambda x: case x when 'NF' then 'NOFORN' else x end) as cs from k)
+select doc_id, {_LEVELS_OF}[word] as classification, array_to_string(list_filter(cs, lambda x, i: list_position(cs, x) = i), '|') as caveats, trim(hit) as matched, cast(pos as integer) as "offset" from c""")
 def marking_evidence(spark, sf_dir):
     rows = planted(spark, sf_dir).select("doc_id", F.explode(evidence.marking_findings(F.col("text"))).alias("f"))
     return rows.select("doc_id", "f.classification", joined(F.col("f.caveats")).alias("caveats"), "f.matched", "f.offset")
