@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-PIECES = 64
+from ..plans.session import staged
 
 
 def with_gain(results: DataFrame, golden: DataFrame) -> DataFrame:
@@ -107,23 +110,30 @@ def may_compare(current: str, baseline: str, allow_change: bool = False) -> bool
 
 
 def percentiles(samples: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Exact nearest-rank percentiles.
+    """Exact nearest-rank percentiles, a group of nulls included.
 
-    Values are counted by group and value, and running counts are made in PIECES ranges of each group that hold about as many values, so that no task
-    gets a group's values.
+    Values are counted by group and value and laid out by ranges of both, once, as a staged table: running counts within a range start from
+    those of the group's ranges before it, so no task gets a group's values. Ranks are worked out in decimals: 0.07 of 100 values is the 7th.
     """
     found = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    cuts = found.groupBy(*by).agg(F.percentile_approx("_v", [i / PIECES for i in range(1, PIECES)], F.lit(1000)).alias("_cuts"), F.sum("_n").alias("n"))
-    cut = found.join(cuts, by) if by else found.crossJoin(F.broadcast(cuts))  # one row
-    cut = cut.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    sizes = cut.groupBy(*by, "_piece").agg(F.sum("_n").alias("_m"))
+    cut = staged(found.repartitionByRange(*by, "_v").withColumn("_piece", F.spark_partition_id()))
+    sizes = cut.groupBy(*by, "_piece").agg(F.sum("_n").alias("_m"))  # a row for each range and group in it
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    sizes = sizes.withColumns({"_base": F.coalesce(F.sum("_m").over(before), F.lit(0)), "n": F.sum("_m").over(Window.partitionBy(*by))}).drop("_m")
     inside = Window.partitionBy(*by, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = cut.withColumn("_upto", F.sum("_n").over(inside)).join(sizes, [*by, "_piece"]).withColumn("_upto", F.col("_base") + F.col("_upto"))
-    ranks = upto.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= F.ceil(F.lit(q) * F.col("n")), F.col("_v"))).alias(f"p{round(q * 100)}") for q in qs), F.max("n").alias("n"))
-    empty = samples.select(*by).distinct().join(ranks, by, "left") if by else ranks
-    return empty.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    upto = cut.withColumn("_upto", F.sum("_n").over(inside)).alias("u").join(sizes.alias("s"), _equal([*by, "_piece"], "u", "s"))
+    upto = upto.select(*(F.col(f"u.{c}").alias(c) for c in by), "_v", "n", (F.col("_base") + F.col("_upto")).alias("_upto"))
+    rank = lambda q: F.ceil(F.lit(Decimal(str(q))) * F.col("n").cast("decimal(20,0)"))
+    ranks = upto.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= rank(q), F.col("_v"))).alias(f"p{round(q * 100)}") for q in qs), F.max("n").alias("n"))
+    if by:
+        every = samples.select(*by).distinct().alias("e").join(ranks.alias("r"), _equal(by, "e", "r"), "left")
+        ranks = every.select(*(F.col(f"e.{c}").alias(c) for c in by), *(F.col(f"r.{c}").alias(c) for c in ranks.columns if c not in by))
+    return ranks.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def _equal(columns: list[str], one: str, other: str) -> Column:
+    """Equality of all columns of two aliased frames, nulls too."""
+    return reduce(and_, (F.col(f"{one}.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in columns))
 
 
 def histogram_delta(snapshots: DataFrame) -> DataFrame:

@@ -264,6 +264,19 @@ def test_percentiles_are_exact(spark):
     assert got["c"] == (None, None, 0)
 
 
+def test_percentiles_come_from_one_layout(spark):
+    """Many values in many ranges, a group of nulls, and ranks that floats miss."""
+    rnd = random.Random(4)
+    made = [(rnd.choice(["a", "a", None]), rnd.random()) for _ in range(40_000)] + [("z", float(i)) for i in range(1, 101)]
+    frame = spark.createDataFrame(made, "k string, v double").repartition(7)
+    got = {r.k: (r.p7, r.p50, r.p95, r.n) for r in evaluation.percentiles(frame, ["k"], "v", [0.07, 0.5, 0.95]).collect()}
+    assert set(got) == {"a", None, "z"} and got["z"][0] == 7.0
+    for k in got:
+        values = sorted(v for x, v in made if x == k)
+        assert got[k] == (*(values[-(-q * len(values) // 100) - 1] for q in (7, 50, 95)), len(values))
+    assert evaluation.percentiles(frame.where("k = 'z'"), [], "v", [0.07]).first()[0] == 7.0
+
+
 def test_runs_with_ties_and_rerank_replies(spark):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     samples = spark.createDataFrame([("m", at(0), 9.0, 1), ("m", at(60), 9.0, 2), ("m", at(60), 1.0, 3), ("m", at(120), 9.0, 4), ("m", at(300), 9.0, 5)], "metric string, ts timestamp, value double, i int")
