@@ -1,8 +1,8 @@
 """Range functions over series of any size: series are cut into pieces by time, and what a piece needs from before its cut is carried over.
 
 Samples are sorted by ranges on (series, time), so a series with a third of all samples spans many pieces, each of about equal size, and small series share one. A cut falls within
-a series at most once a piece, so cuts are no more than pieces. Over each cut go the series' last sample before it (for steps and changes), and the samples of the range's seconds
-before it (for sums, extremes and counts over a range). The results are those of one window over each whole series.
+a series at most once a piece, so cuts are no more than pieces. Over each cut goes the series' last sample before it (for steps and changes). Sums, extremes and counts over a range
+are merged from running figures of seconds (ranged). The results are those of one window over each whole series.
 """
 
 from __future__ import annotations
@@ -64,17 +64,40 @@ def previous(laid: Pieces, columns: list[str]) -> DataFrame:
     return rows.withColumn("_before", F.coalesce(F.lag(one).over(_within(laid)), "_carried")).drop("_carried", "_at", *(f"_c_{c}" for c in laid.series))
 
 
-def ranged(laid: Pieces, rows: DataFrame, seconds: int, value: Column, out: str) -> DataFrame:
-    """rows (of laid, with further columns) with `out`: the aggregate `value` over the range's seconds up to each sample.
+# fixed values: for each aggregate the figures of a second of samples, how two such are merged, and what is read from them
+_PARTS = {
+    "sum": ({"_a": F.sum}, {"_a": F.sum}, lambda: F.col("_a")),
+    "count": ({"_a": F.count}, {"_a": F.sum}, lambda: F.col("_a")),
+    "max": ({"_a": F.max}, {"_a": F.max}, lambda: F.col("_a")),
+    "min": ({"_a": F.min}, {"_a": F.min}, lambda: F.col("_a")),
+    "avg": ({"_a": F.sum, "_b": F.count}, {"_a": F.sum, "_b": F.sum}, lambda: F.col("_a") / F.nullif(F.col("_b"), F.lit(0))),
+}
 
-    Samples of the range before a cut are copied over it; of a piece shorter than the range, over the next cuts too.
+
+def ranged(laid: Pieces, rows: DataFrame, seconds: int, how: str, value: str, out: str) -> DataFrame:
+    """rows (of laid, with further columns) with `out`: the aggregate `how` (of _PARTS) of `value` over the range's seconds up to each sample.
+
+    Samples are reduced to a row for each series and second, and time is cut into blocks as long as the range, so that every range is the end of one block and the
+    beginning of the next. Both are running aggregates, one from each side of a block: the work is in proportion to the seconds, however many samples
+    a range holds; nothing is subtracted; and no task gets more of a series than two ranges of seconds.
     """
-    cuts = F.broadcast(laid.cuts.select(*(F.col(c).alias(f"_c_{c}") for c in laid.series), F.col("_piece").alias("_to"), _seconds("_start").alias("_from")))
-    near = (F.col("_to") > F.col("_piece")) & (F.col("_from") <= _seconds(laid.ts) + seconds)
-    copies = rows.join(cuts, _same(rows, laid.series, "_c_") & near).withColumn("_piece", F.col("_to")).withColumn("_copy", F.lit(True)).select(*rows.columns, "_copy")
-    every = rows.withColumn("_copy", F.lit(False)).unionByName(copies)
-    back = Window.partitionBy("_piece", *laid.series).orderBy(_seconds(laid.ts)).rangeBetween(-seconds, 0)
-    return every.withColumn(out, value.over(back)).where(~F.col("_copy")).drop("_copy")
+    first, merged, read = _PARTS[how]
+    names, length, running = laid.series, F.lit(seconds + 1), (Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_second", _seconds(laid.ts))
+    each = rows.groupBy(*names, "_second").agg(*(f(value).alias(p) for p, f in first.items()))
+    each = each.withColumn("_block", F.col("_second") - F.pmod("_second", length))
+    begun = Window.partitionBy(*names, "_block").orderBy("_second").rowsBetween(*running)
+    heads = each.select(*names, "_second", *(f(p).over(begun).alias(p) for p, f in merged.items()))
+    # each range that begins in the block before asks there, at its first second
+    asking = each.where(F.col("_second") - F.col("_block") < seconds).select(
+        *names, (F.col("_second") - seconds).alias("_second"), *(F.lit(None).cast(each.schema[p].dataType).alias(p) for p in first), (F.col("_block") - length).alias("_block"), F.lit(True).alias("_asks")
+    )
+    left = Window.partitionBy(*names, "_block").orderBy(F.desc("_second")).rangeBetween(*running)
+    tails = each.withColumn("_asks", F.lit(False)).unionByName(asking).withColumns({p: f(p).over(left) for p, f in merged.items()})
+    tails = tails.where("_asks").select(*names, (F.col("_second") + seconds).alias("_second"), *first)
+    found = heads.unionByName(tails).groupBy(*names, "_second").agg(*(f(p).alias(p) for p, f in merged.items()))
+    found = found.select(*(F.col(c).alias(f"_r_{c}") for c in (*names, "_second")), read().alias(out))
+    return rows.join(found, _same(rows, (*names, "_second"), "_r_")).drop("_second", *(f"_r_{c}" for c in (*names, "_second")))
 
 
 def increases(laid: Pieces, value: str = "value") -> DataFrame:
@@ -85,17 +108,17 @@ def increases(laid: Pieces, value: str = "value") -> DataFrame:
 
 
 def increase(laid: Pieces, seconds: int, value: str = "value", out: str = "increase") -> DataFrame:
-    return ranged(laid, increases(laid, value), seconds, F.sum("step"), out).drop("step", "_piece")
+    return ranged(laid, increases(laid, value), seconds, "sum", "step", out).drop("step", "_piece")
 
 
 def over_time(laid: Pieces, seconds: int, how: str, value: str = "value") -> DataFrame:
     """how: max, min, avg, sum or count, over the range; out in a column of that name."""
-    return ranged(laid, laid.rows, seconds, getattr(F, how)(value), how).drop("_piece")
+    return ranged(laid, laid.rows, seconds, how, value, how).drop("_piece")
 
 
 def changes(laid: Pieces, seconds: int, value: str = "value") -> DataFrame:
     rows = previous(laid, [value]).withColumn("_c", F.coalesce((F.col(value) != F.col(f"_before.{value}")).cast("int"), F.lit(0)))
-    return ranged(laid, rows.drop("_before"), seconds, F.sum("_c"), "changes").drop("_c", "_piece")
+    return ranged(laid, rows.drop("_before"), seconds, "sum", "_c", "changes").drop("_c", "_piece")
 
 
 def pairs(events: DataFrame, seconds: int, parts: int | None = None) -> DataFrame:

@@ -49,3 +49,15 @@ def test_one_series_of_all_events_is_shared_out(spark):
 def test_no_samples(samples):
     laid = series.pieces(samples.limit(0), ["name"])
     assert series.increase(laid, 5).count() == series.changes(laid, 5).count() == 0
+
+
+def test_ranges_are_merged_from_running_figures(spark, samples):
+    """No frame is summed up again for each sample; all aggregates, times before 1970 and samples without a time or value."""
+    odd = spark.createDataFrame([("hot", None, 4.0, 1), ("hot", None, 6.0, 2), (None, -70, 3.0, 3), (None, -61, None, 4), (None, -60, 5.0, 5), ("nil", 7, None, 6)], "name string, at long, value double, n int")
+    every = samples.unionByName(odd.withColumn("ts", F.timestamp_seconds("at")).drop("at"))
+    laid = series.pieces(every, ["name"], "ts", ["n"], 5)
+    for seconds in (0, 10, 2000):
+        for how in ("max", "min", "sum", "count", "avg"):
+            got = series.over_time(laid, seconds, how)
+            assert same(got, metrics.over_time(every, ["name"], seconds, how)), (seconds, how)
+            assert "specifiedwindowframe(RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
