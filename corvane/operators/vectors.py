@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .search import top, unit
+from ..plans.session import staged
+from .search import MOST_QUERY_ROWS, Best, containers_of, top, unit
 
 SAMPLE_ROWS = 1 << 14
 MOST_LISTS = 4096
 ROUNDS = 12
 PROBES = 8
 CALIBRATION = 64
-MOST_PAIRS = 1 << 16
+MOST_PAIRS = 1 << 24  # of a query and a list, a bit each, that are sent together
 SLACK = 1e-9  # of rounding, when bounds are compared
 
 
@@ -116,75 +117,59 @@ def read_vector_index(spark: SparkSession, path: str, containers: list[str] = ["
 # -- search ---------------------------------------------------------------------------------------------------------
 
 
-def _scored(wanted: dict[int, tuple[list, np.ndarray]], keys: list[str], n: int, out: pa.Schema):
-    """For mapInArrow over (list, keys..., _key, _not, dense): the n best rows of a batch for each query that asks for the row's list, in each container."""
+def _scored(wanted: np.ndarray, ids: list, asking: dict[int, bytes], keys: list[str], n: int, out: pa.Schema):
+    """For mapInArrow over (list, keys..., _key, _not, dense): the n best rows of a partition for each query that asks for the row's list, in each container.
+
+    asking: for each list a bit for each query.
+    """
+    places: dict[str, list[int]] = {}
+    for i, q in enumerate(ids):
+        places.setdefault(str(q), []).append(i)
 
     def run(batches):
+        best = Best(n, len(ids))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors, lists = unit_rows(batch.column("dense")), batch.column("list").to_numpy(zero_copy_only=False)
-            ids, hidden = batch.column("_key"), np.array(batch.column("_not").to_pylist(), object)
-            tags = [tuple(row.values()) for row in batch.select(keys).to_pylist()] if keys else [()] * batch.num_rows
-            numbers: dict[tuple, int] = {}
-            kind = np.array([numbers.setdefault(t, len(numbers)) for t in tags])
-            asked, rows, scores = [], [], []
-            for number in np.unique(lists):
-                queries, matrix = wanted.get(int(number), ([], None))
-                if not queries:
+            vectors, found = unit_rows(batch.column("dense")), batch.column("_key").to_pandas().to_numpy()
+            hidden = [places.get(x, []) for x in batch.column("_not").to_pylist()]
+            for (number, *kind), at in containers_of(batch, ["list", *keys]).items():
+                if number not in asking:
                     continue
-                for k in range(len(numbers)):
-                    at = np.flatnonzero((lists == number) & (kind == k))
-                    if not len(at):
-                        continue
-                    found = np.round(matrix @ vectors[at].T, 12)  # sums of another order tie again
-                    for i, q in enumerate(queries):
-                        found[i, hidden[at] == q] = -np.inf
-                    least = np.partition(found, len(at) - n, axis=1)[:, len(at) - n] if len(at) > n else np.full(len(queries), -np.inf)
-                    q, c = np.nonzero((found >= least[:, None]) & (found > -np.inf))
-                    asked += [queries[i] for i in q]
-                    rows += at[c].tolist()
-                    scores += found[q, c].tolist()
-            if rows:
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(asked, out.field(0).type), *(batch.column(c).take(at) for c in keys), ids.take(at), pa.array(scores)], schema=out)
+                numbers = np.flatnonzero(np.unpackbits(np.frombuffer(asking[number], np.uint8), count=len(ids)))
+                own = {int(q): i for i, q in enumerate(numbers)} if any(hidden[i] for i in at) else {}
+                pairs = np.array([(own[q], i) for i, row in enumerate(at) for q in hidden[row] if q in own], int).reshape(-1, 2)
+                best.add(tuple(kind), wanted[numbers], numbers, vectors[at], found[at], (pairs[:, 0], pairs[:, 1]))
+        yield from best.batches(ids, out)
 
     return run
 
 
-def _probe(index: VectorIndex, pairs: DataFrame, n: int, query: str, key: str, without: str | None, where) -> DataFrame:
-    """(query, containers, key, score) of the best rows among the lists that pairs (query, list, _v) name.
+def _probe(index: VectorIndex, masked: DataFrame, numbers: list[int], n: int, query: str, key: str, without: str | None, where) -> DataFrame:
+    """(query, containers, key, score) of the best rows among the lists that masked (query, _v, _mask) names by a bit for each of `numbers`.
 
-    Pairs go in slices of MOST_PAIRS at most, sorted by list: a list is read by the slices that ask for it, one as a rule, and no other list is.
+    Queries go in slices of MOST_QUERY_ROWS (fewer if there are over MOST_PAIRS / MOST_QUERY_ROWS lists), each vector once, with a bit for each list: what a slice sends is bounded, whatever the number of lists. No list that nobody in a slice asks for is read.
     """
     spark, keys = index.rows.sparkSession, list(index.containers)
-    asked = index.rows.schema
-    schema = StructType([StructField(query, pairs.schema[query].dataType), *(StructField(c, asked[c].dataType) for c in [*keys, key]), StructField("score", DoubleType())])
-    counts = pairs.groupBy("list").count().orderBy("list").collect()  # a row for each list
-    parts: list[list[tuple[int, int, int]]] = [[]]  # (list, slice of it, of how many)
-    held = 0
-    for number, count in counts:
-        slices = -(-count // MOST_PAIRS)
-        for i in range(slices):
-            if held and held + count > MOST_PAIRS:
-                parts.append([])
-                held = 0
-            parts[-1].append((number, i, slices))
-            held += -(-count // slices)
-    out = spark.createDataFrame([], schema)
+    kinds = index.rows.schema
+    schema = StructType([StructField(query, masked.schema[query].dataType), *(StructField(c, kinds[c].dataType) for c in [*keys, key]), StructField("score", DoubleType())])
     rows = where(index.rows).select("list", *keys, F.col(key).alias("_key"), (F.col(without).cast("string") if without else F.lit(None).cast("string")).alias("_not"), "dense")
-    for part in (p for p in parts if p):
-        mine = F.lit(False)
-        for number, i, slices in part:
-            mine = mine | ((F.col("list") == number) & (F.lit(True) if slices == 1 else F.pmod(F.xxhash64(query), F.lit(slices)) == i))
-        got: dict[int, tuple[list, list]] = {}
-        for q, number, v in pairs.where(mine).select(query, "list", "_v").toLocalIterator():  # MOST_PAIRS at most
-            ids, vs = got.setdefault(number, ([], []))
-            ids.append(q)
-            vs.append(v)
-        wanted = {number: (ids, np.array(vs)) for number, (ids, vs) in got.items()}
-        read = rows.where(F.col("list").isin(sorted(wanted)))
-        out = out.union(read.mapInArrow(_scored(wanted, keys, n, to_arrow_schema(schema)), schema))
+
+    def against(part: DataFrame, rows: DataFrame) -> DataFrame:
+        asked = part.collect()  # a slice
+        bits = np.array([np.unpackbits(np.frombuffer(r["_mask"], np.uint8), count=len(numbers)) for r in asked], np.uint8).reshape(len(asked), len(numbers))
+        asking = {number: np.packbits(bits[:, i]).tobytes() for i, number in enumerate(numbers) if bits[:, i].any()}
+        if not asking:
+            return spark.createDataFrame([], schema)
+        wanted, ids = np.array([r["_v"] for r in asked]), [r[query] for r in asked]
+        read = rows if len(asking) == len(numbers) else rows.where(F.col("list").isin(sorted(asking)))
+        return read.mapInArrow(_scored(wanted, ids, asking, keys, n, to_arrow_schema(schema)), schema)
+
+    most = max(1, min(MOST_QUERY_ROWS, MOST_PAIRS // max(1, len(numbers))))
+    slices, out = max(1, -(-masked.count() // most)), None
+    for i in range(slices):
+        part = against(masked if slices == 1 else masked.where(F.pmod(F.xxhash64(query), F.lit(slices)) == i), rows)
+        out = part if out is None else out.union(part)
     return out
 
 
@@ -199,35 +184,37 @@ def ivf_top(queries: DataFrame, index: VectorIndex, n: int, probes: int = PROBES
     spread = index.lists.groupBy("list").agg(F.first("centroid").alias("centroid"), F.max("width").alias("width")).orderBy("list").collect()  # MOST_LISTS at most
     asked = queries.where("dense is not null").select(query, unit("dense").alias("_v"))
     numbers, centroids, widths = [r[0] for r in spread], np.array([r[1] for r in spread]), np.array([r[2] for r in spread])
-    schema = StructType([*asked.schema.fields, *spark.createDataFrame([], "list int, _at int, _bound double").schema.fields])
+    schema = StructType([*asked.schema.fields, *spark.createDataFrame([], "_mask binary").schema.fields])
+
+    def lists_of(second: bool):
+        """Each query with a bit for each list that it reads: the `probes` nearest, or the others by their bounds, where _least (if any) can be reached."""
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows or not numbers:
+                    continue
+                vectors = unit_rows(batch.column("_v"))
+                cosines = vectors @ centroids.T
+                chosen = np.zeros(cosines.shape, bool)
+                np.put_along_axis(chosen, np.argsort(-cosines, axis=1, kind="stable")[:, :probes], True, axis=1)
+                if second:
+                    most = np.cos(np.maximum(0, np.arccos(np.clip(cosines, -1, 1)) - widths))
+                    most[np.abs(vectors).sum(axis=1) == 0] = 1
+                    least = batch.column("_least").to_numpy(zero_copy_only=False).astype(float)[:, None]
+                    chosen = ~chosen & (np.isnan(least) | (most >= least - SLACK))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.tobytes() for m in np.packbits(chosen, axis=1)], pa.binary())], [f.name for f in schema])
+
+        return run
 
-    def lists_of(batches):
-        """Each query with every list, in the order of their centroids, and the most that a row of the list can score."""
-        for batch in batches:
-            if not batch.num_rows or not numbers:
-                continue
-            vectors = unit_rows(batch.column("_v"))
-            cosines = vectors @ centroids.T
-            order = np.argsort(-cosines, axis=1, kind="stable")
-            most = order.shape[1] if exact else min(probes, order.shape[1])
-            bound = np.cos(np.maximum(0, np.arccos(np.clip(cosines, -1, 1)) - widths))
-            bound[(np.abs(vectors).sum(axis=1) == 0)] = 1
-            i = np.repeat(np.arange(len(vectors)), most)
-            j = order[:, :most].ravel()
-            places = np.tile(np.arange(most), len(vectors))
-            at = pa.array(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(numbers, np.int32)[j]), pa.array(places, pa.int32()), pa.array(bound[i, j])], [f.name for f in schema])
-
-    pairs = asked.mapInArrow(lists_of, schema)
     order, by = (F.desc("score"), F.asc(key)), [query, *index.containers]
-    found = top(_probe(index, pairs.where(F.col("_at") < probes), n, query, key, without, where), by, n, *order)
+    found = top(_probe(index, staged(asked.mapInArrow(lists_of(False), schema)), numbers, n, query, key, without, where), by, n, *order)
     if not exact:
         return found
+    found = staged(found)
     kinds = where(index.rows).select(*index.containers).distinct().count() if index.containers else 1
-    reached = found.where(F.col("rank") == n).groupBy(query).agg(F.min("score").alias("_least"), F.count("*").alias("_kinds"))
-    rest = pairs.where(F.col("_at") >= probes).join(reached, query, "left")
-    rest = rest.where(F.col("_least").isNull() | (F.col("_kinds") < kinds) | (F.col("_bound") >= F.col("_least") - SLACK)).select(*pairs.columns)
-    more = _probe(index, rest, n, query, key, without, where)
+    reached = found.where(F.col("rank") == n).groupBy(query).agg(F.min("score").alias("_least"), F.count("*").alias("_kinds")).where(F.col("_kinds") >= kinds)
+    rest = asked.join(reached.select(query, "_least"), query, "left").select(query, "_v", "_least")
+    more = _probe(index, staged(rest.mapInArrow(lists_of(True), schema)), numbers, n, query, key, without, where)
     return top(found.drop("rank").union(more), by, n, *order)
 
 
