@@ -244,7 +244,7 @@ def integrity_candidates(documents: DataFrame, limit: int = 500) -> DataFrame:
 def integrity(documents: DataFrame, objects: DataFrame | str, limit: int = 500, tasks: int | None = None) -> DataFrame:
     """(document_id, outcome) for the documents checked longest ago: verified, mismatched, missing, or unread where a table holds the object without its content.
 
-    objects: the root of their store, of which the batch's objects are read, as streams and by `tasks` tasks (Spark's choice if None), and no others; or a table
+    objects: the root of their store, of which the batch's objects are read, as streams and by `tasks` tasks (some to each core if None), and no others; or a table
     (original_object_key, content). Documents without a digest are not candidates.
     """
     from ..sources.files import object_digests

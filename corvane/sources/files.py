@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES, MOST_FILES, SNIFF = 50 << 20, 25, 8
+TASKS_A_CORE = 4
 BACKENDS = {"filesystem": "file://", "s3": "s3a://"}
 # fixed values: accepted extensions and what their contents begin with (none for text)
 _ZIP = [b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08"]
@@ -63,6 +64,12 @@ def read_objects(spark: SparkSession, root: str, pattern: str = "*", most_bytes:
     return whole.unionByName(large).select(key.alias("original_object_key"), "content", "length", "modified")
 
 
+def object_keys(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(original_object_key): the keys of all objects below the root, by one scan of paths that opens none. Small files share tasks, whose number does not grow with theirs."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
+    return found.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism).select(object_key(F.col("path"), spark, root).alias("original_object_key"))
+
+
 def object_key(path: Column, spark: SparkSession, root: str) -> Column:
     """What follows the root in a path; both may name the scheme and authority, or leave them to the default file system."""
     where, system = _hadoop(spark, root)
@@ -100,9 +107,9 @@ def _opened(root: str) -> tuple[fs.FileSystem, str]:
 
 
 def _dealt(keys: DataFrame, n: int | None = None) -> DataFrame:
-    """The distinct keys (original_object_key), some to each task."""
-    rows = keys.select(F.col("original_object_key").cast("string").alias("original_object_key")).distinct()
-    return rows.repartition(n, "original_object_key") if n else rows
+    """The distinct keys (original_object_key), some to each of n tasks (TASKS_A_CORE a core if None): keys are short, so Spark by itself would give all to very few."""
+    n = n or TASKS_A_CORE * keys.sparkSession.sparkContext.defaultParallelism
+    return keys.select(F.col("original_object_key").cast("string").alias("original_object_key")).repartition(n, "original_object_key").distinct()
 
 
 def put_objects(contents: DataFrame, root: str) -> int:

@@ -264,6 +264,15 @@ def test_percentiles_are_exact(spark):
     assert got["c"] == (None, None, 0)
 
 
+def test_keys_are_listed_by_one_scan_in_few_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.format_string("a/%d.txt", "id").alias("original_object_key"), F.lit(b"x").alias("content"))
+    files.put_objects(rows, str(tmp_path))
+    got = files.object_keys(spark, str(tmp_path))
+    assert sorted(r[0] for r in got.collect()) == sorted(f"a/{i}.txt" for i in range(300))
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 300
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") == 1
+
+
 def test_percentiles_come_from_one_layout(spark):
     """Many values in many ranges, a group of nulls, and ranks that floats miss."""
     rnd = random.Random(4)
