@@ -1,6 +1,7 @@
 """The inverted-file index: every row stored, exact scores, bounds that lose nothing, lists that are pruned, recall."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -115,3 +116,19 @@ def test_what_a_probe_sends_does_not_grow_with_the_lists(spark, monkeypatch):
     got = rows_of(vectors.ivf_top(asked, index, 4, probes=2, exact=True, without="own"))
     assert got == rows_of(search.dense_top(asked, chunks, 4, without="own"))
     assert len(sent) == 2 and max(sent) < 68 * 8 * 8 + 1000
+
+
+def test_a_task_holds_a_bounded_number_of_scores(monkeypatch):
+    """Of many rows, in products of MOST_SCORES at most, the best of each query with equal scores by key."""
+    monkeypatch.setattr(search, "MOST_SCORES", 1 << 10)
+    rnd = np.random.default_rng(5)
+    matrix, rows, sizes = rnd.integers(-2, 3, (64, 4)).astype(float), rnd.integers(-2, 3, (5000, 4)).astype(float), []
+    best, keys, none = search.Best(3, 64), rnd.permutation(5000), np.empty(0, int)
+    cut = best._cut
+    monkeypatch.setattr(best, "_cut", lambda held: (sizes.append(held["n"]), cut(held)))
+    for at in np.array_split(np.arange(5000), 10):
+        best.add(("A",), matrix, np.arange(64), rows[at], keys[at], (none, none))
+    out = pa.schema([("q", pa.int64()), ("c", pa.string()), ("key", pa.int64()), ("score", pa.float64())])
+    got = [tuple(r.values()) for batch in best.batches(list(range(64)), out) for r in batch.to_pylist()]
+    want = [(q, "A", k, -s) for q in range(64) for s, k in sorted(zip((-matrix[q] @ rows.T).tolist(), keys.tolist(), strict=True))[:3]]
+    assert got == want and max(sizes) <= (1 << 16) + (1 << 10)
