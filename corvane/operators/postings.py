@@ -1,8 +1,8 @@
 """Block-max postings: an inverted index in blocks of neighbouring chunks, each with the most that a term can add there, and a top-k that skips blocks.
 
-Chunks are laid out by container and by a signature of their terms, so that alike ones (copies, one language) stand together, and cut into blocks. A posting row is a
-term's chunks and impacts within one block, beside the greatest of these impacts; impacts are BM25's share that does not depend on the query. A search
-adds up the greatest impacts by block, which reads no chunk; scores the blocks that promise most; and opens of the others only the terms and chunks by which the
+Chunks are laid out by container and by a signature of their terms, so that alike ones (copies, one language) stand together, and cut into shards and these into blocks. A posting row is a
+term's chunks within one shard, beside the greatest impact of each block that it has there; impacts are BM25's share that does not depend on the query. A search shuffles the rows of
+asked terms once, to the task that holds their shard. There the blocks that promise most are scored; of the others only the terms and chunks are opened by which the
 k-th score found can still be reached. The result is that of scoring everything.
 """
 
@@ -10,67 +10,94 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..plans.session import staged
-from .search import B, K1, _bucket, terms, top
+from .search import B, BUCKET_PARTS, K1, Best, _bucket, by_shard, containers_of, flat, over_shards, packed, statistics, terms, top
 
 BLOCK = 64
 FIRST = 8
 SLACK = 1e-6  # of rounding, when bounds are compared; scores are rounded to 9 places
 SIGNATURES = 2
-LEVELS = (0.7, 0.4)  # of the k-th score: how much the terms from a level on can add
 
 
 @dataclass(frozen=True)
 class BlockIndex:
-    """postings: (bucket, term, containers..., block, top, n, keys, impacts); terms: (bucket, term, containers..., idf)."""
+    """postings: (bucket, shard, term, containers..., n, keys, tfs, lengths, places, tops, avg), keys and lengths with the empty term only; terms: (bucket, term, containers..., idf)."""
 
     postings: DataFrame
     terms: DataFrame
     containers: tuple[str, ...]
+    block: int = BLOCK
+    k1: float = K1
+    b: float = B
 
 
-def _laid_out(chunks: DataFrame, containers: list[str], key: str, block: int) -> DataFrame:
-    """(containers..., key, _t, block): chunks sorted by range on their containers and the least hashes of their terms, and cut into blocks of `block` rows of a partition."""
-    parted = chunks.select(key, *containers, terms(F.col("text")).alias("_t"))
+def _laid_out(chunks: DataFrame, containers: list[str], key: str) -> DataFrame:
+    """(_key, containers..., _t): chunks sorted by range on their containers and the least hashes of their terms."""
+    parted = chunks.select(F.col(key).alias("_key"), *containers, terms(F.col("text")).alias("_t"))
     signs = [F.array_min(F.transform("_t", lambda t, i=i: F.xxhash64(F.lit(i), t))).alias(f"_s{i}") for i in range(SIGNATURES)]
-    order = [*containers, *(f"_s{i}" for i in range(SIGNATURES)), key]
-    rows = parted.select("*", *signs).repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.select(key, *containers, "_t", F.floor(F.monotonically_increasing_id() / block).alias("block"))
+    order = [*containers, *(f"_s{i}" for i in range(SIGNATURES)), "_key"]
+    return parted.select("*", *signs).repartitionByRange(*order).sortWithinPartitions(*order).select("_key", *containers, "_t")
+
+
+def _with_tops(block: int, k1: float, b: float, out: pa.Schema):
+    """For mapInArrow over packed lists with `avg`: adds the greatest impact in each of their blocks, rounded up."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = pc.list_value_length(batch.column("keys")).to_numpy().astype(np.int64)
+            tf, length = (x.flatten().fill_null(0).to_numpy(zero_copy_only=False) for x in (batch.column("tfs"), batch.column("lengths")))
+            avg = np.repeat(batch.column("avg").fill_null(1.0).to_numpy(zero_copy_only=False), size)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                impact = np.nan_to_num(tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg)))
+            at = flat(batch.column("places")) // block
+            row = np.repeat(np.arange(len(size)), size)
+            starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
+            offsets = pa.array(np.searchsorted(row[starts], np.arange(len(size) + 1)), pa.int32())
+            tops = np.nextafter(np.maximum.reduceat(impact, starts).astype(np.float32), np.float32(np.inf))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(tops))], out, strict=True)], schema=out)
+
+    return run
 
 
 def block_index(chunks: DataFrame, containers: list[str] = ["classification"], key: str = "chunk_id", k1: float = K1, b: float = B, block: int = BLOCK) -> BlockIndex:  # noqa: B006
-    """The index of all chunks, to be written once. The layout is staged: it is used twice, and its blocks must not change between."""
-    laid = staged(_laid_out(chunks, containers, key, block))
-    stats = laid.groupBy(*containers).agg(F.count("*").alias("_n"), F.avg(F.size("_t").cast("double")).alias("_avg"))  # a row for each container
-    each = laid.select(key, *containers, "block", F.size("_t").alias("_length"), F.explode("_t").alias("term"))
-    counted = each.groupBy(key, *containers, "block", "_length", "term").agg(F.count("*").alias("tf"))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("_length") / F.col("_avg"))
-    same = lambda one, other: [F.col(f"{one}.{c}").eqNullSafe(F.col(f"{other}.{c}")) for c in containers]
-    impacts = counted.alias("c").join(F.broadcast(stats).alias("s"), same("c", "s")).select(*(f"c.{c}" for c in [key, *containers, "block", "term"]), (F.col("tf") * (k1 + 1) / norm).alias("_w"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col("_w").alias("w"))))  # `block` chunks at most
-    postings = impacts.groupBy("term", *containers, "block").agg(F.max("_w").alias("top"), rows.alias("_rows"))
-    postings = postings.select(_bucket(F.col("term")).alias("bucket"), "term", *containers, "block", "top", F.size("_rows").alias("n"), F.col("_rows.key").alias("keys"), F.col("_rows.w").alias("impacts"))
-    found = counted.groupBy("term", *containers).agg(F.count("*").alias("_df")).alias("c").join(F.broadcast(stats).alias("s"), same("c", "s"))
+    """The index of all chunks, to be written once. The packed lists are staged: the greatest impacts need the statistics of all."""
+    lists = staged(packed(_laid_out(chunks, containers, key), containers, places=True))
+    stats = statistics(lists, containers)  # a row for each container
+    rows = _joined(lists, F.broadcast(stats.withColumnRenamed("_avg", "avg").drop("_n")), containers)
+    schema = StructType([*rows.schema.fields, StructField("tops", ArrayType(FloatType()))])
+    postings = rows.mapInArrow(_with_tops(block, k1, b, to_arrow_schema(schema)), schema)
+    # a chunk's key and length stand once in its shard, with the empty term
+    postings = postings.withColumns({c: F.when(F.col("term") == "", F.col(c)) for c in ("keys", "lengths")})
+    found = _joined(lists.where("term <> ''").groupBy("bucket", "term", *containers).agg(F.sum("n").alias("_df")), F.broadcast(stats), containers)
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    return BlockIndex(postings, found.select(_bucket(F.col("term")).alias("bucket"), "term", *(f"c.{c}" for c in containers), idf.alias("idf")), tuple(containers))
+    return BlockIndex(postings, found.select("bucket", "term", *containers, idf.alias("idf")), tuple(containers), block, k1, b)
 
 
 def write_block_index(chunks: DataFrame, path: str, containers: list[str] = ["classification"], key: str = "chunk_id", block: int = BLOCK) -> None:  # noqa: B006
-    """Puts the index of the chunks in place of the one at path, both tables or none; rows of a bucket lie sorted by term, container and block."""
+    """Puts the index of the chunks in place of the one at path, both tables or none; rows of a bucket lie sorted by term in BUCKET_PARTS files."""
     from .store import write_together
 
     made = block_index(chunks, containers, key, block=block)
-    postings = made.postings.repartition("bucket").sortWithinPartitions("bucket", "term", *containers, "block")
+    postings = made.postings.repartition("bucket", F.pmod("shard", F.lit(BUCKET_PARTS))).sortWithinPartitions("bucket", "term")
     write_together({f"{path}/postings": postings, f"{path}/terms": made.terms.repartition("bucket").sortWithinPartitions("bucket", "term")}, {f"{path}/postings": ["bucket"], f"{path}/terms": ["bucket"]})
 
 
-def read_block_index(spark: SparkSession, path: str, containers: list[str] = ["classification"]) -> BlockIndex:  # noqa: B006
+def read_block_index(spark: SparkSession, path: str, containers: list[str] = ["classification"], block: int = BLOCK) -> BlockIndex:  # noqa: B006
+    """block: as it was written."""
     from .store import read_snapshot
 
-    return BlockIndex(read_snapshot(spark, f"{path}/postings"), read_snapshot(spark, f"{path}/terms"), tuple(containers))
+    return BlockIndex(read_snapshot(spark, f"{path}/postings"), read_snapshot(spark, f"{path}/terms"), tuple(containers), block)
 
 
 def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -83,62 +110,96 @@ def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> Da
     return a.join(right, test, how).drop(*names.values())
 
 
+def _skipping(keys: list[str], n: int, ids: list, of: list[np.ndarray], shown: bool, per_block: int, k1: float, b: float, first: int, out: pa.Schema):
+    """For mapInArrow, as search._scored(), with terms in the order of their bounds: a posting is opened only if its chunk's sum and what the terms from it on can add in its block reach the n-th score.
+
+    Beside the best rows there is one without a key for each query and container, whose score is the number of postings opened.
+    """
+    opened: dict[tuple, np.ndarray] = {}
+
+    def score(best: Best, rows: pa.RecordBatch, may: np.ndarray | None) -> None:
+        for kind, at in containers_of(rows, keys).items():
+            mine = rows.take(pa.array(at))
+            empty = pa.array(mine.column("number").to_numpy() == len(of) - 1)
+            every, mine = mine.filter(empty), mine.filter(pc.invert(empty))
+            if not mine.num_rows:
+                continue
+            chunk, numbers, size = flat(every.column("places")), mine.column("number").to_numpy(), pc.list_value_length(mine.column("places")).to_numpy()
+            some = flat(every.column("keys"))
+            known, length = np.empty(chunk.max() + 1, some.dtype), np.zeros(chunk.max() + 1)
+            known[chunk], length[chunk] = some, every.column("lengths").flatten().fill_null(0).to_numpy(zero_copy_only=False)
+            seen = np.zeros(len(known), bool)
+            seen[chunk] = ~pd.isna(some) & (True if may is None else pd.Index(pd.unique(may)).get_indexer(some) >= 0)
+            doc, tf = flat(mine.column("places")), flat(mine.column("tfs"))
+            w, avg = (np.repeat(mine.column(c).to_numpy(), size) for c in ("_w", "_avg"))
+            part = w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avg))
+            names, block = np.unique(doc // per_block, return_inverse=True)
+            ends, row = np.r_[0, np.cumsum(size)], np.repeat(np.arange(len(size)), size)
+            starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (row[1:] != row[:-1])])
+            place, its = block[starts], np.searchsorted(row[starts], np.arange(len(size) + 1))  # of each list's blocks
+            tops = np.repeat(mine.column("_w").to_numpy(), np.diff(its)) * flat(mine.column("tops")).astype(float)
+            home = np.zeros(len(known), int)
+            home[doc] = block
+            count = opened.setdefault(kind, np.zeros(len(ids), np.int64))
+            lists: dict[int, list[int]] = {}
+            for i, t in enumerate(numbers):
+                for q in of[t]:
+                    lists.setdefault(int(q), []).append(i)
+            for q, its_lists in lists.items():
+                its_lists.sort(key=lambda i: (-tops[its[i] : its[i + 1]].max(), i))
+                bounds = np.zeros((len(its_lists) + 1, len(names)))
+                for r, i in enumerate(its_lists):
+                    bounds[r, place[its[i] : its[i + 1]]] = tops[its[i] : its[i + 1]]
+                bounds = np.cumsum(bounds[::-1], axis=0)[::-1]  # what the terms from each one on can add, by block
+                begun = np.zeros(len(names), bool)
+                begun[np.argsort(-bounds[0], kind="stable")[: first + -(-n // per_block)]] = True
+                sums, least = np.zeros(len(known)), -np.inf
+                held = best.kinds.get(kind)
+                if held is not None:
+                    least = held["least"][q] - SLACK
+                for turn in (begun, ~begun):
+                    for r, i in enumerate(its_lists):
+                        a, z = ends[i], ends[i + 1]
+                        d, x = doc[a:z], block[a:z]
+                        go = seen[d] & turn[x] & (sums[d] + bounds[r][x] >= least)
+                        d = d[go]
+                        sums[d] += part[a:z][go]
+                        count[q] += len(d)
+                    if turn is begun:
+                        have = sums[begun[home] & (sums > 0)]
+                        if len(have) >= n:
+                            least = max(least, np.partition(have, -n)[-n] - SLACK)
+                near = np.flatnonzero((sums > 0) & (sums >= least))
+                if len(near):
+                    best.scored(kind, sums[None, near], np.array([q]), known[near])
+
+    def counts():
+        for kind, count in opened.items():
+            q = np.flatnonzero(count)
+            tags = [pa.array([t] * len(q), f.type) for t, f in zip(kind, list(out)[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], out.field(0).type), *tags, pa.nulls(len(q), out.field(len(out) - 2).type), pa.array(count[q].astype(float))], schema=out)
+
+    return by_shard(score, n, ids, shown, out, counts)
+
+
 def block_top(queries: DataFrame, index: BlockIndex, n: int, visible: DataFrame | None = None, query: str = "qid", key: str = "chunk_id", first: int = FIRST, read: list | None = None) -> DataFrame:
     """(qid, containers, key, score, rank) by BM25 with statistics of each whole container; the rows of search.bm25_top().
 
-    queries: (qid, text). visible: (key), limits what is ranked, not what is counted. The `first` + n / BLOCK blocks of greatest promise give a k-th score
-    for each query and container. In every other block, terms go in the order of their bounds there, in LEVELS: those first without which a chunk can't reach the k-th score.
-    After each level only chunks whose sum and the bounds of what is left reach that score go on, and of later terms only the postings of such chunks are opened.
-    No step's rows meet by query or term alone, but by query, container and block. read: gets frames (qid, containers, n) of the numbers of postings that are opened, for those who count them.
+    queries: (qid, text). visible: (key), limits what is ranked, not what is counted. In each shard the `first` + n / BLOCK blocks of greatest promise, and the shards that a task has
+    seen, give a k-th score for each query and container, by which the rest of the shard is skipped. Only n rows a task, query and container are shuffled; bounds stay in their task.
+    read: gets a frame (qid, containers, n) of the numbers of postings that are opened, for those who count them.
     """
-    kinds = list(index.containers)
-    by, place = [query, *kinds], [query, *kinds, "block"]
-    asked = queries.select(query, F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).withColumn("bucket", _bucket(F.col("term")))
-    # queries are few beside postings, so Spark prunes the buckets' files by theirs
-    weighed = staged(index.terms.join(asked, ["bucket", "term"]).select(query, "bucket", "term", *kinds, "idf"))
-    lists = _joined(index.postings.select("bucket", "term", *kinds, "block", "top"), weighed, ["bucket", "term", *kinds])
-    lists = staged(lists.withColumn("bound", F.col("top") * F.col("idf")))
-    blocks = lists.groupBy(*place).agg(F.sum("bound").alias("bound"))
-    begun = staged(top(blocks, by, first + -(-n // BLOCK), F.desc("bound"), F.asc("block"), rank="_r").select(*place))
-    if visible is not None:
-        visible = staged(visible.select(F.col(key).alias("_visible")).distinct())
-
-    def opened(some: DataFrame) -> DataFrame:
-        """(query, containers, block, key, part) of the postings of some lists; with a column `asked`, of the chunks in it."""
-        rows = _joined(index.postings.select("bucket", "term", *kinds, "block", "keys", "impacts"), some, ["bucket", "term", *kinds, "block"])
-        pairs = F.arrays_zip("keys", "impacts")
-        if "asked" in some.columns:
-            pairs = F.filter(pairs, lambda p: F.array_contains("asked", p["keys"]))
-        if read is not None:
-            read.append(rows.select(*by, F.size(pairs).alias("n")))
-        return rows.select(*place, "idf", F.explode(pairs).alias("_p")).select(*place, F.col("_p.keys").alias(key), (F.col("idf") * F.col("_p.impacts")).alias("part"))
-
-    def summed(parts: DataFrame) -> DataFrame:
-        return parts.groupBy(*place, key).agg(F.sum("part").alias("part"))
-
-    def ranked(parts: DataFrame) -> DataFrame:
-        # sums of floats depend on order: round before ranking, so that equal scores tie
-        return parts.select(*by, key, F.round("part", 9).alias("score"))
-
-    def shown(parts: DataFrame) -> DataFrame:
-        return parts if visible is None else parts.join(visible, F.col(key) == F.col("_visible"), "left_semi")
-
-    order = F.desc("score"), F.asc(key)
-    found = staged(top(ranked(shown(summed(opened(_joined(lists, begun, place, "left_semi"))))), by, n, *order))
-    least = found.where(F.col("rank") == n).select(*by, (F.col("score") - SLACK).alias("_least"))
-    # what a block's terms can add from each one on, in the order of their bounds
-    after = F.sum("bound").over(Window.partitionBy(*place).orderBy(F.asc("bound"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rest = _joined(_joined(lists, begun, place, "left_anti"), least, by, "left").withColumn("_after", after)
-    level = F.when(F.col("_least").isNull() | (F.col("_after") >= F.col("_least")), 0)
-    for i, share in enumerate(LEVELS, 1):
-        level = level.when(F.col("_after") >= share * F.col("_least"), i)
-    rest = staged(rest.withColumn("_level", level.otherwise(len(LEVELS) + 1)))
-    alive = shown(summed(opened(rest.where("_level = 0"))))
-    for i in range(len(LEVELS) + 1):
-        left = rest.where(F.col("_level") > i).groupBy(*place).agg(F.sum("bound").alias("_rest"))
-        alive = _joined(_joined(alive, left, place, "left"), least, by, "left")
-        alive = alive.where(F.col("_least").isNull() | (F.col("part") + F.coalesce("_rest", F.lit(0.0)) >= F.col("_least"))).select(*place, key, "part")
-        alive = staged(alive)
-        chunks = alive.groupBy(*place).agg(F.collect_list(key).alias("asked"))  # BLOCK at most
-        alive = summed(alive.unionByName(opened(_joined(rest.where(F.col("_level") == i + 1), chunks, place))))
-    return top(found.drop("rank").unionByName(ranked(alive)), by, n, *order)
+    kinds, sizes = list(index.containers), (index.block, index.k1, index.b)
+
+    def weighed(rows: DataFrame, numbers: DataFrame, buckets: list[int]) -> DataFrame:
+        weights = index.terms.where(F.col("bucket").isin(buckets)).join(F.broadcast(numbers), "term").select("number", *kinds, F.col("idf").alias("_w"))
+        return _joined(rows, F.broadcast(weights), ["number", *kinds], "left").withColumn("_avg", F.col("avg"))
+
+    def scorer(ids: list, of: list, shown: bool, out: pa.Schema):
+        return _skipping(kinds, n, ids, of, shown, *sizes, first, out)
+
+    found = over_shards(queries, index.postings, visible, kinds, query, key, weighed, scorer, ["tfs", "lengths", "places", "tops", "_w", "_avg"], every_chunk=True)
+    if read is not None:
+        found = staged(found)
+        read.append(found.where(F.col(key).isNull()).select(query, *kinds, F.col("score").cast("long").alias("n")))
+    return top(found.where(F.col(key).isNotNull()), [query, *kinds], n, F.desc("score"), F.asc(key))
