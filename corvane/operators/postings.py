@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..plans.session import staged
-from .search import B, BUCKET_PARTS, K1, Best, _bucket, by_shard, containers_of, flat, over_shards, packed, statistics, terms, top
+from .search import B, BUCKET_PARTS, K1, Best, by_shard, chunks_of, containers_of, flat, over_shards, packed, statistics, terms, top
 
 BLOCK = 64
 FIRST = 8
@@ -72,7 +71,7 @@ def _with_tops(block: int, k1: float, b: float, out: pa.Schema):
 
 def block_index(chunks: DataFrame, containers: list[str] = ["classification"], key: str = "chunk_id", k1: float = K1, b: float = B, block: int = BLOCK) -> BlockIndex:  # noqa: B006
     """The index of all chunks, to be written once. The packed lists are staged: the greatest impacts need the statistics of all."""
-    lists = staged(packed(_laid_out(chunks, containers, key), containers, places=True))
+    lists = staged(packed(_laid_out(chunks, containers, key), containers))
     stats = statistics(lists, containers)  # a row for each container
     rows = _joined(lists, F.broadcast(stats.withColumnRenamed("_avg", "avg").drop("_n")), containers)
     schema = StructType([*rows.schema.fields, StructField("tops", ArrayType(FloatType()))])
@@ -124,12 +123,8 @@ def _skipping(keys: list[str], n: int, ids: list, of: list[np.ndarray], shown: b
             every, mine = mine.filter(empty), mine.filter(pc.invert(empty))
             if not mine.num_rows:
                 continue
-            chunk, numbers, size = flat(every.column("places")), mine.column("number").to_numpy(), pc.list_value_length(mine.column("places")).to_numpy()
-            some = flat(every.column("keys"))
-            known, length = np.empty(chunk.max() + 1, some.dtype), np.zeros(chunk.max() + 1)
-            known[chunk], length[chunk] = some, every.column("lengths").flatten().fill_null(0).to_numpy(zero_copy_only=False)
-            seen = np.zeros(len(known), bool)
-            seen[chunk] = ~pd.isna(some) & (True if may is None else pd.Index(pd.unique(may)).get_indexer(some) >= 0)
+            known, length, seen = chunks_of(every, may)
+            numbers, size = mine.column("number").to_numpy(), pc.list_value_length(mine.column("places")).to_numpy()
             doc, tf = flat(mine.column("places")), flat(mine.column("tfs"))
             w, avg = (np.repeat(mine.column(c).to_numpy(), size) for c in ("_w", "_avg"))
             part = w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / avg))
@@ -191,14 +186,16 @@ def block_top(queries: DataFrame, index: BlockIndex, n: int, visible: DataFrame
     """
     kinds, sizes = list(index.containers), (index.block, index.k1, index.b)
 
-    def weighed(rows: DataFrame, numbers: DataFrame, buckets: list[int]) -> DataFrame:
+    def weighed(rows: DataFrame, words: list[str], buckets: list[int]) -> DataFrame:
+        numbers = rows.sparkSession.createDataFrame(pa.table({"term": words, "number": pa.array(range(len(words)), pa.int32())}))
+        rows = rows.join(F.broadcast(numbers), "term")
         weights = index.terms.where(F.col("bucket").isin(buckets)).join(F.broadcast(numbers), "term").select("number", *kinds, F.col("idf").alias("_w"))
         return _joined(rows, F.broadcast(weights), ["number", *kinds], "left").withColumn("_avg", F.col("avg"))
 
     def scorer(ids: list, of: list, shown: bool, out: pa.Schema):
         return _skipping(kinds, n, ids, of, shown, *sizes, first, out)
 
-    found = over_shards(queries, index.postings, visible, kinds, query, key, weighed, scorer, ["tfs", "lengths", "places", "tops", "_w", "_avg"], every_chunk=True)
+    found = over_shards(queries, index.postings, visible, kinds, query, key, weighed, scorer, ["tfs", "lengths", "places", "tops", "_w", "_avg"])
     if read is not None:
         found = staged(found)
         read.append(found.where(F.col(key).isNull()).select(query, *kinds, F.col("score").cast("long").alias("n")))
