@@ -53,9 +53,9 @@ def object_root(backend: str, place: str) -> str:
 
 
 def read_objects(spark: SparkSession, root: str, pattern: str = "*", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(original_object_key, content, length, modified): every object below the root; a larger one has null content.
+    """(original_object_key, content, length, modified): every object below the root that is not empty; a larger one has null content.
 
-    Length is tested on file metadata, so that oversized contents are not read.
+    Length is tested on file metadata, so that oversized contents are not read. Spark's listing passes over empty files: look those up by key, with object_digests().
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     whole = files.where(F.col("length") <= most_bytes).select("path", "content", "length", F.col("modificationTime").alias("modified"))
@@ -65,7 +65,10 @@ def read_objects(spark: SparkSession, root: str, pattern: str = "*", most_bytes:
 
 
 def object_keys(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(original_object_key): the keys of all objects below the root, by one scan of paths that opens none. Small files share tasks, whose number does not grow with theirs."""
+    """(original_object_key): the keys of all objects below the root that are not empty, by one scan of paths that opens none. Small files share tasks, whose number does not grow with theirs.
+
+    Spark's listing passes over empty files: look those up by key, with object_digests().
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
     return found.coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism).select(object_key(F.col("path"), spark, root).alias("original_object_key"))
 

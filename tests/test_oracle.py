@@ -53,6 +53,20 @@ def test_scans_look_at_every_document(spark, tmp_path):
     assert [r.doc_id for r in q.QUERIES["injection_markers"](spark, str(tmp_path)).collect()] == [2]
 
 
+def test_originals_of_empty_and_missing_texts(spark, tmp_path, monkeypatch):
+    """An empty object, which Spark's listing passes over, and a document without an original are rows as in the SQL; so is a purged original that was not deleted, even an empty one."""
+    texts = [(0, "gone"), (1, "x"), (2, ""), (3, None), (4, "\u00e9"), (17, ""), (34, None)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(1).drop("doc_id", "text").crossJoin(spark.createDataFrame(texts, "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"select original_object_key, length, sha256 from ({q.SQL['purge_objects']})").fetchall()
+    found = lambda: sorted((r.original_object_key, r.length, r.sha256) for r in q.QUERIES["purge_objects"](spark, str(tmp_path)).collect())
+    assert found() == sorted(want) and len(want) == 4
+    monkeypatch.setattr(q.files, "delete_objects", lambda *a: 0)
+    assert [r[:2] for r in found() if r not in want] == [("originals/0.txt", 4), ("originals/17.txt", 0)]
+
+
 def test_entry_works_without_the_optional_subpackage(tmp_path):
     """The entry file must import and serve its queries with the optional folders gone."""
     import shutil
